@@ -89,6 +89,63 @@ SELECTS = {
           cast('2024-01-01 00:00:00' as timestamp) as created_at, cast('2024-02-01 00:00:00' as timestamp) as updated_at,
           cast(case when n_nationkey = 24 then '2024-03-01 00:00:00' else null end as timestamp) as deleted_at
         from {nation}""",
+    "parse_runs": """
+        select o_orderkey as parse_run_id, case when o_orderstatus = 'P' then null else o_custkey end as study_id,
+          case when o_orderpriority = '2-HIGH' then null else o_orderkey end as capture_id, o_orderdate as started_at, o_orderstatus as status
+        from {orders}""",
+    "sessions": """
+        select c_custkey as session_id, c_nationkey as study_id, c_name as capture_name, 'if' || cast(c_nationkey as string) as wlc_interface,
+          case when c_acctbal > 3000 then 'stopped' else 'running' end as session_state
+        from {customer}""",
+    "attempts": """
+        select o_orderkey as attempt_id, o_custkey as capture_session_id, o_custkey % 25 as study_id,
+          case when o_orderpriority = '5-LOW' then null else o_orderdate end as started_at,
+          o_orderdate as attempt_started_at, o_orderdate as created_at, o_orderdate as attempt_marked_at,
+          cast(case when o_orderstatus = 'F' then o_orderdate else null end as timestamp) as active_group_selected_at,
+          case o_orderpriority when '1-URGENT' then 'heard' when '2-HIGH' then 'missed' when '3-MEDIUM' then 'partial'
+            when '4-NOT SPECIFIED' then 'choppy' else 'unknown' end as audio_result,
+          case when o_custkey % 4 = 0 then null else '230.230.1.' || cast(o_custkey % 200 as string) end as resolved_group_ip,
+          cast(o_custkey % 9 as int) as resolved_group_vlan, cast(o_custkey % 7 as int) as configured_vlan, o_custkey % 4096 as resolved_mgid,
+          case when o_custkey % 9 = o_custkey % 7 then 'resolved_confirmed' else 'configured_group_mismatch' end as vlan_context_state,
+          case o_orderstatus when 'F' then 'membership_failure' when 'O' then 'media_degraded' else 'inconclusive' end as verdict,
+          case o_orderstatus when 'F' then 'high' else 'low' end as verdict_confidence,
+          'ctx' || cast(o_orderkey as string) as raw_context
+        from {orders}""",
+    "session_events": """
+        select event_id, user_id as capture_session_id, user_id % 25 as study_id, case when value > 30 then null else event_id % 1000 end as attempt_id,
+          ts as event_time, event_type as event_kind, case when event_type = 'click' then 'heard' else null end as audio_result,
+          case when event_type = 'view' then 'seen' else null end as notes, props as raw_context
+        from {events}""",
+    "legs": """
+        select l_suppkey as capture_session_id, case when l_returnflag = 'A' then 'ap_client_ota' else 'wlc_epc' end as leg_type,
+          case l_linenumber when 1 then 'ready' when 2 then 'running' when 3 then 'parsed' else 'draft' end as leg_state
+        from {lineitem}""",
+    "artifacts": """
+        select l_orderkey as attempt_id, case l_linenumber when 1 then 'wlc_epc' when 2 then 'ap_packet_capture' else 'transcript' end as artifact_type
+        from {lineitem}""",
+    "snapshots": """
+        select l_orderkey as attempt_id, l_linenumber as snapshot_no,
+          case l_returnflag when 'A' then 'during' when 'R' then 'after' else null end as phase,
+          case when l_suppkey % 3 = 0 then null else 'ap' || cast(l_suppkey as string) end as receiver_ap, 'b' || cast(l_suppkey as string) as receiver_bssid,
+          cast(l_linenumber * 4 + 32 as int) as receiver_channel, case when l_linenumber > 3 then '5ghz' else '24ghz' end as receiver_band,
+          cast(-l_quantity as int) as receiver_rssi, cast(l_quantity as int) as receiver_snr,
+          case when l_tax < 0.03 then true when l_tax > 0.06 then false else null end as receiver_group_member,
+          case when l_linestatus = 'O' then 'ok' else 'none' end as receiver_group_status,
+          case when l_linestatus = 'O' then '230.230.0.' || cast(l_linenumber as string) else null end as group_ip, l_partkey as mgid
+        from {lineitem}""",
+    "findings": """
+        select l_orderkey as attempt_id, case when l_discount > 0.07 then 'critical' when l_discount > 0.03 then 'warning' else 'info' end as severity
+        from {lineitem}""",
+    "observations": """
+        select case when l_tax = 0 then null else l_orderkey end as attempt_id,
+          case when l_suppkey % 11 = 0 then null else '230.230.0.' || cast(l_suppkey % 40 as string) end as group_ip,
+          'm' || cast(l_suppkey % 40 as string) as group_mac, case when l_linenumber = 7 then null else '10.1.1.' || cast(l_linenumber as string) end as source_ip,
+          cast(l_linenumber * 10 as int) as vlan, cast(l_suppkey % 5 as int) as mgid, l_shipdate as observed_at,
+          case when l_linestatus = 'O' then l_quantity > 40 else null end as receiver_member, l_quantity > 48 as receiver_blocklisted,
+          case when l_linenumber < 4 then 'static' else 'igmp' end as receiver_membership_mode, case when l_returnflag = 'A' then 'unicast' else 'multicast' end as ap_delivery_mode,
+          cast(l_quantity as bigint) as ap_tx_packets, cast(l_linenumber as bigint) as ap_rx_packets, 'ap' || cast(l_suppkey % 7 as string) as ap_name,
+          case when l_returnflag = 'N' then 'wlc_cli' else 'pcap' end as evidence_source, case when l_linenumber > 5 then 'low' else 'medium' end as capture_confidence
+        from {lineitem}""",
 }
 
 

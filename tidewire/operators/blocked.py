@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 class Order:
     """Row order of a key: leading column with its block width, then tie-breaking columns.
 
-    ``width`` is in seconds for a timestamp column and in units for a number.
+    ``width`` is in seconds for a timestamp column and in units for a number. A tie
+    written ``-name`` is descending; carried values need ascending ties.
     """
 
     col: str
@@ -35,7 +36,7 @@ class Order:
 
     def columns(self) -> list[Column]:
         lead = F.col(self.col).desc() if self.desc else F.col(self.col).asc()
-        return [lead, *[F.col(t).asc() for t in self.ties]]
+        return [lead, *[F.col(t[1:]).desc() if t.startswith("-") else F.col(t).asc() for t in self.ties]]
 
     def key(self) -> Column:
         return F.struct(self.col, *self.ties)
@@ -73,7 +74,7 @@ def scan(
     number, total  1-based row number; rows in the key
     """
     lag, ffill, ffill_before, running = lag or {}, ffill or {}, ffill_before or {}, running or {}
-    if order.desc and (lag or ffill or ffill_before):
+    if (order.desc or any(t.startswith("-") for t in order.ties)) and (lag or ffill or ffill_before):
         raise ValueError("carried values need an ascending order")
     keyed = df.withColumn("_blk", order.block(df))
     keys = [*by, "_blk"]

@@ -73,7 +73,7 @@ def instant(samples: DataFrame, now: Column, lookback: float = 300.0) -> DataFra
 def range_eval(samples: DataFrame, start: Column, end: Column, step: float, lookback: float = 300.0) -> DataFrame:
     """Instant vectors on a step grid. Each sample names the few grid steps it can serve; the latest one
     per (series, step) wins, so nothing is crossed with the grid."""
-    us = F.lit(1_000_000)
+    us = F.lit(1_000_000).cast("bigint")
     t, s0, s1 = F.unix_micros("ts"), F.unix_micros(start), F.unix_micros(end)
     stride = F.lit(int(step * 1_000_000)).cast("bigint")
     first = F.greatest(F.ceil((t - s0) / stride), F.lit(0))
