@@ -152,9 +152,14 @@ def series_agg(vec: DataFrame, how: str, by: list[str]) -> DataFrame:
 
 
 def quantile_by(vec: DataFrame, q: float, by: list[str]) -> DataFrame:
-    """Interpolated quantile across series."""
-    p = percentiles(label_cols(vec, by).drop("labels"), by, {"value": ("value", q, "cont")})
-    return p.select(label_map(by).alias("labels"), "value")
+    """Interpolated quantile across the series of an instant vector.
+
+    A vector holds one value per active series, which the metric store limits
+    (500,000 per tenant), so the exact in-memory percentile fits; raw samples go
+    through ``quantiles.percentiles`` instead.
+    """
+    g = label_cols(vec, by).groupBy(*by).agg(F.percentile("value", F.lit(float(q))).alias("value"))
+    return g.filter(F.col("value").isNotNull()).select(label_map(by).alias("labels"), "value")
 
 
 def topk_by(vec: DataFrame, by: list[str], k: int = 1) -> DataFrame:
