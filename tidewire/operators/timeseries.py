@@ -195,14 +195,17 @@ def label_replace(vec: DataFrame, dst: str, replacement: str, src: str, regex: s
 
 def rename_labels(vec: DataFrame, copies: dict[str, str], fixed: dict[str, str] | None = None) -> DataFrame:
     """Several label copies ``dst -> src`` and constant labels at once; an empty source leaves ``dst`` as it is."""
-    out = F.col("labels")
-    for dst, src in copies.items():
-        others = without(out, dst)
-        out = F.when(label(src) != "", F.map_concat(others, F.create_map(F.lit(dst), label(src)))).otherwise(out)
-    for dst, value in (fixed or {}).items():
-        others = without(out, dst)
-        out = F.map_concat(others, F.create_map(F.lit(dst), F.lit(value)))
-    return vec.withColumn("labels", out)
+    names = [*copies, *(fixed or {})]
+    values = [label(src) for src in copies.values()] + [F.lit(v) for v in (fixed or {}).values()]
+    fresh = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values)), lambda k, v: v != "")
+    return _overlay(vec, fresh)
+
+
+def _overlay(vec: DataFrame, fresh: Column) -> DataFrame:
+    """Put the entries of a map over the labels."""
+    d = vec.withColumn("_new", fresh)
+    kept = F.map_filter("labels", lambda k, v: ~F.array_contains(F.map_keys("_new"), k))
+    return d.withColumn("labels", F.map_concat(kept, "_new")).drop("_new")
 
 
 def identity_series(vec: DataFrame, by: list[str], value: float = 1.0) -> DataFrame:
@@ -243,12 +246,9 @@ def vec_enrich(many: DataFrame, one: DataFrame, on: list[str], extra: list[str],
     """Many-to-one arithmetic that copies labels from the 'one' side."""
     a, b = _paired(many, one, on)
     j = a.join(b, "_key")
-    labels = F.col("_ll")
-    for name in extra:
-        others = without(labels, name)
-        got = F.coalesce(F.col("_rl")[name], F.lit(""))
-        labels = F.when(got != "", F.map_concat(others, F.create_map(F.lit(name), got))).otherwise(others)
-    return j.select(labels.alias("labels"), ARITH[op](F.col("_lv"), F.col("_rv")).alias("value"))
+    kept = F.map_filter("_ll", lambda k, v: ~k.isin(extra))
+    took = F.map_filter("_rl", lambda k, v: k.isin(extra) & (v != ""))
+    return j.select(F.map_concat(kept, took).alias("labels"), ARITH[op](F.col("_lv"), F.col("_rv")).alias("value"))
 
 
 def duplicate_matches(one: DataFrame, on: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A rule is a function of an evaluator ``e``; later rules read earlier results by
 name. The input of a run is one instant vector per raw metric, computed once and
-shared. Results that several rules read are persisted, so no rule recomputes
+shared. Results that several rules read are written once, so no rule recomputes
 another's inputs.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import timeseries as T
 from tidewire.operators.setops import union_all
+from tidewire.session import checkpointed
 
 # Label sets.
 AP = ["wlc", "ap_name", "site_tag", "policy_tag", "rf_tag", "slot_id", "band", "client_generation"]
@@ -469,7 +470,8 @@ def run_rules(samples: DataFrame, rules: list[Rule], now: Column, lookback: floa
     """All rules of a group as ``(metric, labels, value)``.
 
     Only the metrics that the rules read are scanned. The shared instant vector
-    and results read more than once are persisted, not recomputed.
+    and results read more than once are checkpointed: they are not recomputed,
+    plans stay short, and a lost executor does not undo them.
     """
     reads = _Reads()
     for _, fn in rules:
@@ -477,12 +479,12 @@ def run_rules(samples: DataFrame, rules: list[Rule], now: Column, lookback: floa
     names = {n for n, _ in rules}
     e = Evaluator(samples, now, extrapolate)
     raw = [n for n in reads.instant if n not in names]
-    e.current = T.instant(samples.filter(F.col("metric").isin(raw)), now, lookback).persist()
+    e.current = checkpointed(T.instant(samples.filter(F.col("metric").isin(raw)), now, lookback))
     outs = []
     for name, fn in rules:
         vec = fn(e)
         if reads.instant[name] > 1:
-            vec = vec.persist()
+            vec = checkpointed(vec)
         e.recorded[name] = vec
         outs.append(vec.select(F.lit(name).alias("metric"), "labels", "value"))
     return union_all(*outs)
