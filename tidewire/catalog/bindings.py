@@ -146,6 +146,68 @@ SELECTS = {
           cast(l_quantity as bigint) as ap_tx_packets, cast(l_linenumber as bigint) as ap_rx_packets, 'ap' || cast(l_suppkey % 7 as string) as ap_name,
           case when l_returnflag = 'N' then 'wlc_cli' else 'pcap' end as evidence_source, case when l_linenumber > 5 then 'low' else 'medium' end as capture_confidence
         from {lineitem}""",
+    "x_projects": """
+        select r_regionkey as project_id, r_name as project_name, 'mixed' as project_type, 'all of ' || r_name as description, 'hq' as site,
+          cast('2024-01-01 00:00:00' as timestamp) as created_at, cast('2024-01-02 00:00:00' as timestamp) as updated_at,
+          cast(case when r_regionkey = 4 then '2024-03-01 00:00:00' else null end as timestamp) as deleted_at
+        from {region}""",
+    "x_studies": """
+        select n_nationkey as study_id, n_regionkey as project_id, n_name as study_name, 'rf' as study_type, case when n_nationkey % 2 = 0 then 'open' else 'closed' end as study_status,
+          case when n_nationkey % 3 = 0 then null else 'badge' end as study_scope, cast('2024-01-01 00:00:00' as timestamp) as created_at,
+          cast(case when n_nationkey % 12 = 5 then '2024-03-01 00:00:00' else null end as timestamp) as deleted_at
+        from {nation}""",
+    "x_runs": """
+        select case when c_custkey % 3 = 0 then 'ipad_' else 'run_' end || cast(c_custkey as string) as test_run_id, c_nationkey as study_id,
+          case when c_acctbal > 1000 then c_name else null end as run_name, case when c_acctbal > 5000 then 'executed' else null end as run_status,
+          case when c_mktsegment = 'FURNITURE' then 'n1' else null end as run_notes, case when c_mktsegment = 'MACHINERY' then 'n2' else null end as notes,
+          case when c_nationkey % 2 = 0 then 'America/Chicago' else 'Asia/Tokyo' end as timezone, cast(c_custkey % 5 * 900 + 60 as bigint) as default_match_window_seconds,
+          cast('2024-01-01 00:00:00' as timestamp) as created_at, cast(case when c_acctbal < 0 then '2024-03-01 00:00:00' else null end as timestamp) as deleted_at
+        from {customer}""",
+    "x_events": """
+        select event_id, case when user_id % 3 = 0 then 'ipad_' else 'run_' end || cast(user_id as string) as test_run_id, ts as event_time from {events} where event_type = 'click'""",
+    "x_points": """
+        select event_id as point_id, case when user_id % 3 = 0 then 'ipad_' else 'run_' end || cast(user_id as string) as test_run_id, ts as measured_at from {events} where event_type = 'view'""",
+    "x_candidates": """
+        select l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey as id, case when l_suppkey % 3 = 0 then 'ipad_' else 'run_' end || cast(l_suppkey as string) as test_run_id,
+          date_trunc('month', l_shipdate) as survey_time, case when l_linenumber > 3 then 'AA:' else 'aa:' end || cast(l_partkey % 50 as string) as bssid, l_quantity > 40 as badge_selected,
+          case when l_linenumber = 2 then null else l_discount end as badge_score, -l_quantity as badge_rssi_dbm,
+          case when l_returnflag = 'A' then 'pending' else 'complete' end as manual_entry_status
+        from {lineitem}""",
+    "x_matches": """
+        select l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey as id, l_orderkey as observation_id,
+          case when l_suppkey % 3 = 0 then 'ipad_' else 'run_' end || cast(l_suppkey as string) as test_run_id, date_trunc('year', l_shipdate) as survey_time,
+          case when l_linenumber > 3 then 'AA:' else 'aa:' end || cast(l_partkey % 5 as string) as bssid, 'ap' || cast(l_partkey % 50 as string) as ap_name,
+          cast(case when l_linenumber = 7 then null else l_linenumber * 4 + 32 end as int) as channel,
+          case when l_linenumber = 1 then '2.4GHz' when l_linenumber = 2 then null when l_linenumber = 3 then '' else '5GHz' end as band,
+          case when l_returnflag = 'A' then 'F1' when l_returnflag = 'R' then 'F2' else null end as floor,
+          case when l_discount = 0 then null else 'mac' || cast(l_suppkey % 3 as string) end as badge_mac, -floor(l_quantity / 10) * 10e0 as badge_rssi_dbm, case when l_tax > 0.04 then -40e0 else -60e0 end as survey_rssi_dbm,
+          l_quantity - l_tax * 1000 as calibrated_delta_db, abs(l_quantity - l_tax * 1000) as absolute_calibrated_delta_db,
+          case when l_quantity > 20 then 'exact_1s' else 'close_5s' end as match_quality,
+          case when l_linestatus = 'O' then 'complete' when l_tax > 0.04 then 'missing_vendor_offset' else 'pending' end as manual_entry_status, l_shipdate as created_at
+        from {lineitem}""",
+    "x_observations": """
+        select o_orderkey as id, case when o_custkey % 3 = 0 then 'ipad_' else 'run_' end || cast(o_custkey as string) as test_run_id,
+          case when o_orderstatus = 'F' then 'note' || cast(o_orderkey as string) else null end as notes, 'user' || cast(o_custkey % 5 as string) as entered_by,
+          cast(case when o_orderpriority = '1-URGENT' then null else o_orderdate end as timestamp) as created_at
+        from {orders}""",
+    "x_files": """
+        select p_partkey as input_file_id, 'badge' as study_scope, p_type as source_type, '/in/' || cast(p_partkey as string) as file_path,
+          case when p_size > 30 then p_name else null end as display_name, case when p_size > 10 then p_brand else null end as file_name, p_size < 45 as is_available, p_name as notes
+        from {part}""",
+    "x_run_files": """
+        select l_partkey as input_file_id, case when l_suppkey % 3 = 0 then 'ipad_' else 'run_' end || cast(l_suppkey as string) as test_run_id, l_shipdate as selected_at,
+          case l_linenumber when 1 then 'badge_log' when 2 then 'survey_json' when 3 then 'manual_csv' when 4 then 'client_detail' else 'other' end as source_role
+        from {lineitem}""",
+    "x_archives": """
+        select s_suppkey as archive_id, case when s_nationkey % 2 = 0 then 'badge' else 'ipad' end as study_scope,
+          case when s_nationkey % 5 = 0 then 'Checkpoint before restoring x' when s_nationkey % 5 = 1 then null else s_name end as archive_label,
+          cast('2024-01-01 00:00:00' as timestamp) as archived_at,
+          case when s_nationkey % 3 = 0 then '{{"combined_from": [1, 2, 3]}}' else '{{"tables": 4}}' end as payload
+        from {supplier}""",
+    "x_meta": """
+        select case when n_nationkey = 0 then 'badge' else 'elsewhere' || cast(n_nationkey as string) end as study_scope, n_name as study_name from {nation}""",
+    "x_manual_samples": """
+        select o_orderkey as sample_id, o_custkey % 30 as study_id, o_orderpriority as label, -(o_totalprice / 10000) as survey_rssi_dbm, o_orderdate as created_at from {orders}""",
 }
 
 
@@ -170,7 +232,7 @@ def ctes(*names: str) -> str:
             return
         for n in _needs(name):
             add(n)
-        done[name] = re.sub(r"\{(\w+)\}", r"\1", SELECTS[name])
+        done[name] = SELECTS[name].format(**{n: n for n in _needs(name)})
 
     for n in names:
         add(n)
