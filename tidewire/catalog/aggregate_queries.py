@@ -12,6 +12,7 @@ from tidewire.functions.predicates import trusted
 from tidewire.operators import aggregates as A
 from tidewire.operators import setops as U
 from tidewire.operators.blocked import Order
+from tidewire.session import checkpointed
 
 
 def rounded(df, places=6, skip=()):
@@ -248,14 +249,14 @@ m as (select window_seconds, click_id, abs(delta) as d, count(*) over (partition
 select w.window_seconds, count(m.d) as matched_points, count(m.d) filter (where d > 0.8 * m.window_seconds) as near_edge_points, count(m.d) filter (where k > 1) as ambiguous_points
 from w left join m on m.window_seconds = w.window_seconds group by 1""")
 def a26(t):
-    return A.tolerance_sweep(view_click(t), [600, 60, 3600, 1800, 1], "nearest_delta", "nearest_id")
+    return A.tolerance_sweep(checkpointed(view_click(t)), [600, 60, 3600, 1800, 1], "nearest_delta", "nearest_id")
 
 
 @query("a26_sweep_summary", NEAREST + """
 select count(*) as point_count, round(min(abs(delta)), 3) as abs_min, round(quantile_cont(abs(delta), 0.5), 2) as abs_median, round(quantile_cont(abs(delta), 0.9), 2) as abs_p90,
  round(quantile_cont(delta, 0.5), 2) as signed_median from near""")
 def a26b(t):
-    d = A.sweep_summary(view_click(t), "nearest_delta")
+    d = A.sweep_summary(checkpointed(view_click(t)), "nearest_delta")
     return d.select("point_count", F.round("abs_min", 3).alias("abs_min"), *[F.round(c, 2).alias(c) for c in ("abs_median", "abs_p90", "signed_median")])
 
 

@@ -14,6 +14,7 @@ from tidewire.operators import nearest as N
 from tidewire.operators import timeseries as T
 from tidewire.operators.aggregates import count_where
 from tidewire.operators.quantiles import with_percentiles
+from tidewire.session import checkpointed
 
 
 def r6(c, n=6):
@@ -83,7 +84,7 @@ def j05w(t):
 select user_id, count(*) as points, count(*) filter (where abs(delta) <= 3600) as within_window, count(*) filter (where abs(delta) <= 5) as close,
   round(min(abs(delta)), 2) as min_delta, round(quantile_cont(abs(delta), 0.5), 2) as p50_delta, round(quantile_cont(abs(delta), 0.9), 2) as p90_delta from near group by 1""")
 def j05a(t):
-    near = view_click(t)
+    near = checkpointed(view_click(t))
     q = match_quality(F.col("nearest_delta"), F.lit(3600.0))
     g = near.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.count(q).alias("within_window"),
                                     count_where(q.isin("exact_1s", "close_5s")).alias("close"), r6(F.min("nearest_abs_delta"), 2).alias("min_delta"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import local_date
 from tidewire.operators.blocked import join_back
+from tidewire.session import checkpointed
 
 
 def nearest_join(
@@ -121,7 +122,7 @@ def nearest_with_fallback(
     opts = dict(point_ts=point_ts, event_ts=event_ts, event_id=event_id, tz=tz, window=window, how="left")
     usable = events.filter(F.col(value).isNotNull())
     first = nearest_join(points, usable, [*by, same], event_cols={"_same_value": value}, prefix="_same_", **opts)
-    both = nearest_join(first, usable, by, event_cols={"_any_value": value}, prefix="_any_", **opts)
+    both = nearest_join(checkpointed(first), usable, by, event_cols={"_any_value": value}, prefix="_any_", **opts)
     own_col = F.col(own) if own else F.lit(None).cast("double")
     source = (
         F.when(own_col.isNotNull(), "own")

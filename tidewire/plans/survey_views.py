@@ -12,6 +12,7 @@ from tidewire.operators.joins import rollup_left, zero_fill
 from tidewire.operators.nearest import nearest_join
 from tidewire.operators.quantiles import with_percentiles
 from tidewire.operators.windows import annotate_outliers, duplicates, top1
+from tidewire.session import checkpointed
 
 c = F.col
 N = F.count(F.lit(1))
@@ -213,7 +214,8 @@ def run_alignment(runs: DataFrame, events: DataFrame, points: DataFrame) -> Data
 
     a = ev.withColumn("_d", local_date(c("event_time"), c("timezone"))).select("test_run_id", "_d", "event_time", c("event_id").alias("_eid"))
     b = pt.withColumn("_d", local_date(c("measured_at"), c("timezone"))).select("test_run_id", "_d", "measured_at", "default_match_window_seconds")
-    near = nearest_join(b, a, ["test_run_id", "_d"], point_ts="measured_at", event_ts="event_time", event_id="_eid", tz=None)
+    # read by the counts and by both passes of the percentiles, so it is written once
+    near = checkpointed(nearest_join(b, a, ["test_run_id", "_d"], point_ts="measured_at", event_ts="event_time", event_id="_eid", tz=None))
     v = "nearest_abs_delta"
     g = near.groupBy("test_run_id").agg(N.alias("same_date_survey_point_count"), count_where(c(v) <= c("default_match_window_seconds")).alias("matched_survey_point_count"),
                                         F.min(v).alias("nearest_delta_min_seconds"))
