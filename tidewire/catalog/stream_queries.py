@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.catalog.filter_queries import NOW, now
 from tidewire.catalog.registry import query
-from tidewire.plans.maintenance import Store
+from tidewire.plans.maintenance import BatchLog, Store
 from tidewire.session import checkpoint_dir
 from tidewire.streaming import jobs as X
 from tidewire.tables import SCHEMAS
@@ -32,10 +32,10 @@ def finish(q):
 
 @query("x01_ingest_new", "select event_id, value from events")
 def x01(t):
-    store = Store(t.spark, place(t, "x01"))
-    for attempt in range(2):  # the second run replays everything and must add nothing
-        finish(X.ingest_new(stream(t), place(t, f"x01-ckpt-{attempt}"), store, ["event_id"]))
-    return store.read().select("event_id", "value")
+    log = BatchLog(t.spark, place(t, "x01"))
+    for run in range(2):  # the second run reads everything again and must add nothing
+        finish(X.ingest_new(stream(t), place(t, f"x01-ckpt-{run}"), log, ["event_id"], run))
+    return log.read().select("event_id", "value")
 
 
 @query("x01_pending_inputs", """
@@ -61,7 +61,7 @@ def x02(t):
 
 @query("x02_stability_stream", STABLE.replace("select event_id, case", "select path, ts, case"))
 def x02s(t):
-    state, sink = Store(t.spark, place(t, "x02")), Store(t.spark, place(t, "x02"))
+    state, sink = Store(t.spark, place(t, "x02")), BatchLog(t.spark, place(t, "x02"))
     s = stream(t).select(c("user_id").alias("path"), "ts", c("event_type").alias("sig"))
     finish(X.stream_stability(s, place(t, "x02-ckpt"), state, sink, "path", "ts", ["sig"], 20000.0))
     return sink.read().select("path", "ts", "decision")
@@ -90,7 +90,7 @@ r as (select *, case when value < p then value else d end as x from i where p is
 , w as (select user_id, x, unnest([0, 1, 2, 3]) as k, date_trunc('day', ts) + interval 6 hour * (hour(ts) // 6) as base from r)
 select user_id, base - interval 6 hour * k as window_start, round(sum(x) / 86400, 9) as rate from w group by 1, 2""")
 def x05(t):
-    state, sink = Store(t.spark, place(t, "x05")), Store(t.spark, place(t, "x05"))
+    state, sink = Store(t.spark, place(t, "x05")), BatchLog(t.spark, place(t, "x05"))
     finish(X.stream_rate_increments(stream(t), place(t, "x05-ckpt"), state, sink, ["user_id"], "ts", "value", "event_id"))
     d = X.window_rate(sink.read(), ["user_id"], "ts", "1 day", "6 hours")
     return d.select("user_id", "window_start", F.round("rate", 9).alias("rate"))
@@ -123,7 +123,7 @@ def x08(t):
 
 @query("x09_stream_relabel", "select event_id, event_type as metric from events where event_type in ('view', 'click')")
 def x09(t):
-    sink = Store(t.spark, place(t, "x09"))
+    sink = BatchLog(t.spark, place(t, "x09"))
     s = X.stream_relabel(stream(t).select("event_id", c("event_type").alias("metric")), "vi.*|cl.*")
     finish(X.ingest_new(s, place(t, "x09-ckpt"), sink, ["event_id"]))
     return sink.read().select("event_id", "metric")
@@ -147,7 +147,7 @@ with s as (select event_id, user_id, ts, case when event_type <> 'error' then va
 p as (select *, last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as pv from s)
 select event_id, case when pv is null or v is null then 0.0 else round(greatest(v - pv, 0), 6) end::double as delta from p""")
 def x11(t):
-    state, sink = Store(t.spark, place(t, "x11")), Store(t.spark, place(t, "x11"))
+    state, sink = Store(t.spark, place(t, "x11")), BatchLog(t.spark, place(t, "x11"))
     s = stream(t).select("event_id", "user_id", "ts", F.when(c("event_type") != "error", c("value")).alias("v"))
     finish(X.stream_counter_delta(s, place(t, "x11-ckpt"), state, sink, ["user_id"], "ts", "v", "event_id"))
     return sink.read().select("event_id", F.round("delta", 6).alias("delta"))

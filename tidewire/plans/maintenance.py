@@ -46,19 +46,37 @@ class Store:
                 done.append(int(name[1:]))
         return sorted(done)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        known = self.versions()
-        if not known:
-            return None
-        return self.spark.read.parquet(f"{self.root}/v{(version or known[-1]):08d}")
-
-    def write(self, df: DataFrame, partition_by: list[str] = ()) -> int:
-        version = (self.versions() or [0])[-1] + 1
+    def read(self, at_most: int | None = None) -> DataFrame | None:
+        """The newest version, or the newest one not above a number; None when there is none."""
+        known = [v for v in self.versions() if at_most is None or v <= at_most]
+        return self.spark.read.parquet(f"{self.root}/v{known[-1]:08d}") if known else None
+
+    def write(self, df: DataFrame, partition_by: list[str] = (), version: int | None = None) -> int:
+        """Write the next version, or a given one; a given one may be written again with the same result."""
+        version = (self.versions() or [0])[-1] + 1 if version is None else version
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/v{version:08d}")
         return version
 
 
+class BatchLog:
+    """Rows of micro-batches, one folder per batch. A replayed batch replaces its own folder and nothing else."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch_id={batch_id}")
+
+    def read(self, except_batch: int | None = None) -> DataFrame | None:
+        if not self._fs.exists(self._path) or len(list(self._fs.listStatus(self._path))) == 0:
+            return None
+        rows = self.spark.read.option("basePath", self.root).parquet(self.root)
+        return rows if except_batch is None else rows.filter(c("batch_id") != except_batch)
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Updates replace rows of the same key; among updates of one key the greatest ``order`` wins."""
     from tidewire.operators.windows import latest_by

@@ -4,6 +4,8 @@ Batch forms are plain functions of frames. Stream forms use Structured Streaming
 windows with watermarks where the state is a window, ``foreachBatch`` over a
 versioned state table where the state is one row per key. In the latter the work
 of a micro-batch is the batch function, so a busy key is spread like any other.
+Batch N reads the state that batch N-1 left and writes its own numbered state and
+output, so a replayed batch gives the same result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from tidewire.functions.predicates import is_future, relabel_keep
 from tidewire.operators.aggregates import count_where
 from tidewire.operators.blocked import Order, scan
 from tidewire.operators.windows import latest_by
-from tidewire.plans.maintenance import Store, upsert
+from tidewire.plans.maintenance import BatchLog, Store, upsert
 from tidewire.session import checkpointed
 
 c = F.col
@@ -38,12 +40,14 @@ def pending_inputs(inventory: DataFrame, ledger: DataFrame, config_hash: str, ve
     return keyed.join(ledger.select(*key).distinct(), key, "left_anti")
 
 
-def ingest_new(stream: DataFrame, checkpoint: str, store: Store, keys: list[str]) -> StreamingQuery:
-    """Append new input once: rows already stored under the same keys are dropped, also when a batch is replayed."""
-    def each(batch: DataFrame, _batch_id: int) -> None:
-        old = store.read()
-        fresh = idempotent_append(batch, old, keys)
-        store.write(fresh if old is None else old.unionByName(fresh))
+def ingest_new(stream: DataFrame, checkpoint: str, log: BatchLog, keys: list[str], run: int = 0) -> StreamingQuery:
+    """Append new input once: rows already stored under the same keys are dropped, also when a batch is replayed.
+
+    ``run`` numbers restarts with a fresh checkpoint, whose batches count from zero again.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        number = run * 1_000_000 + batch_id
+        log.write(idempotent_append(batch, log.read(except_batch=number), keys), number)
     return run_available(stream, checkpoint, each)
 
 
@@ -71,29 +75,21 @@ def stability_decisions(observations: DataFrame, path: str, ts: str, signature:
     return d.withColumn("decision", decision).drop("_sig", "_before", "_n", "_same", "_since0", "_since")
 
 
-def stream_stability(stream: DataFrame, checkpoint: str, state: Store, sink: Store, path: str, ts: str, signature: list[str], min_gap: float) -> StreamingQuery:
+def stream_stability(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, path: str, ts: str, signature: list[str], min_gap: float) -> StreamingQuery:
     """Decisions over a stream of looks. State per upload: the first and the latest look at its present signature."""
     cols = [path, ts, *signature]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         new = batch.select(*cols).withColumn("_new", F.lit(True))
-        old = state.read()
+        old = state.read(at_most=batch_id)
         rows = new if old is None else old.select(*cols).withColumn("_new", F.lit(False)).unionByName(new)
         judged = checkpointed(stability_decisions(rows, path, ts, signature, min_gap))
-        sink.write(_appended(sink, judged.filter("_new").drop("_new"), batch_id))
+        sink.write(judged.filter("_new").drop("_new"), batch_id)
         start = judged.filter(c("decision").isin("wait_new", "wait_changed"))
-        first = latest_by(start, [path], ts)
-        state.write(first.select(*cols))
+        state.write(latest_by(start, [path], ts).select(*cols), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
 
 
-def _appended(sink: Store, rows: DataFrame, batch_id: int) -> DataFrame:
-    """Sink contents with one batch's rows replaced, so a replayed batch does not double them."""
-    tagged = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    old = sink.read()
-    return tagged if old is None else old.filter(c("batch_id") != batch_id).unionByName(tagged)
-
-
 def split_late(df: DataFrame, ts: str, now: Column, skew: float, ttl: float) -> DataFrame:
     """Tag rows: 'future' beyond the skew, 'stale' beyond the time to live, else 'ok'."""
     age = (F.unix_micros(now) - F.unix_micros(ts)) / F.lit(1e6)
@@ -130,16 +126,15 @@ def window_rate(increments: DataFrame, keys: list[str], ts: str, window: str = "
     return g.select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, (c("_s") / seconds).alias("rate"))
 
 
-def _with_last(batch: DataFrame, state: Store, keys: list[str], cols: list[str]) -> DataFrame:
+def _with_last(batch: DataFrame, old: DataFrame | None, keys: list[str], cols: list[str]) -> DataFrame:
     """A batch preceded by the last stored sample of each of its keys."""
     new = batch.select(*cols).withColumn("_new", F.lit(True))
-    old = state.read()
     if old is None:
         return new
     return old.select(*cols).join(batch.select(*keys).distinct(), keys, "left_semi").withColumn("_new", F.lit(False)).unionByName(new)
 
 
-def stream_counter(stream: DataFrame, checkpoint: str, state: Store, sink: Store, keys: list[str], ts: str, value: str, tie: str,
+def stream_counter(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str,
                    step: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Carry counters over micro-batches: ``step`` sees each batch after the last sample of its keys.
 
@@ -148,20 +143,20 @@ def stream_counter(stream: DataFrame, checkpoint: str, state: Store, sink: Store
     cols = [*keys, ts, tie, value]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = checkpointed(_with_last(batch, state, keys, cols))
-        sink.write(_appended(sink, step(rows).filter("_new").drop("_new"), batch_id))
+        old = state.read(at_most=batch_id)
+        rows = checkpointed(_with_last(batch, old, keys, cols))
+        sink.write(step(rows).filter("_new").drop("_new"), batch_id)
         last = latest_by(rows.filter(c(value).isNotNull()).select(*cols), keys, ts, tie)
-        old = state.read()
-        state.write(last if old is None else upsert(old, last, keys))
+        state.write(last if old is None else upsert(old, last, keys), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
 
 
-def stream_rate_increments(stream: DataFrame, checkpoint: str, state: Store, sink: Store, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
+def stream_rate_increments(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
     """Counter increments of a stream, to be summed by ``window_rate``."""
     return stream_counter(stream, checkpoint, state, sink, keys, ts, value, tie, lambda rows: counter_increments(rows, keys, ts, value, tie))
 
 
-def stream_counter_delta(stream: DataFrame, checkpoint: str, state: Store, sink: Store, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
+def stream_counter_delta(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
     """Increase over the last known value, never below zero, over micro-batches."""
     from tidewire.operators.windows import counter_delta
     order = Order(ts, 3600.0, (tie,))
@@ -170,10 +165,10 @@ def stream_counter_delta(stream: DataFrame, checkpoint: str, state: Store, sink:
 
 def stream_latest(stream: DataFrame, checkpoint: str, state: Store, keys: list[str], ts: str, tie: str) -> StreamingQuery:
     """Keep the newest row per key."""
-    def each(batch: DataFrame, _batch_id: int) -> None:
-        old = state.read()
+    def each(batch: DataFrame, batch_id: int) -> None:
+        old = state.read(at_most=batch_id)
         rows = batch if old is None else old.unionByName(batch.select(*old.columns))
-        state.write(latest_by(rows, keys, ts, tie))
+        state.write(latest_by(rows, keys, ts, tie), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
 
 
