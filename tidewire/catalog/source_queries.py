@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewire.catalog.aggregate_queries import rounded
@@ -9,7 +11,7 @@ from tidewire.catalog.bindings import ctes, frame
 from tidewire.catalog.registry import query
 from tidewire.operators.aggregates import neighbor_stats
 from tidewire.operators.blocked import Order, scan
-from tidewire.session import checkpointed
+from tidewire.session import checkpoint_dir, checkpointed
 from tidewire.sources import exposition as X
 from tidewire.sources import files as S
 from tidewire.sources import textjobs as T
@@ -366,3 +368,50 @@ def s19b(t):
 @query("s21_file_inventory")
 def s21(t):
     return S.file_inventory(t.spark, t.path, [(r"^(orders|lineitem)", "facts"), (r"\.parquet$", "table")]).select("file_name", "size_bytes", "file_type")
+
+
+# --- files written and read back -------------------------------------------
+
+def place(t, name):
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s05_template_csv", """
+select event_id::varchar as survey_point_id, ts as survey_time, value as badge_rssi_dbm, user_id % 2 = 0 as badge_selected, case when event_type = 'view' then 'a, "b"' end as notes from events""")
+def s05(t):
+    out = place(t, "s05")
+    S.write_template_csv(t.events.select(c("event_id").cast("string").alias("survey_point_id"), c("ts").alias("survey_time"), c("value").alias("badge_rssi_dbm"), (c("user_id") % 2 == 0).alias("badge_selected"),
+                                         F.when(c("event_type") == "view", 'a, "b"').alias("notes")), out)
+    return S.read_template_csv(t.spark, out).select("survey_point_id", "survey_time", "badge_rssi_dbm", "badge_selected", "notes")
+
+
+@query("s06_read_log_lines", """
+select lang, count(*) as n, sum(length(text))::bigint as chars from documents where not contains(text, chr(10)) and not contains(text, chr(13)) and trim(text) <> '' group by 1""")
+def s06(t):
+    out = place(t, "s06")
+    one_line = ~c("text").contains("\n") & ~c("text").contains("\r") & (F.trim("text") != "")
+    t.documents.filter(one_line).select("lang", "text").repartition("lang").write.partitionBy("lang").text(out)
+    d = S.read_log_lines(t.spark, out)
+    g = d.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "path").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("top"), F.sum(F.length("value")).alias("chars"))
+    # the last line number of a file is its line count
+    return g.groupBy("lang").agg(F.sum(F.when(c("n") == c("top"), c("n")).otherwise(-1)).alias("n"), F.sum("chars").alias("chars"))
+
+
+@query("s17_write_exposition", "select event_type as metric, count(distinct user_id) + 2 as n_lines, true as sorted from events group by 1")
+def s17w(t):
+    out = place(t, "s17")
+    g = t.events.groupBy("event_type", "user_id").agg(F.sum("value").alias("value"))
+    s = g.select(c("event_type").alias("metric"), F.create_map(F.lit("user"), c("user_id").cast("string")).alias("labels"), "value")
+    helps = t.events.select(c("event_type").alias("metric")).distinct().withColumns({"help": F.lit("h"), "type": F.lit("gauge")})
+    X.write_exposition(s, out, helps)
+    d = S.read_log_lines(t.spark, out).withColumn("metric", F.regexp_extract("path", "metric=([^/]+)/", 1))
+    first = F.min_by(c("value").startswith("# HELP"), F.struct("path", "line_no"))
+    return d.groupBy("metric").agg(F.count(F.lit(1)).alias("n_lines"), first.alias("sorted"))
+
+
+@query("s20_tables", "select l_returnflag, l_linestatus, count(*) as n, max(l_shipdate) as last_time from lineitem group by 1, 2")
+def s20(t):
+    out = place(t, "s20")
+    S.write_table(t.lineitem.select("l_orderkey", "l_shipdate", "l_linestatus", "l_returnflag"), out, ["l_returnflag"], ["l_shipdate"])
+    d = S.read_table(t.spark, out, "l_orderkey BIGINT, l_shipdate TIMESTAMP, l_linestatus STRING, l_returnflag STRING")
+    return d.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.max("l_shipdate").alias("last_time"))

@@ -330,3 +330,8 @@ select study_id, receiver_ap, receiver_channel, receiver_band, count(*) as attem
 from attempts a join snapshots s on s.attempt_id = a.attempt_id where phase = 'during' group by 1, 2, 3, 4""")
 def v28(t):
     return V.attempt_ap_distribution(frame(t, "attempts"), frame(t, "snapshots"))
+
+
+@query("a35_group_explorer", ctes("observations") + "select group_ip, group_mac, count(*) as observation_count, bool_or(receiver_member) as receiver_membership_seen from observations where group_ip is not null group by 1, 2")
+def a35(t):
+    return V.group_explorer(frame(t, "observations")).select("group_ip", "group_mac", "observation_count", "receiver_membership_seen")

@@ -9,7 +9,7 @@ from tidewire.functions.scalars import json_has, json_length, local_date, local_
 from tidewire.operators.aggregates import count_where, ordered_lines, scope_panel, sum_where
 from tidewire.operators.blocked import Order
 from tidewire.operators.joins import rollup_left, zero_fill
-from tidewire.operators.nearest import nearest_join
+from tidewire.operators.nearest import min_gap, nearest_join
 from tidewire.operators.quantiles import with_percentiles
 from tidewire.operators.windows import annotate_outliers, duplicates, top1
 from tidewire.session import checkpointed
@@ -229,5 +229,28 @@ def run_alignment(runs: DataFrame, events: DataFrame, points: DataFrame) -> Data
     return d.withColumn("alignment_status", status)
 
 
+def alignment_summary(points: DataFrame, events: DataFrame, by: list[str], point_ts: str, event_ts: str, event_id: str, window: float, tz: str) -> DataFrame:
+    """Diagnostics of a run's time alignment: ranges, shared local dates, matches, floor-index percentiles of the
+    nearest same-date deltas, the least delta over all dates, and why nothing matched."""
+    def side(df: DataFrame, ts: str, p: str) -> DataFrame:
+        return df.groupBy(*by).agg(N.alias(f"{p}_count"), F.min(ts).alias(f"{p}_first"), F.max(ts).alias(f"{p}_last"))
+
+    near = checkpointed(nearest_join(points, events, by, point_ts=point_ts, event_ts=event_ts, event_id=event_id, tz=tz))
+    d = "nearest_abs_delta"
+    matched = near.groupBy(*by).agg(count_where(c(d) <= window).alias("matched_points"), F.min(d).alias("delta_min"), N.alias("comparable_points"))
+    matched = with_percentiles(matched, near, by, {"delta_p50": (d, 0.5, "floor"), "delta_p90": (d, 0.9, "floor")})
+    days = lambda df, ts: df.select(*by, local_date(c(ts), tz).alias("_day")).distinct()
+    shared = days(points, point_ts).join(days(events, event_ts), [*by, "_day"]).groupBy(*by).agg(N.alias("shared_dates"))
+    any_date = min_gap(points, events, by, left_ts=point_ts, right_ts=event_ts, right_id=event_id).withColumnRenamed("min_gap_seconds", "delta_any_date")
+    keys = points.select(*by).unionByName(events.select(*by)).distinct()
+    out = keys
+    for part in (side(points, point_ts, "point"), side(events, event_ts, "event"), matched, shared, any_date):
+        out = out.join(part, by, "left")
+    out = zero_fill(out, ["point_count", "event_count", "matched_points", "comparable_points", "shared_dates"])
+    reason = F.when(c("matched_points") == 0, F.when(c("event_count") == 0, "no_scan_events").when(c("point_count") == 0, "no_survey_points")
+                    .when(c("shared_dates") == 0, "no_same_date_overlap").when(c("comparable_points") > 0, "outside_match_window").otherwise("no_comparable_points"))
+    return out.withColumn("unmatched_reason", reason)
+
+
 def manual_samples(samples: DataFrame, studies_df: DataFrame) -> DataFrame:
     return samples.join(studies_df.select("study_id", "study_name", "project_id"), "study_id", "left")
