@@ -32,7 +32,7 @@ def read_exposition(lines: DataFrame, value: str = "value") -> DataFrame:
     number = F.regexp_extract(value, SAMPLE, 3)
     d = lines.filter(c(value).rlike(SAMPLE) & ~c(value).startswith("#"))
     parsed = F.when(F.lower(number).isin("+inf", "inf"), F.lit(float("inf"))).when(F.lower(number) == "-inf", F.lit(float("-inf"))).otherwise(number.try_cast("double"))
-    return d.select(F.regexp_extract(value, SAMPLE, 1).alias("metric"), F.map_from_arrays(names, F.transform(values, unescape)).alias("labels"), parsed.alias("value"))
+    return d.select(F.regexp_extract(value, SAMPLE, 1).alias("metric"), F.map_from_arrays(names, F.transform(values, unescape)).alias("labels"), parsed.alias("value")).filter(c("value").isNotNull())
 
 
 def label_text(labels: Column) -> Column:
