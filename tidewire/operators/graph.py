@@ -54,6 +54,8 @@ def build_nodes(nodes: DataFrame, links: DataFrame, devices: DataFrame, sites: D
 def build_edges(links: DataFrame, nodes: DataFrame, order: Order) -> DataFrame:
     """Edges between named ends, with site, environment, speed, label and a unique id."""
     blank = nullif_trim
+    # both ends look nodes up, so the few columns they need are written once
+    nodes = checkpointed(nodes.select("id", "site_id", "environment"))
     l = links.filter(blank(c("source")).isNotNull() & blank(c("target")).isNotNull())
     port = lambda x: F.coalesce(blank(c(x)), F.lit(""))
     made = F.trim(F.regexp_replace(F.concat_ws("|", "source", "target", port("start_port"), port("end_port")), r"^\|+|\|+$", ""))
@@ -97,7 +99,7 @@ def topology_filter(nodes: DataFrame, edges: DataFrame, site: str = "__all", env
 
 def visible_subgraph(nodes: DataFrame, edges: DataFrame, **spec: str) -> tuple[DataFrame, DataFrame]:
     """Nodes at either end of a filtered edge, and the filtered edges between them."""
-    kept = topology_filter(nodes, edges, **spec)
+    nodes, kept = checkpointed(nodes), checkpointed(topology_filter(nodes, edges, **spec))
     ends = kept.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     vis = nodes.join(ends, "id", "left_semi")
     ids = vis.select("id")
