@@ -143,8 +143,8 @@ def m08(t):
 RECON = """
 with cd as (select o_orderkey as id, 'r' || (o_custkey % 9) as test_run_id, 'aa' || (o_custkey % 40) as bssid, date_trunc('month', o_orderdate) as survey_time, o_orderkey % 3 = 0 as sel, case when o_orderkey % 5 > 0 then (o_orderkey % 50)::double end as score, -(o_orderkey % 70)::double as rssi,
   o_orderkey % 11 as ev, (o_orderkey % 2)::int as ix, case when o_orderstatus = 'F' then 'complete' else 'pending' end as st from orders),
-mt as (select o_orderkey as mid, 'r' || (o_custkey % 9) as test_run_id, 'AA' || (o_custkey % 40) as bssid, date_trunc('month', o_orderdate) as survey_time, o_orderkey % 11 as ev, (o_orderkey % 2)::int as ix, case when o_orderkey % 4 = 0 then o_orderkey end as cid, 'complete' as st from orders where o_orderpriority = '1-URGENT' and o_custkey % 40 < 12),
-ob as (select 'aa' || (l_suppkey % 40) as bssid, date_trunc('month', l_shipdate) as survey_time from lineitem where l_linenumber = 7 and l_suppkey % 40 between 8 and 20),
+mt as (select o_orderkey as mid, 'r' || (o_custkey % 9) as test_run_id, 'AA' || (o_custkey % 40) as bssid, date_trunc('month', o_orderdate) as survey_time, o_orderkey % 11 as ev, (o_orderkey % 2)::int as ix, case when o_orderkey % 4 = 0 then o_orderkey end as cid, 'complete' as st from orders where o_orderpriority = '1-URGENT'),
+ob as (select 'aa' || (l_suppkey % 40) as bssid, date_trunc('month', l_shipdate) as survey_time from lineitem where l_linenumber = 7),
 att as (select mt.*, (select min(id) from cd where cd.test_run_id = mt.test_run_id and cd.bssid = lower(mt.bssid) and cd.survey_time = mt.survey_time and cd.ev = mt.ev and cd.ix = mt.ix) as found from mt),
 dn as (select distinct lower(bssid) as b, survey_time as t from mt),
 bs as (select * from (select *, row_number() over (partition by bssid, survey_time order by sel desc, score desc nulls last, rssi desc, id) as rn from cd) where rn = 1),
@@ -167,11 +167,11 @@ def m09(t):
     k, u = c("o_orderkey"), c("o_custkey")
     month = F.date_trunc("month", "o_orderdate").alias("survey_time")
     cand = entry_tables(t)[0].withColumns({"bssid": F.lower("bssid"), "survey_time": F.date_trunc("month", "survey_time")})
-    matches = t.orders.filter((c("o_orderpriority") == "1-URGENT") & (u % 40 < 12)).select(
+    matches = t.orders.filter(c("o_orderpriority") == "1-URGENT").select(
         F.when(k % 4 == 0, k).alias("candidate_match_id"), F.concat(F.lit("r"), (u % 9).cast("string")).alias("test_run_id"), F.concat(F.lit("AA"), (u % 40).cast("string")).alias("bssid"), month, (k % 11).alias("badge_event_id"),
         (k % 2).cast("int").alias("badge_candidate_index"), F.lit("5GHz").alias("band"), F.lit(-1.0).alias("badge_rssi_dbm"), F.lit(-1.0).alias("survey_rssi_dbm"), F.lit(-8.0).alias("vendor_offset_db"), F.lit(0.0).alias("calibrated_delta_db"), F.lit("complete").alias("manual_entry_status"))
     s = c("l_suppkey") % 40
-    obs = t.lineitem.filter((c("l_linenumber") == 7) & s.between(8, 20)).select(
+    obs = t.lineitem.filter(c("l_linenumber") == 7).select(
         (c("l_orderkey") * 100000 + c("l_partkey")).alias("id"), F.lit("r1").alias("test_run_id"), F.concat(F.lit("aa"), s.cast("string")).alias("bssid"), F.date_trunc("month", "l_shipdate").alias("survey_time"), (-c("l_quantity")).alias("rssi_dbm"), c("l_shipdate").alias("created_at"))
     return M.reconcile(cand, matches, obs)[2]
 
@@ -189,15 +189,15 @@ def m10(t):
 
 
 @query("m11_audit", """
-with a as (select l_orderkey, l_linenumber, count(*) as n, avg(l_quantity) as q from lineitem group by 1, 2), s as (select l_orderkey, l_linenumber, case when l_partkey % 1000 = 7 then l_quantity + 1 else l_quantity end as l_quantity from lineitem where l_partkey % 1000 <> 3),
+with a as (select l_orderkey, l_linenumber, count(*) as n, avg(l_quantity) as q from lineitem group by 1, 2), s as (select l_orderkey, l_linenumber, case when l_quantity = 7 then l_quantity + 1 else l_quantity end as l_quantity from lineitem where l_quantity <> 3 or l_tax <> 0.03),
 b as (select l_orderkey, l_linenumber, count(*) as n, avg(l_quantity) as q from s group by 1, 2)
 select 'key_count' as finding, sum(abs(a.n - coalesce(b.n, 0)))::bigint as n from a left join b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber
 union all select 'value:l_quantity', count(*) from a join b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber where abs(a.q - b.q) > 1e-6
 union all select 'invariant:at_most_50', count(*) from s where l_quantity > 50 having count(*) > 0""")
 def m11(t):
     raw = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
-    p = c("l_partkey") % 1000
-    stored = t.lineitem.filter(p != 3).select("l_orderkey", "l_linenumber", F.when(p == 7, c("l_quantity") + 1).otherwise(c("l_quantity")).alias("l_quantity"))
+    q = c("l_quantity")
+    stored = t.lineitem.filter((q != 3) | (c("l_tax") != 0.03)).select("l_orderkey", "l_linenumber", F.when(q == 7, q + 1).otherwise(c("l_quantity")).alias("l_quantity"))
     return M.audit(raw, stored, ["l_orderkey", "l_linenumber"], ["l_quantity"], invariants={"at_most_50": lambda d: c("l_quantity") <= 50})
 
 

@@ -281,11 +281,11 @@ def s03(t):
 
 
 @query("s04_manual_observations", """
-select c_custkey::varchar as survey_point_id, lpad(lower(to_hex(c_custkey)), 2, '0') as tail, timestamp '2024-01-01 10:00:00' as survey_time, case when c_custkey % 3 = 0 then 'X' when c_custkey % 3 = 1 then '5GHz' else '2.4GHz' end as band, -(c_nationkey)::double as rssi_dbm
-from customer where c_custkey % 5 > 0 and c_custkey < 256""")
+select c_custkey::varchar as survey_point_id, lpad(lower(to_hex(c_custkey % 256)), 2, '0') as tail, timestamp '2024-01-01 10:00:00' as survey_time, case when c_custkey % 3 = 0 then 'X' when c_custkey % 3 = 1 then '5GHz' else '2.4GHz' end as band, -(c_nationkey)::double as rssi_dbm
+from customer where c_custkey % 5 > 0""")
 def s04(t):
     k = c("c_custkey")
-    mac = F.when(k < 256, F.concat(F.lit("AA-BB-CC-00-00-"), F.lpad(F.hex(k), 2, "0")))
+    mac = F.concat(F.lit("AA-BB-CC-00-00-"), F.lpad(F.hex(k % 256), 2, "0"))
     rows = t.customer.select(F.lit("r").alias("test_run_id"), k.cast("string").alias("survey_point_id"), F.lit("2024-01-01 04:00:00").alias("survey_time"), mac.alias("bssid"),
                              F.when(k % 3 == 1, "36").otherwise("6").alias("channel"), F.when(k % 3 == 0, "X").otherwise(" ").alias("band"), F.when(k % 5 > 0, F.concat(F.lit("-"), c("c_nationkey").cast("string"))).otherwise("").alias("survey_rssi_dbm"))
     d = S.manual_observations(rows, "America/Chicago")
