@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import packing, shards
+from tidewire.llm import packing, shards, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,13 @@ def tokenizer_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@query
+def op1_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    """A toxicity score of every document."""
+    t = Tables(spark, path)
+    return toxicity.toxicity(t.documents, t.labels)
+
+
 @query
 def op7_shard_bytes(spark: SparkSession, path: str) -> DataFrame:
     """40 contiguous shards of near equal bytes."""
