@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import packing, shards, toxicity
+from tidewire.llm import fingerprints, packing, shards, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op1_toxicity(spark: SparkSession, path: str) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels)
 
 
+@query
+def op4_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(Tables(spark, path).documents)
+
+
 @query
 def op7_shard_bytes(spark: SparkSession, path: str) -> DataFrame:
     """40 contiguous shards of near equal bytes."""
