@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprints, packing, shards, toxicity
+from tidewire.llm import fingerprints, neardup, packing, shards, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,9 @@ def op7_shard_bytes(spark: SparkSession, path: str) -> DataFrame:
 def op8_packing(spark: SparkSession, path: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
     return packing.pack_documents(Tables(spark, path).documents, tokenizer_ranks())
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
+    """Components of documents whose shingle sets agree by 85 percent or more."""
+    return neardup.near_duplicates(Tables(spark, path).documents)
