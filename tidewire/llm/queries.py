@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprints, neardup, packing, shards, toxicity
+from tidewire.llm import fingerprints, neardup, packing, shards, substrings, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op8_packing(spark: SparkSession, path: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
     """Components of documents whose shingle sets agree by 85 percent or more."""
     return neardup.near_duplicates(Tables(spark, path).documents)
+
+
+@query
+def op6_repeats(spark: SparkSession, path: str) -> DataFrame:
+    """Documents without the 13-word windows that a document with a smaller id has."""
+    return substrings.remove_repeats(Tables(spark, path).documents)
