@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprints, neardup, packing, shards, substrings, toxicity
+from tidewire.llm import fingerprints, neardup, packing, quality, shards, substrings, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op10_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
 def op6_repeats(spark: SparkSession, path: str) -> DataFrame:
     """Documents without the 13-word windows that a document with a smaller id has."""
     return substrings.remove_repeats(Tables(spark, path).documents)
+
+
+@query
+def op9_quality(spark: SparkSession, path: str) -> DataFrame:
+    """A quality score of every document."""
+    t = Tables(spark, path)
+    return quality.quality(t.documents, t.labels)
