@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import fingerprints, neardup, packing, quality, shards, substrings, toxicity
+from tidewire.llm import decontaminate, fingerprints, neardup, packing, quality, shards, substrings, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,32 @@ def op9_quality(spark: SparkSession, path: str) -> DataFrame:
     """A quality score of every document."""
     t = Tables(spark, path)
     return quality.quality(t.documents, t.labels)
+
+
+@query
+def op2_contamination(spark: SparkSession, path: str) -> DataFrame:
+    """Words of every document inside 10-word windows of benchmark items."""
+    t = Tables(spark, path)
+    return decontaminate.contamination(t.documents, t.benchmark).drop("items")
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+SQL["op2_contamination"] = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+bw as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+lengths as (select distinct n from bw),
+dw as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lengths where len(w) >= n)),
+hit as (select doc_id, i, n, item_id from dw join bw using (n, win)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)"""
