@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, fingerprints, neardup, packing, quality, shards, substrings, toxicity
+from tidewire.llm import decontaminate, fingerprints, neardup, packing, quality, secrets, shards, substrings, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ items as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (doc_id) left join items using (doc_id)"""
+
+
+@query
+def op3_secrets(spark: SparkSession, path: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.secret_report(Tables(spark, path).documents)
