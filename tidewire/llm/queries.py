@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, fingerprints, neardup, packing, quality, secrets, shards, substrings, toxicity
+from tidewire.llm import decontaminate, fingerprints, lm, neardup, packing, quality, secrets, shards, substrings, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ from d left join covered using (doc_id) left join items using (doc_id)"""
 def op3_secrets(spark: SparkSession, path: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.secret_report(Tables(spark, path).documents)
+
+
+@query
+def op5_language_model(spark: SparkSession, path: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return lm.score_documents(Tables(spark, path).documents)
