@@ -91,19 +91,29 @@ aggregate(array_sort(transform(hits, h -> struct(h.start as s, h.start + h.n as
   (a, x) -> named_struct('n', a.n + greatest(0, x.e - greatest(x.s, a.to)), 'to', greatest(a.to, x.e)), a -> a.n)"""
 
 
+def with_hits(docs: DataFrame, items: DataFrame, match: Match = Match()) -> DataFrame:
+    """``docs`` with a column ``__hits``: a struct of n_words, n_hit and items (sorted).
+
+    Candidates from the index are checked word by word against the document. Null and empty texts have no words; no items, no hits. Rows
+    with equal (or null) doc_id are looked up together, each text is checked for itself.
+    """
+    keyed = docs.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__doc"))
+    windows = store(item_windows(items, match), "decontaminate-windows")
+    found = candidates(keyed.select(F.col("__doc").alias("doc"), "text"), windows, match)
+    found = found.select(F.col("doc").alias("__doc"), F.col("found").alias("__found"))
+    rows = keyed.join(found, "__doc", "left").withColumn("__w", words_of(F.col("text")))
+    rows = rows.withColumn("__hit", F.expr("filter(coalesce(__found, array()), c -> slice(__w, c.start + 1, c.n) = c.words)"))
+    named = F.array_sort(F.array_distinct(F.flatten(F.transform("__hit", lambda h: h["items"]))))
+    hits = F.struct(F.size("__w").cast("long").alias("n_words"), F.expr(_COVERED.replace("hits", "__hit")).alias("n_hit"), named.alias("items"))
+    return rows.select(*docs.columns, hits.alias("__hits"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, match: Match = Match()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of every document.
 
-    ``n_hit`` counts the document's words inside any occurrence of a window. Candidates from the index are checked word by word against the
-    document. Null and empty texts have no words; no items, no hits. Rows with equal (or null) doc_id are looked up together, each text is checked for itself.
+    ``n_hit`` counts the document's words inside any occurrence of a window.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
-    windows = store(item_windows(items, match), "decontaminate-windows")
-    found = candidates(keyed, windows, match)
-    rows = keyed.join(found, "doc", "left").select("doc_id", words_of(F.col("text")).alias("w"), F.coalesce("found", F.array()).alias("found"))
-    hits = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.expr("filter(found, c -> slice(w, c.start + 1, c.n) = c.words)").alias("hits"))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = hits.select("doc_id", "n_words", F.expr(_COVERED).alias("n_hit"), named.alias("items"))
+    out = with_hits(docs.select("doc_id", "text"), items, match).select("doc_id", "__hits.*")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), "items")

@@ -196,19 +196,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit: Fit = Fit
     return Model(buckets, (v[1:] * ratios).astype(np.float32), float(v[0]))
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document, from its whole text (null: empty). No shuffle."""
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5, keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (without ``text`` unless it is to be kept), and score and predicted, from each whole text (null: empty).
+
+    No shuffle. Columns named score or predicted are replaced.
+    """
+    docs = docs.drop("score", "predicted")
+    names = [c for c in docs.columns if c != "text"]
+    kept = [*names, "text"] if keep_text else names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
             found = [score(part.column("text").fill_null("").to_pylist()) for part in chunks(batch)]
-            s = np.concatenate([*found, np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(s)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.concatenate([*found, np.zeros(0)]))], names=[*kept, "score"])
 
-    names = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    scored = docs.select(*names, "text").mapInArrow(run, f"{kinds}, score double")
+    kinds = dict(docs.dtypes)
+    scored = docs.select(*names, "text").mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "score double"]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
