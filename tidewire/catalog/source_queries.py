@@ -386,11 +386,11 @@ def s05(t):
 
 
 @query("s06_read_log_lines", """
-select lang, count(*) as n, sum(length(text))::bigint as chars from documents where not contains(text, chr(10)) and not contains(text, chr(13)) and trim(text) <> '' group by 1""")
+with l as (select lang, unnest(string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10))) as line from documents where text is not null)
+select lang, count(*) as n, sum(length(line))::bigint as chars from l group by 1""")
 def s06(t):
     out = place(t, "s06")
-    one_line = ~c("text").contains("\n") & ~c("text").contains("\r") & (F.trim("text") != "")
-    t.documents.filter(one_line).select("lang", "text").repartition("lang").write.partitionBy("lang").text(out)
+    t.documents.filter(c("text").isNotNull()).select("lang", "text").write.partitionBy("lang").text(out)
     d = S.read_log_lines(t.spark, out)
     g = d.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "path").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("top"), F.sum(F.length("value")).alias("chars"))
     # the last line number of a file is its line count

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.scalars import (band_from_channel, band_from_frequency, band_from_text, ft_state, json_value, nullif_trim, normalize_mac,
                                         parse_rate, parse_timestamp_variants, seconds_from, strip_domain)
 from tidewire.operators.blocked import join_back
+from tidewire.session import checkpointed
 
 c = F.col
 
@@ -48,8 +49,9 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-    """Write Parquet clustered by its partition columns, so each folder gets few files, sorted for statistics."""
-    out = df.repartition(*[c(p) for p in partition_by]) if partition_by else df
+    """Write Parquet clustered by its partition columns, sorted for statistics. Rebalancing gives a small folder one file and splits
+    a large one over tasks of the advisory size."""
+    out = df.hint("rebalance", *[c(p) for p in partition_by]) if partition_by else df
     if sort_by:
         out = out.sortWithinPartitions(*partition_by, *sort_by)
     writer = out.write.mode("overwrite")
@@ -98,6 +100,7 @@ def read_manual_csv(spark: SparkSession, path: str, tz: str = "UTC") -> DataFram
 # --- throughput results ----------------------------------------------------
 
 FILE_NAME = r"([^/]+)\.json$"
+# Names of latency fields, in order of preference.
 LATENCY_SECONDS = ["raw_latency_seconds", "latency_seconds", "rtt_seconds", "ping_rtt_seconds"]
 LATENCY_MS = ["raw_latency_ms", "latency_ms", "rtt_ms", "ping_rtt_ms", "ping_avg_ms", "ping_rtt_avg_ms"]
 
@@ -160,12 +163,13 @@ def with_target_config(results: DataFrame, targets: DataFrame) -> DataFrame:
 
 # --- survey exports --------------------------------------------------------
 
-def survey_points(files: DataFrame, tz: str = "UTC", keys: list[str] = ("timestamp", "time", "measuredAt"), depth: int = 6) -> DataFrame:
+def survey_points(files: DataFrame, tz: str = "UTC", keys: list[str] = ("timestamp", "time", "measuredAt"), floor_plans: DataFrame | None = None) -> DataFrame:
     """Points of survey exports (``path``, ``content``).
 
     Native form: route points with an offset from the survey's start, in
     nanoseconds, milliseconds or seconds by the survey's largest offset. Any
-    other form: every object that carries a timestamp key, to a bounded depth.
+    other form: every object that carries a timestamp key, at any depth.
+    ``floor_plans`` (id, name) turns plan ids into floor names.
     """
     d = files.withColumn("_v", F.try_parse_json("content"))
     surveys = d.select("path", F.explode_outer(F.try_variant_get("_v", "$.surveys", "array<variant>")).alias("_s")).filter(c("_s").isNotNull())
@@ -181,14 +185,18 @@ def survey_points(files: DataFrame, tz: str = "UTC", keys: list[str] = ("timesta
         "floor", get("_p", "$.location.x", "double").alias("x_m"), get("_p", "$.location.y", "double").alias("y_m"))
     level = d.join(surveys.select("path").distinct(), "path", "left_anti").select("path", c("_v").alias("_o"), F.lit("$").alias("json_path"))
     found = None
-    for _ in range(depth):
+    while found is None or level.limit(1).count():  # one round per level of nesting; each is written once
         stamp = F.coalesce(*[parse_timestamp_variants(get("_o", f"$.{k}"), tz) for k in keys])
         hits = level.select("path", "json_path", stamp.alias("measured_at"), get("_o", "$.id").alias("survey_id"), get("_o", "$.floor").alias("floor"),
                             get("_o", "$.x", "double").alias("x_m"), get("_o", "$.y", "double").alias("y_m")).filter(c("measured_at").isNotNull())
         found = hits if found is None else found.unionByName(hits)
-        level = _children(level)
+        level = checkpointed(_children(level))
     generic = found.select("path", "survey_id", F.lit(None).cast("string").alias("survey_name"), F.lit(None).cast("int").alias("point_index"), "measured_at", "floor", "x_m", "y_m")
-    return native.unionByName(generic).filter(c("measured_at").isNotNull())
+    out = native.unionByName(generic).filter(c("measured_at").isNotNull())
+    if floor_plans is None:
+        return out
+    names = floor_plans.groupBy(c("id").alias("floor")).agg(F.min("name").alias("_floor_name"))
+    return out.join(names, "floor", "left").withColumn("floor", F.coalesce("_floor_name", "floor")).select(*out.columns)
 
 
 def _children(level: DataFrame) -> DataFrame:
@@ -233,35 +241,41 @@ def canonical_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
-def json_leaves(records: DataFrame, record_id: str, content: str, depth: int = 6) -> DataFrame:
-    """Scalar members of JSON records at any level (to a bounded depth): canonical key, text, level, position."""
-    level = records.select(c(record_id).alias("path"), F.try_parse_json(content).alias("_o"), F.lit("$").alias("json_path")).filter(c("_o").isNotNull())
+def json_leaves(records: DataFrame, record_id: str, content: str) -> DataFrame:
+    """Scalar members of JSON records at any level: canonical key, text, and place in document order.
+
+    An object's own members come before those of the objects in it, and these in the order of the text. Members are parsed twice: as text,
+    which keeps the order of nested objects, and as variants, which tell strings from objects. Empty values are skipped.
+    """
+    level = records.select(c(record_id), c(content).alias("_o"), F.array().cast("array<int>").alias("_in")).filter(F.try_parse_json(content).isNotNull())
     found = None
-    for i in range(depth):
-        level = level.sparkSession.sql("""
-            SELECT path, concat(json_path, coalesce('.' || key, ''), lpad(pos, 5, '0')) AS json_path, value AS _o, key FROM {level}, LATERAL variant_explode(_o)""", level=level)
-        kind = F.schema_of_variant("_o")
-        scalar = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID")
-        text = F.try_variant_get("_o", "$", "string")
-        leaf = level.filter(scalar & c("key").isNotNull() & (text != "")).select(
-            c("path").alias(record_id), canonical_key(c("key")).alias("_key"), text.alias("_text"), F.lit(i).alias("_level"), c("json_path").alias("_pos"))
+    while found is None or level.limit(1).count():  # one round per level of nesting; each is written once
+        is_list = F.ltrim("_o").startswith("[")
+        text = F.when(is_list, F.transform(F.from_json("_o", "array<string>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))).otherwise(
+            F.map_entries(F.from_json("_o", "map<string,string>")))
+        kind = F.when(is_list, F.from_json("_o", "array<variant>")).otherwise(F.transform(F.map_entries(F.from_json("_o", "map<string,variant>")), lambda x: x["value"]))
+        each = level.select(record_id, "_in", F.posexplode(F.arrays_zip(text.alias("t"), kind.alias("v"))).alias("_at", "_m")).select(
+            record_id, "_in", "_at", c("_m.t.key").alias("_name"), c("_m.t.value").alias("_text"), F.schema_of_variant("_m.v").alias("_kind"))
+        nested = F.coalesce(c("_kind").startswith("OBJECT") | c("_kind").startswith("ARRAY"), F.lit(False))
+        leaf = each.filter(~nested & (c("_kind") != "VOID") & c("_name").isNotNull() & (c("_text") != "")).select(
+            record_id, canonical_key(c("_name")).alias("_key"), "_text", F.struct("_in", "_at").alias("_pos"))
         found = leaf if found is None else found.unionByName(leaf)
-        level = level.filter(~scalar).select("path", "_o", "json_path")
+        level = checkpointed(each.filter(nested).select(record_id, c("_text").alias("_o"), F.concat("_in", F.array("_at")).alias("_in")))
     return found
 
 
 def client_detail_job(records: DataFrame, record_id: str, content: str, defaults: dict[str, str] | None = None) -> DataFrame:
     """Normalised client snapshots of vendor JSON records; those without a valid MAC are skipped.
 
-    Each field takes the first alias that is present anywhere in the record, the
-    shallowest place first. Numbers may carry units; millisecond aliases become
+    Each field takes the first alias that is present anywhere in the record, an
+    object's own members before those inside it, then in the order of the text. Numbers may carry units; millisecond aliases become
     microseconds.
     """
     base = {"ssid": "unknown", "badge_model": "unknown", "device_group": "unknown", "wlc": "unknown", **(defaults or {})}
     wanted = {canon: None for names in CLIENT_TEXT.values() for canon in map(_canon, names)}
     wanted.update({_canon(a): None for pairs in CLIENT_NUMBERS.values() for a, _ in pairs})
     leaves = json_leaves(records, record_id, content).filter(c("_key").isin(list(wanted)))
-    per_key = leaves.groupBy(record_id, "_key").agg(F.min_by("_text", F.struct("_level", "_pos")).alias("_text"))
+    per_key = leaves.groupBy(record_id, "_key").agg(F.min_by("_text", "_pos").alias("_text"))
     g = per_key.groupBy(record_id).agg(F.map_from_entries(F.collect_list(F.struct("_key", "_text"))).alias("_m"))
     at = lambda alias: F.try_element_at("_m", F.lit(_canon(alias)))
     text = lambda field: F.coalesce(*[at(a) for a in CLIENT_TEXT[field]])
