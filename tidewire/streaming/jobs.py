@@ -46,7 +46,7 @@ def ingest_new(stream: DataFrame, checkpoint: str, log: BatchLog, keys: list[str
     ``run`` numbers restarts with a fresh checkpoint, whose batches count from zero again.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        number = run * 1_000_000 + batch_id
+        number = (run << 40) + batch_id
         log.write(idempotent_append(batch, log.read(except_batch=number), keys), number)
     return run_available(stream, checkpoint, each)
 
@@ -99,13 +99,29 @@ def split_late(df: DataFrame, ts: str, now: Column, skew: float, ttl: float) ->
 # --- windows ---------------------------------------------------------------
 
 def stream_avg(stream: DataFrame, keys: list[str], ts: str, value: str, window: str = "1 hour", watermark: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Average per key and event-time window; works on a batch as well."""
+    """Average per key and event-time window; works on a batch as well. On a stream it gives closed windows only; see ``stream_sums``."""
     d = stream.withWatermark(ts, watermark) if stream.isStreaming else stream
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     g = d.groupBy(w.alias("w"), *keys).agg(F.avg(value).alias("avg_value"), F.count(value).alias("n"))
     return g.select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, "avg_value", "n")
 
 
+def stream_sums(stream: DataFrame, checkpoint: str, log: BatchLog, keys: list[str], ts: str, value: str, window: str = "1 hour", slide: str | None = None) -> StreamingQuery:
+    """Sums and counts per key and window of each micro-batch. ``merged_avg`` adds them up, so no row is ever too late and no window left open."""
+    w = F.window(ts, window, slide) if slide else F.window(ts, window)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        g = batch.groupBy(w.alias("w"), *keys).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+        log.write(g.select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, "total", "n"), batch_id)
+    return run_available(stream, checkpoint, each)
+
+
+def merged_avg(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Averages of all windows from the parts that batches wrote."""
+    g = parts.groupBy("window_start", "window_end", *keys).agg(F.sum("total").alias("_t"), F.sum("n").alias("n"))
+    return g.select("window_start", "window_end", *keys, F.try_divide("_t", "n").alias("avg_value"), "n")
+
+
 def append_table(windowed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write finished windows as Parquet, exactly once."""
     return windowed.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
