@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import clamp_min
@@ -18,11 +18,15 @@ from tidewire.operators.blocked import Order, scan
 from tidewire.operators.quantiles import percentiles
 
 
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\,=])", r"\\$1")
+
+
 def series_key(labels: Column | str) -> Column:
-    """Canonical text of a label set: sorted ``name=value`` entries."""
+    """Canonical text of a label set: sorted ``name=value`` entries, commas, equals signs and backslashes in them escaped."""
     labels = F.col(labels) if isinstance(labels, str) else labels
     entries = F.array_sort(F.map_entries(labels))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return F.array_join(F.transform(entries, lambda e: F.concat(_escaped(e["key"]), F.lit("="), _escaped(e["value"]))), ",")
 
 
 def label(name: str) -> Column:
@@ -133,8 +137,8 @@ def quantile_over_time(samples: DataFrame, q: float, window: float, at: Column)
     """Interpolated quantile of each series in a window that ends at a fixed instant."""
     rows = window_rows(samples, at, window).withColumn("_series", series_key("labels"))
     p = percentiles(rows, ["metric", "_series"], {"value": ("value", q, "cont")})
-    labels = F.when(F.col("_series") == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map("_series", F.lit(","), F.lit("=")))
-    return p.select("metric", labels.alias("labels"), "value")
+    own = rows.groupBy("metric", "_series").agg(F.first("labels").alias("labels"))
+    return p.join(own, ["metric", "_series"]).select("metric", "labels", "value")
 
 
 # --- aggregation across series --------------------------------------------
@@ -152,13 +156,8 @@ def series_agg(vec: DataFrame, how: str, by: list[str]) -> DataFrame:
 
 
 def quantile_by(vec: DataFrame, q: float, by: list[str]) -> DataFrame:
-    """Interpolated quantile across the series of an instant vector.
-
-    A vector holds one value per active series, which the metric store limits
-    (500,000 per tenant), so the exact in-memory percentile fits; raw samples go
-    through ``quantiles.percentiles`` instead.
-    """
-    g = label_cols(vec, by).groupBy(*by).agg(F.percentile("value", F.lit(float(q))).alias("value"))
+    """Interpolated quantile across the series of an instant vector, for groups of any size."""
+    g = percentiles(label_cols(vec, by), by, {"value": ("value", q, "cont")})
     return g.filter(F.col("value").isNotNull()).select(label_map(by).alias("labels"), "value")
 
 
@@ -168,10 +167,9 @@ def topk_by(vec: DataFrame, by: list[str], k: int = 1) -> DataFrame:
     if k == 1:
         g = d.groupBy(*by).agg(F.min_by(F.struct("labels", "value"), F.struct(-F.col("value"), F.col("_key"))).alias("_r"))
         return g.select("_r.*")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), "_key", "value"))), 1, k)
-    names = d.select("_key", "labels").dropDuplicates(["_key"])
-    picked = d.groupBy(*by).agg(top.alias("_t")).select(F.explode("_t").alias("_t")).select("_t._key", "_t.value")
-    return picked.join(names, "_key").select("labels", "value")
+    # Spark keeps at most k rows per group and task before it shuffles a rank that is filtered like this.
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "_key"))
+    return d.withColumn("_n", rank).filter(F.col("_n") <= k).select("labels", "value")
 
 
 def histogram_quantile(vec: DataFrame, q: float) -> DataFrame:
@@ -230,12 +228,25 @@ def _paired(left: DataFrame, right: DataFrame, on: list[str] | None) -> tuple[Da
     return keyed(left, "l"), keyed(right, "r")
 
 
+def _unique(side: DataFrame) -> DataFrame:
+    """One row per key; a second one stops the job."""
+    rest = [n for n in side.columns if n != "_key"]
+    g = side.groupBy("_key").agg(F.first(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    one = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several series match the labels "), "_key"))).otherwise(F.col("_r"))
+    return g.select("_key", one.alias("_r")).select("_key", "_r.*")
+
+
 ARITH = {"*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b), "+": lambda a, b: a + b, "-": lambda a, b: a - b}
 
 
 def vec_op(left: DataFrame, right: DataFrame, op: str, on: list[str] | None = None) -> DataFrame:
-    """One-to-one arithmetic on matching labels; the result keeps the matched labels (all, when ``on`` is None)."""
+    """One-to-one arithmetic on matching labels; the result keeps the matched labels (all, when ``on`` is None).
+
+    Several series of one side under the same labels are an error.
+    """
     a, b = _paired(left, right, on)
+    if on is not None:
+        a, b = _unique(a), _unique(b)
     out = a.join(b, "_key").select(F.col("_ll").alias("labels"), ARITH[op](F.col("_lv"), F.col("_rv")).alias("value"))
     if on is None:
         return out
@@ -243,9 +254,9 @@ def vec_op(left: DataFrame, right: DataFrame, op: str, on: list[str] | None = No
 
 
 def vec_enrich(many: DataFrame, one: DataFrame, on: list[str], extra: list[str], op: str = "*") -> DataFrame:
-    """Many-to-one arithmetic that copies labels from the 'one' side."""
+    """Many-to-one arithmetic that copies labels from the 'one' side, on which several series under the same labels are an error."""
     a, b = _paired(many, one, on)
-    j = a.join(b, "_key")
+    j = a.join(_unique(b), "_key")
     kept = F.map_filter("_ll", lambda k, v: ~k.isin(extra))
     took = F.map_filter("_rl", lambda k, v: k.isin(extra) & (v != ""))
     return j.select(F.map_concat(kept, took).alias("labels"), ARITH[op](F.col("_lv"), F.col("_rv")).alias("value"))
