@@ -206,14 +206,14 @@ def r13(t):
 
 
 @query("r14_device_labels", PKT + """
-, d as (select '10.0.0.' || s_suppkey as ip, s_name as name from supplier union all select '10.9.0.' || n_nationkey, n_name from nation where n_name = 'NATION_0'),
+, d as (select '10.0.0.' || s_suppkey as ip, s_name as name from supplier union all select '10.9.0.' || n_nationkey, n_name from nation),
 s as (select distinct capture_id, src_ip, dst_ip from p)
 select capture_id, src_ip, coalesce(a.name, b.name, 'unmapped') as device_name, case when a.name is not null and b.name is not null then b.name else 'unmapped' end as peer_device_name
 from s left join d a on a.ip = s.src_ip left join d b on b.ip = s.dst_ip""")
 def r14(t):
     part = lambda ip, name: [ip.alias("ip"), name.alias("name"), F.lit("test").alias("role"), F.lit("cfg").alias("config")]
     d = t.supplier.select(*part(F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string")), F.col("s_name"))).unionByName(
-        t.nation.filter(F.col("n_name") == 'NATION_0').select(*part(F.concat(F.lit("10.9.0."), F.col("n_nationkey").cast("string")), F.col("n_name"))))
+        t.nation.select(*part(F.concat(F.lit("10.9.0."), F.col("n_nationkey").cast("string")), F.col("n_name"))))
     s = packets(t).select("capture_id", "src_ip", "dst_ip").distinct()
     return R.device_labels(s, d).select("capture_id", "src_ip", "device_name", "peer_device_name")
 

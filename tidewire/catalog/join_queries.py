@@ -262,8 +262,8 @@ def j23(t):
     return J.restore_preserved(p, parents, "capture_id").select("stream_id", "packet_count", "capture_id")
 
 
-@query("u04_common_dates", "select distinct ts::date as day from events where event_type = 'view' and value > 40 intersect select distinct ts::date from events where event_type = 'click' and value > 40")
+@query("u04_common_dates", "select distinct ts::date as day from events where event_type = 'view' intersect select distinct ts::date from events where event_type = 'click'")
 def u04(t):
     from tidewire.operators.setops import common_dates
-    d = t.events.filter(F.col("value") > 40).select("event_type", local_date(F.col("ts"), "UTC").alias("day"))
+    d = t.events.select("event_type", local_date(F.col("ts"), "UTC").alias("day"))
     return common_dates(d.filter("event_type = 'view'"), d.filter("event_type = 'click'"), "day")

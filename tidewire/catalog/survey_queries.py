@@ -214,7 +214,7 @@ def v45(t):
 
 
 @query("a28_alignment_summary", """
-with p as (select *, ts::date as d from events where event_type = 'view' and value > 30), e as (select *, ts::date as d from events where event_type = 'click' and value > 30),
+with p as (select *, ts::date as d from events where event_type = 'view'), e as (select *, ts::date as d from events where event_type = 'click'),
 n as (select p.user_id, abs(epoch_us(x.ts) - epoch_us(p.ts)) / 1e6::double as delta from p, lateral (select e.ts from e where e.user_id = p.user_id and e.d = p.d order by abs(epoch_us(e.ts) - epoch_us(p.ts)), e.ts limit 1) x),
 r as (select *, row_number() over (partition by user_id order by delta) as rn, count(*) over (partition by user_id) as n from n),
 m as (select user_id, count(*) as comparable_points, count(*) filter (where delta <= 7200) as matched_points, min(delta) as delta_min, max(delta) filter (where rn = floor(n * 0.5::double) + 1) as delta_p50, max(delta) filter (where rn = floor(n * 0.9::double) + 1) as delta_p90 from r group by 1),
@@ -224,7 +224,7 @@ select k.user_id, coalesce((select count(*) from p where p.user_id = k.user_id),
  case when coalesce(matched_points, 0) = 0 then case when (select count(*) from e where e.user_id = k.user_id) = 0 then 'no_scan_events' when (select count(*) from p where p.user_id = k.user_id) = 0 then 'no_survey_points'
    when comparable_points is null then 'no_same_date_overlap' else 'outside_match_window' end end as unmatched_reason from k left join m on m.user_id = k.user_id""")
 def a28(t):
-    p = t.events.filter("event_type = 'view' and value > 30").select("user_id", "ts")
-    e = t.events.filter("event_type = 'click' and value > 30").select("user_id", F.col("ts").alias("ets"), "event_id")
+    p = t.events.filter("event_type = 'view'").select("user_id", "ts")
+    e = t.events.filter("event_type = 'click'").select("user_id", F.col("ts").alias("ets"), "event_id")
     d = V.alignment_summary(p, e, ["user_id"], "ts", "ets", "event_id", 7200.0, "UTC")
     return d.select("user_id", "point_count", "event_count", "matched_points", "delta_min", "delta_p50", "delta_p90", "delta_any_date", "unmatched_reason")

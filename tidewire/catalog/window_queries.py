@@ -182,9 +182,9 @@ def w16(t):
 
 
 @query("k01_sort_nulls_last", ctes("streams") + """
-select stream_id, packet_count, jitter_ms from streams order by jitter_ms desc nulls last, packet_count desc nulls last, stream_id limit 50""")
+select stream_id, packet_count, jitter_ms from streams order by jitter_ms desc nulls last, packet_count desc nulls last, stream_id""")
 def k01(t):
-    return K.sort_nulls_last(frame(t, "streams"), [("jitter_ms", "desc"), ("packet_count", "desc"), ("stream_id", "asc")]).limit(50).select("stream_id", "packet_count", "jitter_ms")
+    return K.sort_nulls_last(frame(t, "streams"), [("jitter_ms", "desc"), ("packet_count", "desc"), ("stream_id", "asc")]).select("stream_id", "packet_count", "jitter_ms")
 
 
 @query("k02_worst_streams", ctes("streams") + """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,23 +109,22 @@ def visible_subgraph(nodes: DataFrame, edges: DataFrame, **spec: str) -> tuple[D
     return vis, shown.select(*edges.columns)
 
 
-def graph_depth(edges: DataFrame, roots: DataFrame, max_iter: int = 100) -> DataFrame:
+def graph_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Least number of hops from the roots along directed edges.
 
     Each round joins only the frontier. Levels are checkpointed, so a round's
-    plan does not grow with the rounds before it. A graph deeper than
-    ``max_iter`` is an error, not a cut.
+    plan does not grow with the rounds before it. Rounds end with the first
+    empty frontier, so their number is the depth of the graph.
     """
     hops = checkpointed(edges.select(c("source").alias("id"), c("target").alias("_next")).distinct())
     seen = checkpointed(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_iter + 1):
+    for depth in count(1):
         step = frontier.select("id").join(hops, "id").select(c("_next").alias("id")).distinct()
         frontier = checkpointed(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.limit(1).count() == 0:
             return seen
         seen = checkpointed(seen.unionByName(frontier))
-    raise ValueError(f"graph is deeper than {max_iter} hops")
 
 
 def graph_layout(nodes: DataFrame, depths: DataFrame, order: Order, gap_x: int = 220, gap_y: int = 180) -> DataFrame:

@@ -78,16 +78,24 @@ class BatchLog:
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Updates replace rows of the same key; among updates of one key the greatest ``order`` wins."""
+    """Updates replace rows of the same key; among updates of one key the greatest ``order`` wins.
+
+    Without an order, several updates of one key are an error.
+    """
     from tidewire.operators.windows import latest_by
-    new = latest_by(updates, keys, order) if order else updates
+    if order:
+        new = latest_by(updates, keys, order)
+    else:
+        one = updates.groupBy(*keys).agg(F.first(F.struct(*updates.columns)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+        once = F.when(c("_n") > 1, F.raise_error(F.lit("several updates of one key and no order"))).otherwise(c("_r"))
+        new = one.select(once.alias("_r")).select("_r.*")
     return target.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*target.columns))
 
 
 def reload_run(target: DataFrame, run: str, run_id: str, fresh: DataFrame, preserved: DataFrame | None = None, parent: DataFrame | None = None,
                parent_key: str | None = None) -> DataFrame:
     """Replace one run's rows; manual rows are kept where their parent still exists or they name none."""
-    kept = target.filter(c(run) != run_id)
+    kept = target.filter(~c(run).eqNullSafe(F.lit(run_id)))
     out = kept.unionByName(fresh.select(*target.columns))
     if preserved is None:
         return out

@@ -33,14 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """The cluster's shared checkpoint folder. A local session may do without and gets a temporary one; a cluster may not."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="tidewire-ckpt-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="tidewire-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
