@@ -2,8 +2,10 @@
 
 Pass one counts values per (group, bucket), with map-side combining; the buckets
 are narrow logarithmic steps, so they follow value order. The counts tell which
-bucket holds each wanted rank. Pass two sorts only those buckets. No group is
-ever collected, and the answer is exact.
+bucket holds each wanted rank. Pass two keeps only the rows of those buckets and
+counts them in equal steps between the bucket's least and greatest value; pass
+three counts the values of the steps that hold a rank. No group is ever
+collected, and the answer is exact. NaN sorts above all numbers.
 
 Three rank rules are kept apart by name:
 
@@ -20,12 +22,21 @@ from pyspark.sql import functions as F
 from tidewire.operators.blocked import join_back
 
 STEPS_PER_OCTAVE = 4096
+SUB_STEPS = 65_536
+_TOP = 30_000_000
 
 
 def value_bucket(value: Column) -> Column:
-    """Integer step function of a number that never decreases with it."""
+    """Integer step function of a number that never decreases with it. Infinities have the end buckets, NaN is above all."""
     size = F.lit(10_000_000) + F.floor(F.log2(F.abs(value)) * STEPS_PER_OCTAVE)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
+    ends = F.when(F.isnan(value), _TOP).when(value == float("inf"), _TOP - 1).when(value == float("-inf"), 1 - _TOP)
+    return ends.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
+
+
+def _sub_bucket(value: Column, low: Column, high: Column) -> Column:
+    """Equal steps between a bucket's least and greatest value; 0 where it has one value only."""
+    wide = ~F.isnan(high) & (F.abs(high) < float("inf")) & (high > low)
+    return F.when(wide, F.least(F.floor((value - low) / (high - low) * SUB_STEPS), F.lit(SUB_STEPS - 1))).otherwise(F.lit(0)).cast("bigint")
 
 
 def _ranks(n: Column, q: float, mode: str) -> tuple[Column, Column, Column]:
@@ -52,14 +63,14 @@ def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float,
     long = (
         df.select(*by, F.explode(pairs).alias("_p"))
         .select(*by, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v"))
-        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .filter(F.col("_v").isNotNull())
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     keys = [*by, "_m"]
     along = Window.partitionBy(*keys).orderBy("_b")
     hist = (
         long.groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_cum", F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
     )
@@ -76,13 +87,20 @@ def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float,
     cand = (
         hist.withColumn("_r", F.array_distinct(F.filter(wanted, inside)))
         .filter(F.size("_r") > 0)
-        .select(*keys, "_b", "_r", "_n", (F.col("_cum") - F.col("_c")).alias("_before"))
+        .select(*keys, "_b", "_lo", "_hi", "_r", "_n", (F.col("_cum") - F.col("_c")).alias("_before"))
     )
-    counted = long.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    hits = join_back(counted, cand, [*keys, "_b"]).filter(F.col("_r").isNotNull())
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.withColumn("_cum", F.col("_before") + F.sum("_c").over(inner))
-    picks = hits.select(*keys, "_n", "_v", F.explode(F.filter("_r", inside)).alias("_rank"))
+    # Buckets without a wanted rank go before anything is counted.
+    near = join_back(long, cand, [*keys, "_b"]).filter(F.col("_r").isNotNull()).withColumn("_s", _sub_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    place = [*keys, "_b", "_s"]
+    once = [F.first(x).alias(x) for x in ("_r", "_n", "_before")]
+    counted = near.groupBy(*place, "_v").agg(F.count(F.lit(1)).alias("_k"), *once)
+    step = Window.partitionBy(*keys, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    steps = counted.groupBy(*place).agg(F.sum("_k").alias("_c"), *once).withColumn("_cum", F.col("_before") + F.sum("_c").over(step))
+    held = steps.withColumn("_r", F.filter("_r", inside)).filter(F.size("_r") > 0).select(*place, F.col("_r").alias("_rs"), (F.col("_cum") - F.col("_c")).alias("_from"))
+    hits = join_back(counted, held, place).filter(F.col("_rs").isNotNull())
+    inner = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.withColumn("_c", F.col("_k")).withColumn("_cum", F.col("_from") + F.sum("_k").over(inner))
+    picks = hits.select(*keys, "_n", "_v", F.explode(F.filter("_rs", inside)).alias("_rank"))
 
     outs = []
     for out, (src, q, mode) in specs.items():
@@ -91,7 +109,7 @@ def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float,
         low = F.max(F.when(mine & (F.col("_rank") == lo), F.col("_v")))
         high = F.max(F.when(mine & (F.col("_rank") == hi), F.col("_v")))
         weight = F.max(F.when(mine, frac))
-        outs.append((low + (high - low) * weight).alias(out))
+        outs.append(F.when((weight == 0) | (high == low), low).otherwise(low + (high - low) * weight).alias(out))
     return picks.groupBy(*by).agg(*outs)
 
 
