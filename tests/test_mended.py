@@ -118,3 +118,23 @@ def test_a_large_partition_value_is_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     assert len(list((tmp_path / "t" / "p=a").glob("*.parquet"))) > 4
+
+
+def test_device_from_an_address_in_the_capture_path(spark):
+    from tidewire.operators import flows
+    dev = spark.createDataFrame([("10.0.0.1", "00:11:22:33:44:55", "one", "r", "c"), (None, "aabb.ccdd.ee01", "two", "r", "c"), (None, None, "none", "r", "c")], "ip string, mac string, name string, role string, config string")
+    s = spark.createDataFrame([(1, "10.0.0.1", "x", "/in/aa-bb-cc-dd-ee-01/f"), (2, "y", "x", "/in/AABBCCDDEE01.pcap"), (3, "y", "x", "/in/plain")], "id int, src_ip string, dst_ip string, file string")
+    assert rows(flows.device_labels(s, dev, "file"), "id", "device_name", "peer_device_name") == [(1, "one", "unmapped"), (2, "two", "unmapped"), (3, "unmapped", "unmapped")]
+
+
+def test_manual_entries_stay_in_their_run(spark):
+    cand = spark.createDataFrame([(1, "r1", "AA", 5, True, 1.0, -50.0, "5GHz", "pending"), (2, "r2", "aa", 5, True, 1.0, -60.0, "5GHz", "pending")],
+                                 "id long, test_run_id string, bssid string, t long, badge_selected boolean, badge_score double, badge_rssi_dbm double, band string, manual_entry_status string").withColumn("survey_time", F.timestamp_seconds("t"))
+    entry = spark.createDataFrame([("r1", "aa", 5, -55.0, None, 1.0)], "test_run_id string, bssid string, t long, survey_rssi_dbm double, survey_snr_db double, entered_at double").withColumn("survey_time", F.timestamp_seconds("t"))
+    matches = spark.createDataFrame([(2, "r2", "aa", 5)], "candidate_match_id long, test_run_id string, bssid string, t long").withColumn("survey_time", F.timestamp_seconds("t")).drop("t")
+    cands, kept = M.apply_entries(entry, cand, matches)
+    assert rows(cands, "id", "manual_entry_status") == [(1, "complete"), (2, "pending")] and rows(kept, "candidate_match_id") == [(1,), (2,)]
+    obs = spark.createDataFrame([(7, "r1", "aA", 5, -1.0), (8, "r2", "aa", 5, -2.0)], "id long, test_run_id string, bssid string, t long, rssi_dbm double").withColumn("survey_time", F.timestamp_seconds("t")).drop("t")
+    assert rows(M.apply_observations(entry, cand, obs), "id", "rssi_dbm") == [(1, -55.0), (8, -2.0)]
+    refer = spark.createDataFrame([(7,)], "observation_id long")
+    assert rows(M.reset_observations(entry, obs, refer.filter("false"), "id", "observation_id"), "id") == [(8,)] and M.reset_observations(entry, obs, refer, "id", "observation_id").count() == 2

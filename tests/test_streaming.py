@@ -61,7 +61,7 @@ def test_stability_decision_table(spark):
     t0 = dt.datetime(2024, 1, 1)
     looks = [(0, 10), (5, 10), (25, 10), (30, 11), (40, 11), (51, 11)]
     d = spark.createDataFrame([("f", t0 + dt.timedelta(seconds=s), z) for s, z in looks], "p string, ts timestamp, size int")
-    got = X.stability_decisions(d, "p", "ts", ["size"], 20.0, block=7.0).orderBy("ts").collect()
+    got = X.stability_decisions(d, "p", "ts", ["size"], 20.0).orderBy("ts").collect()
     assert [r["decision"] for r in got] == ["wait_new", "wait_too_soon", "ready", "wait_changed", "wait_too_soon", "ready"]
 
 
@@ -69,7 +69,7 @@ def test_alert_hold_and_no_data(spark):
     t0 = dt.datetime(2024, 1, 1)
     vals = [(0, 0.9), (60, 0.5), (360, 0.4), (390, 0.9), (420, None), (800, None)]
     d = spark.createDataFrame([("a", t0 + dt.timedelta(seconds=s), v) for s, v in vals], "k string, ts timestamp, v double")
-    got = X.alerts(d, ["k"], "ts", "v", 0.8, 300.0, block=100.0).orderBy("ts").collect()
+    got = X.alerts(d, ["k"], "ts", "v", 0.8, 300.0).orderBy("ts").collect()
     assert [r["state"] for r in got] == ["normal", "pending", "firing", "normal", "pending", "firing"]
 
 

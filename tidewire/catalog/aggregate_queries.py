@@ -416,4 +416,4 @@ def u05(t):
 with s as (select event_id, row_number() over (order by ts, event_id) - 1 as i, count(*) over () as n from events)
 select event_id from s where i in (select floor(k * n / 400::double)::bigint from range(400) r(k), (select max(n) as n from s))""")
 def w17(t):
-    return A.downsample(t.events, Order("ts", 3600.0, ("event_id",)), 400).select("event_id")
+    return A.downsample(t.events, Order("ts", ("event_id",)), 400).select("event_id")

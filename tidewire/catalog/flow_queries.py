@@ -86,7 +86,7 @@ def r04(t):
 @query("r03_extended_sequence", RECURSE + """
 select capture_id, src_ip, rn as packet_index, cls as seq_class, lost as lost_change from step""")
 def r03(t):
-    d = scan(R.sequence_scan(candidates(t)), R.CANDIDATE, Order("arrival", 60.0, ("pkt_no",)), number="packet_index")
+    d = scan(R.sequence_scan(candidates(t)), R.CANDIDATE, Order("arrival", ("pkt_no",)), number="packet_index")
     return d.select("capture_id", "src_ip", "packet_index", "seq_class", "lost_change")
 
 

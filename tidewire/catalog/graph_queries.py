@@ -58,7 +58,7 @@ ed as (select case when i = 1 then base else base || '-' || i end as id, source,
 
 def edges_of(t):
     _, l, _, _ = parts(t)
-    return G.build_edges(l, nodes_of(t), Order("l_orderkey", 100000, ("l_extendedprice", "l_quantity")))
+    return G.build_edges(l, nodes_of(t), Order("l_orderkey", ("l_extendedprice", "l_quantity")))
 
 
 @query("g02_build_edges", EDGES + "select id, source, target, site_id, environment, mainstat, confidence, color from ed")
@@ -129,7 +129,7 @@ def g06(t):
 select id, depth, 220 * (row_number() over (partition by depth order by id) - 1) as fixed_x, depth::bigint * 180 as fixed_y from n""")
 def g07(t):
     n = t.customer.select(c("c_custkey").alias("id"))
-    return G.graph_layout(n, depths(t), Order("id", 100000)).select("id", "depth", "fixed_x", "fixed_y")
+    return G.graph_layout(n, depths(t), Order("id")).select("id", "depth", "fixed_x", "fixed_y")
 
 
 @query("g08_graph_checks", """

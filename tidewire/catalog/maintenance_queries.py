@@ -99,10 +99,10 @@ ENTRY = """
 with cd as (select o_orderkey as id, 'r' || (o_custkey % 9) as test_run_id, case when o_custkey % 2 = 0 then 'AA' else 'aa' end || (o_custkey % 40) as bssid, o_orderdate as survey_time, o_orderkey % 3 = 0 as badge_selected,
   case when o_orderkey % 5 > 0 then (o_orderkey % 50)::double end as badge_score, -(o_orderkey % 70)::double as badge_rssi_dbm, case o_orderkey % 3 when 0 then '5GHz' when 1 then '2.4GHz' else '6GHz' end as band, o_orderkey % 11 as badge_event_id, (o_orderkey % 2)::int as badge_candidate_index,
   case when o_orderstatus = 'F' then 'complete' else 'pending' end as manual_entry_status from orders),
-en as (select 'aa' || (l_suppkey % 40) as bssid, l_shipdate as survey_time, -(l_quantity)::double as survey_rssi_dbm, max(l_shipdate) as x, l_orderkey * 10 + l_linenumber as entered_at from lineitem group by all),
-ee as (select bssid, survey_time, arg_max(survey_rssi_dbm, entered_at * 100 - survey_rssi_dbm) as rssi from en group by 1, 2),
-bc as (select * from (select *, row_number() over (partition by lower(bssid), survey_time order by badge_selected desc, badge_score desc nulls last, badge_rssi_dbm desc, id) as rn from cd) where rn = 1),
-mk as (select bc.*, ee.rssi, case band when '5GHz' then -8.0 when '2.4GHz' then -5.0 end::double as off from bc join ee on ee.bssid = lower(bc.bssid) and ee.survey_time = bc.survey_time)
+en as (select 'r' || (l_partkey % 9) as run, 'aa' || (l_suppkey % 40) as bssid, l_shipdate as survey_time, -(l_quantity)::double as survey_rssi_dbm, max(l_shipdate) as x, l_orderkey * 10 + l_linenumber as entered_at from lineitem group by all),
+ee as (select run, bssid, survey_time, arg_max(survey_rssi_dbm, entered_at * 100 - survey_rssi_dbm) as rssi from en group by 1, 2, 3),
+bc as (select * from (select *, row_number() over (partition by test_run_id, lower(bssid), survey_time order by badge_selected desc, badge_score desc nulls last, badge_rssi_dbm desc, id) as rn from cd) where rn = 1),
+mk as (select bc.*, ee.rssi, case band when '5GHz' then -8.0 when '2.4GHz' then -5.0 end::double as off from bc join ee on ee.run = bc.test_run_id and ee.bssid = lower(bc.bssid) and ee.survey_time = bc.survey_time)
 """
 
 
@@ -112,7 +112,7 @@ def entry_tables(t):
         k.alias("id"), F.concat(F.lit("r"), (u % 9).cast("string")).alias("test_run_id"), F.concat(F.when(u % 2 == 0, "AA").otherwise("aa"), (u % 40).cast("string")).alias("bssid"), c("o_orderdate").alias("survey_time"),
         (k % 3 == 0).alias("badge_selected"), F.when(k % 5 > 0, (k % 50).cast("double")).alias("badge_score"), (-(k % 70)).cast("double").alias("badge_rssi_dbm"), F.when(k % 3 == 0, "5GHz").when(k % 3 == 1, "2.4GHz").otherwise("6GHz").alias("band"),
         (k % 11).alias("badge_event_id"), (k % 2).cast("int").alias("badge_candidate_index"), F.when(c("o_orderstatus") == "F", "complete").otherwise("pending").alias("manual_entry_status"))
-    entries = t.lineitem.select(F.concat(F.lit("aa"), (c("l_suppkey") % 40).cast("string")).alias("bssid"), c("l_shipdate").alias("survey_time"), (-c("l_quantity")).alias("survey_rssi_dbm"), F.lit(None).cast("double").alias("survey_snr_db"),
+    entries = t.lineitem.select(F.concat(F.lit("r"), (c("l_partkey") % 9).cast("string")).alias("test_run_id"), F.concat(F.lit("aa"), (c("l_suppkey") % 40).cast("string")).alias("bssid"), c("l_shipdate").alias("survey_time"), (-c("l_quantity")).alias("survey_rssi_dbm"), F.lit(None).cast("double").alias("survey_snr_db"),
                                 ((c("l_orderkey") * 10 + c("l_linenumber")) * 100 + c("l_quantity")).alias("entered_at"))
     matches = t.spark.createDataFrame([], "candidate_match_id bigint, test_run_id string, bssid string, survey_time timestamp, badge_event_id bigint, badge_candidate_index int, band string, badge_rssi_dbm double, survey_rssi_dbm double, "
                                       "vendor_offset_db double, calibrated_delta_db double, manual_entry_status string")
@@ -127,19 +127,47 @@ def m07(t):
 
 
 @query("m07_candidate_status", ENTRY + """
-select cd.id, case when mk.id is null then cd.manual_entry_status when mk.off is null then 'missing_vendor_offset' else 'complete' end as manual_entry_status from cd left join mk on lower(mk.bssid) = lower(cd.bssid) and mk.survey_time = cd.survey_time""")
+select cd.id, case when mk.id is null then cd.manual_entry_status when mk.off is null then 'missing_vendor_offset' else 'complete' end as manual_entry_status from cd left join mk on mk.test_run_id = cd.test_run_id and lower(mk.bssid) = lower(cd.bssid) and mk.survey_time = cd.survey_time""")
 def m07b(t):
     cand, entries, matches = entry_tables(t)
     return M.apply_entries(entries, cand, matches)[0].select("id", "manual_entry_status")
 
 
 @query("m08_reset_entries", ENTRY + """
-select id, case when exists (select 1 from en where en.bssid = lower(cd.bssid) and en.survey_time = cd.survey_time) then 'pending' else manual_entry_status end as manual_entry_status from cd""")
+select id, case when exists (select 1 from en where en.run = cd.test_run_id and en.bssid = lower(cd.bssid) and en.survey_time = cd.survey_time) then 'pending' else manual_entry_status end as manual_entry_status from cd""")
 def m08(t):
     cand, entries, matches = entry_tables(t)
     return M.reset_entries(entries, cand, matches)[0].select("id", "manual_entry_status")
 
 
+OBSERVED = """
+, ob as (select o_orderkey as id, 'r' || (o_custkey % 9) as test_run_id, 'AA' || (o_custkey % 40) as bssid, o_orderdate as survey_time, -1.0::double as rssi_dbm from orders where o_orderpriority = '2-HIGH')
+"""
+
+
+def observations(t):
+    u = c("o_custkey")
+    return t.orders.filter(c("o_orderpriority") == "2-HIGH").select(
+        c("o_orderkey").alias("id"), F.concat(F.lit("r"), (u % 9).cast("string")).alias("test_run_id"), F.concat(F.lit("AA"), (u % 40).cast("string")).alias("bssid"), c("o_orderdate").alias("survey_time"), F.lit(-1.0).alias("rssi_dbm"))
+
+
+@query("m07_observations", ENTRY + OBSERVED + """
+select id, test_run_id, survey_time, rssi_dbm from ob where not exists (select 1 from mk where mk.test_run_id = ob.test_run_id and lower(mk.bssid) = lower(ob.bssid) and mk.survey_time = ob.survey_time)
+union all select id, test_run_id, survey_time, rssi from mk""")
+def m07o(t):
+    cand, entries, _ = entry_tables(t)
+    return M.apply_observations(entries, cand, observations(t)).select("id", "test_run_id", "survey_time", "rssi_dbm")
+
+
+@query("m08_observations", ENTRY + OBSERVED + """
+select id from ob where o_left(id) or not exists (select 1 from en where en.run = ob.test_run_id and en.bssid = lower(ob.bssid) and en.survey_time = ob.survey_time)""".replace("o_left(id)", "id % 3 = 0"))
+def m08o(t):
+    _, entries, _ = entry_tables(t)
+    obs = observations(t)
+    refer = obs.filter(c("id") % 3 == 0).select(c("id").alias("observation_id"))
+    return M.reset_observations(entries, obs, refer, "id", "observation_id").select("id")
+
+
 RECON = """
 with cd as (select o_orderkey as id, 'r' || (o_custkey % 9) as test_run_id, 'aa' || (o_custkey % 40) as bssid, date_trunc('month', o_orderdate) as survey_time, o_orderkey % 3 = 0 as sel, case when o_orderkey % 5 > 0 then (o_orderkey % 50)::double end as score, -(o_orderkey % 70)::double as rssi,
   o_orderkey % 11 as ev, (o_orderkey % 2)::int as ix, case when o_orderstatus = 'F' then 'complete' else 'pending' end as st from orders),

@@ -20,7 +20,7 @@ def r6(c):
 def counters(t):
     """Counter samples: the running sum of values per (user, type), reset every day."""
     d = t.events.withColumn("day", F.to_date("ts"))
-    d = scan(d, ["user_id", "event_type", "day"], Order("ts", 3600.0, ("event_id",)), running={"c": "value"})
+    d = scan(d, ["user_id", "event_type", "day"], Order("ts", ("event_id",)), running={"c": "value"})
     return d.select(F.col("event_type").alias("metric"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"), "ts", F.round("c", 6).alias("value"))
 
 

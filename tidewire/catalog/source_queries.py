@@ -43,7 +43,7 @@ def log_lines(t):
             .when(v % 2 == 0, F.concat(stamp, fmt(" drv: outage time = %d ms, total_scan_time = %d ms", v, v + 5)))
             .otherwise(F.concat(stamp, fmt(" wlan0: RRM-NEIGHBOR-REP-RECEIVED bssid=%s info=0x2f7 op_class=%d chan=%d phy_type=7", mac, v % 20 + 120, v % 170 + 1))))
     d = t.events.select(F.concat(F.lit("log"), (c("user_id") % 20).cast("string")).alias("path"), "ts", "event_id", text.alias("value"))
-    return as_file(d, Order("ts", 86400.0, ("event_id",)))
+    return as_file(d, Order("ts", ("event_id",)))
 
 
 LOG = """
@@ -99,7 +99,7 @@ def report_lines(t):
     d = head(0, "Client MAC Address : aabb.cc00.0001").unionByName(head(1, "Client Scan Reports")).unionByName(head(2, "  Last Report @: 05/21/2026 09:47:05 UTC"))
     d = d.unionByName(row(3)).unionByName(head(4, "Nearby AP Statistics:")).unionByName(row(5))
     d = d.withColumn("path", F.concat(F.lit("n"), c("n").cast("string")))
-    return as_file(d, Order("sec", 1, ("i",)))
+    return as_file(d, Order("sec", ("i",)))
 
 
 @query("s09_scan_report", """
@@ -129,7 +129,7 @@ def dump_lines(t):
     nb = t.lineitem.select(F.concat(F.lit("dump"), (c("l_orderkey") % 7).cast("string")).alias("path"), c("l_orderkey").alias("k"), F.lit(1).alias("sec"), (c("l_linenumber") * 100000 + p).cast("int").alias("i"),
                            fmt("N%d 00:11:22:33:44:%s %d -%d", p, F.lpad(F.hex(p % 256), 2, "0"), c("l_linenumber") + 35, q + 20).alias("value"))
     d = block(0, pre).unionByName(nb).unionByName(block(2, post)).unionByName(block(3, lat))
-    return as_file(d, Order("k", 500, ("sec", "i", "value")))
+    return as_file(d, Order("k", ("sec", "i", "value")))
 
 
 @query("s10_rf_snapshots", """
@@ -187,7 +187,7 @@ def transcript(t):
     user = F.array(F.lit("wlc#terminal length 0"), F.concat(F.lit("wlc#show wireless multicast group 230.230.1."), (c("turn") % 9).cast("string"), F.lit(" vlan 7")), F.concat(F.lit("! Attempt: a"), c("turn").cast("string")))
     other = F.array(F.concat(F.lit("output "), F.length("text").cast("string")))
     d = t.conversations.select(F.concat(F.lit("c"), c("conv_id").cast("string")).alias("path"), "turn", F.posexplode(F.when(c("role") == "user", user).otherwise(other)).alias("i", "value"))
-    return as_file(d, Order("turn", 1000, ("i",)))
+    return as_file(d, Order("turn", ("i",)))
 
 
 @query("s14_transcript_blocks", """
@@ -268,15 +268,15 @@ def s02(t):
 
 
 @query("s03_ap_name_lookup", """
-with e as (select s_suppkey, s_name, p_partkey from supplier join part on p_partkey % 100 = s_suppkey % 100),
+with e as (select s_suppkey, s_name, p_partkey from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey),
 m as (select '00:00:00:00:' || substr(lpad(lower(to_hex(p_partkey % 500)), 4, '0'), 1, 2) || ':' || substr(lpad(lower(to_hex(p_partkey % 500)), 4, '0'), 3, 2) as bssid, s_name, s_suppkey, p_partkey from e)
-select bssid, arg_max(s_name, (s_suppkey, p_partkey)) as ap_name from m group by 1""")
+select bssid, arg_max(s_name, s_suppkey) as ap_name from m group by 1""")
 def s03(t):
     aps = t.supplier.select(c("s_suppkey").alias("id"), c("s_name").alias("name"))
     mac = F.lpad(F.hex(c("p_partkey") % 500), 12, "0")
     meas = t.part.select(c("p_partkey").alias("id"), mac.alias("mac"))
-    groups = t.part.groupBy((c("p_partkey") % 100).alias("g")).agg(F.array_sort(F.collect_list("p_partkey")).alias("measurement_ids"))
-    radios = t.supplier.select(c("s_suppkey").alias("ap_id"), c("s_suppkey").alias("pos"), (c("s_suppkey") % 100).alias("g")).join(groups, "g").drop("g")
+    # one radio per order and supplier, with the few parts of it
+    radios = t.lineitem.groupBy("l_orderkey", c("l_suppkey").alias("ap_id")).agg(F.array_sort(F.collect_list("l_partkey")).alias("measurement_ids")).select("ap_id", c("ap_id").alias("pos"), "measurement_ids")
     return S.ap_name_lookup(aps, radios, meas)
 
 
@@ -365,9 +365,37 @@ def s19b(t):
     return X.render_client_metrics(d, ["p_partkey"], {"rssi": "v"}, "st", ["ft", "non_ft", "unknown"])
 
 
-@query("s21_file_inventory")
+KINDS = [(r"^p[0-4]", "early"), (r"\.html$", "page")]
+PAGE_FILES = """
+with f as (select '/in/' || (page_id % 50) || '/p' || page_id || case when page_id % 5 = 0 then '.txt' else '.html' end as path, 'p' || page_id as stem, length(url) as size_bytes, page_id % 50 as d, page_id from pages),
+k as (select *, case when substr(stem, 2, 1) in ('0', '1', '2', '3', '4') then 'early' when page_id % 5 > 0 then 'page' end as file_type from f)
+"""
+
+
+def page_files(t):
+    """Each page as a file of a folder."""
+    k = c("page_id")
+    path = F.concat(F.lit("/in/"), (k % 50).cast("string"), F.lit("/p"), k.cast("string"), F.when(k % 5 == 0, ".txt").otherwise(".html"))
+    return t.pages.select(path.alias("path"), F.length("url").cast("long").alias("size_bytes"), F.timestamp_seconds(k).alias("mtime"))
+
+
+@query("s21_file_inventory", PAGE_FILES + """
+select path, '/in/' || d as folder, size_bytes::bigint as size_bytes, file_type from k where file_type is not null and size_bytes >= 20""")
 def s21(t):
-    return S.file_inventory(t.spark, t.path, [(r"^(orders|lineitem)", "facts"), (r"\.parquet$", "table")]).select("file_name", "size_bytes", "file_type")
+    return S.classify_files(page_files(t), KINDS, 20).select("path", "folder", "size_bytes", "file_type")
+
+
+@query("s21_newest_per_folder", PAGE_FILES + """
+select '/in/' || d as folder, arg_max(path, page_id) as path from k where file_type is not null and size_bytes >= 20 group by 1""")
+def s21n(t):
+    return S.newest_per_folder(S.classify_files(page_files(t), KINDS, 20)).select("folder", "path")
+
+
+@query("s13_ping_samples", """
+select event_type, count(*) as received, min(value) as rtt_min_ms, max(value) as rtt_max_ms, round(avg(value), 6) as rtt_avg_ms, list_sort(list(value))[ceil(0.95::double * count(*))::int] as rtt_p95_ms from events group by 1""")
+def s13r(t):
+    from tidewire.sources.textjobs import ping_samples_stats
+    return ping_samples_stats(t.events, ["event_type"], "value").select("event_type", "received", "rtt_min_ms", "rtt_max_ms", F.round("rtt_avg_ms", 6).alias("rtt_avg_ms"), "rtt_p95_ms")
 
 
 # --- files written and read back -------------------------------------------

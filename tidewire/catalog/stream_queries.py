@@ -122,7 +122,7 @@ b as (select *, bad and (not coalesce(was, false) or coalesce((epoch_us(ts) - ep
 s as (select *, last_value(case when begins and gap then pts when begins then ts end ignore nulls) over (partition by user_id order by ts, event_id) as start from b)
 select event_id, case when not bad then 'normal' when epoch_us(ts) - epoch_us(start) >= 36000000000 then 'firing' else 'pending' end as state, case when bad then start end as since from s""")
 def x08(t):
-    return X.alerts(t.events, ["user_id"], "ts", "value", 30, 36000, no_data=86400, tie="event_id", block=86400.0).select("event_id", "state", "since")
+    return X.alerts(t.events, ["user_id"], "ts", "value", 30, 36000, no_data=86400, tie="event_id").select("event_id", "state", "since")
 
 
 @query("x09_stream_relabel", "select event_id, event_type as metric from events where event_type in ('view', 'click')")

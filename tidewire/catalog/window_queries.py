@@ -10,7 +10,7 @@ from tidewire.operators import topk as K
 from tidewire.operators import windows as W
 from tidewire.operators.blocked import Order
 
-EVENT_ORDER = Order("ts", 86400.0, ("event_id",))
+EVENT_ORDER = Order("ts", ("event_id",))
 
 
 @query("w01_latest_row", ctes("captures") + """
@@ -43,7 +43,7 @@ with k as (select doc_id, source, count(*) over (partition by md5(text)) as dupl
 
 @query("w04_duplicates", _DUP + "select doc_id, source, duplicate_count, duplicate_rank from k where duplicate_count > 1")
 def w04(t):
-    return W.duplicates(t.documents, [F.md5("text")], Order("doc_id", 100000)).select("doc_id", "source", "duplicate_count", "duplicate_rank")
+    return W.duplicates(t.documents, [F.md5("text")], Order("doc_id")).select("doc_id", "source", "duplicate_count", "duplicate_rank")
 
 
 @query("w04_duplicate_lines", """
@@ -52,13 +52,13 @@ with k as (select l_orderkey, l_linenumber, l_quantity, l_extendedprice, count(*
 select l_orderkey, l_linenumber, l_quantity, l_extendedprice, c as duplicate_count, r as duplicate_rank from k where c > 1""")
 def w04b(t):
     key = [F.col("l_partkey"), F.col("l_suppkey"), F.coalesce(F.nullif(F.col("l_returnflag"), F.lit("N")), F.lit(""))]
-    order = Order("l_shipdate", 86400.0 * 30, ("l_orderkey", "l_linenumber", "l_extendedprice"), desc=True)
+    order = Order("l_shipdate", ("l_orderkey", "l_linenumber", "l_extendedprice"), desc=True)
     return W.duplicates(t.lineitem, key, order).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "duplicate_count", "duplicate_rank")
 
 
 @query("w05_canonical", _DUP + "select doc_id, source, duplicate_count from k where duplicate_rank = 1")
 def w05(t):
-    return W.duplicates(t.documents, [F.md5("text")], Order("doc_id", 100000), keep="canonical").select("doc_id", "source", "duplicate_count")
+    return W.duplicates(t.documents, [F.md5("text")], Order("doc_id"), keep="canonical").select("doc_id", "source", "duplicate_count")
 
 
 @query("w06_duplicate_sources", """
@@ -69,7 +69,7 @@ def w06(t):
     c = F.col
     sha = F.when(c("lang") == "en", F.md5("text")).when(c("lang") == "fr", "")
     key = W.source_key(sha, c("source"), F.when(c("lang") != "de", c("n_chars")), F.lit(None))
-    return W.duplicate_sources(t.documents, ["source"], key, Order("doc_id", 100000, desc=True)).select("doc_id", "duplicate_key", "duplicate_count", "duplicate_rank")
+    return W.duplicate_sources(t.documents, ["source"], key, Order("doc_id", desc=True)).select("doc_id", "duplicate_key", "duplicate_count", "duplicate_rank")
 
 
 @query("w07_dedupe_sources", """
@@ -157,7 +157,7 @@ def w13(t):
 select conv_id, turn, last_value(case when role = 'user' then length(text) end ignore nulls) over (partition by conv_id order by turn)::int as last_len from conversations""")
 def w14(t):
     d = t.conversations.withColumn("n", F.when(F.col("role") == "user", F.length("text")))
-    return W.ffill(d, ["conv_id"], Order("turn", 1000), "n", "last_len").select("conv_id", "turn", "last_len")
+    return W.ffill(d, ["conv_id"], Order("turn"), "n", "last_len").select("conv_id", "turn", "last_len")
 
 
 @query("w14_ffill_events", """
@@ -170,7 +170,7 @@ def w14b(t):
 @query("w15_block_id", """
 select conv_id, turn, sum((role = 'user')::int) over (partition by conv_id order by turn)::bigint as block_id from conversations""")
 def w15(t):
-    return W.block_id(t.conversations, ["conv_id"], Order("turn", 4), F.col("role") == "user").select("conv_id", "turn", "block_id")
+    return W.block_id(t.conversations, ["conv_id"], Order("turn"), F.col("role") == "user").select("conv_id", "turn", "block_id")
 
 
 @query("w16_uniquify", """
@@ -178,7 +178,7 @@ with s as (select s_suppkey, 'n' || s_nationkey as base, row_number() over (part
 select s_suppkey, case when i = 1 then base else base || '-' || i end as unique_id from s""")
 def w16(t):
     d = t.supplier.withColumn("base", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
-    return W.uniquify(d, "base", Order("s_suppkey", 10000)).select("s_suppkey", "unique_id")
+    return W.uniquify(d, "base", Order("s_suppkey")).select("s_suppkey", "unique_id")
 
 
 @query("k01_sort_nulls_last", ctes("streams") + """

@@ -1,10 +1,9 @@
-"""Ordered per-key computations that do not put a whole key into one task.
+"""Ordered per-key computations, also for keys that are too large for one task.
 
-A plain window partitioned by a key sorts all rows of that key in one task. Here
-a key is cut into blocks along its leading order column (hours of a timestamp,
-ranges of a number). Windows run inside one block; a small per-block summary,
-prefix-summed per key, carries totals and last values across block borders. The
-big input is shuffled once, by (key, block).
+Most keys have few rows: then a plain window partitioned by the key does, with one shuffle. If a count finds a key beyond ``HEAVY_KEY_ROWS``,
+the rows are dealt out by ranges of key and order and written once. A range is a block: it holds about equal numbers of rows whatever the key,
+and rows with equal leading values are split by the tie-breaking columns. Windows run inside (key, block); a summary with one row per (key,
+block), prefix-summed per key, carries totals and last values across borders. Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -14,26 +13,25 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import checkpointed
+
+#: Rows of one key that a task still sorts in a plain window.
+HEAVY_KEY_ROWS = 4_000_000
+#: Inputs that Spark estimates below this many bytes are not counted first.
+SMALL_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Order:
-    """Row order of a key: leading column with its block width, then tie-breaking columns.
+    """Row order of a key: leading column, then tie-breaking columns.
 
-    ``width`` is in seconds for a timestamp column and in units for a number. A tie
-    written ``-name`` is descending; carried values need ascending ties.
+    A tie written ``-name`` is descending; carried values need ascending ties.
     """
 
     col: str
-    width: float
     ties: tuple[str, ...] = field(default=())
     desc: bool = False
 
-    def block(self, df: DataFrame) -> Column:
-        kind = dict(df.dtypes)[self.col]
-        if kind == "timestamp":
-            return F.floor(F.unix_micros(self.col) / F.lit(self.width * 1e6))
-        return F.floor(F.col(self.col) / F.lit(float(self.width)))
-
     def columns(self) -> list[Column]:
         lead = F.col(self.col).desc() if self.desc else F.col(self.col).asc()
         return [lead, *[F.col(t[1:]).desc() if t.startswith("-") else F.col(t).asc() for t in self.ties]]
@@ -42,6 +40,19 @@ class Order:
         return F.struct(self.col, *self.ties)
 
 
+def has_heavy_key(df: DataFrame, by: list[str]) -> bool:
+    """Whether some key has more rows than one task should sort."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
+        return False
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY_KEY_ROWS)
+    return counts.limit(1).count() > 0
+
+
+def in_ranges(df: DataFrame, columns: list[Column | str]) -> DataFrame:
+    """``df`` sorted into ranges of about equal size, with the number of the range as ``_blk``; written once, so numbers stay."""
+    return checkpointed(df.repartitionByRange(*columns).withColumn("_blk", F.spark_partition_id()))
+
+
 def join_back(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys in which null equals null; the right-hand keys are dropped."""
     renamed = small
@@ -76,12 +87,28 @@ def scan(
     lag, ffill, ffill_before, running = lag or {}, ffill or {}, ffill_before or {}, running or {}
     if (order.desc or any(t.startswith("-") for t in order.ties)) and (lag or ffill or ffill_before):
         raise ValueError("carried values need an ascending order")
-    keyed = df.withColumn("_blk", order.block(df))
-    keys = [*by, "_blk"]
+    heavy = has_heavy_key(df, by)
+    keyed = in_ranges(df, [*by, *order.columns()]) if heavy else df
+    keys = [*by, *(["_blk"] if heavy else [])]
     here = Window.partitionBy(*keys).orderBy(*order.columns())
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
 
+    local = [F.row_number().over(here).alias("_rn")]
+    local += [F.sum(src).over(upto).alias(f"_ws_{o}") for o, src in running.items()]
+    local += [F.lag(src).over(here).alias(f"_wl_{o}") for o, src in lag.items()]
+    local += [F.last(src, ignorenulls=True).over(upto).alias(f"_wf_{o}") for o, src in ffill.items()]
+    local += [F.last(src, ignorenulls=True).over(before).alias(f"_wf_{o}") for o, src in ffill_before.items()]
+    if not heavy:
+        if total:
+            local.append(F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(total))
+        final = [F.col(c) for c in df.columns]
+        final += [F.col(f"_wl_{o}").alias(o) for o in lag] + [F.col(f"_wf_{o}").alias(o) for o in {**ffill, **ffill_before}]
+        final += [F.coalesce(F.col(f"_ws_{o}"), F.lit(0)).alias(o) for o in running]
+        final += [F.col("_rn").cast("long").alias(number)] if number else []
+        final += [F.col(total)] if total else []
+        return df.select("*", *local).select(*final)
+
     aggs = [F.count(F.lit(1)).alias("_n")]
     for out, src in running.items():
         aggs.append(F.sum(src).alias(f"_s_{out}"))
@@ -90,8 +117,7 @@ def scan(
     for out, src in {**ffill, **ffill_before}.items():
         aggs.append(F.max_by(src, F.when(F.col(src).isNotNull(), order.key())).alias(f"_f_{out}"))
     summary = keyed.groupBy(*keys).agg(*aggs)
-    blk = F.col("_blk").desc() if order.desc else F.col("_blk").asc()
-    along = Window.partitionBy(*by).orderBy(blk)
+    along = Window.partitionBy(*by).orderBy("_blk")
     prior = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_c_n")]
     if total:
@@ -101,11 +127,6 @@ def scan(
     carried += [F.last(f"_f_{o}", ignorenulls=True).over(prior).alias(f"_cf_{o}") for o in {**ffill, **ffill_before}]
     summary = summary.select(*keys, *carried)
 
-    local = [F.row_number().over(here).alias("_rn")]
-    local += [F.sum(src).over(upto).alias(f"_ws_{o}") for o, src in running.items()]
-    local += [F.lag(src).over(here).alias(f"_wl_{o}") for o, src in lag.items()]
-    local += [F.last(src, ignorenulls=True).over(upto).alias(f"_wf_{o}") for o, src in ffill.items()]
-    local += [F.last(src, ignorenulls=True).over(before).alias(f"_wf_{o}") for o, src in ffill_before.items()]
     out = join_back(keyed.select("*", *local), summary, keys)
 
     final = [F.col(c) for c in df.columns]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.predicates import is_future
-from tidewire.functions.scalars import direction, role_for
+from tidewire.functions.scalars import direction, mac_hex, role_for
 from tidewire.operators.aggregates import count_where, mode_first
 from tidewire.operators.blocked import Order, join_back, scan
 from tidewire.operators.quantiles import percentiles
@@ -29,7 +29,7 @@ from tidewire.session import checkpointed
 
 FLOW = ["capture_id", "src_ip", "src_port", "dst_ip", "dst_port"]
 CANDIDATE = [*FLOW, "ssrc", "pt"]
-ORDER = Order("arrival", 60.0, ("pkt_no",))
+ORDER = Order("arrival", ("pkt_no",))
 
 # Sequence rules.
 SEQ_MOD, MAX_DROPOUT, MAX_MISORDER, REACH = 65536, 3000, 100, 32768
@@ -366,19 +366,33 @@ def capture_summary(packets: DataFrame, read_counts: DataFrame, now: Column, ske
     return d.withColumns({"success": ~failed, "error": F.when(failed, "all packet timestamps are in the future")})
 
 
-def device_labels(streams: DataFrame, devices: DataFrame) -> DataFrame:
-    """Primary device is the source's, else the destination's; a peer exists when both ends are known."""
+#: An address in a path: twelve hexadecimal digits, alone or in pairs with separators.
+PATH_MAC = r"(?i)((?:[0-9a-f]{2}[:._-]?){5}[0-9a-f]{2})"
+
+
+def device_labels(streams: DataFrame, devices: DataFrame, path: str | None = None) -> DataFrame:
+    """Primary device is the source's, else the destination's; a peer exists when both ends are known.
+
+    Where neither end is known and ``path`` names the column of the capture's path, the device whose MAC (column ``mac``) stands in the
+    path is the primary one.
+    """
     def side(p: str) -> DataFrame:
         return devices.select(F.col("ip").alias(f"{p}_ip"), F.struct("name", "role", "config").alias(f"_{p}"))
 
     d = streams.join(side("src"), "src_ip", "left").join(side("dst"), "dst_ip", "left")
     main = F.coalesce("_src", "_dst")
+    if path:
+        inside = mac_hex(F.regexp_extract(path, PATH_MAC, 1))
+        by_mac = devices.select(mac_hex(F.col("mac")).alias("_mac"), F.struct("name", "role", "config").alias("_m")).filter(F.length("_mac") == 12)
+        by_mac = by_mac.groupBy("_mac").agg(F.min("_m").alias("_path"))
+        d = d.withColumn("_mac", inside).join(by_mac, "_mac", "left").drop("_mac")
+        main = F.coalesce("_src", "_dst", "_path")
     peer = F.when(F.col("_src").isNotNull() & F.col("_dst").isNotNull(), F.col("_dst"))
     names = {}
     for part in ("name", "role", "config"):
         names[f"device_{part}"] = F.coalesce(main[part], F.lit("unmapped"))
         names[f"peer_device_{part}"] = F.coalesce(peer[part], F.lit("unmapped"))
-    return d.withColumns(names).drop("_src", "_dst")
+    return d.withColumns(names).drop("_src", "_dst", "_path")
 
 
 def observation_rows(snapshots: DataFrame, items: str, manifest_phase: str = "phase", default_ip: str = "receiver_ip") -> DataFrame:

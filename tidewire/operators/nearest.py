@@ -1,10 +1,10 @@
 """Nearest-in-time joins, in both directions, without pairing rows.
 
 Points and events are unioned and ordered in time; each point reads the last
-event before it and the first event after it. Work is cut into (key, local date,
-time block) so a busy key spreads over tasks; the last and first events of the
-neighbouring blocks come from a small per-block summary. One shuffle of the
-input, no row blow-up.
+event before it and the first event after it. Windows run per (key, local date);
+where a key is too large for a task, per range of rows in order of time, and the
+last and first events of the neighbouring ranges come from a small summary. No
+row blow-up either way.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import local_date
-from tidewire.operators.blocked import join_back
+from tidewire.operators.blocked import has_heavy_key, in_ranges, join_back
 from tidewire.session import checkpointed
 
 
@@ -29,7 +29,6 @@ def nearest_join(
     tz: str | None = "UTC",
     window: float | None = None,
     how: str = "inner",
-    block_seconds: int = 3600,
     prefix: str = "nearest_",
 ) -> DataFrame:
     """Each point with the event of least absolute time distance under the same key and local date.
@@ -44,42 +43,41 @@ def nearest_join(
     keys = [*by, *(["_day"] if day else [])]
 
     def framed(df: DataFrame, ts: str) -> DataFrame:
-        out = df.withColumn("_t", F.unix_micros(ts)).withColumn(
-            "_blk", F.floor(F.col("_t") / F.lit(block_seconds * 1_000_000))
-        )
+        out = df.withColumn("_t", F.unix_micros(ts))
         return out.withColumn("_day", local_date(F.col(ts), tz)) if day else out
 
     carried = [F.min_by(F.col(src), F.col(event_id)).alias(f"_e_{out}") for out, src in event_cols.items()]
     ev = (
         framed(events.filter(F.col(event_ts).isNotNull()), event_ts)
-        .groupBy(*keys, "_blk", "_t")
+        .groupBy(*keys, "_t")
         .agg(F.min(event_id).alias("_id"), *carried)
         .select(
-            *keys, "_blk", "_t", F.lit(0).alias("_k"),
+            *keys, "_t", F.lit(0).alias("_k"),
             F.struct("_t", "_id", *[f"_e_{o}" for o in event_cols]).alias("_e"),
         )
     )
     pt = framed(points, point_ts).select(
-        *keys, "_blk", "_t", F.lit(1).alias("_k"), F.struct(*[points[c] for c in points.columns]).alias("_p")
+        *keys, "_t", F.lit(1).alias("_k"), F.struct(*[points[c] for c in points.columns]).alias("_p")
     )
     both = pt.unionByName(ev, allowMissingColumns=True)
-    part = [*keys, "_blk"]
+    heavy = has_heavy_key(both, keys)
+    if heavy:
+        both = in_ranges(both.withColumn("_h", F.xxhash64("_p")), [*keys, "_t", "_k", "_h"])
+    part = [*keys, *(["_blk"] if heavy else [])]
     w = Window.partitionBy(*part).orderBy("_t", "_k")
-    summary = both.groupBy(*part).agg(F.max("_e").alias("_last"), F.min("_e").alias("_first"))
-    along = Window.partitionBy(*keys).orderBy("_blk")
-    summary = summary.select(
-        *part,
-        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
-    )
-    local = both.select(
+    joined = both.select(
         *part, "_t", "_k", "_p",
-        F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_lp"),
-        F.first("_e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_ln"),
+        F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
+        F.first("_e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
     ).filter(F.col("_k") == 1)
-    joined = join_back(local, summary, part).select(
-        "_p", "_t", F.coalesce("_lp", "_cp").alias("_prev"), F.coalesce("_ln", "_cn").alias("_next")
-    )
+    if heavy:
+        along = Window.partitionBy(*keys).orderBy("_blk")
+        summary = both.groupBy(*part).agg(F.max("_e").alias("_last"), F.min("_e").alias("_first")).select(
+            *part,
+            F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
+            F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
+        )
+        joined = join_back(joined, summary, part).withColumns({"_prev": F.coalesce("_prev", "_cp"), "_next": F.coalesce("_next", "_cn")})
     back, ahead = F.col("_t") - F.col("_prev._t"), F.col("_next._t") - F.col("_t")
     pick = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
     out = joined.select("_p.*", "_t", pick.alias("_pick"))

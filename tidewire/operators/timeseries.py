@@ -90,15 +90,14 @@ def range_eval(samples: DataFrame, start: Column, end: Column, step: float, look
 
 # --- counters --------------------------------------------------------------
 
-def increase(samples: DataFrame, window: float, now: Column, extrapolate: bool = False, per_second: bool = False,
-             block_seconds: float = 3600.0) -> DataFrame:
+def increase(samples: DataFrame, window: float, now: Column, extrapolate: bool = False, per_second: bool = False) -> DataFrame:
     """Counter increase per series over a window; a drop is a reset and counts the new value.
 
     A series needs two samples. ``extrapolate`` applies the boundary rule of the
     metric store; without it the increase is exactly what was observed.
     """
     rows = window_rows(samples, now, window).withColumn("_series", series_key("labels"))
-    d = scan(rows, ["metric", "_series"], Order("ts", block_seconds), lag={"_prev": "value"})
+    d = scan(rows, ["metric", "_series"], Order("ts"), lag={"_prev": "value"})
     step = F.when(F.col("value") < F.col("_prev"), F.col("value")).otherwise(F.col("value") - F.col("_prev"))
     g = d.groupBy("metric", "_series").agg(
         F.first("labels").alias("labels"), F.sum(step).alias("value"), F.count(F.lit(1)).alias("_n"),

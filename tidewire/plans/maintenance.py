@@ -155,39 +155,71 @@ def _identity(df: DataFrame) -> DataFrame:
     return df.withColumns({"_b": F.lower("bssid"), "_t": c("survey_time")})
 
 
+ENTRY = ["_r", "_b", "_t"]
+
+
+def _entry(df: DataFrame) -> DataFrame:
+    """Manual entries belong to one run's address and time."""
+    return _identity(df).withColumn("_r", c("test_run_id"))
+
+
+def latest_entries(entries: DataFrame) -> DataFrame:
+    """The newest entry with a level of each run, address and time."""
+    e = _entry(entries).groupBy(*ENTRY).agg(F.max_by(F.struct("survey_rssi_dbm", "survey_snr_db", "entered_at"), "entered_at").alias("_e"))
+    return e.select(*ENTRY, "_e.*").filter(c("survey_rssi_dbm").isNotNull())
+
+
+def _entered(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The best candidate of each entry's identity, beside the entry; entries without a candidate are errors and change nothing."""
+    e = latest_entries(entries)
+    best = top1(_entry(candidates).join(e.select(*ENTRY), ENTRY, "left_semi"), ENTRY, BEST)
+    return best.join(e, ENTRY)
+
+
 def apply_entries(entries: DataFrame, candidates: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Enter a batch of manual levels: (candidates, matches) after it.
 
-    The newest entry of an identity (address, time) counts. It replaces the
+    The newest entry of an identity (run, address, time) counts. It replaces the
     match of that identity, is compared with the best candidate, and completes
-    every candidate of the identity.
+    every candidate of the identity. ``apply_observations`` is the same step for
+    the observations.
     """
-    e = _identity(entries)
-    e = e.groupBy("_b", "_t").agg(F.max_by(F.struct("survey_rssi_dbm", "survey_snr_db", "entered_at"), "entered_at").alias("_e")).select("_b", "_t", "_e.*")
-    e = e.filter(c("survey_rssi_dbm").isNotNull())
-    cand = _identity(candidates)
-    best = top1(cand.join(e.select("_b", "_t"), ["_b", "_t"], "left_semi"), ["_b", "_t"], BEST)
     offset = case_map(c("band"), BAND_OFFSETS)
-    made = best.join(e, ["_b", "_t"])
+    made = _entered(entries, candidates)
     made = made.withColumn("vendor_offset_db", offset).withColumns(calibrated_delta(c("badge_rssi_dbm"), c("survey_rssi_dbm"), offset))
     made = made.withColumnRenamed("id", "candidate_match_id")
-    m = _identity(matches).join(made.select("_b", "_t"), ["_b", "_t"], "left_anti").drop("_b", "_t")
-    new_matches = m.unionByName(made.drop("_b", "_t"), allowMissingColumns=True)
-    hit = made.select("_b", "_t", c("manual_entry_status").alias("_s"))
-    new_candidates = cand.join(hit, ["_b", "_t"], "left").withColumn("manual_entry_status", F.coalesce("_s", "manual_entry_status")).select(*candidates.columns)
+    m = _entry(matches).join(made.select(*ENTRY), ENTRY, "left_anti").drop(*ENTRY)
+    new_matches = m.unionByName(made.drop(*ENTRY), allowMissingColumns=True)
+    hit = made.select(*ENTRY, c("manual_entry_status").alias("_s"))
+    new_candidates = _entry(candidates).join(hit, ENTRY, "left").withColumn("manual_entry_status", F.coalesce("_s", "manual_entry_status")).select(*candidates.columns)
     return new_candidates, new_matches.select(*matches.columns)
 
 
+def apply_observations(entries: DataFrame, candidates: DataFrame, observations: DataFrame) -> DataFrame:
+    """Observations after a batch of manual levels: those of an entered identity give way to one row with the candidate's place and the new level."""
+    made = _entered(entries, candidates).withColumnsRenamed({"survey_rssi_dbm": "rssi_dbm", "survey_snr_db": "snr_db"})
+    kept = _entry(observations).join(made.select(*ENTRY), ENTRY, "left_anti").drop(*ENTRY)
+    return kept.unionByName(made.drop(*ENTRY), allowMissingColumns=True).select(*observations.columns)
+
+
 def reset_entries(keys: DataFrame, candidates: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Undo manual entries of identities: matches go, candidates become pending."""
-    k = _identity(keys).select("_b", "_t").distinct()
-    left = _identity(matches).join(k, ["_b", "_t"], "left_anti").select(*matches.columns)
+    """Undo manual entries of identities (run, address, time): matches go, candidates become pending."""
+    k = _entry(keys).select(*ENTRY).distinct()
+    left = _entry(matches).join(k, ENTRY, "left_anti").select(*matches.columns)
     hit = k.withColumn("_hit", F.lit(True))
-    back = _identity(candidates).join(hit, ["_b", "_t"], "left").withColumn(
+    back = _entry(candidates).join(hit, ENTRY, "left").withColumn(
         "manual_entry_status", F.when(c("_hit"), "pending").otherwise(c("manual_entry_status"))).select(*candidates.columns)
     return back, left
 
 
+def reset_observations(keys: DataFrame, observations: DataFrame, matches_left: DataFrame, observation_id: str, reference: str) -> DataFrame:
+    """Observations after a reset: those of the identities go, unless a match that is left refers to them."""
+    k = _entry(keys).select(*ENTRY).distinct()
+    used = matches_left.select(c(reference).alias(observation_id)).filter(c(observation_id).isNotNull()).distinct()
+    gone = _entry(observations).join(k, ENTRY, "left_semi").select(observation_id).join(used, observation_id, "left_anti")
+    return observations.join(gone, observation_id, "left_anti").select(*observations.columns)
+
+
 def reconcile(candidates: DataFrame, matches: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bring candidates, matches and observations together: (candidates, matches, counts per step).
 

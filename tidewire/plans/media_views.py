@@ -162,7 +162,7 @@ def duplicate_captures(captures: DataFrame, studies_df: DataFrame, projects_df:
     owner = studies_df.select("study_id", "project_id").join(projects_df.select("project_id"), "project_id")
     d = captures.filter(c("deleted_at").isNull()).join(owner, "study_id")
     key = source_key(c("source_sha256"), c("source_path"), c("source_size_bytes"), c("source_mtime_ns"))
-    return duplicate_sources(d, ["project_id"], key, Order("capture_time", 86400.0 * 30, ("-capture_id",), desc=True))
+    return duplicate_sources(d, ["project_id"], key, Order("capture_time", ("-capture_id",), desc=True))
 
 
 def current_study(captures: DataFrame, samples: DataFrame) -> DataFrame:

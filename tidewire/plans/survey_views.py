@@ -189,7 +189,7 @@ def _datapoint_key() -> list[Column]:
             c("badge_rssi_dbm"), c("survey_rssi_dbm")]
 
 
-DATAPOINT_ORDER = Order("entered_at", 86400.0, ("-match_created_at", "-match_id"), desc=True)
+DATAPOINT_ORDER = Order("entered_at", ("-match_created_at", "-match_id"), desc=True)
 
 
 def project_duplicate_datapoints(completed: DataFrame) -> DataFrame:

@@ -29,17 +29,22 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path", (c("_rn") + c("_before")).alias("line_no"), "value")
 
 
-def file_inventory(spark: SparkSession, root: str, types: list[tuple[str, str]], min_size: int = 0) -> DataFrame:
-    """Files under a folder with size, time and a type by name rule (first matching regex)."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
-    kind = None
+def classify_files(files: DataFrame, types: list[tuple[str, str]], min_size: int = 0) -> DataFrame:
+    """Rows (path, size_bytes, mtime) with file name, folder and a type by name rule (first matching regex); small and unknown files go."""
     name = F.element_at(F.split("path", "/"), -1)
+    kind = None
     for regex, label in types:
         kind = F.when(name.rlike(regex), label) if kind is None else kind.when(name.rlike(regex), label)
-    d = d.select("path", name.alias("file_name"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), c("length").alias("size_bytes"), c("modificationTime").alias("mtime"), kind.alias("file_type"))
+    d = files.select("path", name.alias("file_name"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "size_bytes", "mtime", kind.alias("file_type"))
     return d.filter((c("size_bytes") >= min_size) & c("file_type").isNotNull())
 
 
+def file_inventory(spark: SparkSession, root: str, types: list[tuple[str, str]], min_size: int = 0) -> DataFrame:
+    """Files under a folder, classified."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
+    return classify_files(d.select("path", c("length").alias("size_bytes"), c("modificationTime").alias("mtime")), types, min_size)
+
+
 def newest_per_folder(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("folder").agg(F.max_by(F.struct("path", "size_bytes", "mtime", "file_type"), F.struct("mtime", "path")).alias("_r")).select("folder", "_r.*")
 

@@ -57,13 +57,13 @@ def idempotent_append(batch: DataFrame, stored: DataFrame | None, keys: list[str
     return once if stored is None else once.join(stored.select(*keys), keys, "left_anti")
 
 
-def stability_decisions(observations: DataFrame, path: str, ts: str, signature: list[str], min_gap: float, block: float = 86400.0, tie: str | None = None) -> DataFrame:
+def stability_decisions(observations: DataFrame, path: str, ts: str, signature: list[str], min_gap: float, tie: str | None = None) -> DataFrame:
     """Decision at each look at an upload: wait_new, wait_changed, wait_too_soon or ready.
 
     The clock of an unchanged file runs from the first look at its present
     signature.
     """
-    order = Order(ts, block, (tie,) if tie else ())
+    order = Order(ts, (tie,) if tie else ())
     d = observations.withColumn("_sig", F.struct(*signature))
     d = scan(d, [path], order, lag={"_before": "_sig"}, number="_n")
     same = (c("_n") > 1) & c("_sig").eqNullSafe(c("_before"))
@@ -127,9 +127,9 @@ def append_table(windowed: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return windowed.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def counter_increments(rows: DataFrame, keys: list[str], ts: str, value: str, tie: str | None = None, block: float = 3600.0) -> DataFrame:
+def counter_increments(rows: DataFrame, keys: list[str], ts: str, value: str, tie: str | None = None) -> DataFrame:
     """Increase since the previous sample of the key; a drop counts the new value, the first sample nothing."""
-    d = scan(rows, keys, Order(ts, block, (tie,) if tie else ()), lag={"_prev": value})
+    d = scan(rows, keys, Order(ts, (tie,) if tie else ()), lag={"_prev": value})
     step = F.when(c(value) < c("_prev"), c(value)).otherwise(c(value) - c("_prev"))
     return d.withColumn("increment", step).drop("_prev")
 
@@ -175,7 +175,7 @@ def stream_rate_increments(stream: DataFrame, checkpoint: str, state: Store, sin
 def stream_counter_delta(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
     """Increase over the last known value, never below zero, over micro-batches."""
     from tidewire.operators.windows import counter_delta
-    order = Order(ts, 3600.0, (tie,))
+    order = Order(ts, (tie,))
     return stream_counter(stream, checkpoint, state, sink, keys, ts, value, tie, lambda rows: counter_delta(rows, keys, order, value))
 
 
@@ -195,14 +195,14 @@ def stream_relabel(stream: DataFrame, regex: str) -> DataFrame:
 
 # --- alerts, health, intervals --------------------------------------------
 
-def alerts(series: DataFrame, keys: list[str], ts: str, value: str, threshold: float, hold: float, no_data: float | None = None, tie: str | None = None, block: float = 3600.0) -> DataFrame:
+def alerts(series: DataFrame, keys: list[str], ts: str, value: str, threshold: float, hold: float, no_data: float | None = None, tie: str | None = None) -> DataFrame:
     """State of an alert at each evaluation: normal, pending, or firing once the condition has held long enough.
 
     The condition is a value below the threshold; a null value (no data) also
     meets it. ``no_data`` seconds without an evaluation count as a fresh start
     of the condition right after the last evaluation.
     """
-    order = Order(ts, block, (tie,) if tie else ())
+    order = Order(ts, (tie,) if tie else ())
     bad = c(value).isNull() | (c(value) < threshold)
     d = scan(series.withColumn("_bad", bad), keys, order, lag={"_was": "_bad", "_at": ts})
     gap = F.lit(False) if no_data is None else F.coalesce((F.unix_micros(ts) - F.unix_micros("_at")) / F.lit(1e6) > no_data, F.lit(False))
@@ -225,7 +225,7 @@ def ingest_health(ledger: DataFrame, state: str, ts: str, now: Column, pending:
     return total, bad
 
 
-def open_intervals(events: DataFrame, keys: list[str], ts: str, is_start: Column, is_stop: Column, tie: str, block: float = 86400.0) -> DataFrame:
+def open_intervals(events: DataFrame, keys: list[str], ts: str, is_start: Column, is_stop: Column, tie: str) -> DataFrame:
     """Intervals from each start to the next marker of its key.
 
     A stop ends the open interval. A start while one is open is a violation: the
@@ -235,7 +235,7 @@ def open_intervals(events: DataFrame, keys: list[str], ts: str, is_start: Column
     d = events.withColumn("_kind", kind).filter(c("_kind").isNotNull())
     # the marker after a row is the marker before it when time runs backwards
     d = d.withColumn("_neg", -F.unix_micros(ts)).withColumn("_ntie", -c(tie))
-    d = scan(d, keys, Order("_neg", block * 1e6, ("_ntie",)), lag={"_next": "_kind", "_end": ts})
+    d = scan(d, keys, Order("_neg", ("_ntie",)), lag={"_next": "_kind", "_end": ts})
     return d.filter(c("_kind") == "start").select(
         *keys, c(tie).alias("start_id"), c(ts).alias("started_at"), F.when(c("_next") == "stop", c("_end")).alias("ended_at"),
         F.when(c("_next") == "stop", "closed").when(c("_next") == "start", "violation").otherwise("open").alias("status"))
