@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import uuid
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from tidewire.streaming import jobs as X
 SCHEMA = "id long, k string, ts timestamp, v double"
 
 
-def many_files(spark, tmp_path, n=6):
-    """Input in several files, one micro-batch each, in time order."""
+def many_files(spark, tmp_path, n=6, shuffled=False):
+    """Input in several files, one micro-batch each, in time order or not."""
     rnd = random.Random(5)
     src = tmp_path / f"in-{uuid.uuid4().hex}"
     t, rows_ = dt.datetime(2024, 1, 1), []
@@ -21,28 +22,34 @@ def many_files(spark, tmp_path, n=6):
         for j in range(20):
             t += dt.timedelta(seconds=rnd.randint(1, 60))
             part.append((i * 20 + j, rnd.choice(["hot", "hot", "a", "b"]), t, float(rnd.randint(0, 30))))
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
         rows_ += part
+    files = list(rows_)
+    if shuffled:
+        rnd.shuffle(files)
+    for i in range(n):
+        spark.createDataFrame(files[i * 20 : i * 20 + 20], SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(src))
     return stream, spark.createDataFrame(rows_, SCHEMA)
 
 
-def test_counter_stream_equals_batch(spark, tmp_path):
-    stream, batch = many_files(spark, tmp_path)
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_counter_stream_equals_batch(spark, tmp_path, shuffled):
+    stream, batch = many_files(spark, tmp_path, shuffled=shuffled)
     state, sink = Store(spark, f"{tmp_path}/s"), BatchLog(spark, f"{tmp_path}/o")
     X.stream_rate_increments(stream, f"{tmp_path}/c", state, sink, ["k"], "ts", "v", "id").awaitTermination()
     want = X.counter_increments(batch, ["k"], "ts", "v", "id")
-    assert rows(sink.read(), "id", "increment") == rows(want, "id", "increment")
+    assert rows(sink.latest(["k", "ts", "id"]), "id", "increment") == rows(want, "id", "increment")
     assert len(state.versions()) > 1
 
 
-def test_stability_stream_equals_batch(spark, tmp_path):
-    stream, batch = many_files(spark, tmp_path)
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_stability_stream_equals_batch(spark, tmp_path, shuffled):
+    stream, batch = many_files(spark, tmp_path, shuffled=shuffled)
     sig = F.floor(F.col("v") / 15).alias("sig")
     state, sink = Store(spark, f"{tmp_path}/s"), BatchLog(spark, f"{tmp_path}/o")
-    X.stream_stability(stream.select("k", "ts", sig), f"{tmp_path}/c", state, sink, "k", "ts", ["sig"], 60.0).awaitTermination()
-    want = X.stability_decisions(batch.select("k", "ts", sig), "k", "ts", ["sig"], 60.0)
-    assert rows(sink.read(), "k", "ts", "decision") == rows(want, "k", "ts", "decision")
+    X.stream_stability(stream.select("id", "k", "ts", sig), f"{tmp_path}/c", state, sink, "k", "ts", ["sig"], 60.0, "id").awaitTermination()
+    want = X.stability_decisions(batch.select("id", "k", "ts", sig), "k", "ts", ["sig"], 60.0, tie="id")
+    assert rows(sink.latest(["k", "ts", "id"]), "k", "ts", "decision") == rows(want, "k", "ts", "decision")
 
 
 def test_latest_and_replay(spark, tmp_path):

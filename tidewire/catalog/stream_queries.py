@@ -67,9 +67,9 @@ def x02(t):
 @query("x02_stability_stream", STABLE.replace("select event_id, case", "select path, ts, case"))
 def x02s(t):
     state, sink = Store(t.spark, place(t, "x02")), BatchLog(t.spark, place(t, "x02"))
-    s = stream(t).select(c("user_id").alias("path"), "ts", c("event_type").alias("sig"))
-    finish(X.stream_stability(s, place(t, "x02-ckpt"), state, sink, "path", "ts", ["sig"], 20000.0))
-    return sink.read().select("path", "ts", "decision")
+    s = stream(t).select("event_id", c("user_id").alias("path"), "ts", c("event_type").alias("sig"))
+    finish(X.stream_stability(s, place(t, "x02-ckpt"), state, sink, "path", "ts", ["sig"], 20000.0, "event_id"))
+    return sink.latest(["path", "ts", "event_id"]).select("path", "ts", "decision")
 
 
 @query("x03_idempotent_append", "select min(event_id) as event_id, user_id, event_type from events where event_type <> 'view' group by user_id, event_type")
@@ -97,7 +97,7 @@ select user_id, base - interval 6 hour * k as window_start, round(sum(x) / 86400
 def x05(t):
     state, sink = Store(t.spark, place(t, "x05")), BatchLog(t.spark, place(t, "x05"))
     finish(X.stream_rate_increments(stream(t), place(t, "x05-ckpt"), state, sink, ["user_id"], "ts", "value", "event_id"))
-    d = X.window_rate(sink.read(), ["user_id"], "ts", "1 day", "6 hours")
+    d = X.window_rate(sink.latest(["user_id", "ts", "event_id"]), ["user_id"], "ts", "1 day", "6 hours")
     return d.select("user_id", "window_start", F.round("rate", 9).alias("rate"))
 
 
@@ -154,7 +154,7 @@ def x11(t):
     state, sink = Store(t.spark, place(t, "x11")), BatchLog(t.spark, place(t, "x11"))
     s = stream(t).select("event_id", "user_id", "ts", F.when(c("event_type") != "error", c("value")).alias("v"))
     finish(X.stream_counter_delta(s, place(t, "x11-ckpt"), state, sink, ["user_id"], "ts", "v", "event_id"))
-    return sink.read().select("event_id", F.round("delta", 6).alias("delta"))
+    return sink.latest(["user_id", "ts", "event_id"]).select("event_id", F.round("delta", 6).alias("delta"))
 
 
 @query("x12_open_intervals", """

@@ -76,6 +76,13 @@ class BatchLog:
         rows = self.spark.read.option("basePath", self.root).parquet(self.root)
         return rows if except_batch is None else rows.filter(c("batch_id") != except_batch)
 
+    def latest(self, keys: list[str], before: int | None = None) -> DataFrame:
+        """Each row as the last batch that wrote it has it; ``before`` leaves out a batch and those after it."""
+        rows = self.read()
+        rows = rows if before is None else rows.filter(c("batch_id") < before)
+        own = [x for x in rows.columns if x != "batch_id"]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), "batch_id").alias("_r")).select("_r.*")
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Updates replace rows of the same key; among updates of one key the greatest ``order`` wins.

@@ -75,18 +75,40 @@ def stability_decisions(observations: DataFrame, path: str, ts: str, signature:
     return d.withColumn("decision", decision).drop("_sig", "_before", "_n", "_same", "_since0", "_since")
 
 
-def stream_stability(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, path: str, ts: str, signature: list[str], min_gap: float) -> StreamingQuery:
-    """Decisions over a stream of looks. State per upload: the first and the latest look at its present signature."""
-    cols = [path, ts, *signature]
+def _with_history(batch: DataFrame, old: DataFrame | None, sink: BatchLog, batch_id: int, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """A batch after the stored last row of each of its keys; ``_out`` marks the rows to write.
+
+    A key that gets a row older than its stored one comes back with all its rows, which are judged and written again. So the outcome does
+    not depend on the order in which files arrive.
+    """
+    new = batch.withColumn("_out", F.lit(True))
+    if old is None:
+        return new
+    at = F.struct(ts, tie)
+    mine = old.select(*batch.columns).join(batch.select(*keys).distinct(), keys, "left_semi")
+    marks = mine.groupBy(*keys).agg(F.max(at).alias("_last"))
+    late = checkpointed(batch.join(marks, keys).filter(at <= c("_last")).select(*keys).distinct())
+    if not late.limit(1).count():
+        return mine.withColumn("_out", F.lit(False)).unionByName(new)
+    again = sink.latest([*keys, ts, tie], before=batch_id).select(*batch.columns).join(late, keys, "left_semi").withColumn("_out", F.lit(True))
+    fresh = new.join(again.select(*keys, ts, tie), [*keys, ts, tie], "left_anti")
+    return mine.join(late, keys, "left_anti").withColumn("_out", F.lit(False)).unionByName(again).unionByName(fresh)
+
+
+def stream_stability(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, path: str, ts: str, signature: list[str], min_gap: float, tie: str) -> StreamingQuery:
+    """Decisions over a stream of looks, to be read with ``sink.latest``. State per upload: the first and the latest look at its present signature."""
+    cols = [path, ts, tie, *signature]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*cols).withColumn("_new", F.lit(True))
         old = state.read(at_most=batch_id)
-        rows = new if old is None else old.select(*cols).withColumn("_new", F.lit(False)).unionByName(new)
-        judged = checkpointed(stability_decisions(rows, path, ts, signature, min_gap))
-        sink.write(judged.filter("_new").drop("_new"), batch_id)
-        start = judged.filter(c("decision").isin("wait_new", "wait_changed"))
-        state.write(latest_by(start, [path], ts).select(*cols), version=batch_id + 1)
+        rows = _with_history(batch.select(*cols), old, sink, batch_id, [path], ts, tie)
+        judged = checkpointed(stability_decisions(rows, path, ts, signature, min_gap, tie=tie))
+        sink.write(judged.filter("_out").drop("_out"), batch_id)
+        start = latest_by(judged.filter(c("decision").isin("wait_new", "wait_changed")), [path], ts, tie)
+        last = latest_by(judged, [path], ts, tie)
+        keep = start.select(*cols).unionByName(last.select(*cols)).distinct()
+        rest = keep if old is None else old.join(keep.select(path).distinct(), path, "left_anti").select(*cols).unionByName(keep)
+        state.write(rest, version=batch_id + 1)
     return run_available(stream, checkpoint, each)
 
 
@@ -142,26 +164,19 @@ def window_rate(increments: DataFrame, keys: list[str], ts: str, window: str = "
     return g.select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, (c("_s") / seconds).alias("rate"))
 
 
-def _with_last(batch: DataFrame, old: DataFrame | None, keys: list[str], cols: list[str]) -> DataFrame:
-    """A batch preceded by the last stored sample of each of its keys."""
-    new = batch.select(*cols).withColumn("_new", F.lit(True))
-    if old is None:
-        return new
-    return old.select(*cols).join(batch.select(*keys).distinct(), keys, "left_semi").withColumn("_new", F.lit(False)).unionByName(new)
-
-
 def stream_counter(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str,
                    step: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Carry counters over micro-batches: ``step`` sees each batch after the last sample of its keys.
 
-    The last sample per key is kept as a versioned state table and updated by key.
+    The last sample per key is kept as a versioned state table and updated by key. Read the result with ``sink.latest``: a late sample
+    rewrites its key's rows.
     """
     cols = [*keys, ts, tie, value]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         old = state.read(at_most=batch_id)
-        rows = checkpointed(_with_last(batch, old, keys, cols))
-        sink.write(step(rows).filter("_new").drop("_new"), batch_id)
+        rows = checkpointed(_with_history(batch.select(*cols), old, sink, batch_id, keys, ts, tie))
+        sink.write(step(rows).filter("_out").drop("_out"), batch_id)
         last = latest_by(rows.filter(c(value).isNotNull()).select(*cols), keys, ts, tie)
         state.write(last if old is None else upsert(old, last, keys), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
