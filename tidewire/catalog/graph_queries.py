@@ -42,9 +42,11 @@ def nodes_of(t):
     return G.build_nodes(n, l, d, s)
 
 
-@query("g01_build_nodes", GRAPH + "select id, title, family, confidence, mainstat, site_id, (confidence = 'high')::int as arc_high, (confidence = 'medium')::int as arc_medium, (confidence = 'low')::int as arc_low from nx")
+@query("g01_build_nodes", GRAPH + """
+select id, title, family, confidence, mainstat, site_id, (confidence = 'high')::int as arc_high, (confidence = 'medium')::int as arc_medium, (confidence = 'low')::int as arc_low,
+ confidence as secondarystat, case confidence when 'high' then '#299c46' when 'medium' then '#e0b400' else '#d44a3a' end as color, 'inventory' as source_lineage, '/n/' || url_encode(id) as detail_url from nx""")
 def g01(t):
-    return nodes_of(t).select("id", "title", "family", "confidence", "mainstat", "site_id", "arc_high", "arc_medium", "arc_low")
+    return G.build_nodes(*parts(t), detail_prefix="/n/").select("id", "title", "family", "confidence", "mainstat", "site_id", "arc_high", "arc_medium", "arc_low", "secondarystat", "color", "source_lineage", "detail_url")
 
 
 EDGES = GRAPH + """
@@ -61,9 +63,9 @@ def edges_of(t):
     return G.build_edges(l, nodes_of(t), Order("l_orderkey", ("l_extendedprice", "l_quantity")))
 
 
-@query("g02_build_edges", EDGES + "select id, source, target, site_id, environment, mainstat, confidence, color from ed")
+@query("g02_build_edges", EDGES + "select id, source, target, site_id, environment, mainstat, confidence, color, confidence as secondarystat, 'inventory' as source_lineage from ed")
 def g02(t):
-    return edges_of(t).select("id", "source", "target", "site_id", "environment", "mainstat", "confidence", "color")
+    return edges_of(t).select("id", "source", "target", "site_id", "environment", "mainstat", "confidence", "color", "secondarystat", "source_lineage")
 
 
 @query("p15_topology_filter", EDGES + "select id, source, target from ed where (site_id = 'NATION_3' or ss = 'NATION_3' or zs = 'NATION_3') and confidence = 'high'")

@@ -27,11 +27,21 @@ ROLE_LAYERS = {"BORDER ROUTER": 0, "BORDER GATEWAY": 0, "CORE": 1, "DISTRIBUTION
 FAMILY_LAYERS = {"ROUTERS": 0, "SWITCHES AND HUBS": 2, "WIRELESS CONTROLLER": 3, "UNIFIED AP": 4, "VOICE AND TELEPHONY": 4}
 HOST_LAYERS = [("*CORE*", 1), ("*COR-*", 1), ("*-COR*", 1), ("*DATA*", 1), ("*DIST*", 2), ("*FW*", 0), ("*EDGE*", 0), ("*WAN*", 0)]
 DEFAULT_LAYER = 5
+# Node colours by confidence; any other confidence has the last one.
+CONFIDENCE_COLORS = {"high": "#299c46", "medium": "#e0b400", "low": "#d44a3a"}
 
 
-def build_nodes(nodes: DataFrame, links: DataFrame, devices: DataFrame, sites: DataFrame, environment: str = "prod") -> DataFrame:
+def percent_encoded(text: Column) -> Column:
+    """Text as one segment of a URL path."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def build_nodes(nodes: DataFrame, links: DataFrame, devices: DataFrame, sites: DataFrame, environment: str = "prod", lineage: str = "inventory", detail_prefix: str = "") -> DataFrame:
     """Topology nodes enriched from the inventory and the sites; endpoints seen only on links are added at
-    medium confidence. One row per id, the later duplicate winning by label."""
+    medium confidence. One row per id, the later duplicate winning by label. A node's detail link is ``detail_prefix`` and its encoded id."""
     take = {"_hostname": "hostname", "_family": "family", "_role": "role", "_reach": "reachability", "_managed": "management_state", "_collected": "collection_status", "_location": "location"}
     n = nodes.filter(nullif_trim(c("id")).isNotNull())
     last = n.groupBy("id").agg(F.max_by(F.struct(*[x for x in n.columns if x != "id"]), F.struct("label", "ip")).alias("_r")).select("id", "_r.*")
@@ -50,10 +60,12 @@ def build_nodes(nodes: DataFrame, links: DataFrame, devices: DataFrame, sites: D
     extra = ends.join(shaped.select("id"), "id", "left_anti").select(
         "id", c("id").alias("title"), F.lit("link-only").alias("family"), F.lit("unknown").alias("role"), F.lit("medium").alias("confidence"), F.lit("discovered").alias("mainstat"), F.lit("unknown").alias("site_id"))
     out = shaped.unionByName(extra).withColumn("environment", F.lit(environment))
+    color = F.coalesce(F.create_map(*[F.lit(x) for pair in CONFIDENCE_COLORS.items() for x in pair])[c("confidence")], F.lit(CONFIDENCE_COLORS["low"]))
+    out = out.withColumns({"secondarystat": c("confidence"), "color": color, "source_lineage": F.lit(lineage), "detail_url": F.concat(F.lit(detail_prefix), percent_encoded(c("id")))})
     return out.withColumns({"subtitle": F.concat("family", F.lit(" | "), "site_id", F.lit(" | confidence="), "confidence"), **confidence_arcs(c("confidence"))})
 
 
-def build_edges(links: DataFrame, nodes: DataFrame, order: Order) -> DataFrame:
+def build_edges(links: DataFrame, nodes: DataFrame, order: Order, lineage: str = "inventory") -> DataFrame:
     """Edges between named ends, with site, environment, speed, label and a unique id."""
     blank = nullif_trim
     # both ends look nodes up, so the few columns they need are written once
@@ -71,8 +83,9 @@ def build_edges(links: DataFrame, nodes: DataFrame, order: Order) -> DataFrame:
     return d.select(
         c("edge_id").alias("id"), "source", "target", F.when(or_unknown("_source_site") == or_unknown("_target_site"), or_unknown("_source_site")).otherwise("inter-site").alias("site_id"),
         F.when(or_unknown("_source_env") == or_unknown("_target_env"), or_unknown("_source_env")).otherwise("mixed").alias("environment"), speed.alias("speed_gbps"), format_speed(speed).alias("mainstat"),
-        conf.alias("confidence"), speed_color(speed, SPEED_COLORS, UNKNOWN_COLOR).alias("color"),
-        F.concat(port("start_port"), F.lit(" -> "), port("end_port"), F.lit(" | bandwidth="), format_speed(speed), F.lit(" | status="), F.coalesce(blank(c("status")), F.lit("unknown"))).alias("detail"))
+        conf.alias("confidence"), conf.alias("secondarystat"), F.lit(lineage).alias("source_lineage"), speed_color(speed, SPEED_COLORS, UNKNOWN_COLOR).alias("color"),
+        F.concat(port("start_port"), F.lit(" -> "), port("end_port"), F.lit(" | bandwidth="), format_speed(speed), F.lit(" | status="), F.coalesce(blank(c("status")), F.lit("unknown")),
+                 F.lit(" | confidence="), conf).alias("detail"))
 
 
 def assign_layers(devices: DataFrame, host: str, role: str) -> DataFrame:
