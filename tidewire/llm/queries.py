@@ -110,3 +110,30 @@ def op3_secrets(spark: SparkSession, path: str) -> DataFrame:
 def op5_language_model(spark: SparkSession, path: str) -> DataFrame:
     """Language-model scores of all documents."""
     return lm.score_documents(Tables(spark, path).documents)
+
+
+SQL["op6_repeats"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select doc_id, i, array_to_string(w[i:i + 12], ' ') as k
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+first as (select k, min(doc_id) as m from win group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from win join first using (k) where m < doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as s from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
+SQL["op10_near_duplicates"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as k
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+size as (select doc_id, count(*) as n from s group by doc_id),
+pair as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+link as (select x, y from pair join size a on a.doc_id = x join size b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+both_ways as (select x, y from link union all select y, x from link),
+reach as (select doc_id, doc_id as root from d union select y, root from reach join both_ways on x = reach.doc_id),
+comp as (select doc_id, min(root) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d join comp using (doc_id) left join size using (doc_id)"""
