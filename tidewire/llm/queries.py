@@ -137,3 +137,38 @@ both_ways as (select x, y from link union all select y, x from link),
 reach as (select doc_id, doc_id as root from d union select y, root from reach join both_ways on x = reach.doc_id),
 comp as (select doc_id, min(root) as component_id from reach group by doc_id)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d join comp using (doc_id) left join size using (doc_id)"""
+
+SQL["op3_secrets"] = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+kinds as (
+  select * from (values
+    ('assign', 0, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), ('access', 1, 'AKIA[A-Z0-9]+', 20),
+    ('hex', 2, '[0-9a-f]{24,}', 24), ('run', 3, '[A-Za-z0-9+/_-]{20,}', 20)) as k(kind, rank, pattern, least)),
+m as (
+  select doc_id, kind, rank, least, regexp_extract_all(t, pattern) as found, string_split_regex(t, pattern) as gaps,
+    case when kind = 'assign' then regexp_extract_all(t, pattern, 2) else regexp_extract_all(t, pattern) end as inn
+  from d, kinds),
+u as (select doc_id, kind, rank, least, i, found[i] as found, inn[i] as inn, gaps[i] as gap from (select *, unnest(range(1, len(found) + 1)) as i from m where len(found) > 0)),
+p as (select *, sum(length(gap) + length(found)) over (partition by doc_id, kind order by i) as stop from u),
+base as (select doc_id, kind, rank, stop - length(found) as start, stop from p where kind <> 'run' and length(inn) >= least),
+runs as (
+  select doc_id, i, found, stop - length(found) as start, regexp_full_match(found, '[0-9A-Fa-f]+') as is_hex from p
+  where kind = 'run' and not regexp_matches(found, '^[A-Za-z_-]+$') and not regexp_matches(found, '^[0-9_-]+$') and not regexp_matches(found, '^(?:[A-Za-z_-]*/){2,}[A-Za-z_-]*$')
+    and not regexp_matches(found, '^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$') and not regexp_matches(found, '(?i)example|placeholder|changeme|dummy|sample')),
+places as (select *, unnest(range(0, length(found) - 19)) as w from runs),
+chars as (select doc_id, i, start, is_hex, w, substr(found, w + c, 1) as ch from (select *, unnest(range(1, 21)) as c from places)),
+sums as (
+  select doc_id, i, start, is_hex, w, sum(round(n * log2(n) * 1000000)) as total
+  from (select doc_id, i, start, is_hex, w, ch, count(*) as n from chars group by all) group by all),
+hot as (select *, w - lag(w) over (partition by doc_id, i order by w) as step from sums where total <= case when is_hex then 28438562 else 12438562 end),
+isle as (select *, count(*) filter (where step is null or step > 20) over (partition by doc_id, i order by w) as no from hot),
+entropy as (
+  select doc_id, case when is_hex then 'entropy_hex' else 'entropy_base64' end as kind, case when is_hex then 3 else 4 end as rank, start + min(w) as start, start + max(w) + 20 as stop
+  from isle group by doc_id, i, start, is_hex, no),
+told as (select doc_id, rank < 3 as is_base, kind, rank, start, kind || ':' || start::bigint || ':' || stop::bigint as span from (select * from base union all select * from entropy)),
+g as (
+  select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+    string_agg(span, ',' order by start, rank) filter (where is_base) as base, string_agg(span, ',' order by start, rank) as spans
+  from told group by doc_id)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)"""
