@@ -20,7 +20,12 @@ from tidewire.operators.windows import duplicate_sources, latest_row, source_key
 from tidewire.session import checkpointed
 
 c = F.col
-N = F.count(F.lit(1))
+
+
+def rows_n() -> Column:
+    """Rows of a group."""
+    return F.count(F.lit(1))
+
 
 READY_LEG_STATES = ["ready", "prepared", "running", "stopped", "attached", "parsed"]
 CAPTURE_FILE_TYPES = ["wlc_epc", "ap_packet_capture"]
@@ -67,7 +72,7 @@ def capture_health(captures: DataFrame, now: Column) -> DataFrame:
     late = is_future(c("capture_time"), now)
     return captures.groupBy("site", "capture_point").agg(
         F.max(F.when(~late, c("capture_time"))).alias("latest_capture_time"), F.max(F.when(late, c("capture_time"))).alias("latest_future_capture_time"),
-        count_where(late).alias("future_capture_count"), F.max("parsed_at").alias("latest_parsed_at"), N.alias("capture_count"),
+        count_where(late).alias("future_capture_count"), F.max("parsed_at").alias("latest_parsed_at"), rows_n().alias("capture_count"),
         count_where(_parsed()).alias("successful_capture_count"), count_where(_failed()).alias("failed_capture_count"),
         *[F.sum(m).alias(m) for m in ("packets_read", "udp_packets_seen", "stream_count")])
 
@@ -95,10 +100,10 @@ def stream_samples(streams: DataFrame, captures: DataFrame, devices: DataFrame |
 def studies(studies_df: DataFrame, projects_df: DataFrame, captures: DataFrame, streams: DataFrame) -> DataFrame:
     alive = captures.filter(c("deleted_at").isNull())
     cap = alive.groupBy("study_id").agg(
-        N.alias("capture_count"), count_where(_parsed()).alias("successful_capture_count"), count_where(_failed()).alias("failed_capture_count"),
+        rows_n().alias("capture_count"), count_where(_parsed()).alias("successful_capture_count"), count_where(_failed()).alias("failed_capture_count"),
         F.min("capture_time").alias("first_capture_time"), F.max("capture_time").alias("last_capture_time"), F.max("parsed_at").alias("latest_parsed_at"),
         F.sum("packets_read").alias("packets_read"), F.sum("udp_packets_seen").alias("udp_packets_seen"))
-    counts = {"stream_count": N, "rtp_qoe_stream_count": count_where(_trusted()), "accepted_stream_count": count_where(c("accepted")),
+    counts = {"stream_count": rows_n(), "rtp_qoe_stream_count": count_where(_trusted()), "accepted_stream_count": count_where(c("accepted")),
               "excluded_stream_count": count_where((~c("accepted")).eqNullSafe(True) | (c("review_status") == "excluded")),
               "dscp_mismatch_stream_count": count_where(c("dscp_mismatch")), "lossy_stream_count": count_where(_lossy()),
               "jitter_stream_count": count_where(c("jitter_ms") > 30)}
@@ -114,7 +119,7 @@ def projects(projects_df: DataFrame, study_view: DataFrame) -> DataFrame:
     alive = c("deleted_at").isNull()
     sums = ["capture_count", "stream_count", "rtp_qoe_stream_count", "accepted_stream_count", "dscp_mismatch_stream_count"]
     g = study_view.groupBy("project_id").agg(
-        N.alias("study_count"), count_where(alive).alias("active_study_count"), *[sum_where(alive, c(s)).alias(s) for s in sums],
+        rows_n().alias("study_count"), count_where(alive).alias("active_study_count"), *[sum_where(alive, c(s)).alias(s) for s in sums],
         F.min(F.when(alive, c("first_capture_time"))).alias("first_capture_time"), F.max(F.when(alive, c("last_capture_time"))).alias("last_capture_time"),
         F.max(F.when(alive, c("latest_parsed_at"))).alias("latest_parsed_at"))
     base = projects_df.filter(c("project_type").isin("media_qoe", "mixed"))
@@ -168,13 +173,13 @@ def duplicate_captures(captures: DataFrame, studies_df: DataFrame, projects_df:
 def current_study(captures: DataFrame, samples: DataFrame) -> DataFrame:
     """One row of totals over everything."""
     cap = captures.agg(
-        N.alias("capture_count"), count_where(_parsed()).alias("successful_capture_count"), count_where(_failed()).alias("failed_capture_count"),
+        rows_n().alias("capture_count"), count_where(_parsed()).alias("successful_capture_count"), count_where(_failed()).alias("failed_capture_count"),
         F.min("capture_time").alias("first_capture_time"), F.max("capture_time").alias("last_capture_time"), F.max("parsed_at").alias("latest_parsed_at"),
         F.sum("packets_read").alias("packets_read"), F.sum("udp_packets_seen").alias("udp_packets_seen"))
     rejected = c("measurement_mode") == "rtp_candidate_rejected"
     role = c("effective_device_role")
     st = samples.agg(
-        N.alias("stream_count"), count_where(_trusted()).alias("rtp_qoe_stream_count"), count_where(rejected).alias("rtp_candidate_rejected_stream_count"),
+        rows_n().alias("stream_count"), count_where(_trusted()).alias("rtp_qoe_stream_count"), count_where(rejected).alias("rtp_candidate_rejected_stream_count"),
         F.sum("packet_count").alias("packet_count"), *[F.sum(_zero(m)).alias(m) for m in ("lost_packets", "duplicate_packets", "out_of_order_packets")],
         *_trusted_totals(), F.count_distinct(F.when(role.isin("control", "test"), role)).alias("tested_device_role_count"))
     return _with_total_ratios(single_rows(cap, st))
@@ -210,7 +215,7 @@ def device_summary(samples: DataFrame) -> DataFrame:
     d = checkpointed(_as_device(samples).filter(c("device_role").isin("control", "test")).select(*used))
     d = _trusted_measures(d)
     g = d.groupBy(*DEVICE).agg(
-        F.count_distinct("capture_id").alias("capture_count"), N.alias("stream_count"), count_where(_trusted()).alias("rtp_qoe_stream_count"),
+        F.count_distinct("capture_id").alias("capture_count"), rows_n().alias("stream_count"), count_where(_trusted()).alias("rtp_qoe_stream_count"),
         F.min("sample_time").alias("first_sample_time"), F.max("sample_time").alias("last_sample_time"), F.sum("packet_count").alias("packet_count"),
         F.sum("byte_count").alias("byte_count"), *[F.sum(_zero(m)).alias(m) for m in ("lost_packets", "duplicate_packets", "out_of_order_packets")],
         F.max("_t_interarrival_max_ms").alias("interarrival_max_ms"), count_where(c("dscp_mismatch")).alias("dscp_mismatch_stream_count"),
@@ -223,7 +228,7 @@ def device_summary(samples: DataFrame) -> DataFrame:
 def rtp_classification(samples: DataFrame) -> DataFrame:
     d = _as_device(samples).filter(c("measurement_mode").isin(CLASSES))
     return d.groupBy(*DEVICE, c("measurement_mode").alias("classification")).agg(
-        F.count_distinct("capture_id").alias("capture_count"), N.alias("stream_count"), F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packet_count"),
+        F.count_distinct("capture_id").alias("capture_count"), rows_n().alias("stream_count"), F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packet_count"),
         F.min("sample_time").alias("first_sample_time"), F.max("sample_time").alias("last_sample_time"))
 
 
@@ -231,7 +236,7 @@ def rtp_rejection_reasons(samples: DataFrame, reasons: str = "rejection_reasons"
     d = _as_device(samples).filter(c("measurement_mode") == "rtp_candidate_rejected")
     d = explode_reasons(d.select(*DEVICE, "payload_type", "dscp", "capture_id", "packet_count", "sample_time", reasons), reasons)
     return d.groupBy(*DEVICE, "reason", "payload_type", "dscp").agg(
-        F.count_distinct("capture_id").alias("capture_count"), N.alias("stream_count"), F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packet_count"),
+        F.count_distinct("capture_id").alias("capture_count"), rows_n().alias("stream_count"), F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packet_count"),
         F.min("sample_time").alias("first_sample_time"), F.max("sample_time").alias("last_sample_time"))
 
 
@@ -261,10 +266,10 @@ def capture_sessions(sessions: DataFrame, attempts: DataFrame, events: DataFrame
     """Sessions with attempt, event and leg counts and the latest resolved group."""
     sid = c("capture_session_id").alias("session_id")
     ota = c("leg_type") == "ap_client_ota"
-    leg = legs.groupBy(sid).agg(N.alias("leg_count"), count_where(ota).alias("ap_ota_leg_count"),
+    leg = legs.groupBy(sid).agg(rows_n().alias("leg_count"), count_where(ota).alias("ap_ota_leg_count"),
                                 count_where(ota & c("leg_state").isin(READY_LEG_STATES)).alias("ready_ap_ota_leg_count"))
-    att = attempts.groupBy(sid).agg(N.alias("attempt_count"), *_audio_counts())
-    ev = events.groupBy(sid).agg(N.alias("event_count"), F.max("event_time").alias("latest_event_time"))
+    att = attempts.groupBy(sid).agg(rows_n().alias("attempt_count"), *_audio_counts())
+    ev = events.groupBy(sid).agg(rows_n().alias("event_count"), F.max("event_time").alias("latest_event_time"))
     resolved = attempts.filter(c("resolved_group_ip").isNotNull()).withColumnRenamed("capture_session_id", "session_id")
     at = F.coalesce("active_group_selected_at", "attempt_started_at", "started_at", "created_at")
     take = {"latest_resolved_attempt_id": "attempt_id", "latest_resolved_group_ip": "resolved_group_ip", "latest_resolved_group_vlan": "resolved_group_vlan",
@@ -292,9 +297,9 @@ capture_legs = capture_session_events = attempt_artifacts = attempt_findings = m
 def broadcast_attempts(attempts: DataFrame, sessions: DataFrame, artifacts: DataFrame, snapshots: DataFrame, findings: DataFrame) -> DataFrame:
     during = c("phase") == "during"
     cols = ["receiver_ap", "receiver_bssid", "receiver_channel", "receiver_band", "receiver_rssi", "receiver_snr", "receiver_group_status", "mgid"]
-    art = artifacts.groupBy("attempt_id").agg(N.alias("artifact_count"), count_where(c("artifact_type").isin(CAPTURE_FILE_TYPES)).alias("pcap_artifact_count"))
+    art = artifacts.groupBy("attempt_id").agg(rows_n().alias("artifact_count"), count_where(c("artifact_type").isin(CAPTURE_FILE_TYPES)).alias("pcap_artifact_count"))
     snap = snapshots.groupBy("attempt_id").agg(
-        N.alias("snapshot_count"), *[F.max(F.when(during, c(x))).alias(x) for x in cols],
+        rows_n().alias("snapshot_count"), *[F.max(F.when(during, c(x))).alias(x) for x in cols],
         F.bool_or(F.when(during, c("receiver_group_member"))).alias("snapshot_receiver_group_member"))
     find = findings.groupBy("attempt_id").agg(count_where(c("severity") == "critical").alias("critical_finding_count"),
                                               count_where(c("severity") == "warning").alias("warning_finding_count"))
@@ -309,7 +314,7 @@ def group_explorer(observations: DataFrame) -> DataFrame:
     sets = {"source_ips": "source_ip", "vlans": "vlan", "mgids": "mgid", "associated_attempts": "attempt_id", "aps_involved": "ap_name", "evidence_sources": "evidence_source"}
     return d.groupBy("group_ip", "group_mac").agg(
         F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), *[set_sorted(v).alias(k) for k, v in sets.items()],
-        F.bool_or("receiver_member").alias("receiver_membership_seen"), F.max("capture_confidence").alias("capture_confidence"), N.alias("observation_count"))
+        F.bool_or("receiver_member").alias("receiver_membership_seen"), F.max("capture_confidence").alias("capture_confidence"), rows_n().alias("observation_count"))
 
 
 def attempt_timeline(attempts: DataFrame, events: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -342,7 +347,7 @@ def attempt_matrix(attempts: DataFrame, observations: DataFrame) -> DataFrame:
 def attempt_summary(attempts: DataFrame) -> DataFrame:
     v = c("verdict")
     return attempts.groupBy("study_id", "capture_session_id").agg(
-        N.alias("attempt_count"), *_audio_counts(), count_where(v == "membership_failure").alias("membership_failure_count"),
+        rows_n().alias("attempt_count"), *_audio_counts(), count_where(v == "membership_failure").alias("membership_failure_count"),
         count_where(v == "media_degraded").alias("media_degraded_count"), count_where(v == "inconclusive").alias("inconclusive_count"),
         F.min("started_at").alias("first_attempt_at"), F.max("started_at").alias("latest_attempt_at"))
 
@@ -351,6 +356,6 @@ def attempt_ap_distribution(attempts: DataFrame, snapshots: DataFrame) -> DataFr
     s = snapshots.filter(c("phase") == "during").select("attempt_id", "receiver_ap", "receiver_channel", "receiver_band")
     d = attempts.select("attempt_id", "study_id", "audio_result", "verdict").join(s, "attempt_id")
     return d.groupBy("study_id", "receiver_ap", "receiver_channel", "receiver_band").agg(
-        N.alias("attempt_count"), count_where(c("audio_result") == "missed").alias("missed_audio_count"),
+        rows_n().alias("attempt_count"), count_where(c("audio_result") == "missed").alias("missed_audio_count"),
         count_where(c("verdict") == "membership_failure").alias("membership_failure_count"))
 

@@ -15,7 +15,12 @@ from tidewire.operators.windows import annotate_outliers, duplicates, top1
 from tidewire.session import checkpointed
 
 c = F.col
-N = F.count(F.lit(1))
+
+
+def rows_n() -> Column:
+    """Rows of a group."""
+    return F.count(F.lit(1))
+
 
 DONE = ["complete", "missing_vendor_offset"]
 LOCAL_ZONE = "America/Chicago"
@@ -36,7 +41,7 @@ def _exact(matches: DataFrame) -> DataFrame:
 def _delta_stats(matches: DataFrame, by: list[str]) -> DataFrame:
     d = _exact(matches)
     v = "calibrated_delta_db"
-    g = d.groupBy(*by).agg(N.alias("sample_count"), F.avg(v).alias("mean_calibrated_delta_db"), F.stddev_samp(v).alias("stddev_calibrated_delta_db"))
+    g = d.groupBy(*by).agg(rows_n().alias("sample_count"), F.avg(v).alias("mean_calibrated_delta_db"), F.stddev_samp(v).alias("stddev_calibrated_delta_db"))
     return with_percentiles(g, d, by, {"p05_calibrated_delta_db": (v, 0.05, "cont"), "p95_calibrated_delta_db": (v, 0.95, "cont"),
                                        "p95_abs_calibrated_delta_db": ("absolute_calibrated_delta_db", 0.95, "cont")})
 
@@ -85,16 +90,16 @@ def current_study(runs: DataFrame, events: DataFrame, points: DataFrame, candida
     mean = lambda cond: F.avg(F.when(cond, c("calibrated_delta_db")))
     frames = [
         meta,
-        alive.groupBy(scope).agg(N.alias("test_run_count"), F.min("created_at").alias("first_run_created_at"), F.max("created_at").alias("last_run_created_at")),
-        live(events).groupBy(scope).agg(N.alias("scan_event_count"), F.min("event_time").alias("first_scan_time"), F.max("event_time").alias("last_scan_time")),
-        live(points).groupBy(scope).agg(N.alias("survey_point_count"), F.min("measured_at").alias("first_survey_time"), F.max("measured_at").alias("last_survey_time")),
-        live(candidates).groupBy(scope).agg(N.alias("candidate_match_count"), count_where(c("manual_entry_status") == "pending").alias("pending_candidate_match_count")),
+        alive.groupBy(scope).agg(rows_n().alias("test_run_count"), F.min("created_at").alias("first_run_created_at"), F.max("created_at").alias("last_run_created_at")),
+        live(events).groupBy(scope).agg(rows_n().alias("scan_event_count"), F.min("event_time").alias("first_scan_time"), F.max("event_time").alias("last_scan_time")),
+        live(points).groupBy(scope).agg(rows_n().alias("survey_point_count"), F.min("measured_at").alias("first_survey_time"), F.max("measured_at").alias("last_survey_time")),
+        live(candidates).groupBy(scope).agg(rows_n().alias("candidate_match_count"), count_where(c("manual_entry_status") == "pending").alias("pending_candidate_match_count")),
         live(matches).groupBy(scope).agg(
             count_where(c("manual_entry_status").isin(DONE)).alias("completed_match_count"), count_where(c("manual_entry_status") == "complete").alias("complete_match_count"),
             count_where(c("manual_entry_status") == "missing_vendor_offset").alias("missing_vendor_offset_match_count"), mean(complete).alias("mean_calibrated_delta_db"),
             mean(complete & (c("band") == "2.4GHz")).alias("mean_24ghz_calibrated_delta_db"), mean(complete & (c("band") == "5GHz")).alias("mean_5ghz_calibrated_delta_db")),
-        live(observations).groupBy(scope).agg(N.alias("manual_observation_count")),
-        _real_archives(archives).groupBy("study_scope").agg(N.alias("archive_count"), F.max("archived_at").alias("latest_archived_at")),
+        live(observations).groupBy(scope).agg(rows_n().alias("manual_observation_count")),
+        _real_archives(archives).groupBy("study_scope").agg(rows_n().alias("archive_count"), F.max("archived_at").alias("latest_archived_at")),
     ]
     zeros = ["test_run_count", "scan_event_count", "survey_point_count", "candidate_match_count", "pending_candidate_match_count", "completed_match_count",
              "complete_match_count", "missing_vendor_offset_match_count", "manual_observation_count", "archive_count"]
@@ -119,7 +124,7 @@ def _display_name() -> Column:
 
 def input_files(files: DataFrame, run_files_df: DataFrame, runs: DataFrame) -> DataFrame:
     used = run_files_df.join(runs.select("test_run_id", "deleted_at"), "test_run_id").groupBy("input_file_id").agg(
-        N.alias("selected_run_count"), count_where(c("deleted_at").isNull()).alias("active_selected_run_count"), F.max("selected_at").alias("last_selected_at"))
+        rows_n().alias("selected_run_count"), count_where(c("deleted_at").isNull()).alias("active_selected_run_count"), F.max("selected_at").alias("last_selected_at"))
     d = rollup_left(files, used, ["input_file_id"], ["selected_run_count", "active_selected_run_count"])
     return d.withColumn("display_name", _display_name())
 
@@ -138,13 +143,13 @@ def runs_view(runs: DataFrame, studies_df: DataFrame, projects_df: DataFrame, fi
     """Runs with their files and the counts of every child table."""
     key = ["test_run_id"]
     sel = run_files_df.join(files.withColumn("_name", _display_name()).select("input_file_id", "_name", "file_path"), "input_file_id")
-    parts = [sel.groupBy(*key).agg(N.alias("selected_file_count"))]
+    parts = [sel.groupBy(*key).agg(rows_n().alias("selected_file_count"))]
     parts += [ordered_lines(sel, key, c("_name"), ["selected_at", "file_path"], c("source_role") == role, out) for out, role in FILE_ROLES.items()]
     parts += [
-        events.groupBy(*key).agg(N.alias("scan_event_count")), points.groupBy(*key).agg(N.alias("survey_point_count")),
-        candidates.groupBy(*key).agg(N.alias("candidate_match_count"), count_where(c("manual_entry_status") == "pending").alias("pending_candidate_match_count")),
+        events.groupBy(*key).agg(rows_n().alias("scan_event_count")), points.groupBy(*key).agg(rows_n().alias("survey_point_count")),
+        candidates.groupBy(*key).agg(rows_n().alias("candidate_match_count"), count_where(c("manual_entry_status") == "pending").alias("pending_candidate_match_count")),
         matches.groupBy(*key).agg(count_where(c("manual_entry_status").isin(DONE)).alias("completed_match_count")),
-        observations.groupBy(*key).agg(N.alias("manual_observation_count"))]
+        observations.groupBy(*key).agg(rows_n().alias("manual_observation_count"))]
     s = studies_df.select("study_id", "study_name", "study_type", "study_status", "project_id", c("study_scope").alias("_scope"))
     p = projects_df.select("project_id", "project_name", "project_type")
     d = runs.join(s, "study_id", "left").join(p, "project_id", "left")
@@ -160,7 +165,7 @@ def runs_view(runs: DataFrame, studies_df: DataFrame, projects_df: DataFrame, fi
 def studies_view(studies_df: DataFrame, projects_df: DataFrame, run_rows: DataFrame) -> DataFrame:
     alive = c("deleted_at").isNull()
     g = run_rows.groupBy("study_id").agg(
-        count_where(alive).alias("active_run_count"), N.alias("total_run_count"), F.min(F.when(alive, c("created_at"))).alias("first_run_created_at"),
+        count_where(alive).alias("active_run_count"), rows_n().alias("total_run_count"), F.min(F.when(alive, c("created_at"))).alias("first_run_created_at"),
         F.max(F.when(alive, c("created_at"))).alias("last_run_created_at"), *[sum_where(alive, c(k)).alias(k) for k in RUN_COUNTS])
     d = studies_df.join(projects_df.select("project_id", "project_name", "project_type"), "project_id")
     return rollup_left(d, g, ["study_id"], ["active_run_count", "total_run_count", *RUN_COUNTS])
@@ -169,7 +174,7 @@ def studies_view(studies_df: DataFrame, projects_df: DataFrame, run_rows: DataFr
 def projects_view(projects_df: DataFrame, study_rows: DataFrame) -> DataFrame:
     alive = c("deleted_at").isNull()
     g = study_rows.groupBy("project_id").agg(
-        count_where(alive).alias("active_study_count"), N.alias("total_study_count"), sum_where(alive, c("active_run_count")).alias("active_run_count"),
+        count_where(alive).alias("active_study_count"), rows_n().alias("total_study_count"), sum_where(alive, c("active_run_count")).alias("active_run_count"),
         F.sum("total_run_count").alias("total_run_count"), *[sum_where(alive, c(k)).alias(k) for k in RUN_COUNTS])
     return rollup_left(projects_df, g, ["project_id"], ["active_study_count", "total_study_count", "active_run_count", "total_run_count", *RUN_COUNTS])
 
@@ -209,7 +214,7 @@ def run_alignment(runs: DataFrame, events: DataFrame, points: DataFrame) -> Data
     ev, pt = events.join(zone, "test_run_id"), points.join(zone, "test_run_id")
 
     def side(df: DataFrame, ts: str, prefix: str) -> DataFrame:
-        return df.groupBy("test_run_id").agg(N.alias(f"{prefix}_count"), F.min(ts).alias(f"{prefix}_first_time"), F.max(ts).alias(f"{prefix}_last_time"),
+        return df.groupBy("test_run_id").agg(rows_n().alias(f"{prefix}_count"), F.min(ts).alias(f"{prefix}_first_time"), F.max(ts).alias(f"{prefix}_last_time"),
                                              F.count_distinct(local_date(c(ts), c("timezone"))).alias(f"{prefix}_date_count"))
 
     a = ev.withColumn("_d", local_date(c("event_time"), c("timezone"))).select("test_run_id", "_d", "event_time", c("event_id").alias("_eid"))
@@ -217,7 +222,7 @@ def run_alignment(runs: DataFrame, events: DataFrame, points: DataFrame) -> Data
     # read by the counts and by both passes of the percentiles, so it is written once
     near = checkpointed(nearest_join(b, a, ["test_run_id", "_d"], point_ts="measured_at", event_ts="event_time", event_id="_eid", tz=None))
     v = "nearest_abs_delta"
-    g = near.groupBy("test_run_id").agg(N.alias("same_date_survey_point_count"), count_where(c(v) <= c("default_match_window_seconds")).alias("matched_survey_point_count"),
+    g = near.groupBy("test_run_id").agg(rows_n().alias("same_date_survey_point_count"), count_where(c(v) <= c("default_match_window_seconds")).alias("matched_survey_point_count"),
                                         F.min(v).alias("nearest_delta_min_seconds"))
     g = with_percentiles(g, near, ["test_run_id"], {"nearest_delta_p50_seconds": (v, 0.5, "cont"), "nearest_delta_p90_seconds": (v, 0.9, "cont")})
     d = zone.join(side(ev, "event_time", "scan_event"), "test_run_id", "left").join(side(pt, "measured_at", "survey_point"), "test_run_id", "left").join(g, "test_run_id", "left")
@@ -233,14 +238,14 @@ def alignment_summary(points: DataFrame, events: DataFrame, by: list[str], point
     """Diagnostics of a run's time alignment: ranges, shared local dates, matches, floor-index percentiles of the
     nearest same-date deltas, the least delta over all dates, and why nothing matched."""
     def side(df: DataFrame, ts: str, p: str) -> DataFrame:
-        return df.groupBy(*by).agg(N.alias(f"{p}_count"), F.min(ts).alias(f"{p}_first"), F.max(ts).alias(f"{p}_last"))
+        return df.groupBy(*by).agg(rows_n().alias(f"{p}_count"), F.min(ts).alias(f"{p}_first"), F.max(ts).alias(f"{p}_last"))
 
     near = checkpointed(nearest_join(points, events, by, point_ts=point_ts, event_ts=event_ts, event_id=event_id, tz=tz))
     d = "nearest_abs_delta"
-    matched = near.groupBy(*by).agg(count_where(c(d) <= window).alias("matched_points"), F.min(d).alias("delta_min"), N.alias("comparable_points"))
+    matched = near.groupBy(*by).agg(count_where(c(d) <= window).alias("matched_points"), F.min(d).alias("delta_min"), rows_n().alias("comparable_points"))
     matched = with_percentiles(matched, near, by, {"delta_p50": (d, 0.5, "floor"), "delta_p90": (d, 0.9, "floor")})
     days = lambda df, ts: df.select(*by, local_date(c(ts), tz).alias("_day")).distinct()
-    shared = days(points, point_ts).join(days(events, event_ts), [*by, "_day"]).groupBy(*by).agg(N.alias("shared_dates"))
+    shared = days(points, point_ts).join(days(events, event_ts), [*by, "_day"]).groupBy(*by).agg(rows_n().alias("shared_dates"))
     any_date = min_gap(points, events, by, left_ts=point_ts, right_ts=event_ts, right_id=event_id).withColumnRenamed("min_gap_seconds", "delta_any_date")
     keys = points.select(*by).unionByName(events.select(*by)).distinct()
     out = keys
