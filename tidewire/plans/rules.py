@@ -399,7 +399,7 @@ class Evaluator:
 
     def _counter(self, name, window, per_second):
         rows = self.samples.filter(F.col("metric") == name)
-        return T.increase(rows, window, self.now, self.extrapolate, per_second, block_seconds=window / 4).select("labels", "value")
+        return T.increase(rows, window, self.now, self.extrapolate, per_second).select("labels", "value")
 
     def rate(self, name, window):
         return self._counter(name, window, True)
