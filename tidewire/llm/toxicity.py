@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ BITS = 20
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and settings of the fit. ``sample`` bounds the labelled rows that are learned from, ``features`` the n-grams kept."""
+    """Bounds and settings of the fit. ``sample`` bounds the labelled rows that are learned from, ``features`` the n-grams kept (65,536 at most)."""
 
     sample: int = 16_384
     features: int = 8_192
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit: Fit = Fit
     ratio = F.log((ones + a) / (n[1] + 2 * a)) - F.log((zeros + a) / (n[0] + 2 * a))
     kept = (
         counts.filter(ones + zeros >= fit.least_docs).select("bucket", ratio.alias("ratio"), chi.alias("chi"))
-        .orderBy(F.desc("chi"), "bucket").limit(fit.features).collect())
+        .coalesce(16).orderBy(F.desc("chi"), "bucket").limit(fit.features).collect())  # each partition sends its best to the driver
     buckets, ratios = np.array([r["bucket"] for r in kept], np.int32), np.array([r["ratio"] for r in kept])
     place = np.full(1 << BITS, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
@@ -172,23 +173,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit: Fit = Fit
             for part in chunks(batch):
                 owner, bucket = present(part.column(0).to_pylist(), wanted)
                 edges = np.searchsorted(owner, np.arange(len(part) + 1))
-                found = place[bucket].astype("<i4")
+                found = place[bucket].astype("<u2")
                 rows = [found[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), part.column(1)], names=["x", "y"])
 
     rows = texts.mapInArrow(features, "x binary, y int").toArrow()
-    xs = [np.frombuffer(x.as_py(), "<i4") for x in rows.column("x")]
     y = (rows.column("y").to_numpy() > 0).astype(float)
-    owner, at = np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate([*xs, np.zeros(0, np.int32)])
+    edges = np.r_[0, np.cumsum(pc.binary_length(rows.column("x")).to_numpy()) // 2]
+    at = np.frombuffer(b"".join(x.as_py() for x in rows.column("x")), "<u2")
+    del rows
+    step = 1024  # documents at a time, which keeps the temporary arrays small
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        w = v[1:] * ratios
-        z = np.bincount(owner, w[at], len(xs)) + v[0]
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        slope = np.empty_like(v)
-        slope[0] = (p - y).sum()
-        slope[1:] = np.bincount(at, (p - y)[owner], len(ratios)) * ratios + fit.ridge * v[1:]
-        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + fit.ridge / 2 * (v[1:] @ v[1:])), slope
+        w, slope, total = v[1:] * ratios, np.zeros_like(v), 0.0
+        for i in range(0, len(y), step):
+            part = slice(i, min(i + step, len(y)))
+            n_docs = part.stop - i
+            own = np.repeat(np.arange(n_docs), np.diff(edges[i : part.stop + 1]))
+            mine = at[edges[i] : edges[part.stop]].astype(np.intp)
+            z = np.bincount(own, w[mine], n_docs) + v[0]
+            miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[part]
+            total += np.logaddexp(0, np.where(y[part] > 0, -z, z)).sum()
+            slope[0] += miss.sum()
+            slope[1:] += np.bincount(mine, miss[own], len(ratios))
+        slope[1:] = slope[1:] * ratios + fit.ridge * v[1:]
+        return float(total + fit.ridge / 2 * (v[1:] @ v[1:])), slope
 
     v = np.zeros(len(ratios) + 1)
     v[0] = np.log(prior / (1 - prior))
