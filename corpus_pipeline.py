@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import decontaminate, neardup, packing, secrets, toxicity
 from tidewire.llm.common import store
-from tidewire.llm.queries import tokenizer_ranks
+from tidewire.llm.queries import tokenizer_added, tokenizer_ranks
 from tidewire.tables import Tables
 
 #: What every stage but the last returns.
@@ -45,7 +45,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document in sequences of at most 1024 ids."""
-    return packing.pack_documents(docs, tokenizer_ranks())
+    return packing.pack_documents(docs, tokenizer_ranks(), added=tokenizer_added())
 
 
 STAGES = [

@@ -93,6 +93,26 @@ def test_packing_is_an_exact_round_trip(small, odd, none):
     assert packing.pack_documents(none, registered.tokenizer_ranks()).count() == 0
 
 
+def test_added_tokens_inside_a_text_are_one_id(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", mark, f"{mark}{mark}", f" one  two \n{mark} three {mark}\n\n", f"{mark} x", f"x {mark}", "<|endoftext|", f"<|endof{mark}text|>", f"{'long text ' * 900}{mark} end", "plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    import corpus_pipeline
+
+    assert exact.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*exact.encode(t, add_special_tokens=False).ids, 0]
+        want += [(i, at, len(p), zlib.crc32(np.array(p, "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 1024) for p in [ids[at : at + 1024]]]
+    for rows in (registered.op8_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, "")):
+        assert sorted(tuple(r)[:5] for r in rows.collect()) == sorted(want)
+
+
 def test_pools_keep_all_limits():
     rng = np.random.default_rng(0)
     demand = np.column_stack([rng.integers(1, 1024, 500), rng.integers(1, 9, 500), rng.integers(0, 700, 500)]).astype(float)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -64,16 +65,21 @@ class Encoder(dict):
 
     A blank between two other characters, not both of them white space, always starts a new piece of the tokenizer's pattern. Words between such
     blanks can so be encoded one by one. Texts with a blank amid white space are encoded whole.
+
+    ``added``: tokens that stand for one id wherever a text has them; of those that start at one place the longest counts. What is between them
+    is encoded as texts of their own.
     """
 
     BOUND = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in added}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain(text), "<u4").tobytes()
@@ -85,6 +91,11 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.between(text)
+        return b"".join(self.added[part] if k % 2 else self.between(part) for k, part in enumerate(self.marks.split(text)))
+
+    def between(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text) or text[0] == " " or text[-1] == " ":
@@ -93,30 +104,40 @@ class Encoder(dict):
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    """One encoder per worker process, rank file and added tokens."""
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizer's json, which it recognises inside a text, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("only added tokens that are matched as they stand are supported")
+    return tuple((t["content"], t["id"]) for t in found)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, segments long"
 
 
-def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits = Limits(), added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Pieces of all documents in sequences of at most ``limits.tokens`` ids.
 
     A document is cut into whole sequences and a rest. Rests are packed, ``limits.pool`` at a time within a partition, so a task holds
     a bounded number of them and no row is shuffled. A document's piece is one segment; every id of it bears loss. Sequence ids
     hold the partition's number above bit 40. Null and empty texts are the end id alone. Repeated rows are packed each for itself.
+    ``added`` are the tokenizer's tokens beside the rank file; without them their text is encoded like any other.
     """
     limit = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode
+        encode = encoder(ranks, added).encode
         next_id = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4").tobytes()
         pool: list[tuple] = []

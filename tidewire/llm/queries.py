@@ -26,6 +26,13 @@ def tokenizer_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def tokenizer_added() -> tuple[tuple[str, int], ...]:
+    """The added tokens of ``byte_bpe_50k.json``, which the rank file lacks."""
+    import public_tokenizers
+
+    return packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op1_toxicity(spark: SparkSession, path: str) -> DataFrame:
     """A toxicity score of every document."""
@@ -49,7 +56,7 @@ def op7_shard_bytes(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op8_packing(spark: SparkSession, path: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids."""
-    return packing.pack_documents(Tables(spark, path).documents, tokenizer_ranks())
+    return packing.pack_documents(Tables(spark, path).documents, tokenizer_ranks(), added=tokenizer_added())
 
 
 @query
