@@ -10,6 +10,9 @@ from tidewire.llm.common import store
 from tidewire.llm.queries import tokenizer_added, tokenizer_ranks
 from tidewire.tables import Tables
 
+#: Near duplicates here share 80 percent of their shingles. A pair just at the bar is overlooked with a chance of about 1 in 9 million.
+NEAR = neardup.Rule(percent=80, matches=8)
+
 #: What every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id. A repeated row stays once; rows without an id all stay."""
     docs = docs.select(*COLUMNS)
-    dropped = neardup.near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    dropped = neardup.near_duplicates(docs, NEAR).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("doc_id"))
     return kept.withColumn("__turn", turn).filter("doc_id is null or __turn = 1").select(*COLUMNS)

@@ -1,7 +1,9 @@
 """The pipeline's stages against plain Python on a small table with planted cases."""
 
+import random
+
 import pytest
-from brute import hit_words, near_duplicates, secrets
+from brute import hit_words, jaccard, near_duplicates, secrets, shingles
 
 import corpus_pipeline
 from tidewire.tables import Tables
@@ -37,6 +39,23 @@ def test_each_stage_takes_effect(stages, spark, data):
     assert all(("[SECRET]" in mended[i]) if secrets(t)[-1] else mended[i] == t for i, t in fair.items())
 
 
+def test_near_copies_from_80_percent_on_are_dropped(spark, data):
+    rng = random.Random(80)
+    planted, kinds = [], []
+    for i in range(160):
+        n = rng.randrange(60, 140)
+        old = [f"p{i}w{k}" for k in range(n)]
+        new = list(old)
+        for k in range(rng.randrange(1, 4)):
+            new[8 + k * (n - 16) // 3] = f"p{i}new{k}"
+        pair = (2 * i, " ".join(old)), (2 * i + 1, " ".join(new))
+        planted += pair
+        kinds.append(jaccard(*(shingles(t) for _, t in pair)))
+    assert sum(0.8 <= j < 0.85 for j in kinds) >= 20 and sum(0.75 < j < 0.8 for j in kinds) >= 10
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in planted], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert set(rows(corpus_pipeline.drop_near_duplicates(spark, docs, data))) == {i for i, _, root in near_duplicates(planted, percent=80) if i == root}
+
+
 def test_whole_run(spark, data, stages):
     out = corpus_pipeline.run(spark, data).select("doc_id", "length", "doc_tokens").collect()
     total = {}

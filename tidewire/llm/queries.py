@@ -62,7 +62,7 @@ def op8_packing(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
     """Components of documents whose shingle sets agree by 85 percent or more."""
-    return neardup.near_duplicates(Tables(spark, path).documents)
+    return neardup.near_duplicates(Tables(spark, path).documents, neardup.Rule(percent=85))
 
 
 @query
