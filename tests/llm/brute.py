@@ -88,6 +88,32 @@ def bigram_scores(rows, folds=10, additive=0.1, discount=0.75):
     return out
 
 
+def ngram_scores(rows, order, folds=10, additive=0.1, discount=0.75):
+    """As bigram_scores, with contexts of up to ``order`` - 1 tokens, each level interpolated with the one below."""
+    out = bigram_scores(rows, folds, additive, discount)
+    tokens = [["\r", *words(t, True), "\n"] for _, t in rows]
+    ones, after = collections.Counter(), collections.defaultdict(collections.Counter)
+    for w, r in zip(tokens, out, strict=True):
+        if not r[1]:
+            ones.update(w[1:])
+            for p in range(1, len(w)):
+                for n in range(1, min(order - 1, p) + 1):
+                    after[tuple(w[p - n : p])][w[p]] += 1
+    sums = {v: sum(c.values()) for v, c in after.items()}
+    bottom = sum(ones.values()) + additive * (len(ones) + 1)
+    for k, w in enumerate(tokens):
+        score = 0.0
+        for at in range(1, len(w)):
+            p = (ones[w[at]] + additive) / bottom
+            for n in range(1, min(order - 1, at) + 1):
+                v = tuple(w[at - n : at])
+                if v in after:
+                    p = max(after[v][w[at]] - discount, 0) / sums[v] + discount * len(after[v]) / sums[v] * p
+            score += math.log10(p)
+        out[k] = (*out[k][:6], score)
+    return out
+
+
 ASSIGN = re.compile(
     r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import bigram_scores, hit_words, jaccard, near_duplicates, repeats, secrets, shingles
+from brute import bigram_scores, hit_words, jaccard, near_duplicates, ngram_scores, repeats, secrets, shingles
 from pyspark.sql import functions as F
 
 import check_queries
@@ -189,6 +189,23 @@ def test_language_model_scores(small, odd, none):
     assert lm.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_contexts_count_in_the_language_model(small, odd, order):
+    for df in (small, odd):
+        for settings in (lm.Settings(order=order), lm.Settings(order=order, block=500)):
+            got = sorted((tuple(r) for r in lm.score_documents(df, settings).collect()), key=lambda r: (key(r[:5]), r[5]))
+            want = sorted(ngram_scores(pairs(df), order), key=lambda r: (key(r[:5]), r[5]))
+            assert [g[:5] for g in got] == [w[:5] for w in want]
+            assert max(abs(g[6] - w[6]) / w[2] for g, w in zip(got, want, strict=True)) < 0.03  # one byte a probability
+
+
+def test_query_scores_by_trigrams(spark, data, small):
+    got = {r["doc_id"]: r["score"] for r in registered.op5_language_model(spark, data).collect()}
+    want, two = ({r[0]: (r[6], r[2]) for r in f} for f in (ngram_scores(pairs(small), 3), bigram_scores(pairs(small))))
+    assert all(abs(got[i] - s) / n < 0.03 for i, (s, n) in want.items())
+    assert any(abs(got[i] - s) / n > 0.1 for i, (s, n) in two.items())
+
+
 def test_secrets_against_plain_python(small, odd, none):
     for df in (small, odd):
         got = sorted((tuple(r) for r in secret_ops.secret_report(df).collect()), key=key)

@@ -1,6 +1,6 @@
-"""Language-model scores from a word bigram model kept in Elias-Fano tries, one per shard of the contexts.
+"""Language-model scores from a word n-gram model kept in Elias-Fano tries, one per shard of the contexts.
 
-Documents are read in blocks. A block asks each shard for the words and bigrams it has, each once, and adds how often its training
+Documents are read in blocks. A block asks each shard for the words and n-grams it has, each once, and adds how often its training
 documents have them. The shard sums these counts over all blocks, builds its trie and answers every block in the order it asked. With the answers
 the block's documents are scored. So what is shuffled follows the corpus, no task holds the model, and the driver sees two sums.
 """
@@ -30,12 +30,13 @@ _KEY_BITS = 48
 
 @dataclass(frozen=True)
 class Settings:
-    """Additive smoothing of words, absolute discount of bigrams, fold left out of training, tokens in a block."""
+    """Additive smoothing of words, absolute discount of n-grams, fold left out of training, tokens in a block, words of the longest n-grams."""
 
     additive: float = 0.1
     discount: float = 0.75
     folds: int = 10
     block: int = 1_500_000
+    order: int = 2
 
 
 @dataclass
@@ -78,43 +79,86 @@ def blocks(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[Bl
         yield settle()
 
 
+@dataclass
+class Level:
+    """What a block asks of n-grams of one length, in order of the shards: (shard, context) pairs, and n-grams, each at its context's pair.
+
+    ``hashes`` are those of the contexts; ``token_grams`` is the n-gram that ends at each token, -1 where the document is too short for one.
+    """
+
+    hashes: np.ndarray
+    pair_shards: np.ndarray
+    pair_contexts: np.ndarray
+    gram_pairs: np.ndarray
+    gram_words: np.ndarray
+    token_grams: np.ndarray
+
+
 @dataclass
 class Question:
-    """What a block asks, in order of the shards: words; (shard, context) pairs; and bigrams, each at its context's pair."""
+    """What a block asks, in order of the shards: words, and n-grams level by level, from two words on."""
 
     word_order: np.ndarray
     word_shards: np.ndarray
-    pair_shards: np.ndarray
-    pair_words: np.ndarray
-    bigrams: np.ndarray
-    bigram_pairs: np.ndarray
-    bigram_words: np.ndarray
-    token_bigrams: np.ndarray
+    levels: list[Level]
+
+
+def joined(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of contexts that are longer by a word."""
+    return mix(contexts * U(0x9E3779B97F4A7C15) + words)
+
+
+def context_hashes(hashes: np.ndarray, edges: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """Level by level, the hashes of the contexts of all tokens that have one of that length. The first context of a document is START."""
+    place = np.arange(len(hashes)) - np.repeat(edges[:-1], np.diff(edges))
+    context = np.empty_like(hashes)
+    context[1:] = hashes[:-1]
+    context[edges[:-1][np.diff(edges) > 0]] = START
+    for n in range(2, order + 1):
+        yield context[place >= n - 2]
+        context[1:] = joined(context[:-1], hashes[:-1])
 
 
 def ask(block: Block, shards: int, spread: np.ndarray) -> Question:
-    """``spread``: into how many shards the successors of a context go, by the top 16 bits of its hash; frequent ones have several."""
-    words = np.r_[block.words, START]
-    n = len(words)
-    home = (mix(words) % U(shards)).astype(np.int64)
-    ways = spread[(words >> U(48)).astype(np.int64)]
-    salt = mix(words + U(1))
-    word_order = np.argsort(home[:-1], kind="stable")
-    before = np.empty(len(block.tokens), np.int64)
-    before[1:] = block.tokens[:-1]
-    before[block.edges[:-1]] = n - 1
-    keys, token_bigrams = np.unique(before * n + block.tokens, return_inverse=True)
-    v, w = keys // n, keys % n
-    shard = (home[v] + (salt[w] % ways[v].astype(np.uint64)).astype(np.int64)) % shards
-    # A context with several shards asks all of them how often they have seen it.
-    wide = np.flatnonzero((ways > 1) & np.isin(np.arange(n), v))
-    extra_v = np.repeat(wide, ways[wide])
-    turn = np.arange(len(extra_v)) - np.repeat(np.cumsum(ways[wide]) - ways[wide], ways[wide])
-    pairs = np.unique(np.r_[shard * n + v, (home[extra_v] + turn) % shards * n + extra_v])
-    order = np.argsort(shard * n + v, kind="stable")
-    return Question(
-        word_order, home[word_order], pairs // n, pairs % n, keys[order], np.searchsorted(pairs, (shard * n + v)[order]), w[order],
-        np.argsort(order, kind="stable")[token_bigrams])
+    """``spread``: level by level, into how many shards the successors of a context go, by the top 16 bits of its hash; frequent ones have several."""
+    hashes = np.r_[block.words, START]
+    n = len(hashes)
+    home = (mix(block.words) % U(shards)).astype(np.int64)
+    word_order = np.argsort(home, kind="stable")
+    salt = mix(hashes + U(1))
+    place = np.arange(len(block.tokens)) - np.repeat(block.edges[:-1], np.diff(block.edges))
+    context = np.empty(len(block.tokens), np.int64)
+    context[1:] = block.tokens[:-1]
+    context[block.edges[:-1]] = n - 1
+    known, levels = hashes, []
+    for k, ways_of in enumerate(spread):
+        has = np.flatnonzero(place >= k)
+        keys, grams = np.unique(context[has] * n + block.tokens[has], return_inverse=True)
+        v, w = keys // n, keys % n
+        m = len(known)
+        at = (mix(known) % U(shards)).astype(np.int64)
+        ways = ways_of[(known >> U(48)).astype(np.int64)]
+        shard = (at[v] + (salt[w] % ways[v].astype(np.uint64)).astype(np.int64)) % shards
+        # A context with several shards asks all of them how often they have seen it.
+        wide = np.flatnonzero((ways > 1) & (np.bincount(v, minlength=m) > 0))
+        extra_v = np.repeat(wide, ways[wide])
+        turn = np.arange(len(extra_v)) - np.repeat(np.cumsum(ways[wide]) - ways[wide], ways[wide])
+        pairs = np.unique(np.r_[shard * m + v, (at[extra_v] + turn) % shards * m + extra_v])
+        order = np.argsort(shard * m + v, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        token_grams = np.full(len(block.tokens), -1)
+        token_grams[has] = back[grams]
+        levels.append(Level(known, pairs // m, pairs % m, np.searchsorted(pairs, (shard * m + v)[order]), w[order], token_grams))
+        # The n-gram that ends at a token is the next token's context one level up.
+        known = joined(known[v], hashes[w])
+        context[has[has + 1 < len(context)] + 1] = grams[has + 1 < len(context)]
+    return Question(word_order, home[word_order], levels)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -151,29 +195,33 @@ def _shards(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def context_spread(docs: DataFrame, shards: int) -> np.ndarray:
-    """How many shards the successors of a context go to, by the top 16 bits of its hash.
+def context_spread(docs: DataFrame, shards: int, order: int) -> np.ndarray:
+    """Level by level, how many shards the successors of a context go to, by the top 16 bits of its hash.
 
-    Counts of words by these bits are summed over all documents; where a share of all tokens is over a quarter of an even shard, it is split.
+    Contexts are counted by level and these bits over all documents; where a share of a level is over a quarter of an even shard, it is split.
     Each task sends only buckets that may matter, so the driver gets a bounded number of rows a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 16, np.int64)
+        seen = np.zeros((order - 1, 1 << 16), np.int64)
         for batch in batches:
             for part in chunks(batch):
                 raw, offsets = text_bytes(part.column("text"))
-                starts, ends, _ = word_spans(raw, offsets)
-                seen += np.bincount((word_hashes(raw, starts, ends, lower=True) >> U(48)).astype(np.int64), minlength=1 << 16)
-        some = np.flatnonzero(seen > seen.sum() / (8 * shards))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[seen[some], seen.sum()])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    found = {r["bucket"]: r["n"] for r in rows}
-    total = max(1, found.pop(-1, 0))
-    out = np.ones(1 << 16, np.int64)
-    for bucket, n in found.items():
-        out[bucket] = min(shards, max(1, -(-4 * shards * n // total)))
+                starts, ends, edges = word_spans(raw, offsets)
+                hashes, edges = _ended(word_hashes(raw, starts, ends, lower=True), edges)
+                for level, contexts in enumerate(context_hashes(hashes, edges, order)):
+                    seen[level] += np.bincount((contexts >> U(48)).astype(np.int64), minlength=1 << 16)
+        for level, counts in enumerate(seen):
+            some = np.flatnonzero(counts > counts.sum() / (8 * shards))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some) + 1, level)), pa.array(np.r_[some, -1]), pa.array(np.r_[counts[some], counts.sum()])], names=["level", "bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "level long, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n")).collect()
+    totals = {r["level"]: max(1, r["n"]) for r in rows if r["bucket"] < 0}
+    out = np.ones((order - 1, 1 << 16), np.int64)
+    for level, bucket, n in rows:
+        if bucket >= 0:
+            out[level, bucket] = min(shards, max(1, -(-4 * shards * n // totals[level])))
     return out
 
 
@@ -182,57 +230,72 @@ def _block_id(k: int) -> int:
 
 
 def questions(docs: DataFrame, shards: int, spread: np.ndarray, settings: Settings) -> DataFrame:
-    """(shard, block, asked): the words and bigrams of each block, with the counts of its training documents."""
+    """(shard, block, asked): the words and n-grams of each block, with the counts of its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, block in enumerate(blocks(batches, settings)):
             q = ask(block, shards, spread)
             train = np.repeat(block.train, np.diff(block.edges)).astype(float)
-            seen = np.bincount(block.tokens, train, len(block.words)).astype(np.uint32)[q.word_order]
-            twos = np.bincount(q.token_bigrams, train, len(q.bigrams)).astype(np.uint32)
+            seen = np.bincount(block.tokens, train, len(block.words)).astype(np.int64)[q.word_order]
             hashes = np.r_[block.words, START]
-            per_pair = np.bincount(q.bigram_pairs, minlength=len(q.pair_words)).astype(np.uint32)
             each = np.arange(shards + 1)
-            a, b = np.searchsorted(q.word_shards, each), np.searchsorted(q.pair_shards, each)
-            c = np.searchsorted(q.pair_shards[q.bigram_pairs], each)
-            rows = [
-                pack([key_bytes(hashes[q.word_order[a[s] : a[s + 1]]]), seen[a[s] : a[s + 1]], key_bytes(hashes[q.pair_words[b[s] : b[s + 1]]]),
-                      per_pair[b[s] : b[s + 1]], key_bytes(hashes[q.bigram_words[c[s] : c[s + 1]]]), twos[c[s] : c[s + 1]]])
-                for s in range(shards)]
+            a = np.searchsorted(q.word_shards, each)
+            rows = [[key_bytes(block.words[q.word_order[a[s] : a[s + 1]]]), narrow(seen[a[s] : a[s + 1]])] for s in range(shards)]
+            for level in q.levels:
+                there = level.token_grams >= 0
+                grams = np.bincount(level.token_grams[there], train[there], len(level.gram_words)).astype(np.int64)
+                per_pair = np.bincount(level.gram_pairs, minlength=len(level.pair_contexts))
+                b, c = np.searchsorted(level.pair_shards, each), np.searchsorted(level.pair_shards[level.gram_pairs], each)
+                for s in range(shards):
+                    some, number = np.unique(level.gram_words[c[s] : c[s + 1]], return_inverse=True)
+                    rows[s] += [
+                        key_bytes(level.hashes[level.pair_contexts[b[s] : b[s + 1]]]), narrow(per_pair[b[s] : b[s + 1]]), key_bytes(hashes[some]), narrow(number),
+                        narrow(grams[c[s] : c[s + 1]])]
+            rows = [pack(row) for row in rows]
             yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([_block_id(k)] * shards, pa.int64()), pa.array(rows, pa.binary())], names=["shard", "block", "asked"])
 
     return docs.mapInArrow(run, "shard int, block long, asked binary")
 
 
+def _summed(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and counts of the n-grams that training documents have, over all blocks, each once."""
+    context = np.concatenate([np.repeat(keys_of(v), each) for v, each, _, _, _ in parts])
+    word = np.concatenate([keys_of(some)[number] for _, _, some, number, _ in parts])
+    count = np.concatenate([n for _, _, _, _, n in parts])
+    order = np.flatnonzero(count > 0)
+    order = order[np.lexsort([word[order], context[order]])]
+    context, word, count = context[order], word[order], count[order].astype(np.int64)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    first = np.flatnonzero(fresh)
+    return context[first], word[first], np.add.reduceat(count, first) if len(first) else count
+
+
 def answers(asked: DataFrame, settings: Settings) -> DataFrame:
     """(block, shard, told, tokens, kinds): each shard's answers; in the row with a null block its training tokens and their kinds.
 
-    A shard holds what all blocks ask of it: about the corpus divided by the number of shards.
+    A shard holds what all blocks ask of it: about the corpus divided by the number of shards. Each level has a trie of its own, in turn.
     """
 
     def settle(rows: list[tuple[int, bytes]], shard: int) -> Iterator[pa.RecordBatch]:
         parts = [unpack(data) for _, data in rows]
-        words, v_keys, w_keys = (keys_of(np.concatenate([p[i] for p in parts])) for i in (0, 2, 4))
-        word, inverse = np.unique(words, return_inverse=True)
+        word, inverse = np.unique(keys_of(np.concatenate([p[0] for p in parts])), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
-        context = np.repeat(v_keys, np.concatenate([p[3] for p in parts]))
-        order = np.lexsort([w_keys, context])
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(context[order]) != 0) | (np.diff(w_keys[order]) != 0)
-        first = np.flatnonzero(fresh)
-        twos = np.add.reduceat(np.concatenate([p[5] for p in parts])[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        kept = order[first][twos > 0]
-        with tempfile.TemporaryDirectory() as folder:
-            trie = Trie.build(folder, context[kept], w_keys[kept], twos[twos > 0], settings.discount, 1 << _KEY_BITS)
-            del order, fresh, first, kept, context
-            at = 0
-            for (block, _), p in zip(rows, parts, strict=True):
-                n = len(p[1])
-                number, seen, kinds = trie.context(keys_of(p[2]))
-                codes = trie.probability_codes(np.repeat(number, p[3]), keys_of(p[4]))
-                told = pack([counts[inverse[at : at + n]], seen, kinds, codes])
-                at += n
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([told]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
+        told, at = [], 0
+        for p in parts:
+            told.append([narrow(counts[inverse[at : at + len(p[1])]])])
+            at += len(p[1])
+        for level in range(settings.order - 1):
+            # contexts, n-grams of each, distinct words, each n-gram's word among these, its count in training
+            mine = [p[2 + 5 * level : 7 + 5 * level] for p in parts]
+            with tempfile.TemporaryDirectory() as folder:
+                trie = Trie.build(folder, *_summed(mine), settings.discount, 1 << _KEY_BITS)
+                for out, (v, each, some, number, _) in zip(told, mine, strict=True):
+                    context, seen, kinds = trie.context(keys_of(v))
+                    codes = trie.probability_codes(np.repeat(context, each), keys_of(some)[number])
+                    out += [narrow(seen), narrow(kinds), codes]
+        for (block, _), out in zip(rows, told, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack(out)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, pa.int64()), pa.array([shard], pa.int32()), pa.nulls(1, pa.binary()), pa.array([int(counts.sum())]), pa.array([int((counts > 0).sum())])], names=names)
 
@@ -270,14 +333,16 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Training documents are those whose id's remainder is not 0. ``base_score`` is exact. ``score`` sums log10 of
-    p(w | v) = a(v, w) + discount * kinds(v) / seen(v) * p(w), where a is the quantised discounted share of w after v, and p(w) the smoothed
-    share of w that ``base_score`` uses; after a context that training has not, p(w). Null and empty texts are the end token alone.
+    p(w | v) = a(v, w) + discount * kinds(v) / seen(v) * p(w | v'), where v is the ``order`` - 1 tokens before w (fewer at a document's start), v' is v
+    without its first, and a is the quantised discounted share of w after v; after no token at all p(w) is the smoothed
+    share of w that ``base_score`` uses; after a context v that training has not, p(w | v'). Null and empty texts are the end token alone.
     ``docs`` is read more than once and must have the same partitions each time, as the scan of a table has; a block whose question
     and answers don't fit together stops the job.
     """
-    shards = _shards(docs)
+    shards = _shards(docs) * (2 * settings.order - 3)  # longer n-grams repeat less, so a shard would hold more of them; a task settles its shards in turn
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), settings.folds) != 0).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    spread = context_spread(rows, shards)
+    spread = context_spread(rows, shards, settings.order)
+    again = "the documents had other partitions when they were read again; store() them first"
     told = store(answers(questions(rows, shards, spread, settings), settings), "lm-answers")
     total, kinds = told.filter("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     bottom = total + settings.additive * (kinds + 1)
@@ -290,19 +355,27 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
                 block = Block(ids, train, words, tokens.astype(np.int64), edges)
                 q = ask(block, shards, spread)
                 parts = [unpack(s["told"].as_py()) for s in sent.values]
-                counts, seen, kinds_of, codes = (np.concatenate([p[i] for p in parts]) for i in range(4))
-                if (len(counts), len(seen), len(codes)) != (len(words), len(q.pair_words), len(q.bigrams)):
-                    raise ValueError("the documents had other partitions when they were read again; store() them first")
+                if len({len(p) for p in parts}) > 1 or sum(len(p[0]) for p in parts) != len(words):
+                    raise ValueError(again)
+                counts = np.concatenate([p[0] for p in parts])
                 known = np.zeros(len(words), np.int64)
                 known[q.word_order] = counts
                 single = (known + settings.additive) / bottom
-                context_seen = np.bincount(q.pair_words, seen, len(words) + 1)
-                context_kinds = np.bincount(q.pair_words, kinds_of, len(words) + 1)
-                v = q.pair_words[q.bigram_pairs]
-                whole = np.maximum(context_seen[v], 1)
-                p = dequantise(codes) * seen[q.bigram_pairs] / whole + settings.discount * context_kinds[v] / whole * single[q.bigram_words]
-                p = np.where(context_seen[v] > 0, p, single[q.bigram_words])
-                score = np.add.reduceat(np.log10(p)[q.token_bigrams], edges[:-1])
+                p = single[block.tokens]
+                for k, level in enumerate(q.levels):
+                    seen, kinds_of, codes = (np.concatenate([x[1 + 3 * k + i] for x in parts]) for i in range(3))
+                    if (len(seen), len(codes)) != (len(level.pair_contexts), len(level.gram_words)):
+                        raise ValueError(again)
+                    context_seen = np.bincount(level.pair_contexts, seen, len(level.hashes))
+                    context_kinds = np.bincount(level.pair_contexts, kinds_of, len(level.hashes))
+                    v = level.pair_contexts[level.gram_pairs]
+                    whole = np.maximum(context_seen[v], 1)
+                    own = dequantise(codes) * seen[level.gram_pairs] / whole
+                    rest = np.where(context_seen[v] > 0, settings.discount * context_kinds[v] / whole, 1.0)
+                    there = level.token_grams >= 0
+                    at = level.token_grams[there]
+                    p[there] = own[at] + rest[at] * p[there]
+                score = np.add.reduceat(np.log10(p), edges[:-1])
                 base = np.add.reduceat(np.log10(single)[block.tokens], edges[:-1])
                 n_known = np.add.reduceat((known > 0).astype(np.int64)[block.tokens], edges[:-1])
                 yield pa.RecordBatch.from_arrays(

@@ -115,8 +115,8 @@ def op3_secrets(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def op5_language_model(spark: SparkSession, path: str) -> DataFrame:
-    """Language-model scores of all documents."""
-    return lm.score_documents(Tables(spark, path).documents)
+    """Language-model scores of all documents by a trigram model."""
+    return lm.score_documents(Tables(spark, path).documents, lm.Settings(order=3))
 
 
 SQL["op6_repeats"] = r"""
