@@ -260,6 +260,22 @@ def test_classifiers_on_odd_rows(odd, none, labels):
         assert sorted(rows, key=key) == sorted(again, key=key)
 
 
+def test_short_texts_alone_in_a_batch(spark):
+    """Texts of 0 to 6 characters and null, each alone in its partition."""
+    texts = [None, *("abcdef"[:n] for n in range(7))]
+    model = toxicity.Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
+    for text in ("abcdef"[:n] for n in range(7)):
+        owner, bucket = toxicity.present([text])
+        assert len(bucket) == sum(max(0, len(text) + 3 - n) for n in toxicity.ORDERS)
+    lone = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(len(texts), "doc_id")
+    assert [r["score"] for r in toxicity.score_documents(lone, model).collect()] == [0.5] * len(texts)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    runs = [
+        toxicity.toxicity(lone, labels), quality.quality(lone, labels), fingerprints.edited_fingerprints(lone), lm.score_documents(lone),
+        substrings.remove_repeats(lone), neardup.near_duplicates(lone), packing.pack_documents(lone, registered.tokenizer_ranks())]
+    assert all({r["doc_id"] for r in run.collect()} == set(range(len(texts))) for run in runs)
+
+
 @pytest.mark.parametrize("name", sorted(registered.SQL))
 def test_query_matches_sql(spark, data, name):
     import duckdb

@@ -31,7 +31,7 @@ def test_each_stage_takes_effect(stages, spark, data):
     docs, clean, single, fair, mended = map(rows, stages)
     bad = ("idiot", "scum", "pathetic")
     assert sum(any(w in t.lower() for w in bad) for t in clean.values()) <= 0.1 * sum(any(w in t.lower() for w in bad) for t in docs.values()) + 1
-    want = {i for i, _, root in near_duplicates(list(clean.items())) if i == root}
+    want = {i for i, _, root in near_duplicates(list(clean.items()), percent=80) if i == root}
     assert set(single) == want
     items = [tuple(r) for r in Tables(spark, data).benchmark.select("item_id", "text").collect()]
     assert set(fair) == {i for i, t in single.items() if not hit_words(t, items)[1]}

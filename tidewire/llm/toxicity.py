@@ -39,7 +39,7 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...] = ORDERS) -> Iterato
     h = np.zeros(len(codes), np.uint32)
     for n in range(1, max(orders) + 1):
         step = np.zeros(len(codes), np.uint32)
-        step[: len(codes) - n + 1] = codes[n - 1 :]
+        step[: max(0, len(codes) - n + 1)] = codes[n - 1 :]
         h = (h + step + np.uint32(1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in orders:
@@ -127,14 +127,15 @@ def minimise(value_and_slope, x: np.ndarray, rounds: int, memory: int = 8) -> np
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit: Fit = Fit()) -> Model:
     """Learn from the labelled training documents.
 
-    The sampled label rows have a bound, so they are broadcast and no text is shuffled. Document counts of n-grams are summed in Spark, and
+    The sampled label rows have a bound, so they are broadcast and only the sampled texts are shuffled. Of an id's labels the greatest
+    counts, and of its texts the least, so repeated rows don't raise the bound. Document counts of n-grams are summed in Spark, and
     the most telling buckets (by chi-square) are kept. Each kept n-gram is a feature worth its log-count ratio; ridge logistic
     weights over them are found on the driver, whose data ``sample`` and ``features`` bound. Without both classes the model
     is the share of ones (one half without any label).
     """
     chosen = sample_labels(labels, label, fit.sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
-    texts = store(texts, "toxicity-sample")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = store(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "toxicity-sample")
     sums = texts.groupBy("y").count().collect()
     n = {int(r["y"] > 0): 0 for r in sums} | {0: 0, 1: 0}
     for r in sums:
