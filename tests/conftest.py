@@ -20,8 +20,3 @@ def spark():
 @pytest.fixture(scope="session")
 def data():
     return DATA
-
-
-def rows(df, *cols):
-    picked = df.select(*cols) if cols else df
-    return sorted([tuple(r) for r in picked.collect()], key=lambda t: tuple((v is None, str(v)) for v in t))

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tablerows import rows
 from tidewire.operators import graph, quantiles, timeseries as T
 from tidewire.plans import maintenance as M
 from tidewire.sources import files as S, textjobs as X

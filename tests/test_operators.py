@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from tablerows import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

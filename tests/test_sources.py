@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from tablerows import rows
 from pyspark.sql import functions as F
 
 from tidewire.sources import exposition as X

@@ -3,7 +3,7 @@ import random
 import uuid
 
 import pytest
-from conftest import rows
+from tablerows import rows
 from pyspark.sql import functions as F
 
 from tidewire.plans.maintenance import BatchLog, Store, reconcile
