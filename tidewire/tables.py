@@ -24,6 +24,7 @@ SCHEMAS = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "pages": "page_id BIGINT, url STRING, html STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
     "labels": "doc_id BIGINT, quality INT, toxic INT",
     "benchmark": "item_id BIGINT, text STRING",
 }
