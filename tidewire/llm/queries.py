@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, fingerprints, lm, neardup, packing, quality, secrets, shards, substrings, toxicity
+from tidewire.llm import ann, decontaminate, fingerprints, lm, merkle, neardup, packing, quality, secrets, shards, spelling, substrings, toxicity
 from tidewire.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,90 @@ g as (
   from told group by doc_id)
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g using (doc_id)"""
+
+
+@query
+def op11_nearest_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector id."""
+    vectors = Tables(spark, path).embeddings
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, path: str) -> DataFrame:
+    """All words with their more frequent spelling, one edit away."""
+    return spelling.variants(Tables(spark, path).documents)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Every document's place in the Merkle trees of the sources, and whether a tampered copy is noticed."""
+    return merkle.document_manifest(Tables(spark, path).documents)
+
+
+# crc32 of a text by its bytes: the table of 256 remainders follows from the polynomial 0xEDB88320
+_CRC_TABLE = "(select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b::bigint)) as crc_table)"
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes; needs a column crc_table."""
+    bytes_ = f"list_transform(range(1, 1 + octet_length(encode({text}))), lambda p: ('0x' || substr(hex(encode({text})), (2 * p - 1)::int, 2))::bigint)"
+    return f"xor(4294967295, list_reduce({bytes_}, lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)]), 4294967295::bigint))"
+
+
+SQL["op13_merkle_manifest"] = rf"""
+with recursive f as (
+  select doc_id, source, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as head, text,
+    case when {_crc32("coalesce(doc_id::varchar, '')")} % 2 = 0 then replace(text, chr(10), '') else text end as other
+  from documents, {_CRC_TABLE}),
+leaves as (
+  select doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf, sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) as changed from f),
+l as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from leaves),
+low as (
+  select 0 as lvl, source, i, leaf as h, count(*) over (partition by source) as n from l
+  union all
+  select lvl + 1, source, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from low where n > 1 group by lvl, source, i // 3),
+sub as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as i from low where n = 1),
+high as (
+  select 0 as lvl, i, subroot as h, count(*) over () as n from sub
+  union all
+  select lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from high where n > 1 group by lvl, i // 3),
+steps as (
+  select l.source, l.i, low.lvl, coalesce(string_agg(low.h, '' order by low.i) filter (where low.i < l.i // (3 ** low.lvl)::bigint), '') as a,
+    coalesce(string_agg(low.h, '' order by low.i) filter (where low.i > l.i // (3 ** low.lvl)::bigint), '') as b
+  from l join low on low.source is not distinct from l.source and low.n > 1 and low.i // 3 = l.i // (3 ** (low.lvl + 1))::bigint group by all
+  union all
+  select l.source, l.i, 1000 + high.lvl, coalesce(string_agg(high.h, '' order by high.i) filter (where high.i < sub.i // (3 ** high.lvl)::bigint), ''),
+    coalesce(string_agg(high.h, '' order by high.i) filter (where high.i > sub.i // (3 ** high.lvl)::bigint), '')
+  from l join sub on sub.source is not distinct from l.source join high on high.n > 1 and high.i // 3 = sub.i // (3 ** (high.lvl + 1))::bigint group by all),
+paths as (select source, i, list({{'a': a, 'b': b}} order by lvl) as p, sha256(string_agg(a || b, '' order by lvl)) as proof from steps group by source, i),
+done as (
+  select l.*, subroot, (select h from high where n = 1) as root, coalesce(proof, sha256('')) as proof, coalesce(p, []) as p
+  from l join sub on sub.source is not distinct from l.source left join paths on paths.source is not distinct from l.source and paths.i = l.i),
+fold as (
+  select source, i, 1 as k, changed as h, p from done
+  union all
+  select source, i, k + 1, sha256(p[k].a || h || p[k].b), p from fold where k <= len(p))
+select doc_id, leaf, subroot, root, proof as proof_sha256, fold.h as folded_root, fold.h = root as verified
+from done join fold on fold.source is not distinct from done.source and fold.i = done.i and fold.k = len(fold.p) + 1"""
+
+SQL["op12_spelling_variants"] = rf"""
+with recursive runs as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents)
+  group by all),
+hashed as (select run, n, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from runs, {_CRC_TABLE} where length(run) >= 5),
+words as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, k, substr(word, 1, k) || substr(word, k + 2) as rest from (select word, unnest(range(0, length(word)))::int as k from words)),
+near as (
+  select a.word as x, b.word as y from cut a join cut b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+  union select cut.word, words.word from cut join words on cut.rest = words.word
+  union select words.word, cut.word from cut join words on cut.rest = words.word),
+best as (select x as word, count(*) as n_near, max(n) as top, arg_min(y, (-n, encode(y))) as y from near join words on words.word = y group by x),
+forms as (select words.word, n, coalesce(n_near, 0) as n_near, case when top >= 2 * n then y end as form, case when top >= 2 * n then top end as form_n from words left join best using (word)),
+walk as (select word as first, word, form from forms union all select first, forms.word, forms.form from walk join forms on forms.word = walk.form)
+select forms.word, forms.form, walk.word as root, n, n_near, form_n from forms join walk on walk.first = forms.word and walk.form is null"""
