@@ -303,3 +303,66 @@ def test_no_cartesian_and_pushed_filters(spark, data):
         assert "CartesianProduct" not in plan, name
     plan = catalog.queries()["t05_avg_over_time"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(ts" in plan and "LessThanOrEqual(ts" in plan
+
+
+def plausible_flows(seed, n=700):
+    """Flows with gaps, late and repeated packets, single outliers, turns of the counter and restarts."""
+    rnd, flows = random.Random(seed), {}
+    for f in range(6):
+        s, seqs = rnd.randrange(65536), []
+        for _ in range(n):
+            s += 1 if rnd.random() < 0.97 else rnd.randrange(2, 900)
+            x = rnd.random()
+            if x < 0.02:
+                seqs.append((s + rnd.randrange(5000, 60000)) % 65536)
+            elif x < 0.06:
+                seqs.append((s - rnd.randrange(0, 20)) % 65536)
+            else:
+                if f % 2 and x > 0.998:
+                    s += 30000
+                seqs.append(s % 65536)
+        flows[f"f{f}"] = seqs
+    return flows
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_windows_give_the_state_machines_result(spark, monkeypatch, heavy):
+    flows = plausible_flows(5)
+    walked = []
+    plain = R._walked
+    monkeypatch.setattr(R, "_walked", lambda rows_, *a: walked.extend(r[0] for r in rows_.select("flow").distinct().collect()) or plain(rows_, *a))
+    if heavy:  # some keys are heavy, the others stay in plain windows
+        monkeypatch.setattr(blocked, "SMALL_BYTES", -1)
+        monkeypatch.setattr(blocked, "HEAVY_KEY_ROWS", 650)
+        flows = {"f0": flows["f0"], "f2": flows["f2"][:300]}
+    d = R.sequence_scan(packet_frame(spark, flows).repartition(5), ["flow"])
+    got = rows(d, "flow", "pkt_no", "seq_class", "lost_change", "ext_seq", "progressed")
+    want = [(f, i, *r) for f, seqs in flows.items() for i, r in enumerate(R._walk(seqs, (None,) * 5)[0])]
+    assert got == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+    assert not {"f0", "f2", "f4"} & set(walked)  # flows without restarts need no Python
+
+
+def test_regular_flow_has_no_python_in_its_plan(spark):
+    d = R.sequence_scan(packet_frame(spark, {"a": [(65500 + i) % 65536 for i in range(200)], "b": [1, 2, 4, 3, 3, 5]}), ["flow"])
+    plan = d._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    assert R.sequence_stats(d, ["flow"]).filter("flow = 'b'").first()["out_of_order_packets"] == 1
+
+
+def test_only_heavy_keys_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "SMALL_BYTES", -1)
+    monkeypatch.setattr(blocked, "HEAVY_KEY_ROWS", 100)
+    ranged = []
+    cut = blocked.in_ranges
+    monkeypatch.setattr(blocked, "in_ranges", lambda df, cols: ranged.extend({r[0] for r in df.select("k").collect()}) or cut(df, cols))
+    data = [(i, None if i % 7 == 0 else "hot" if i % 2 else f"k{i % 5}", i % 50, float(i % 11)) for i in range(400)]
+    d = spark.createDataFrame(data, "id long, k string, t int, v double").repartition(4)
+    got = blocked.scan(d, ["k"], blocked.Order("t", ("id",)), lag={"before": "v"}, peak_before={"top": "v"}, running={"sum": "v"}, number="n", total="all")
+    want = []
+    for k in {r[1] for r in data}:
+        mine = sorted((t, i, v) for i, key, t, v in data if key == k)
+        for n, (t, i, v) in enumerate(mine):
+            before = [x[2] for x in mine[:n]]
+            want.append((i, before[-1] if before else None, max(before) if before else None, sum(before) + v, n + 1, len(mine)))
+    assert sorted(map(tuple, got.select("id", "before", "top", "sum", "n", "all").collect())) == sorted(want)
+    assert set(ranged) == {"hot"}

@@ -1,9 +1,9 @@
 """Ordered per-key computations, also for keys that are too large for one task.
 
-Most keys have few rows: then a plain window partitioned by the key does, with one shuffle. If a count finds a key beyond ``HEAVY_KEY_ROWS``,
-the rows are dealt out by ranges of key and order and written once. A range is a block: it holds about equal numbers of rows whatever the key,
-and rows with equal leading values are split by the tie-breaking columns. Windows run inside (key, block); a summary with one row per (key,
-block), prefix-summed per key, carries totals and last values across borders. Both ways give the same result.
+Most keys have few rows: then a plain window partitioned by the key does, with one shuffle. If a count finds keys beyond ``HEAVY_KEY_ROWS``, the
+rows of these keys alone are dealt out by ranges of key and order and written once; all other keys stay in the plain window. A range is a block: it holds
+about equal numbers of rows whatever the key, and rows with equal leading values are split by the tie-breaking columns. Windows run inside (key,
+block); a summary with one row per (key, block), prefix-summed per key, carries totals and last values across borders. Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -40,12 +40,28 @@ class Order:
         return F.struct(self.col, *self.ties)
 
 
-def has_heavy_key(df: DataFrame, by: list[str]) -> bool:
-    """Whether some key has more rows than one task should sort."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
-        return False
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HEAVY_KEY_ROWS)
-    return counts.limit(1).count() > 0
+def heavy_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
+    """The keys with more rows than one task should sort, written once; None if there are none. At most rows / ``HEAVY_KEY_ROWS`` keys."""
+    try:
+        small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    except ValueError:  # an estimate of thousands of digits: joins multiply it
+        small = False
+    if small:
+        return None
+    found = checkpointed(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY_KEY_ROWS).drop("_n"))
+    return found if found.limit(1).count() else None
+
+
+def split_heavy(df: DataFrame, by: list[str], known: DataFrame | None = ...) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of heavy ones (None if there are none). The list of heavy keys is short by its definition, so it is broadcast.
+
+    ``known`` is that list (None: there are none), where an earlier count over the same rows has found it.
+    """
+    keys = heavy_keys(df, by) if known is ... else known
+    if keys is None:
+        return df, None
+    marked = join_back(df, F.broadcast(keys.withColumn("_heavy", F.lit(True))), by)
+    return marked.filter(F.col("_heavy").isNull()).drop("_heavy"), marked.filter("_heavy").drop("_heavy")
 
 
 def in_ranges(df: DataFrame, columns: list[Column | str]) -> DataFrame:
@@ -72,69 +88,97 @@ def scan(
     lag: dict[str, str] | None = None,
     ffill: dict[str, str] | None = None,
     ffill_before: dict[str, str] | None = None,
+    peak_before: dict[str, str] | None = None,
     running: dict[str, str] | None = None,
     number: str | None = None,
     total: str | None = None,
+    heavy: DataFrame | None = ...,
 ) -> DataFrame:
-    """Add ordered per-key columns.
+    """Add ordered per-key columns. ``heavy`` lists the heavy keys if they are known; see ``split_heavy``.
 
     lag            value of the previous row
     ffill          last non-null value up to and including the row
     ffill_before   last non-null value before the row
+    peak_before    greatest value before the row
     running        running sum including the row
     number, total  1-based row number; rows in the key
     """
-    lag, ffill, ffill_before, running = lag or {}, ffill or {}, ffill_before or {}, running or {}
-    if (order.desc or any(t.startswith("-") for t in order.ties)) and (lag or ffill or ffill_before):
+    want = _Wanted(lag or {}, ffill or {}, ffill_before or {}, peak_before or {}, running or {}, number, total)
+    if (order.desc or any(t.startswith("-") for t in order.ties)) and (want.lag or want.ffill or want.ffill_before):
         raise ValueError("carried values need an ascending order")
-    heavy = has_heavy_key(df, by)
-    keyed = in_ranges(df, [*by, *order.columns()]) if heavy else df
-    keys = [*by, *(["_blk"] if heavy else [])]
-    here = Window.partitionBy(*keys).orderBy(*order.columns())
-    upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-
-    local = [F.row_number().over(here).alias("_rn")]
-    local += [F.sum(src).over(upto).alias(f"_ws_{o}") for o, src in running.items()]
-    local += [F.lag(src).over(here).alias(f"_wl_{o}") for o, src in lag.items()]
-    local += [F.last(src, ignorenulls=True).over(upto).alias(f"_wf_{o}") for o, src in ffill.items()]
-    local += [F.last(src, ignorenulls=True).over(before).alias(f"_wf_{o}") for o, src in ffill_before.items()]
-    if not heavy:
-        if total:
-            local.append(F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(total))
-        final = [F.col(c) for c in df.columns]
-        final += [F.col(f"_wl_{o}").alias(o) for o in lag] + [F.col(f"_wf_{o}").alias(o) for o in {**ffill, **ffill_before}]
-        final += [F.coalesce(F.col(f"_ws_{o}"), F.lit(0)).alias(o) for o in running]
-        final += [F.col("_rn").cast("long").alias(number)] if number else []
-        final += [F.col(total)] if total else []
-        return df.select("*", *local).select(*final)
+    plain, large = split_heavy(df, by, heavy)
+    out = _in_windows(plain, by, order, want)
+    return out if large is None else out.unionByName(_over_ranges(large, by, order, want))
 
+
+@dataclass(frozen=True)
+class _Wanted:
+    """The columns that a scan adds."""
+
+    lag: dict[str, str]
+    ffill: dict[str, str]
+    ffill_before: dict[str, str]
+    peak_before: dict[str, str]
+    running: dict[str, str]
+    number: str | None
+    total: str | None
+
+    def local(self, keys: list[str], order: Order) -> list[Column]:
+        """Windows over the rows of ``keys``."""
+        here = Window.partitionBy(*keys).orderBy(*order.columns())
+        upto = here.rowsBetween(Window.unboundedPreceding, 0)
+        before = here.rowsBetween(Window.unboundedPreceding, -1)
+        out = [F.row_number().over(here).alias("_rn")]
+        out += [F.sum(src).over(upto).alias(f"_ws_{o}") for o, src in self.running.items()]
+        out += [F.lag(src).over(here).alias(f"_wl_{o}") for o, src in self.lag.items()]
+        out += [F.last(src, ignorenulls=True).over(upto).alias(f"_wf_{o}") for o, src in self.ffill.items()]
+        out += [F.last(src, ignorenulls=True).over(before).alias(f"_wf_{o}") for o, src in self.ffill_before.items()]
+        return out + [F.max(src).over(before).alias(f"_wp_{o}") for o, src in self.peak_before.items()]
+
+
+def _in_windows(df: DataFrame, by: list[str], order: Order, want: _Wanted) -> DataFrame:
+    """Each key in one window."""
+    local = want.local(by, order)
+    if want.total:
+        local.append(F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(want.total))
+    final = [F.col(c) for c in df.columns]
+    final += [F.col(f"_wl_{o}").alias(o) for o in want.lag] + [F.col(f"_wf_{o}").alias(o) for o in {**want.ffill, **want.ffill_before}]
+    final += [F.col(f"_wp_{o}").alias(o) for o in want.peak_before]
+    final += [F.coalesce(F.col(f"_ws_{o}"), F.lit(0)).alias(o) for o in want.running]
+    final += [F.col("_rn").cast("long").alias(want.number)] if want.number else []
+    final += [F.col(want.total)] if want.total else []
+    return df.select("*", *local).select(*final)
+
+
+def _over_ranges(df: DataFrame, by: list[str], order: Order, want: _Wanted) -> DataFrame:
+    """Each key in ranges of rows, with what the ranges before it hand on."""
+    keyed = in_ranges(df, [*by, *order.columns()])
+    keys = [*by, "_blk"]
+    filled = {**want.ffill, **want.ffill_before}
     aggs = [F.count(F.lit(1)).alias("_n")]
-    for out, src in running.items():
-        aggs.append(F.sum(src).alias(f"_s_{out}"))
-    for out, src in lag.items():
-        aggs.append(F.max_by(F.struct(F.col(src).alias("v")), order.key()).alias(f"_l_{out}"))
-    for out, src in {**ffill, **ffill_before}.items():
-        aggs.append(F.max_by(src, F.when(F.col(src).isNotNull(), order.key())).alias(f"_f_{out}"))
+    aggs += [F.sum(src).alias(f"_s_{o}") for o, src in want.running.items()]
+    aggs += [F.max_by(F.struct(F.col(src).alias("v")), order.key()).alias(f"_l_{o}") for o, src in want.lag.items()]
+    aggs += [F.max_by(src, F.when(F.col(src).isNotNull(), order.key())).alias(f"_f_{o}") for o, src in filled.items()]
+    aggs += [F.max(src).alias(f"_p_{o}") for o, src in want.peak_before.items()]
     summary = keyed.groupBy(*keys).agg(*aggs)
     along = Window.partitionBy(*by).orderBy("_blk")
     prior = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_c_n")]
-    if total:
-        carried.append(F.sum("_n").over(Window.partitionBy(*by)).alias(total))
-    carried += [F.coalesce(F.sum(f"_s_{o}").over(prior), F.lit(0)).alias(f"_cs_{o}") for o in running]
-    carried += [F.lag(f"_l_{o}").over(along).alias(f"_cl_{o}") for o in lag]
-    carried += [F.last(f"_f_{o}", ignorenulls=True).over(prior).alias(f"_cf_{o}") for o in {**ffill, **ffill_before}]
-    summary = summary.select(*keys, *carried)
-
-    out = join_back(keyed.select("*", *local), summary, keys)
+    if want.total:
+        carried.append(F.sum("_n").over(Window.partitionBy(*by)).alias(want.total))
+    carried += [F.coalesce(F.sum(f"_s_{o}").over(prior), F.lit(0)).alias(f"_cs_{o}") for o in want.running]
+    carried += [F.lag(f"_l_{o}").over(along).alias(f"_cl_{o}") for o in want.lag]
+    carried += [F.last(f"_f_{o}", ignorenulls=True).over(prior).alias(f"_cf_{o}") for o in filled]
+    carried += [F.max(f"_p_{o}").over(prior).alias(f"_cp_{o}") for o in want.peak_before]
+    out = join_back(keyed.select("*", *want.local(keys, order)), summary.select(*keys, *carried), keys)
 
     final = [F.col(c) for c in df.columns]
-    final += [F.when(F.col("_rn") > 1, F.col(f"_wl_{o}")).otherwise(F.col(f"_cl_{o}.v")).alias(o) for o in lag]
-    final += [F.coalesce(f"_wf_{o}", f"_cf_{o}").alias(o) for o in {**ffill, **ffill_before}]
-    final += [(F.coalesce(F.col(f"_ws_{o}"), F.lit(0)) + F.col(f"_cs_{o}")).alias(o) for o in running]
-    if number:
-        final.append((F.col("_rn") + F.col("_c_n")).alias(number))
-    if total:
-        final.append(F.col(total))
+    final += [F.when(F.col("_rn") > 1, F.col(f"_wl_{o}")).otherwise(F.col(f"_cl_{o}.v")).alias(o) for o in want.lag]
+    final += [F.coalesce(f"_wf_{o}", f"_cf_{o}").alias(o) for o in filled]
+    final += [F.greatest(f"_wp_{o}", f"_cp_{o}").alias(o) for o in want.peak_before]
+    final += [(F.coalesce(F.col(f"_ws_{o}"), F.lit(0)) + F.col(f"_cs_{o}")).alias(o) for o in want.running]
+    if want.number:
+        final.append((F.col("_rn") + F.col("_c_n")).alias(want.number))
+    if want.total:
+        final.append(F.col(want.total))
     return out.select(*final)

@@ -6,15 +6,19 @@ header was seen. A flow is the 4-tuple of a capture, a candidate the flow with
 its ssrc and payload type.
 
 Gaps, timestamp deltas and jitter are windows and sums. Sequence accounting is a
-state machine; it runs over numbered blocks of a flow, each with the state that
-the block before it left. Blocks start from a guess and are repeated only while
-their incoming state changes, so long flows spread over tasks and the result is
-exact.
+state machine, whose state before a packet is a few running figures if one knows
+which packets it accepted: the greatest number so far, the start of the segment
+and the last ignored packet. So packets get labels from a look at their
+neighbours, windows carry the figures, and each label is checked against what
+the state machine says. Labels that agree throughout are its exact result; wrong
+ones are mended and checked again. Flows that are mostly noise, whose labels
+don't settle in a few rounds, are walked block by block in Python.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.predicates import is_future
 from tidewire.functions.scalars import direction, mac_hex, role_for
 from tidewire.operators.aggregates import count_where, mode_first
-from tidewire.operators.blocked import Order, join_back, scan
+from tidewire.operators.blocked import Order, heavy_keys, join_back, scan
 from tidewire.operators.quantiles import percentiles
 from tidewire.session import checkpointed
 
@@ -156,20 +160,139 @@ def _state_in(states: pd.DataFrame):
     return num(r["highest"]), num(r["bad"]), num(r["first"]), r["seen"], num(r["forward"])
 
 
-def sequence_scan(packets: DataFrame, keys: list[str] = CANDIDATE, order: Order = ORDER, block_packets: int = 65536) -> DataFrame:
+def _wrapped(difference: Column) -> Column:
+    """A difference of two 16-bit numbers, moved by one turn if it is more than half a turn."""
+    return F.when(difference < -REACH, difference + SEQ_MOD).when(difference > REACH, difference - SEQ_MOD).otherwise(difference)
+
+
+def _guessed(slim: DataFrame, keys: list[str]) -> DataFrame:
+    """First labels: a packet goes on from most of the five before it, or is ignored. Blocks are short of neighbours at their borders, which only costs a mended label."""
+    near = Window.partitionBy(*keys, "_blk").orderBy("_no")
+    steps = [_wrapped(F.col("seq") - F.lag("seq", k).over(near)) for k in range(1, 6)]
+    told = F.filter(F.array(*steps), lambda d: d.isNotNull())
+    good = F.size(F.filter(told, lambda d: (d >= -MAX_MISORDER) & (d <= MAX_DROPOUT)))
+    label = F.when(F.col("_no") == 1, FIRST).when(2 * good >= F.size(told), FORWARD).otherwise(IGNORED)
+    return slim.withColumn("_label", label)
+
+
+def _judged(labelled: DataFrame, keys: list[str], heavy: DataFrame | None) -> DataFrame:
+    """What the state machine says of each packet (seq_class, lost_change, ext_seq), if all packets before it have the right labels; ``_at`` numbers its segment."""
+    c = F.col
+    order = Order("_no")
+    starts, line = c("_label").isin(FIRST, RESTART), c("_label").isin(FIRST, FORWARD, MISORDER, RESTART)
+    d = labelled.withColumns({
+        "_line": F.when(line, c("seq")), "_mark": F.when(c("_label") == IGNORED, (c("seq") + 1) % SEQ_MOD).when(line, -1), "_start": starts.cast("int")})
+    d = scan(d, keys, order, ffill_before={"_pl": "_line", "_bad": "_mark"}, heavy=heavy)
+    d = d.withColumn("_step", F.when(line & ~starts, _wrapped(c("seq") - c("_pl"))).otherwise(0))
+    d = scan(d, keys, order, running={"_run": "_step", "_seg": "_start"}, heavy=heavy)
+    d = d.withColumns({"_base0": F.when(starts, c("seq") - c("_run")), "_first0": F.when(starts, c("seq"))})
+    d = scan(d, keys, order, ffill={"_base": "_base0"}, ffill_before={"_first": "_first0"}, heavy=heavy)
+    d = d.withColumn("_peak", F.when(line, F.struct(c("_seg").alias("seg"), (c("_base") + c("_run")).alias("ext"))))
+    d = scan(d, keys, order, peak_before={"_high": "_peak"}, heavy=heavy)
+    diff = _wrapped(c("seq") - F.pmod("_high.ext", F.lit(SEQ_MOD)))
+    d = d.select(*labelled.columns, "_bad", "_first", c("_high.seg").alias("_at"), diff.alias("_diff"), F.coalesce(c("_high.ext") + diff, c("seq")).cast("long").alias("_ext"))
+    same = Window.partitionBy(*keys, "_at", "_ext").orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+    seen = (c("_ext") == c("_first")) | (F.coalesce(F.max(c("_label").isin(FORWARD, MISORDER)).over(same), F.lit(False)))
+    d = d.withColumn("_seen", seen)
+    kind = (
+        F.when(c("_no") == 1, FIRST).when((c("_diff") <= 0) & c("_seen"), DUPLICATE).when((c("_diff") > 0) & (c("_diff") <= MAX_DROPOUT), FORWARD)
+        .when((c("_diff") < 0) & (c("_diff") >= -MAX_MISORDER), MISORDER).when(c("seq") == c("_bad"), RESTART).otherwise(IGNORED))
+    d = d.withColumn("seq_class", kind)
+    lost = F.when(c("seq_class") == FORWARD, c("_diff") - 1).when((c("seq_class") == MISORDER) & (c("_ext") > c("_first")), -1).otherwise(0)
+    return d.select(*labelled.columns, "_at", "seq_class", lost.cast("long").alias("lost_change"), c("_ext").alias("ext_seq"))
+
+
+def _settled(rows: DataFrame, keys: list[str], rounds: int, judge, label: str, kind: str, mend) -> tuple[list[DataFrame], DataFrame | None]:
+    """Judged packets of the flows whose labels agree with the judgement, and the keys of the flows that are left after ``rounds``.
+
+    ``mend`` makes new labels of the judged packets. All flows go on in parallel, and only those that still change.
+    """
+    done: list[DataFrame] = []
+    while True:
+        judged = checkpointed(judge(rows))
+        open_flows = checkpointed(judged.filter(F.col(label) != F.col(kind)).select(*keys).distinct().withColumn("_open", F.lit(True)))
+        if not open_flows.limit(1).count():
+            return [*done, judged], None
+        marked = join_back(judged, open_flows, keys)
+        done.append(marked.filter(F.col("_open").isNull()).drop("_open"))
+        rounds -= 1
+        if not rounds:
+            return done, open_flows.drop("_open")
+        rows = mend(marked.filter("_open").drop("_open"))
+
+
+def _classed(slim: DataFrame, keys: list[str], rounds: int, heavy: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Classes of the packets. Of the labels that don't agree, the first one in each short block of packets is mended, since those after it may have been judged by it;
+    one that changes no figure but the count of repeats is mended at once."""
+    c = F.col
+
+    def mend(judged: DataFrame) -> DataFrame:
+        harmless = c("_label").isin(FORWARD, MISORDER, DUPLICATE) & c("seq_class").isin(FORWARD, MISORDER, DUPLICATE)
+        block = Window.partitionBy(*keys, "_blk", F.floor(c("_no") / 256))
+        fixed = judged.withColumn("_fix", F.min(F.when((c("_label") != c("seq_class")) & ~harmless, c("_no"))).over(block))
+        return fixed.withColumn("_label", F.when(harmless | (c("_no") <= c("_fix")), c("seq_class")).otherwise(c("_label"))).select(*slim.columns, "_label")
+
+    return _settled(_guessed(slim, keys), keys, rounds, lambda d: _judged(d, keys, heavy), "_label", "seq_class", mend)
+
+
+def _progressed(classed: DataFrame, keys: list[str], rounds: int, heavy: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
+    """``classed`` with ``progressed``: whether a packet is up to the allowed gap ahead of the last one that was.
+
+    That is a state machine of its own, which knows no restarts. Up to a flow's first restart it goes with the forward class; flows without one are done.
+    """
+    c = F.col
+    forward = c("seq_class") == FORWARD
+    restarted = checkpointed(classed.filter(c("seq_class") == RESTART).select(*keys).distinct().withColumn("_again", F.lit(True)))
+    marked = join_back(classed, restarted, keys)
+    plain = marked.filter(c("_again").isNull()).drop("_again").withColumn("progressed", forward)
+    rows = marked.filter("_again").drop("_again").withColumn("_ahead", forward & (c("_at") <= 1))
+
+    def judge(d: DataFrame) -> DataFrame:
+        d = scan(d.withColumn("_led", F.when(c("_ahead") | (c("_no") == 1), c("seq"))), keys, Order("_no"), ffill_before={"_pa": "_led"}, heavy=heavy)
+        step = _wrapped(c("seq") - c("_pa"))
+        return d.withColumn("progressed", F.coalesce((c("_no") > 1) & (step > 0) & (step <= MAX_DROPOUT), F.lit(False))).drop("_led", "_pa")
+
+    def mend(d: DataFrame) -> DataFrame:
+        # a segment that has come within reach of the last one goes on from there
+        d = scan(d.withColumn("_hit", F.when(c("progressed"), c("_at"))), keys, Order("_no"), ffill_before={"_joined": "_hit"}, heavy=heavy)
+        joined = forward & c("_joined").eqNullSafe(c("_at")) & (c("_at") > 1)
+        return d.withColumn("_ahead", c("progressed") | joined).drop("_hit", "_joined", "progressed")
+
+    if not restarted.limit(1).count():
+        return [plain], None
+    done, left = _settled(rows, keys, rounds, judge, "_ahead", "progressed", mend)
+    return [plain, *done], left
+
+
+def sequence_scan(packets: DataFrame, keys: list[str] = CANDIDATE, order: Order = ORDER, block_packets: int = 65536, rounds: int = 3) -> DataFrame:
     """Packets of candidates with ``seq_class``, ``lost_change``, ``ext_seq`` and ``progressed``.
 
-    A flow of up to ``block_packets`` packets is one block. Longer flows are
-    repeated block by block until no incoming state changes; the driver sees only
-    the number of blocks still open.
+    Windows judge all flows whose labels settle within ``rounds``, whatever their length. The others, mostly noise, are walked in Python: a flow of up to
+    ``block_packets`` packets is one block; longer flows are repeated block by block until no incoming state changes.
+    The driver sees only whether flows are left.
     """
-    tie = order.ties[0]
-    numbered = scan(packets, keys, order, number="_no").withColumn("_part", F.floor((F.col("_no") - 1) / F.lit(block_packets)))
+    numbered = scan(packets, keys, order, number="_no")
+    slim = checkpointed(numbered.select(*keys, "_no", F.col("seq").cast("int").alias("seq"), F.floor(F.col("_no") / 4096).alias("_blk")))
+    result = ["seq_class", "lost_change", "ext_seq", "progressed"]
+    heavy = heavy_keys(slim, keys)
+    classed, noisy = _classed(slim, keys, rounds, heavy)
+    done, stuck = _progressed(reduce(DataFrame.unionByName, classed), keys, rounds, heavy)
+    parts = [d.select(*keys, "_no", *result) for d in done]
+    for flows in (noisy, stuck):
+        if flows is not None:
+            rows = join_back(slim, flows.withColumn("_left", F.lit(True)), keys).filter("_left").select(*keys, "_no", "seq")
+            parts.append(_walked(rows, keys, block_packets).select(*keys, "_no", *result))
+    return join_back(numbered, reduce(DataFrame.unionByName, parts), [*keys, "_no"]).drop("_no")
+
+
+def _walked(numbered: DataFrame, keys: list[str], block_packets: int) -> DataFrame:
+    """The state machine over blocks of flows, in Python."""
+    numbered = numbered.withColumn("_part", F.floor((F.col("_no") - 1) / F.lit(block_packets)))
     parts = [*keys, "_part"]
-    slim = numbered.select(*parts, "_no", "seq", tie)
+    slim = numbered.select(*parts, "_no", "seq")
     kinds = dict(slim.dtypes)
     key_ddl = ", ".join(f"`{k}` {kinds[k]}" for k in parts)
-    row_ddl = f"{key_ddl}, _no bigint, {tie} {kinds[tie]}, seq_class int, lost_change bigint, ext_seq bigint, progressed boolean"
+    row_ddl = f"{key_ddl}, _no bigint, seq_class int, lost_change bigint, ext_seq bigint, progressed boolean"
 
     def states_of(pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
@@ -182,10 +305,10 @@ def sequence_scan(packets: DataFrame, keys: list[str] = CANDIDATE, order: Order
 
     def rows_of(pdf: pd.DataFrame, st: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
-            return pd.DataFrame(columns=[*parts, "_no", tie, "seq_class", "lost_change", "ext_seq", "progressed"])
+            return pd.DataFrame(columns=[*parts, "_no", "seq_class", "lost_change", "ext_seq", "progressed"])
         pdf = pdf.sort_values("_no")
         rows, _ = _walk(pdf["seq"], _state_in(st))
-        out = pdf[[*parts, "_no", tie]].reset_index(drop=True)
+        out = pdf[[*parts, "_no"]].reset_index(drop=True)
         out[["seq_class", "lost_change", "ext_seq", "progressed"]] = pd.DataFrame(rows, columns=["seq_class", "lost_change", "ext_seq", "progressed"])
         return out
 
@@ -193,7 +316,7 @@ def sequence_scan(packets: DataFrame, keys: list[str] = CANDIDATE, order: Order
         return rows.groupBy(*parts).cogroup(states.groupBy(*parts)).applyInPandas(fn, ddl)
 
     state_ddl = f"{key_ddl}, {_STATE}"
-    spark = packets.sparkSession
+    spark = numbered.sparkSession
     empty = spark.createDataFrame([], state_ddl)
     long_flows = numbered.filter(F.col("_part") > 0).select(*keys).distinct()
     long_rows = slim.join(long_flows, keys, "left_semi")
@@ -213,8 +336,7 @@ def sequence_scan(packets: DataFrame, keys: list[str] = CANDIDATE, order: Order
             again = run(long_rows.join(todo.select(*parts), parts, "left_semi"), todo, states_of, state_ddl)
             outgoing = checkpointed(outgoing.join(todo.select(*parts), parts, "left_anti").unionByName(again))
             incoming = checkpointed(incoming.join(todo.select(*parts), parts, "left_anti").unionByName(todo))
-    classed = run(slim, incoming, rows_of, row_ddl)
-    return join_back(numbered, classed.drop(tie), [*parts, "_no"]).drop("_no", "_part")
+    return run(slim, incoming, rows_of, row_ddl)
 
 
 def sequence_stats(scanned: DataFrame, keys: list[str] = CANDIDATE) -> DataFrame:
@@ -266,8 +388,10 @@ def jitter_ms(deltas: DataFrame, keys: list[str], cfg: FlowConfig, order: Order
 
 
 def debug_packets(packets: DataFrame, keys: list[str], cfg: FlowConfig, limit: int = 20) -> DataFrame:
-    """Timing of the first packets of each flow."""
-    d = with_deltas(packets, keys, cfg).filter(F.col("packet_index") <= max(0, limit))
+    """Timing of the first packets of each flow; the others are dropped before their differences are taken, on the map side too."""
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER.columns()))
+    first = packets.withColumn("_turn", turn).filter(F.col("_turn") <= max(0, limit)).drop("_turn")
+    d = with_deltas(first, keys, cfg)
     return d.select(*keys, "packet_index", "arrival", "seq", "rtp_ts", (F.col("arrival_delta") * 1000).alias("arrival_delta_ms"),
                     (F.col("rtp_delta") / F.col("clock_hz") * 1000).alias("rtp_delta_ms"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import local_date
-from tidewire.operators.blocked import has_heavy_key, in_ranges, join_back
+from tidewire.operators.blocked import in_ranges, join_back, split_heavy
 from tidewire.session import checkpointed
 
 
@@ -60,24 +60,10 @@ def nearest_join(
         *keys, "_t", F.lit(1).alias("_k"), F.struct(*[points[c] for c in points.columns]).alias("_p")
     )
     both = pt.unionByName(ev, allowMissingColumns=True)
-    heavy = has_heavy_key(both, keys)
-    if heavy:
-        both = in_ranges(both.withColumn("_h", F.xxhash64("_p")), [*keys, "_t", "_k", "_h"])
-    part = [*keys, *(["_blk"] if heavy else [])]
-    w = Window.partitionBy(*part).orderBy("_t", "_k")
-    joined = both.select(
-        *part, "_t", "_k", "_p",
-        F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-        F.first("_e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
-    ).filter(F.col("_k") == 1)
-    if heavy:
-        along = Window.partitionBy(*keys).orderBy("_blk")
-        summary = both.groupBy(*part).agg(F.max("_e").alias("_last"), F.min("_e").alias("_first")).select(
-            *part,
-            F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-            F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
-        )
-        joined = join_back(joined, summary, part).withColumns({"_prev": F.coalesce("_prev", "_cp"), "_next": F.coalesce("_next", "_cn")})
+    plain, heavy = split_heavy(both, keys)
+    joined = _neighbours(plain, keys).select("_t", "_p", "_prev", "_next")
+    if heavy is not None:
+        joined = joined.unionByName(_neighbours_over_ranges(heavy, keys).select("_t", "_p", "_prev", "_next"))
     back, ahead = F.col("_t") - F.col("_prev._t"), F.col("_next._t") - F.col("_t")
     pick = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_prev")).otherwise(F.col("_next"))
     out = joined.select("_p.*", "_t", pick.alias("_pick"))
@@ -98,6 +84,30 @@ def nearest_join(
     )
 
 
+def _neighbours(both: DataFrame, part: list[str]) -> DataFrame:
+    """Points with the last event up to them and the first one from them on, inside ``part``."""
+    w = Window.partitionBy(*part).orderBy("_t", "_k")
+    return both.select(
+        *part, "_t", "_k", "_p",
+        F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
+        F.first("_e", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"),
+    ).filter(F.col("_k") == 1)
+
+
+def _neighbours_over_ranges(both: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for keys that are too large for a task: in ranges, with the events at the borders from a summary."""
+    both = in_ranges(both.withColumn("_h", F.xxhash64("_p")), [*keys, "_t", "_k", "_h"])
+    part = [*keys, "_blk"]
+    along = Window.partitionBy(*keys).orderBy("_blk")
+    summary = both.groupBy(*part).agg(F.max("_e").alias("_last"), F.min("_e").alias("_first")).select(
+        *part,
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
+    )
+    joined = join_back(_neighbours(both, part), summary, part)
+    return joined.withColumns({"_prev": F.coalesce("_prev", "_cp"), "_next": F.coalesce("_next", "_cn")})
+
+
 def nearest_with_fallback(
     points: DataFrame,
     events: DataFrame,
