@@ -284,6 +284,16 @@ def test_limits(spark):
     assert page.count() == 20 and more.first()["truncated"] is False
 
 
+def test_graph_depth_keeps_few_merged_levels(spark, monkeypatch):
+    written = []
+    keep = G.checkpointed
+    monkeypatch.setattr(G, "checkpointed", lambda df: (written.append(n.count()) if "depth" in (n := keep(df)).columns else None) or n)
+    e = spark.createDataFrame([(i, i + 1) for i in range(24)] + [(24, 3)] + [(0, 100 + i) for i in range(40)], "source long, target long")
+    got = dict(map(tuple, G.graph_depth(e, spark.createDataFrame([(0,)], "id long")).collect()))
+    assert got == {i: i for i in range(25)} | {100 + i: 1 for i in range(40)}
+    assert sum(written) < 5 * len(got)  # each node a few times, not once per round
+
+
 def test_graph_depth_with_cycle(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (9, 8)], "source long, target long")
     assert rows(G.graph_depth(e, spark.createDataFrame([(1,)], "id long"))) == [(1, 0), (2, 1), (3, 1)]

@@ -1,12 +1,13 @@
 import datetime as dt
 import random
+import re
 import uuid
 
 import pytest
 from tablerows import rows
 from pyspark.sql import functions as F
 
-from tidewire.plans.maintenance import BatchLog, Store, reconcile
+from tidewire.plans.maintenance import BatchLog, KeyedStore, reconcile, upsert_into
 from tidewire.streaming import jobs as X
 
 SCHEMA = "id long, k string, ts timestamp, v double"
@@ -35,7 +36,7 @@ def many_files(spark, tmp_path, n=6, shuffled=False):
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_counter_stream_equals_batch(spark, tmp_path, shuffled):
     stream, batch = many_files(spark, tmp_path, shuffled=shuffled)
-    state, sink = Store(spark, f"{tmp_path}/s"), BatchLog(spark, f"{tmp_path}/o")
+    state, sink = KeyedStore(spark, f"{tmp_path}/s", ["k"]), BatchLog(spark, f"{tmp_path}/o")
     X.stream_rate_increments(stream, f"{tmp_path}/c", state, sink, ["k"], "ts", "v", "id").awaitTermination()
     want = X.counter_increments(batch, ["k"], "ts", "v", "id")
     assert rows(sink.latest(["k", "ts", "id"]), "id", "increment") == rows(want, "id", "increment")
@@ -46,7 +47,7 @@ def test_counter_stream_equals_batch(spark, tmp_path, shuffled):
 def test_stability_stream_equals_batch(spark, tmp_path, shuffled):
     stream, batch = many_files(spark, tmp_path, shuffled=shuffled)
     sig = F.floor(F.col("v") / 15).alias("sig")
-    state, sink = Store(spark, f"{tmp_path}/s"), BatchLog(spark, f"{tmp_path}/o")
+    state, sink = KeyedStore(spark, f"{tmp_path}/s", ["k"]), BatchLog(spark, f"{tmp_path}/o")
     X.stream_stability(stream.select("id", "k", "ts", sig), f"{tmp_path}/c", state, sink, "k", "ts", ["sig"], 60.0, "id").awaitTermination()
     want = X.stability_decisions(batch.select("id", "k", "ts", sig), "k", "ts", ["sig"], 60.0, tie="id")
     assert rows(sink.latest(["k", "ts", "id"]), "k", "ts", "decision") == rows(want, "k", "ts", "decision")
@@ -54,7 +55,7 @@ def test_stability_stream_equals_batch(spark, tmp_path, shuffled):
 
 def test_latest_and_replay(spark, tmp_path):
     stream, batch = many_files(spark, tmp_path)
-    state = Store(spark, f"{tmp_path}/s")
+    state = KeyedStore(spark, f"{tmp_path}/s", ["k"])
     X.stream_latest(stream, f"{tmp_path}/c", state, ["k"], "ts", "id").awaitTermination()
     want = batch.groupBy("k").agg(F.max("id").alias("id"))
     assert rows(state.read(), "k", "id") == rows(want, "k", "id")
@@ -64,6 +65,57 @@ def test_latest_and_replay(spark, tmp_path):
     assert log.read().count() == batch.count()
 
 
+def size_of(store, names):
+    return sum(store._fs.getContentSummary(store._folder(n)).getLength() for n in names)
+
+
+def test_keyed_store_writes_what_changes(spark, tmp_path):
+    store = KeyedStore(spark, f"{tmp_path}/t", ["k"], buckets=8)
+    frame = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "k long, v string").select("k", F.concat("v", F.sha2(F.concat("v", F.col("k").cast("string")), 512)).alias("v"))
+    store.write(frame(range(20_000), "old"), version=0)
+    before = set(store._held(None))
+    first = {f.getPath().toString(): f.getModificationTime() for n in before for f in store._fs.listStatus(store._folder(n))}
+    store.write(frame(range(0, 20_000, 100), "new"), version=1)
+    assert store._held(None)[-1] == "v00000001" and size_of(store, ["v00000001"]) < 0.03 * size_of(store, before)
+    assert first == {f.getPath().toString(): f.getModificationTime() for n in before for f in store._fs.listStatus(store._folder(n))}
+    now = {r["k"]: r["v"][:3] for r in store.read().collect()}
+    assert len(now) == 20_000 and all((v == "new") == (k % 100 == 0) for k, v in now.items())
+    assert {r["v"][:3] for r in store.read(at_most=0).collect()} == {"old"}
+    one = store.read(among=frame([300, 301, -5], "x"))
+    assert rows(one.select("k", F.substring("v", 1, 3).alias("v"))) == [(300, "new"), (301, "old")]
+    assert re.search(r"PartitionFilters: \[[^]]*_bucket", one._jdf.queryExecution().toString())  # other buckets are not opened
+    upsert_into(store, frame([7, 30_000], "up"))
+    assert {r["v"][:2] for r in store.read(among=frame([7, 30_000], "x")).collect()} == {"up"} and store.read().count() == 20_001
+
+
+def test_keyed_store_merges_and_replays(spark, tmp_path):
+    store = KeyedStore(spark, f"{tmp_path}/t", ["k"], buckets=4)
+    assert store.read() is None
+    want = {}
+    for n in range(12):
+        part = {(None if i == 3 else i): n for i in range(n % 5, n % 5 + 4)}
+        for _ in range(2):  # every version is written twice, as a replayed batch would
+            store.write(spark.createDataFrame([(k, v) for k, v in part.items()], "k long, v long"), version=n + 1)
+        assert dict(map(tuple, store.read(at_most=n).collect())) == want if n else store.read(at_most=0) is None
+        want |= part
+        assert dict(map(tuple, store.read().collect())) == want
+        assert dict(map(tuple, store.read(among=spark.createDataFrame([(None,), (2,)], "k long")).collect())) == {k: v for k, v in want.items() if k in (None, 2)}
+    assert any(n.startswith("b") for n in store._held(None)) and len(store._held(None)) < 8
+    store.write(spark.createDataFrame([], "k long, v long"))
+    assert dict(map(tuple, store.read().collect())) == want
+
+
+def test_ingest_reads_the_ledger_only(spark, tmp_path):
+    stream, batch = many_files(spark, tmp_path)
+    log = BatchLog(spark, f"{tmp_path}/log")
+    log.write(batch.filter("id < 30"), 77)  # rows from before there was a ledger
+    for run in (1, 2):
+        X.ingest_new(stream, f"{tmp_path}/c{run}", log, ["id"], run).awaitTermination()
+    assert rows(log.read(), "id") == [(i,) for i in sorted(range(120), key=lambda i: (False, str(i)))]
+    ledger = KeyedStore(spark, f"{log.root}-keys", ["id"], 64)
+    assert ledger.read().columns == ["id"] and ledger.read().count() == 120
+
+
 def test_stability_decision_table(spark):
     t0 = dt.datetime(2024, 1, 1)
     looks = [(0, 10), (5, 10), (25, 10), (30, 11), (40, 11), (51, 11)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.catalog.filter_queries import NOW, now
 from tidewire.catalog.registry import query
-from tidewire.plans.maintenance import BatchLog, Store
+from tidewire.plans.maintenance import BatchLog, KeyedStore
 from tidewire.session import checkpoint_dir
 from tidewire.streaming import jobs as X
 from tidewire.tables import SCHEMAS
@@ -66,7 +66,7 @@ def x02(t):
 
 @query("x02_stability_stream", STABLE.replace("select event_id, case", "select path, ts, case"))
 def x02s(t):
-    state, sink = Store(t.spark, place(t, "x02")), BatchLog(t.spark, place(t, "x02"))
+    state, sink = KeyedStore(t.spark, place(t, "x02"), ["path"]), BatchLog(t.spark, place(t, "x02"))
     s = stream(t).select("event_id", c("user_id").alias("path"), "ts", c("event_type").alias("sig"))
     finish(X.stream_stability(s, place(t, "x02-ckpt"), state, sink, "path", "ts", ["sig"], 20000.0, "event_id"))
     return sink.latest(["path", "ts", "event_id"]).select("path", "ts", "decision")
@@ -95,7 +95,7 @@ r as (select *, case when value < p then value else d end as x from i where p is
 , w as (select user_id, x, unnest([0, 1, 2, 3]) as k, date_trunc('day', ts) + interval 6 hour * (hour(ts) // 6) as base from r)
 select user_id, base - interval 6 hour * k as window_start, round(sum(x) / 86400, 9) as rate from w group by 1, 2""")
 def x05(t):
-    state, sink = Store(t.spark, place(t, "x05")), BatchLog(t.spark, place(t, "x05"))
+    state, sink = KeyedStore(t.spark, place(t, "x05"), ["user_id"]), BatchLog(t.spark, place(t, "x05"))
     finish(X.stream_rate_increments(stream(t), place(t, "x05-ckpt"), state, sink, ["user_id"], "ts", "value", "event_id"))
     d = X.window_rate(sink.latest(["user_id", "ts", "event_id"]), ["user_id"], "ts", "1 day", "6 hours")
     return d.select("user_id", "window_start", F.round("rate", 9).alias("rate"))
@@ -111,7 +111,7 @@ def x06(t):
 
 @query("x07_stream_latest", "select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id from events group by 1, 2")
 def x07(t):
-    state = Store(t.spark, place(t, "x07"))
+    state = KeyedStore(t.spark, place(t, "x07"), ["user_id", "event_type"])
     finish(X.stream_latest(stream(t), place(t, "x07-ckpt"), state, ["user_id", "event_type"], "ts", "event_id"))
     return state.read().select("user_id", "event_type", "event_id")
 
@@ -151,7 +151,7 @@ with s as (select event_id, user_id, ts, case when event_type <> 'error' then va
 p as (select *, last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as pv from s)
 select event_id, case when pv is null or v is null then 0.0 else round(greatest(v - pv, 0), 6) end::double as delta from p""")
 def x11(t):
-    state, sink = Store(t.spark, place(t, "x11")), BatchLog(t.spark, place(t, "x11"))
+    state, sink = KeyedStore(t.spark, place(t, "x11"), ["user_id"]), BatchLog(t.spark, place(t, "x11"))
     s = stream(t).select("event_id", "user_id", "ts", F.when(c("event_type") != "error", c("value")).alias("v"))
     finish(X.stream_counter_delta(s, place(t, "x11-ckpt"), state, sink, ["user_id"], "ts", "v", "event_id"))
     return sink.latest(["user_id", "ts", "event_id"]).select("event_id", F.round("delta", 6).alias("delta"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -125,19 +126,28 @@ def visible_subgraph(nodes: DataFrame, edges: DataFrame, **spec: str) -> tuple[D
 def graph_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Least number of hops from the roots along directed edges.
 
-    Each round joins only the frontier. Levels are checkpointed, so a round's
-    plan does not grow with the rounds before it. Rounds end with the first
-    empty frontier, so their number is the depth of the graph.
+    A round joins the frontier, and drops what the frontiers before it have. Nodes that were seen are kept in merged levels: two levels of like
+    size become one, so each node is written again about as often as the graph doubles, and a round looks into few tables. Rounds
+    end with the first empty frontier, so their number is the depth of the graph.
     """
     hops = checkpointed(edges.select(c("source").alias("id"), c("target").alias("_next")).distinct())
-    seen = checkpointed(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    frontier = checkpointed(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen: list[tuple[int, DataFrame]] = []  # sizes at least halve along the list
     for depth in count(1):
+        n = frontier.count()
+        if not n:
+            break
+        level = frontier
+        merged = False
+        while seen and seen[-1][0] < 2 * n:
+            size, older = seen.pop()
+            level, n, merged = older.unionByName(level), n + size, True
+        seen.append((n, checkpointed(level) if merged else level))
         step = frontier.select("id").join(hops, "id").select(c("_next").alias("id")).distinct()
-        frontier = checkpointed(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.limit(1).count() == 0:
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        for _, older in seen:
+            step = step.join(older.select("id"), "id", "left_anti")
+        frontier = checkpointed(step.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, [level for _, level in seen], frontier)
 
 
 def graph_layout(nodes: DataFrame, depths: DataFrame, order: Order, gap_x: int = 220, gap_y: int = 180) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.predicates import match_quality
@@ -59,6 +59,74 @@ class Store:
         return version
 
 
+class KeyedStore(Store):
+    """The latest rows of each key, as a base and the small versions after it, all cut into buckets by a hash of the key.
+
+    A version holds the rows of the keys that it changes, so writing costs what has changed; its rows replace the key's rows of earlier versions. A reader that
+    names its keys opens their buckets only. When the versions after the base outweigh it, a new base merges them, so each row is merged about as often as
+    the table doubles. Versions before the last base but one are removed: a batch that is replayed is the newest one.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 16):
+        super().__init__(spark, root)
+        self.keys, self.buckets = keys, buckets
+
+    def _folder(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self._path, f"_part={name}")
+
+    def _folders(self) -> list[tuple[str, int]]:
+        """Kind (b: base, v: version) and number of all complete folders."""
+        if not self._fs.exists(self._path):
+            return []
+        names = [status.getPath().getName().removeprefix("_part=") for status in self._fs.listStatus(self._path)]
+        return [(n[0], int(n[1:])) for n in names if n[1:].isdigit() and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(n), "_SUCCESS"))]
+
+    def versions(self) -> list[int]:
+        return sorted(number for kind, number in self._folders() if kind == "v")
+
+    def _held(self, at_most: int | None) -> list[str]:
+        """The folders that make up a version: the newest base, and the versions after it."""
+        folders = [(kind, n) for kind, n in self._folders() if at_most is None or n <= at_most]
+        base = max((n for kind, n in folders if kind == "b"), default=-1)
+        names = ([f"b{base:08d}"] if base >= 0 else []) + [f"v{n:08d}" for n in sorted(n for kind, n in folders if kind == "v" and n > base)]
+        return [n for n in names if any(x.getPath().getName().startswith("_bucket=") for x in self._fs.listStatus(self._folder(n)))]
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def read(self, at_most: int | None = None, among: DataFrame | None = None) -> DataFrame | None:
+        """The newest rows of all keys, or of the keys of ``among``; None when nothing was written. ``at_most`` bounds the versions."""
+        names = self._held(at_most)
+        if not names:
+            return None
+        rows = self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/_part={n}" for n in names]).drop("_part")
+        if among is not None:
+            touched = [r[0] for r in among.select(self.bucket()).distinct().collect()]  # as many rows as buckets
+            wanted = among.select(*[c(k).alias(f"_{k}") for k in self.keys]).distinct()
+            same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_{k}")) for k in self.keys])
+            rows = rows.filter(c("_bucket").isin(touched)).join(wanted, same, "left_semi")
+        newest = F.max("_version").over(Window.partitionBy(*self.keys))
+        return rows.withColumn("_newest", newest).filter(c("_version") == c("_newest")).drop("_newest", "_version", "_bucket")
+
+    def write(self, df: DataFrame, partition_by: list[str] = (), version: int | None = None) -> int:
+        """Write the rows of the changed keys as the next version, or a given one; the same version may be written again."""
+        version = max((int(n[1:]) for n in self._held(None)), default=0) + 1 if version is None else version
+        self._put(df, "v", version)
+        names = self._held(version)
+        size = lambda name: self._fs.getContentSummary(self._folder(name)).getLength()
+        base = [n for n in names[:1] if n.startswith("b")]
+        if len(names) > 1 and sum(map(size, names[1:])) > size(names[0]):  # the oldest folder counts as the base, be it one or not
+            self._put(self.read(version), "b", version)
+            for kind, number in self._folders() if base else ():
+                if number < int(base[0][1:]):
+                    self._fs.delete(self._folder(f"{kind}{number:08d}"), True)
+        return version
+
+    def _put(self, df: DataFrame, kind: str, version: int) -> None:
+        rows = df.withColumns({"_version": F.lit(version).cast("long"), "_bucket": self.bucket()})
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/_part={kind}{version:08d}")
+
+
 class BatchLog:
     """Rows of micro-batches, one folder per batch. A replayed batch replaces its own folder and nothing else."""
 
@@ -99,6 +167,12 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str |
     return target.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*target.columns))
 
 
+def upsert_into(store: KeyedStore, updates: DataFrame, order: str | None = None) -> int:
+    """``upsert`` into a stored table: only the updated keys are written, and no other file is read or touched."""
+    none = updates.limit(0)
+    return store.write(upsert(none, updates, store.keys, order))
+
+
 def reload_run(target: DataFrame, run: str, run_id: str, fresh: DataFrame, preserved: DataFrame | None = None, parent: DataFrame | None = None,
                parent_key: str | None = None) -> DataFrame:
     """Replace one run's rows; manual rows are kept where their parent still exists or they name none."""

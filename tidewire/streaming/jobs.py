@@ -4,8 +4,9 @@ Batch forms are plain functions of frames. Stream forms use Structured Streaming
 windows with watermarks where the state is a window, ``foreachBatch`` over a
 versioned state table where the state is one row per key. In the latter the work
 of a micro-batch is the batch function, so a busy key is spread like any other.
-Batch N reads the state that batch N-1 left and writes its own numbered state and
-output, so a replayed batch gives the same result.
+Batch N reads the state that batch N-1 left of its own keys, and writes the keys that
+it changes as a numbered version, and its output; so a replayed batch gives the
+same result, and a batch costs what it touches.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from tidewire.functions.predicates import is_future, relabel_keep
 from tidewire.operators.aggregates import count_where
 from tidewire.operators.blocked import Order, scan
 from tidewire.operators.windows import latest_by
-from tidewire.plans.maintenance import BatchLog, Store, upsert
+from tidewire.plans.maintenance import BatchLog, KeyedStore
 from tidewire.session import checkpointed
 
 c = F.col
@@ -43,11 +44,20 @@ def pending_inputs(inventory: DataFrame, ledger: DataFrame, config_hash: str, ve
 def ingest_new(stream: DataFrame, checkpoint: str, log: BatchLog, keys: list[str], run: int = 0) -> StreamingQuery:
     """Append new input once: rows already stored under the same keys are dropped, also when a batch is replayed.
 
+    The keys of the log are kept beside it, cut into buckets, of which a batch opens those that its own keys fall into; the log itself is not read.
     ``run`` numbers restarts with a fresh checkpoint, whose batches count from zero again.
     """
+    ledger = KeyedStore(log.spark, f"{log.root}-keys", keys, buckets=64)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         number = (run << 40) + batch_id
-        log.write(idempotent_append(batch, log.read(except_batch=number), keys), number)
+        stored = log.read(except_batch=number)
+        if stored is not None and not ledger.versions():  # a log from before it had a ledger
+            ledger.write(stored.select(*keys).distinct(), version=0)
+        batch = checkpointed(batch)
+        fresh = checkpointed(idempotent_append(batch, ledger.read(at_most=number, among=batch), keys))
+        log.write(fresh, number)
+        ledger.write(fresh.select(*keys), version=number + 1)
     return run_available(stream, checkpoint, each)
 
 
@@ -76,7 +86,7 @@ def stability_decisions(observations: DataFrame, path: str, ts: str, signature:
 
 
 def _with_history(batch: DataFrame, old: DataFrame | None, sink: BatchLog, batch_id: int, keys: list[str], ts: str, tie: str) -> DataFrame:
-    """A batch after the stored last row of each of its keys; ``_out`` marks the rows to write.
+    """A batch after ``old``, the stored last rows of its keys; ``_out`` marks the rows to write.
 
     A key that gets a row older than its stored one comes back with all its rows, which are judged and written again. So the outcome does
     not depend on the order in which files arrive.
@@ -85,7 +95,7 @@ def _with_history(batch: DataFrame, old: DataFrame | None, sink: BatchLog, batch
     if old is None:
         return new
     at = F.struct(ts, tie)
-    mine = old.select(*batch.columns).join(batch.select(*keys).distinct(), keys, "left_semi")
+    mine = old.select(*batch.columns)
     marks = mine.groupBy(*keys).agg(F.max(at).alias("_last"))
     late = checkpointed(batch.join(marks, keys).filter(at <= c("_last")).select(*keys).distinct())
     if not late.limit(1).count():
@@ -95,20 +105,17 @@ def _with_history(batch: DataFrame, old: DataFrame | None, sink: BatchLog, batch
     return mine.join(late, keys, "left_anti").withColumn("_out", F.lit(False)).unionByName(again).unionByName(fresh)
 
 
-def stream_stability(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, path: str, ts: str, signature: list[str], min_gap: float, tie: str) -> StreamingQuery:
+def stream_stability(stream: DataFrame, checkpoint: str, state: KeyedStore, sink: BatchLog, path: str, ts: str, signature: list[str], min_gap: float, tie: str) -> StreamingQuery:
     """Decisions over a stream of looks, to be read with ``sink.latest``. State per upload: the first and the latest look at its present signature."""
     cols = [path, ts, tie, *signature]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        old = state.read(at_most=batch_id)
-        rows = _with_history(batch.select(*cols), old, sink, batch_id, [path], ts, tie)
+        rows = _with_history(batch.select(*cols), state.read(at_most=batch_id, among=batch), sink, batch_id, [path], ts, tie)
         judged = checkpointed(stability_decisions(rows, path, ts, signature, min_gap, tie=tie))
         sink.write(judged.filter("_out").drop("_out"), batch_id)
         start = latest_by(judged.filter(c("decision").isin("wait_new", "wait_changed")), [path], ts, tie)
         last = latest_by(judged, [path], ts, tie)
-        keep = start.select(*cols).unionByName(last.select(*cols)).distinct()
-        rest = keep if old is None else old.join(keep.select(path).distinct(), path, "left_anti").select(*cols).unionByName(keep)
-        state.write(rest, version=batch_id + 1)
+        state.write(start.select(*cols).unionByName(last.select(*cols)).distinct(), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
 
 
@@ -164,40 +171,38 @@ def window_rate(increments: DataFrame, keys: list[str], ts: str, window: str = "
     return g.select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, (c("_s") / seconds).alias("rate"))
 
 
-def stream_counter(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str,
+def stream_counter(stream: DataFrame, checkpoint: str, state: KeyedStore, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str,
                    step: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Carry counters over micro-batches: ``step`` sees each batch after the last sample of its keys.
 
-    The last sample per key is kept as a versioned state table and updated by key. Read the result with ``sink.latest``: a late sample
+    The last sample per key is kept as state, of which a batch reads and writes its own keys. Read the result with ``sink.latest``: a late sample
     rewrites its key's rows.
     """
     cols = [*keys, ts, tie, value]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        old = state.read(at_most=batch_id)
-        rows = checkpointed(_with_history(batch.select(*cols), old, sink, batch_id, keys, ts, tie))
+        rows = checkpointed(_with_history(batch.select(*cols), state.read(at_most=batch_id, among=batch), sink, batch_id, keys, ts, tie))
         sink.write(step(rows).filter("_out").drop("_out"), batch_id)
-        last = latest_by(rows.filter(c(value).isNotNull()).select(*cols), keys, ts, tie)
-        state.write(last if old is None else upsert(old, last, keys), version=batch_id + 1)
+        state.write(latest_by(rows.filter(c(value).isNotNull()).select(*cols), keys, ts, tie), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
 
 
-def stream_rate_increments(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
+def stream_rate_increments(stream: DataFrame, checkpoint: str, state: KeyedStore, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
     """Counter increments of a stream, to be summed by ``window_rate``."""
     return stream_counter(stream, checkpoint, state, sink, keys, ts, value, tie, lambda rows: counter_increments(rows, keys, ts, value, tie))
 
 
-def stream_counter_delta(stream: DataFrame, checkpoint: str, state: Store, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
+def stream_counter_delta(stream: DataFrame, checkpoint: str, state: KeyedStore, sink: BatchLog, keys: list[str], ts: str, value: str, tie: str) -> StreamingQuery:
     """Increase over the last known value, never below zero, over micro-batches."""
     from tidewire.operators.windows import counter_delta
     order = Order(ts, (tie,))
     return stream_counter(stream, checkpoint, state, sink, keys, ts, value, tie, lambda rows: counter_delta(rows, keys, order, value))
 
 
-def stream_latest(stream: DataFrame, checkpoint: str, state: Store, keys: list[str], ts: str, tie: str) -> StreamingQuery:
+def stream_latest(stream: DataFrame, checkpoint: str, state: KeyedStore, keys: list[str], ts: str, tie: str) -> StreamingQuery:
     """Keep the newest row per key."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        old = state.read(at_most=batch_id)
+        old = state.read(at_most=batch_id, among=batch)
         rows = batch if old is None else old.unionByName(batch.select(*old.columns))
         state.write(latest_by(rows, keys, ts, tie), version=batch_id + 1)
     return run_available(stream, checkpoint, each)
