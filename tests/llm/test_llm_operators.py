@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -213,6 +214,20 @@ def test_secrets_against_plain_python(small, odd, none):
     mended = {r["doc_id"]: r for r in secret_ops.redact(odd).collect()}
     assert mended[12]["text"] == "[SECRET] [SECRET] [SECRET]" and mended[2]["text"] is None and mended[1]["text"] == BASE and mended[1]["score"] == "x"
     assert secret_ops.secret_report(none).count() == 0
+    assert all(mended[1][c] == v for c, v in odd.filter("doc_id = 1").first().asDict().items())  # also columns that are named like the operator's own
+
+
+def test_long_unbroken_runs_take_linear_time(spark):
+    rng = random.Random(8)
+    parts = [("".join(rng.choice("abcdefABCDEF0123456789+/xyzXYZ") for _ in range(n)), "a1" * n) for n in (150, 20, 700)]
+    long = "".join(x + y for x, y in parts) * 60
+    rows = [(1, long), (2, "x " + "".join(rng.choice("0123456789abcdef") for _ in range(20_000)) + " y"), (3, "+/_-" * 9 + "zZ09" * 9)]
+    assert len(long) > 100_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = sorted(tuple(r) for r in secret_ops.secret_report(docs).collect())
+    assert time.time() - began < 60
+    assert got == [(i, *secrets(t)) for i, t in rows] and len(got[0][-1].split(",")) > 100
 
 
 def test_long_prefix_sums(spark):

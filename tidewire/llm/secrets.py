@@ -79,50 +79,55 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
-def random_windows(run: Column, most: Column, settings: Entropy) -> Column:
-    """Structs of start and stop in ``run`` covered by windows whose entropy is high enough; windows that touch are one.
+def random_windows(chars: Column, most: Column, settings: Entropy) -> Column:
+    """Structs of start and stop in a run, given as the array of its characters, covered by windows whose entropy is high enough; windows that touch are one.
 
-    The sum of k*log2(k) over the window's character counts is carried along: a character that enters raises the sum by the step from
-    its count without it to its count with it, one that leaves lowers it likewise. Steps are whole millionths of a bit, so sums are exact.
+    The counts of the window's characters are carried along: one that enters raises its count, one that leaves lowers it, and the sum of
+    k*log2(k) changes by the steps between their counts. Steps are whole millionths of a bit, so sums are exact. The stretch that is still growing is
+    kept apart from the finished ones, so the work is linear in the run.
     """
     w = settings.window
     level = [0] + [round(k * math.log2(k) * _UNIT) for k in range(1, w + 1)]
-    step = F.array(*[F.lit(level[k + 1] - level[k]).cast("long") for k in range(w)])  # step[k]: from k to k+1 of a kind
-    chars = F.split(run, "")
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    step = F.array(*[F.lit(level[k + 1] - level[k]).cast("long") for k in range(w)])  # the k-th, from 1: from k-1 to k of a kind
+    slot = lambda i: F.ascii(F.element_at(chars, i)) - (ord("+") - 1)
 
-    def others(i: Column, low: Column, high: Column) -> Column:
-        """How many of the characters low to high (1-based) equal character i."""
-        return F.size(F.filter(F.slice(chars, low, high - low + 1), lambda c: c == F.element_at(chars, i)))
+    def finished(state: Column) -> Column:
+        span = F.struct(state["start"].alias("start"), state["stop"].alias("stop"))
+        return F.when(state["stop"] > 0, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
 
     def advance(state: Column, i: Column) -> Column:
-        low = F.greatest(F.lit(1), i - w + 1)
-        gone = F.when(i > w, F.element_at(step, others(i - w, i - w + 1, i - 1) + 1)).otherwise(F.lit(0))
-        total = state["total"] - gone + F.element_at(step, others(i, low, i - 1) + 1)
+        enters, leaves = slot(i), F.when(i > w, slot(F.greatest(F.lit(1), i - w))).otherwise(0)
+        fall = F.when(i > w, F.element_at(step, F.element_at(state["counts"], F.greatest(F.lit(1), leaves)))).otherwise(0)
+        others = F.element_at(state["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
+        total = state["total"] - fall + F.element_at(step, others + 1)
+        counts = F.transform(state["counts"], lambda n, k: n + F.when(k + 1 == enters, 1).otherwise(0) - F.when(k + 1 == leaves, 1).otherwise(0))
         start, stop = (i - w).cast("long"), i.cast("long")
-        last = F.element_at(state["spans"], -1)
-        fresh = F.struct(start.alias("start"), stop.alias("stop"))
-        merged = F.when((F.size(state["spans"]) > 0) & (last["stop"] >= start),
-                        F.concat(F.slice(state["spans"], 1, F.size(state["spans"]) - 1), F.array(F.struct(last["start"].alias("start"), stop.alias("stop")))))
-        spans = F.when((i >= w) & (total <= most), merged.otherwise(F.concat(state["spans"], F.array(fresh)))).otherwise(state["spans"])
-        return F.struct(total.alias("total"), spans.alias("spans"))
+        hot = (i >= w) & (total <= most)
+        goes_on = state["stop"] >= F.greatest(start, F.lit(1))
+        return F.struct(
+            total.alias("total"), counts.alias("counts"), F.when(hot & ~goes_on, start).otherwise(state["start"]).alias("start"), F.when(hot, stop).otherwise(state["stop"]).alias("stop"),
+            F.when(hot & ~goes_on, finished(state)).otherwise(state["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("total"), none.alias("spans"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(run)), begin, advance, lambda s: s["spans"])
+    zero = F.lit(0).cast("long")
+    begin = F.struct(
+        zero.alias("total"), F.array_repeat(F.lit(0), ord("z") - ord("+") + 1).alias("counts"), zero.alias("start"), zero.alias("stop"),
+        F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), begin, advance, finished)
 
 
 def entropy_spans(text: Column, settings: Entropy) -> Column:
     """Spans of random looking stretches in unbroken runs, kinds entropy_hex and entropy_base64 by the characters of the run."""
     allowed = lambda m: F.exists(F.array(*[F.lit(p) for p in settings.allow]), lambda p: F.regexp_like(m["match"], p))
     open_ = F.filter(matches(text, RUN, 0), lambda m: ~allowed(m))
+    split = F.transform(open_, lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), F.split(m["match"], "").alias("chars")))  # once a run
 
     def inside(m: Column) -> Column:
         is_hex = m["match"].rlike("^[0-9A-Fa-f]+$")
         most = F.when(is_hex, F.lit(settings.most_repeats(settings.hex_bits))).otherwise(F.lit(settings.most_repeats(settings.base64_bits)))
         kind, rank = F.when(is_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_base64")), F.when(is_hex, F.lit(3)).otherwise(F.lit(4))
-        return F.transform(random_windows(m["match"], most, settings), lambda s: _span(m["start"] + s["start"], m["start"] + s["stop"], rank, kind))
+        return F.transform(random_windows(m["chars"], most, settings), lambda s: _span(m["start"] + s["start"], m["start"] + s["stop"], rank, kind))
 
-    return F.when(text.rlike(RUN), F.flatten(F.transform(open_, inside))).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(RUN), F.flatten(F.transform(split, inside))).otherwise(F.array().cast(_SPANS))
 
 
 def joined(spans: Column) -> Column:
@@ -151,11 +156,11 @@ def secret_report(docs: DataFrame, settings: Entropy = Entropy()) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", settings: Entropy = Entropy()) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; overlapping spans are one. Texts without spans stay as they are, nulls too."""
-    found = find_secrets(docs, settings)
+    found = find_secrets(docs.select(F.struct(*docs.columns).alias("__row"), "text"), settings)
     stretch = F.aggregate(
         "found", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["stop"]).alias("at"),
             F.when(s["start"] >= a["at"], F.concat(a["parts"], F.array(F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))).otherwise(a["parts"]).alias("parts")),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["at"] + 1, F.char_length("text"))))
-    return found.select(*[(F.when(F.size("found") > 0, stretch).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns])
+    return found.select(*[(F.when(F.size("found") > 0, stretch).otherwise(F.col("text")) if c == "text" else F.col("__row").getField(c)).alias(c) for c in docs.columns])
