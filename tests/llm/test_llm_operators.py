@@ -243,6 +243,17 @@ def test_contamination_against_plain_python(odd, none, spark):
     assert decontaminate.contamination(odd, items.filter("item_id < 0")).filter("contaminated").count() == 0
 
 
+def test_contamination_of_rows_without_id_and_with_clashing_columns(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, f"{i} {passage if i % 3 == 0 else 'nothing here'} end", i, "kept", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, terms string, win int")
+    items = spark.createDataFrame([(i, passage) for i in range(50)], "item_id long, text string")
+    got = decontaminate.with_hits(docs, items).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "row", "terms", "win", "__hits"}
+    assert sorted((r["text"], r["row"], r["terms"], r["win"], r["__hits"]["n_hit"], len(r["__hits"]["items"])) for r in got) == sorted(
+        (t, i, "kept", i, 10 if i % 3 == 0 else 0, 50 if i % 3 == 0 else 0) for _, t, i, _, _ in rows)
+
+
 def test_proximity_finds_displaced_words(spark):
     docs = spark.createDataFrame([(1, "x one two three four y"), (2, "x one two pad three four"), (3, "one two a b c d e f three four")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "one two three four")], "item_id long, text string")

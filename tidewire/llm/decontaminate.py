@@ -36,14 +36,14 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def item_windows(items: DataFrame, match: Match) -> DataFrame:
-    """(win, n, words, items): distinct windows of the items, and the items that have each. A shorter item is one window."""
+def item_windows(items: DataFrame, match: Match) -> tuple[DataFrame, DataFrame]:
+    """(win, n, words): distinct windows of the items; and (win, item): which items have each. A shorter item is one window."""
     tokens = items.select("item_id", words_of(F.col("text")).alias("w")).filter("size(w) > 0")
     n = F.least(F.size("w"), F.lit(match.words))
     each = tokens.select("item_id", "w", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i"))
-    each = each.select("item_id", "n", F.slice("w", F.col("i"), F.col("n")).alias("words"))
-    return each.groupBy("words", "n").agg(F.array_distinct(F.collect_list(F.col("item_id").cast("string"))).alias("items")).withColumn(
-        "win", F.xxhash64(F.array_join("words", " "), F.col("n")))
+    each = each.select(F.col("item_id").cast("string").alias("item"), "n", F.slice("w", F.col("i"), F.col("n")).alias("words")).distinct()
+    each = store(each.withColumn("win", F.xxhash64(F.array_join("words", " "), F.col("n"))), "decontaminate-windows")
+    return each.select("win", "n", "words").distinct(), each.select("win", "item")
 
 
 def search_words(text: Column) -> Column:
@@ -55,20 +55,30 @@ def search_words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(plain), " "))
 
 
-def postings(docs: DataFrame, terms: DataFrame, match: Match) -> DataFrame:
-    """(doc, pos, w, and the columns of ``terms``): where each term stands in the documents, from 0, beside the document's words ``w``."""
-    rows = docs.select("doc", search_words(F.col("text")).alias("w")).select("doc", "w", F.posexplode("w").alias("pos", "term"))
-    return rows.join(bounded(terms, match.broadcast_rows), "term")
+def indexed(docs: DataFrame) -> DataFrame:
+    """The stored index: ``docs`` as a struct ``doc``, a number ``row`` of each row, and ``terms``, the 32-bit hash of the word at each position.
+
+    Every text is split here and nowhere else. A hash that two words share gives a candidate more, which the check of the words rejects.
+    """
+    words = F.transform(search_words(F.col("text")), lambda w: F.hash(w))
+    own = F.struct(*[F.col(c) for c in docs.columns])
+    return store(docs.select(own.alias("doc"), F.monotonically_increasing_id().alias("row"), words.alias("terms")), "decontaminate-index")
+
+
+def postings(index: DataFrame, terms: DataFrame, match: Match) -> DataFrame:
+    """(row, pos, terms, and the columns of the lookup ``terms``): where each looked-up term stands, from 0, beside its document's terms."""
+    return index.select("row", "terms", F.posexplode("terms").alias("pos", "term")).join(bounded(terms, match.broadcast_rows), "term")
 
 
-def lists_of(windows: DataFrame, docs: DataFrame, match: Match) -> DataFrame:
+def lists_of(windows: DataFrame, index: DataFrame, match: Match) -> DataFrame:
     """(term, offset, win, n, o2, t2, o3, t3): of each window the rarest term by its count in the training tokens, and the next rarest two.
 
     A window with a term that no document has can't occur and is left out.
     """
-    each = windows.select("win", "n", F.posexplode(F.transform("words", F.lower)).alias("offset", "term"))
+    each = windows.select("win", "n", F.posexplode(F.transform("words", lambda w: F.hash(F.lower(w)))).alias("offset", "term"))
     terms = each.select("term").distinct()
-    counts = store(postings(docs, terms, match).groupBy("term").agg(F.count(F.lit(1)).alias("often")), "decontaminate-counts")
+    counts = store(
+        index.select(F.explode("terms").alias("term")).join(bounded(terms, match.broadcast_rows), "term").groupBy("term").agg(F.count(F.lit(1)).alias("often")), "decontaminate-counts")
     order = Window.partitionBy("win").orderBy("often", "offset")
     ranked = each.join(bounded(counts, match.broadcast_rows), "term").withColumn("rank", F.row_number().over(order))
     nth = lambda col, k: F.max(F.when(F.col("rank") == k, F.col(col)))
@@ -78,20 +88,30 @@ def lists_of(windows: DataFrame, docs: DataFrame, match: Match) -> DataFrame:
     return picked.filter("known = n").drop("known")
 
 
-def candidates(docs: DataFrame, windows: DataFrame, match: Match, slop: int = 0) -> DataFrame:
-    """(doc, found): per document the windows that may occur and where, as structs of start, n, words and items.
+def candidates(index: DataFrame, windows: DataFrame, match: Match, slop: int = 0) -> DataFrame:
+    """(row, win, start), stored: windows that may occur in a document, and where.
 
     Postings of a window's rarest term, less the term's offset in the window, are its possible starts. They are intersected with the lists of the
-    next rarest terms at once, in the words of the document that the posting comes from, so no list is shuffled; what is left is. With
+    next rarest terms at once, at the places of the same document, so no list is shuffled; what is left is. With
     ``slop`` words may be displaced, so the rarest list alone gives the starts.
     """
-    lists = store(lists_of(windows, docs, match), "decontaminate-lists")
-    starts = postings(docs, lists, match).withColumn("start", F.col("pos") - F.col("offset"))
+    lists = store(lists_of(windows, index, match), "decontaminate-lists")
+    starts = postings(index, lists, match).withColumn("start", F.col("pos") - F.col("offset"))
     if not slop:
-        stands = lambda o, t: F.col(t).isNull() | F.coalesce(F.get("w", F.col("start") + F.col(o)) == F.col(t), F.lit(False))
+        stands = lambda o, t: F.col(t).isNull() | F.coalesce(F.get("terms", F.col("start") + F.col(o)) == F.col(t), F.lit(False))
         starts = starts.filter((F.col("start") >= 0) & stands("o2", "t2") & stands("o3", "t3"))
-    named = starts.select("doc", "win", "start").join(bounded(windows, match.broadcast_rows), "win")
-    return named.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "words", "items")).alias("found"))  # within one document's words
+    return store(starts.select("row", "win", "start"), "decontaminate-starts")
+
+
+def checked(index: DataFrame, windows: DataFrame, found: DataFrame, test: str, match: Match) -> DataFrame:
+    """(row, doc_id, win, start, n, words) of the candidates whose words pass ``test``, SQL over ``w``, ``start``, ``n`` and ``words``.
+
+    A row's candidates are gathered beside its text, so it is split once; there are at most its words times the windows of a term.
+    """
+    named = found.join(bounded(windows.select("win", "n", "words"), match.broadcast_rows), "win")
+    gathered = store(named.groupBy("row").agg(F.collect_list(F.struct("win", "start", "n", "words")).alias("found")), "decontaminate-found")
+    rows = index.select("row", "doc.doc_id", "doc.text").join(gathered, "row").withColumn("w", words_of(F.col("text")))
+    return rows.select("row", "doc_id", "w", F.explode("found").alias("c")).select("row", "doc_id", "w", "c.*").filter(test).drop("w")
 
 
 _COVERED = """
@@ -102,18 +122,21 @@ aggregate(array_sort(transform(hits, h -> struct(h.start as s, h.start + h.n as
 def with_hits(docs: DataFrame, items: DataFrame, match: Match = Match()) -> DataFrame:
     """``docs`` with a column ``__hits``: a struct of n_words, n_hit and items (sorted).
 
-    Candidates from the index are checked word by word against the document. Null and empty texts have no words; no items, no hits. Rows
-    with equal (or null) doc_id are looked up together, each text is checked for itself.
+    Candidates from the index are checked word by word against the document. Null and empty texts have no words; no items, no hits. Every row
+    is looked up by itself, whatever its doc_id. A column of ``docs`` named ``__hits`` is replaced; others keep name and value.
     """
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__doc"))
-    windows = store(item_windows(items, match), "decontaminate-windows")
-    found = candidates(keyed.select(F.col("__doc").alias("doc"), "text"), windows, match)
-    found = found.select(F.col("doc").alias("__doc"), F.col("found").alias("__found"))
-    rows = keyed.join(found, "__doc", "left").withColumn("__w", F.when(F.col("__found").isNotNull(), words_of(F.col("text"))))
-    rows = rows.withColumn("__hit", F.expr("filter(coalesce(__found, array()), c -> slice(__w, c.start + 1, c.n) = c.words)"))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("__hit", lambda h: h["items"]))))
-    hits = F.struct(F.size(search_words(F.col("text"))).cast("long").alias("n_words"), F.expr(_COVERED.replace("hits", "__hit")).alias("n_hit"), named.alias("items"))
-    return rows.select(*docs.columns, hits.alias("__hits"))
+    windows, named = item_windows(items, match)
+    index = indexed(docs)
+    hits = store(checked(index, windows, candidates(index, windows, match), "slice(w, start + 1, n) = words", match).select("row", "win", "start", "n"), "decontaminate-hits")
+    spans = hits.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("hits")).select("row", F.expr(_COVERED).alias("n_hit"))
+    # a window that many items share is named once a document before its items are
+    told = hits.select("row", "win").distinct().join(named, "win").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    told = store(spans.join(told, "row", "left"), "decontaminate-told")
+    keep = [c for c in docs.columns if c != "__hits"]
+    no_items = F.array().cast("array<string>")
+    value = F.struct(
+        F.size("terms").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", no_items).alias("items"))
+    return index.join(told, "row", "left").select(*[F.col("doc")[c].alias(c) for c in keep], value.alias("__hits"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, match: Match = Match()) -> DataFrame:
@@ -132,11 +155,11 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, match: M
 
     Places count from where the window's rarest word stands; ``start`` may be below 0. Exact occurrences are among them.
     """
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
-    windows = store(item_windows(items, match), "decontaminate-windows")
-    found = candidates(keyed, windows, match, slop)
-    rows = keyed.join(found, "doc").select("doc_id", words_of(F.col("text")).alias("w"), F.explode("found").alias("c"))
-    near = F.expr(
-        f"forall(sequence(0, c.n - 1), i -> array_contains(slice(w, greatest(1, c.start + i + 1 - {slop}), "
-        f"greatest(0, c.start + i + 2 + {slop} - greatest(1, c.start + i + 1 - {slop}))), c.words[i]))")
-    return rows.filter(near).select("doc_id", "c.start", "c.words", "c.items")
+    windows, named = item_windows(items, match)
+    index = indexed(docs.select("doc_id", "text"))
+    near = (
+        f"forall(sequence(0, n - 1), i -> array_contains(slice(w, greatest(1, start + i + 1 - {slop}), "
+        f"greatest(0, start + i + 2 + {slop} - greatest(1, start + i + 1 - {slop}))), words[i]))")
+    rows = checked(index, windows, candidates(index, windows, match, slop), near, match)
+    rows = rows.join(named, "win").groupBy("row", "doc_id", "start", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.select("doc_id", "start", "words", "items")
