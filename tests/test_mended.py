@@ -42,16 +42,29 @@ def test_depth_of_a_long_chain(spark):
     assert graph.graph_depth(edges, roots).agg(F.max("depth")).first()[0] == 12
 
 
-def test_percentiles_of_odd_values(spark):
+@pytest.mark.parametrize("way", ["ordinary", "heavy", "one of four heavy"])
+def test_percentiles_of_odd_values(spark, way):
     epoch = [1.7e9 + i for i in range(1, 2001)]
     data = [("epoch", v) for v in epoch] + [("ends", v) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("nan"))] + [("same", 5.0)] * 300 + [("none", None)]
     d = spark.createDataFrame(data, "g string, v double")
-    got = {r["g"]: r for r in quantiles.percentiles(d, ["g"], {"lo": ("v", 0.0, "cont"), "mid": ("v", 0.5, "cont"), "p9": ("v", 0.9, "nearest"), "hi": ("v", 1.0, "cont")}).collect()}
+    large = {"ordinary": None, "heavy": d.select("g").distinct(), "one of four heavy": d.select("g").distinct().filter("g = 'epoch'")}[way]
+    specs = {"lo": ("v", 0.0, "cont"), "mid": ("v", 0.5, "cont"), "p9": ("v", 0.9, "nearest"), "hi": ("v", 1.0, "cont")}
+    got = {r["g"]: r for r in quantiles.percentiles(d, ["g"], specs, large).collect()}
     assert got["epoch"]["mid"] == 1.7e9 + 1000.5 and got["epoch"]["p9"] == 1.7e9 + 1800 and got["epoch"]["hi"] == 1.7e9 + 2000
     assert got["ends"]["lo"] == float("-inf") and got["ends"]["mid"] == 2.0 and math.isnan(got["ends"]["hi"])
     assert got["same"]["mid"] == 5.0 and "none" not in got
 
 
+def test_percentiles_of_several_columns_agree_both_ways(spark):
+    d = spark.range(3000).selectExpr("id % 7 as g", "if(id % 5 = 0, null, cast(id * 37 % 101 as int)) as a", "sin(id) as b", "id % 2 as c")
+    specs = {"a5": ("a", 0.05, "cont"), "a9": ("a", 0.9, "floor"), "b5": ("b", 0.5, "cont"), "b99": ("b", 0.99, "nearest"), "c3": ("c", 0.3, "floor")}
+    for by in (["g"], ["g", "c"], []):
+        plain = quantiles.percentiles(d, by, specs, None)
+        large = d.select(*(by or [F.lit(1).alias("_all")])).distinct()
+        refined = quantiles.percentiles(d, by, specs, large)
+        assert plain.columns == refined.columns and sorted(plain.collect()) == sorted(refined.collect()) and plain.count() == {0: 1, 1: 7, 2: 14}[len(by)]
+
+
 def vector(spark, *series):
     return spark.createDataFrame([(labels, value) for labels, value in series], "labels map<string,string>, value double")
 

@@ -1,6 +1,9 @@
-"""Exact percentiles of large groups, by histogram refinement.
+"""Exact percentiles of groups of any size.
 
-Pass one counts values per (group, bucket), with map-side combining; the buckets
+Most groups have few rows: their values are counted, with map-side combining, and one window per group and column runs over the distinct values.
+Groups with more rows than one task should sort go through histogram refinement; both ways give the same numbers.
+
+There, pass one counts values per (group, bucket), with map-side combining; the buckets
 are narrow logarithmic steps, so they follow value order. The counts tell which
 bucket holds each wanted rank. Pass two keeps only the rows of those buckets and
 counts them in equal steps between the bucket's least and greatest value; pass
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.blocked import join_back
+from tidewire.operators.blocked import heavy_keys, join_back, split_heavy
 
 STEPS_PER_OCTAVE = 4096
 SUB_STEPS = 65_536
@@ -53,19 +56,50 @@ def _ranks(n: Column, q: float, mode: str) -> tuple[Column, Column, Column]:
     return rank, rank, F.lit(0.0)
 
 
-def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float, str]]) -> DataFrame:
+def _long(df: DataFrame, by: list[str], sources: list[str]) -> DataFrame:
+    """(by, _m, _v): one row per non-null value, ``_m`` the number of its column. One column needs no explode."""
+    value = lambda col: F.col(col).cast("double")
+    if len(sources) == 1:
+        return df.select(*by, F.lit(0).alias("_m"), value(sources[0]).alias("_v")).filter(F.col("_v").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(i).alias("m"), value(c).alias("v")) for i, c in enumerate(sources)])
+    return df.select(*by, F.explode(pairs).alias("_p")).select(*by, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v")).filter(F.col("_v").isNotNull())
+
+
+def _ordinary(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float, str]], sources: list[str]) -> DataFrame:
+    """Percentiles of groups that a task can sort: running counts over the distinct values."""
+    keys = [*by, "_m"]
+    counted = _long(df, by, sources).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*keys)
+    placed = counted.withColumn("_n", F.sum("_c").over(whole)).withColumn("_cum", F.sum("_c").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    outs = []
+    for out, (src, q, mode) in specs.items():
+        mine = F.col("_m") == sources.index(src)
+        lo, hi, frac = _ranks(F.col("_n"), q, mode)
+        at = lambda r: mine & (r > F.col("_cum") - F.col("_c")) & (r <= F.col("_cum"))  # noqa: B023, E731
+        low, high, weight = F.max(F.when(at(lo), F.col("_v"))), F.max(F.when(at(hi), F.col("_v"))), F.max(F.when(mine, frac))
+        outs.append(F.when((weight == 0) | (high == low), low).otherwise(low + (high - low) * weight).alias(out))
+    return placed.groupBy(*by).agg(*outs)
+
+
+def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float, str]], heavy: DataFrame | None = ...) -> DataFrame:
     """One row per group with a column per spec ``out -> (column, q, mode)``.
 
-    Nulls are skipped; a group without any value yields no row.
+    Nulls are skipped; a group without any value yields no row. ``heavy`` lists the groups that are too large for one task, if they
+    are known (None: there are none); else they are counted.
     """
     sources = list(dict.fromkeys(col for col, _, _ in specs.values()))
-    pairs = F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(sources)])
-    long = (
-        df.select(*by, F.explode(pairs).alias("_p"))
-        .select(*by, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .withColumn("_b", value_bucket(F.col("_v")))
-    )
+    if not by:
+        one = percentiles(df.select(F.lit(1).alias("_all"), *sources), ["_all"], specs, heavy)
+        return one.drop("_all")
+    df = df.select(*by, *[c for c in sources if c not in by])
+    rows, large = split_heavy(df, by, heavy_keys(df, by) if heavy is ... else heavy)
+    done = _ordinary(rows, by, specs, sources)
+    return done if large is None else done.unionByName(_refined(large, by, specs, sources))
+
+
+def _refined(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float, str]], sources: list[str]) -> DataFrame:
+    """Percentiles of groups of any size, by histogram refinement."""
+    long = _long(df, by, sources).withColumn("_b", value_bucket(F.col("_v")))
     keys = [*by, "_m"]
     along = Window.partitionBy(*keys).orderBy("_b")
     hist = (
