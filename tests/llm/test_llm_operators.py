@@ -94,6 +94,32 @@ def test_packing_is_an_exact_round_trip(small, odd, none):
     assert packing.pack_documents(none, registered.tokenizer_ranks()).count() == 0
 
 
+def test_packing_when_loss_alone_binds(spark):
+    ask, answer = "why is that so and what would follow from it ", "because it is "
+    data = [(i, answer * (i % 40), ask * (i % 9) if i % 5 else None) for i in range(200)] + [(500, answer * 300, ask * 3), (501, "", ask * 300), (502, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, prompt string")
+    limits = packing.Limits(tokens=512, segments=50, loss_tokens=100)
+    rows = packing.pack_documents(docs, registered.tokenizer_ranks(), limits=limits, prompt="prompt").collect()
+    encode = packing.Encoder(registered.tokenizer_ranks()).encode
+    held, parts = {}, {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append(r)
+        parts.setdefault(r["doc_id"], []).append(r)
+    assert parts.keys() == {i for i, _, _ in data}
+    for i, text, prompt in data:
+        free, ids = encode(prompt or ""), encode(prompt or "") + encode(text or "") + bytes(4)
+        mine = sorted(parts[i], key=lambda r: r["start"])
+        assert [r["start"] for r in mine] == [0, *np.cumsum([r["length"] for r in mine])[:-1]] and sum(r["length"] for r in mine) == len(ids) // 4
+        for r in mine:
+            end = r["start"] + r["length"]
+            assert r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * end]) and r["loss_tokens"] == max(0, end - max(r["start"], len(free) // 4))
+    sums = [(sum(r["length"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in held.values()]
+    assert all(n <= 512 and k <= 50 and loss <= 100 for n, k, loss in sums)
+    assert sum(loss == 100 and n < 512 for n, _, loss in sums) > 10
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, registered.tokenizer_ranks(), limits=packing.Limits(loss_tokens=0))
+
+
 def test_added_tokens_inside_a_text_are_one_id(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

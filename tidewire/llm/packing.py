@@ -123,18 +123,22 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
     return tuple((t["content"], t["id"]) for t in found)
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, segments long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, segments long, loss_tokens long"
 
 
-def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits = Limits(), added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits = Limits(), added: tuple[tuple[str, int], ...] = (),
+                   prompt: str | None = None) -> DataFrame:
     """Pieces of all documents in sequences of at most ``limits.tokens`` ids.
 
-    A document is cut into whole sequences and a rest. Rests are packed, ``limits.pool`` at a time within a partition, so a task holds
-    a bounded number of them and no row is shuffled. A document's piece is one segment; every id of it bears loss. Sequence ids
+    A document is cut where a sequence is full of ids or of ids that bear loss. Pieces that leave room are packed, ``limits.pool`` at a time within a partition,
+    so a task holds a bounded number of them and no row is shuffled. A document's piece is one segment. Every id bears loss, but for those of the column
+    named ``prompt``: its text is encoded by itself and stands before ``text`` (null: no prompt). ``loss_tokens`` are a piece's ids that bear loss. Sequence ids
     hold the partition's number above bit 40. Null and empty texts are the end id alone. Repeated rows are packed each for itself.
     ``added`` are the tokenizer's tokens beside the rank file; without them their text is encoded like any other.
     """
     limit = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
+    if limit.min() < 1:
+        raise ValueError("every limit must be at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, added).encode
@@ -145,12 +149,13 @@ def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits
 
         def flush() -> None:
             nonlocal next_id
-            lengths = np.array([p[2] for p in pool], float)
-            for chosen in pack_pool(np.stack([lengths, np.ones(len(pool)), lengths], axis=1), limit):
-                at, total = 0, sum(pool[i][2] for i in chosen)
+            demand = np.array([(p[2], 1, loss) for p, loss in pool], float)
+            for chosen in pack_pool(demand, limit):
+                at, total = 0, sum(pool[i][0][2] for i in chosen)
                 for i in chosen:
-                    out.append((*pool[i], next_id, at, total, len(chosen)))
-                    at += pool[i][2]
+                    piece, loss = pool[i]
+                    out.append((*piece, next_id, at, total, len(chosen), loss))
+                    at += piece[2]
                 next_id += 1
             pool.clear()
 
@@ -160,19 +165,23 @@ def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, limits.tokens):
-                    length = min(limits.tokens, n - start)
+            for doc_id, text, before in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                free = encode(before.as_py() or "")
+                ids = free + encode(text.as_py() or "") + end
+                n, first = len(ids) // 4, len(free) // 4
+                start = 0
+                while start < n:
+                    length = min(limits.tokens, n - start, max(first - start, 0) + limits.loss_tokens)
+                    loss = max(0, start + length - max(start, first))
                     piece = (doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), n)
-                    if length == limits.tokens <= limits.loss_tokens:
-                        out.append((*piece, next_id, 0, length, 1))
+                    if length == limits.tokens:
+                        out.append((*piece, next_id, 0, length, 1, loss))
                         next_id += 1
                     else:
-                        pool.append(piece)
+                        pool.append((piece, loss))
                         if len(pool) >= limits.pool:
                             flush()
+                    start += length
             if out:
                 yield emit()
         if pool:
@@ -180,4 +189,5 @@ def pack_documents(docs: DataFrame, ranks: str, end_id: int = 0, limits: Limits
         if out:
             yield emit()
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, SCHEMA)
+    before = F.lit("") if prompt is None else F.col(prompt)
+    return docs.select("doc_id", F.col("text"), before.alias("__prompt")).mapInArrow(run, SCHEMA)
