@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = docs.select(*COLUMNS)
     dropped = neardup.near_duplicates(docs, NEAR).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("doc_id"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "__text", "text").orderBy("doc_id"))
     return kept.withColumn("__turn", turn).filter("doc_id is null or __turn = 1").select(*COLUMNS)
 
 
