@@ -210,6 +210,20 @@ def _crc32(text: str) -> str:
     return f"xor(4294967295, list_reduce({bytes_}, lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)]), 4294967295::bigint))"
 
 
+SQL["op7_shard_bytes"] = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+bytes as (select doc_id, t, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::bigint) as b from d),
+sized as (
+  select doc_id, len(b) + 16 as size, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, crc_table[1 + (xor(c, x) & 255)]), 4294967295::bigint)) as text_crc32
+  from bytes, {_CRC_TABLE}),
+placed as (
+  select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) - size as before, sum(size) over () as total,
+    row_number() over (order by doc_id nulls first, text_crc32, size) as r
+  from sized),
+dealt as (select *, least(39, (before + size // 2) // greatest(1, ceil(total / 40.0)::hugeint))::int as shard from placed)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by r) - 1)::bigint as slot, null::int as grown_shard
+from dealt"""
+
 SQL["op13_merkle_manifest"] = rf"""
 with recursive f as (
   select doc_id, source, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
