@@ -376,3 +376,48 @@ def test_only_heavy_keys_are_cut_into_ranges(spark, monkeypatch):
             want.append((i, before[-1] if before else None, max(before) if before else None, sum(before) + v, n + 1, len(mine)))
     assert sorted(map(tuple, got.select("id", "before", "top", "sum", "n", "all").collect())) == sorted(want)
     assert set(ranged) == {"hot"}
+
+
+def test_contains_join_filter_drops_windows_before_they_travel(spark):
+    """Every device that a text holds is found; of 20,000 windows that no device has, few pass the filter."""
+    rnd = random.Random(5)
+    macs = [f"{rnd.getrandbits(48):012x}" for _ in range(3000)]
+    dev = spark.createDataFrame([(i, m) for i, m in enumerate(macs)] + [(-1, None), (-2, "short"), (9000, macs[7])], "k long, mac string")
+    texts = [(i, f"zz {macs[i * 3]} yy {macs[i * 3 + 1].upper()}") for i in range(900)] + [(5000, None), (5001, ""), (5002, "zz")]
+    found = J.contains_join(spark.createDataFrame(texts, "id long, p string"), dev, ["p"], "mac", ["id"], "k", {"at": "k", "name": "mac"})
+    got = {r["id"]: r["at"] for r in found.collect()}
+    assert len(got) == len(texts) and got[5000] is got[5001] is got[5002] is None
+    assert all(got[i] <= i * 3 for i in range(900))
+    held = J.address_filter(dev.filter("length(mac) = 12"), "mac").first()["_filter"]
+    assert len(held) == 1 << J.FILTER_POWER
+    word, bits = J._filter_bits(F.xxhash64("mac"))
+    known = J.address_filter(dev, "mac").scalar()
+    passing = lambda d: d.filter(F.get(known, word).bitwiseAND(bits) == bits).count()
+    assert passing(dev.filter("length(mac) = 12")) == 3001
+    assert passing(spark.createDataFrame([(f"{rnd.getrandbits(48):012x}",) for _ in range(20_000)], "mac string")) < 200
+    none = J.contains_join(spark.createDataFrame(texts, "id long, p string"), dev.limit(0), ["p"], "mac", ["id"], "k", {"at": "k"})
+    assert none.filter("at is null").count() == len(texts)
+
+
+@pytest.mark.parametrize("limit", [20, 10_000])
+def test_ordered_parts_are_bounded_and_whole(spark, monkeypatch, limit):
+    """Parts put together are the group's list, also where one group holds a third of the rows; no part exceeds its size."""
+    heavy_above(monkeypatch, limit)
+    d = skewed(spark)
+    got = A.ordered_parts(d, ["k"], F.col("id").cast("string"), Order("t"), F.col("v").isNotNull(), size=8).collect()
+    want = {}
+    for k, t, i, v in sorted((tuple(r) for r in d.collect()), key=lambda r: (r[1], str(r[2]))):
+        if v is not None:
+            want.setdefault(k, []).append(str(i))
+    for k, items in want.items():
+        parts = sorted((r for r in got if r["k"] == k), key=lambda r: r["part"])
+        assert [r["part"] for r in parts] == list(range(len(parts))) and [r["first_item"] for r in parts] == [1 + 8 * p for p in range(len(parts))]
+        assert all(r["n_items"] <= 8 for r in parts) and "\n".join(r["items"] for r in parts).split("\n") == items
+    assert {r["k"] for r in got} == set(want)
+    assert A.ordered_parts(d.limit(0), ["k"], F.col("k"), Order("t")).count() == 0
+
+
+def test_distinct_parts_skip_null_and_repeats(spark):
+    d = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("a", None), ("b", None), ("a", "z")], "k string, v string")
+    assert rows(A.distinct_parts(d, ["k"], "v", size=2), "k", "part", "first_item", "n_items", "items") == [("a", 0, 1, 2, "x, y"), ("a", 1, 3, 1, "z")]
+    assert rows(A.string_list(d, ["k"], "v"), "k", "items") == [("a", "x, y, z"), ("b", "")]

@@ -152,6 +152,20 @@ def a15b(t):
     return A.ordered_lines(t.customer, ["c_nationkey"], F.col("c_name"), ["c_acctbal", "c_custkey"], F.col("c_mktsegment") == "MACHINERY", "items")
 
 
+@query("a15_ordered_parts", """
+with n as (select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) as i from customer where c_mktsegment <> 'MACHINERY')
+select c_nationkey, ((i - 1) // 7)::bigint as part, min(i) as first_item, count(*) as n_items, string_agg(c_name, chr(10) order by i) as items from n group by 1, 2""")
+def a15p(t):
+    return A.ordered_parts(t.customer, ["c_nationkey"], F.col("c_name"), Order("c_acctbal", ("c_custkey",)), F.col("c_mktsegment") != "MACHINERY", size=7)
+
+
+@query("a15_distinct_parts", """
+with d as (select distinct event_type, user_id from events where user_id is not null), n as (select *, row_number() over (partition by event_type order by user_id) as i from d)
+select event_type, ((i - 1) // 16)::bigint as part, min(i) as first_item, count(*) as n_items, string_agg(user_id::varchar, ', ' order by i) as items from n group by 1, 2""")
+def a15d(t):
+    return A.distinct_parts(t.events, ["event_type"], "user_id", size=16)
+
+
 @query("a16_set_sorted", """
 select l_suppkey, array_to_string(list_sort(list(distinct case when l_linenumber > 1 then l_linenumber end) filter (where l_linenumber > 1)), ',') as items from lineitem group by 1""")
 def a16(t):

@@ -425,6 +425,41 @@ def s06(t):
     return g.groupBy("lang").agg(F.sum(F.when(c("n") == c("top"), c("n")).otherwise(-1)).alias("n"), F.sum("chars").alias("chars"))
 
 
+@query("s01_read_folder", """
+select s_suppkey, 'dev' || (s_nationkey % 5) as device, 'host' || (s_suppkey % 3) as target, '5201' as target_port,
+ case when s_suppkey % 4 = 0 then 'own' || s_suppkey when s_suppkey % 3 = 0 then 'cell zero' when s_suppkey % 3 = 1 then 'cell one' else 'host2' end as target_name,
+ round(abs(s_acctbal), 2) as bits_per_second, 1 as up from supplier""")
+def s01f(t):
+    """A folder with one test result per supplier, read back, its targets named by host and port, then by host."""
+    out = place(t, "s01")
+    k = c("s_suppkey")
+    one = lambda *cols: F.struct(*cols)
+    host = F.concat(F.lit("host"), (k % 3).cast("string"))
+    start = one(one(host.alias("host"), F.lit(5201).alias("port")).alias("connecting_to"), one(F.lit(1700000000).alias("timesecs")).alias("timestamp"))
+    end = one(one(F.round(F.abs("s_acctbal"), 2).alias("bits_per_second")).alias("sum_received"))
+    meta = one(F.concat(F.lit("dev"), (c("s_nationkey") % 5).cast("string")).alias("device"), F.when(k % 4 == 0, F.concat(F.lit("own"), k.cast("string"))).alias("target_name"))
+    t.supplier.select(k.alias("run"), meta.alias("metadata"), start.alias("start"), end.alias("end")).write.partitionBy("run").json(out)
+    names = t.region.filter("r_regionkey < 3").select(
+        F.when(c("r_regionkey") == 0, "host0:5201").when(c("r_regionkey") == 1, "host1").otherwise("host2:9").alias("key"), F.when(c("r_regionkey") == 0, "cell zero").otherwise("cell one").alias("name"))
+    d = S.with_target_config(S.read_iperf_json(t.spark, out), names)
+    return d.select(F.regexp_extract("path", "run=([0-9]+)/", 1).cast("bigint").alias("s_suppkey"), "device", "target", "target_port", "target_name", "bits_per_second", "up")
+
+
+@query("s04_read_folder", """
+select c_custkey::varchar as survey_point_id, 'aa:bb:cc:00:00:' || lpad(lower(to_hex(c_custkey % 256)), 2, '0') as bssid, case when c_custkey % 3 = 0 then 'X' when c_custkey % 3 = 1 then '5GHz' else '2.4GHz' end as band,
+ (case when c_custkey % 3 = 1 then 36 else 6 end)::int as channel, timestamp '2024-01-01 10:00:00' + interval 1 second * c_nationkey as survey_time, -(c_nationkey)::double as rssi_dbm, case when c_custkey % 2 = 0 then 'x, "y"' end as notes
+from customer where c_custkey % 5 > 0""")
+def s04f(t):
+    """Observations in the template's columns, written as a folder of CSV files and read back."""
+    out = place(t, "s04")
+    k = c("c_custkey")
+    mac = F.concat(F.lit("AA-BB-CC-00-00-"), F.lpad(F.hex(k % 256), 2, "0"))
+    S.write_template_csv(t.customer.select(
+        k.cast("string").alias("survey_point_id"), F.timestamp_seconds(c("c_nationkey") + 1704103200).alias("survey_time"), mac.alias("bssid"), F.when(k % 3 == 1, 36).otherwise(6).alias("channel"),
+        F.when(k % 3 == 0, "X").alias("band"), F.when(k % 5 > 0, -c("c_nationkey").cast("double")).alias("survey_rssi_dbm"), F.when(k % 2 == 0, 'x, "y"').alias("notes")), out)
+    return S.read_manual_csv(t.spark, out, "America/Chicago").select("survey_point_id", "bssid", "band", "channel", "survey_time", "rssi_dbm", "notes")
+
+
 @query("s17_write_exposition", "select event_type as metric, count(distinct user_id) + 2 as n_lines, true as sorted from events group by 1")
 def s17w(t):
     out = place(t, "s17")

@@ -332,6 +332,14 @@ def v28(t):
     return V.attempt_ap_distribution(frame(t, "attempts"), frame(t, "snapshots"))
 
 
+@query("a35_group_members", ctes("observations") + """
+, m as (select group_ip, group_mac, observed_at, unnest([{'kind': 'source_ips', 'member': source_ip::varchar}, {'kind': 'vlans', 'member': vlan::varchar}, {'kind': 'mgids', 'member': mgid::varchar},
+  {'kind': 'associated_attempts', 'member': attempt_id::varchar}, {'kind': 'aps_involved', 'member': ap_name::varchar}, {'kind': 'evidence_sources', 'member': evidence_source::varchar}]) as x from observations where group_ip is not null)
+select group_ip, group_mac, x.kind as kind, x.member as member, count(*) as observation_count, min(observed_at) as first_seen, max(observed_at) as last_seen from m where x.member is not null group by 1, 2, 3, 4""")
+def a35m(t):
+    return V.group_members(frame(t, "observations"))
+
+
 @query("a35_group_explorer", ctes("observations") + "select group_ip, group_mac, count(*) as observation_count, bool_or(receiver_member) as receiver_membership_seen from observations where group_ip is not null group by 1, 2")
 def a35(t):
     return V.group_explorer(frame(t, "observations")).select("group_ip", "group_mac", "observation_count", "receiver_membership_seen")

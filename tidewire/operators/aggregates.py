@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,29 @@ def ordered_lines(df: DataFrame, by: list[str], text: Column, order: list[str],
     return df.groupBy(*by).agg(F.nullif(F.array_join(F.transform(rows, lambda r: r["_text"]), "\n"), F.lit("")).alias(out))
 
 
+def ordered_parts(df: DataFrame, by: list[str], text: Column, order: Order, where: Column | None = None, size: int = 1000, sep: str = "\n") -> DataFrame:
+    """Long form of an ordered list: (``by``, part, first_item, n_items, items), at most ``size`` texts a part, parts numbered from 0.
+
+    Texts are numbered within their group by a scan, which deals out heavy groups by ranges, and gathered part by part, so a cell is bounded
+    whatever the size of its group. Equal places go by text. Rows that fail the condition and null texts have no place; a group without any has no part.
+    """
+    if size < 1:
+        raise ValueError("a part holds at least one text")
+    kept = df if where is None else df.filter(where)
+    places = [order.col, *[t.removeprefix("-") for t in order.ties]]
+    named = kept.select(*by, *[c for c in places if c not in by], text.alias("_text")).filter(F.col("_text").isNotNull())
+    numbered = scan(named, by, replace(order, ties=(*order.ties, "_text")), number="_no")
+    part = F.floor((F.col("_no") - 1) / size).cast("bigint").alias("part")
+    cell = F.array_sort(F.collect_list(F.struct("_no", "_text")))
+    return numbered.groupBy(*by, part).agg(
+        F.min("_no").alias("first_item"), F.count(F.lit(1)).alias("n_items"), F.array_join(F.transform(cell, lambda x: x["_text"]), sep).alias("items"))
+
+
+def distinct_parts(df: DataFrame, by: list[str], col: str, size: int = 1000, sep: str = ", ") -> DataFrame:
+    """Long form of ``string_list``: the distinct values in order, in parts as of ``ordered_parts``."""
+    return ordered_parts(df.filter(F.col(col).isNotNull()).select(*by, col).distinct(), by, F.col(col).cast("string"), Order(col), size=size, sep=sep)
+
+
 def set_sorted(col: str | Column) -> Column:
     """Sorted distinct values without null."""
     return F.array_sort(F.collect_set(col))

@@ -309,14 +309,28 @@ def broadcast_attempts(attempts: DataFrame, sessions: DataFrame, artifacts: Data
 
 
 def group_explorer(observations: DataFrame) -> DataFrame:
-    """Per multicast group: when and where it was seen."""
+    """Per multicast group: when and where it was seen. Sets are gathered into cells; ``group_members`` is the long form."""
     d = observations.filter(c("group_ip").isNotNull())
-    sets = {"source_ips": "source_ip", "vlans": "vlan", "mgids": "mgid", "associated_attempts": "attempt_id", "aps_involved": "ap_name", "evidence_sources": "evidence_source"}
     return d.groupBy("group_ip", "group_mac").agg(
-        F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), *[set_sorted(v).alias(k) for k, v in sets.items()],
+        F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), *[set_sorted(col).alias(kind) for col, kind in GROUP_SETS.items()],
         F.bool_or("receiver_member").alias("receiver_membership_seen"), F.max("capture_confidence").alias("capture_confidence"), rows_n().alias("observation_count"))
 
 
+GROUP_SETS = {"source_ip": "source_ips", "vlan": "vlans", "mgid": "mgids", "attempt_id": "associated_attempts", "ap_name": "aps_involved", "evidence_source": "evidence_sources"}
+
+
+def group_members(observations: DataFrame) -> DataFrame:
+    """The sets of ``group_explorer`` as rows, for groups of any size: (group_ip, group_mac, kind, member, observation_count, first_seen, last_seen).
+
+    ``kind`` names the set, ``member`` is its value as text. Observations without a group and null members have no row.
+    """
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(kind).alias("kind"), c(col).cast("string").alias("member")) for col, kind in GROUP_SETS.items()]),
+                              lambda x: x["member"].isNotNull())).alias("_m")
+    d = observations.filter(c("group_ip").isNotNull()).select("group_ip", "group_mac", "observed_at", each)
+    return d.groupBy("group_ip", "group_mac", c("_m.kind").alias("kind"), c("_m.member").alias("member")).agg(
+        rows_n().alias("observation_count"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+
+
 def attempt_timeline(attempts: DataFrame, events: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Starts, session events and snapshots of attempts as one long table."""
     a = attempts.filter(c("started_at").isNotNull()).select("attempt_id", "study_id", c("started_at").alias("event_time"), F.lit("attempt_started").alias("event_kind"),
