@@ -25,7 +25,8 @@ from tidewire.llm.hashing import U, mix, text_bytes, word_hashes, word_spans
 
 #: Names of the end token and of the context before the first word.
 END, START = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
-_KEY_BITS = 48
+#: Bits of a hash that stand for a word, for a context in its shard, and for a word after a given context.
+_WORD_BITS, _CONTEXT_BITS, _NEXT_BITS = 48, 40, 32
 
 
 @dataclass(frozen=True)
@@ -162,8 +163,10 @@ def narrow(x: np.ndarray) -> np.ndarray:
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
+    """Compressed arrays. Of wider numbers all first bytes come first, then all second ones: the upper ones are mostly zero."""
     head = struct.pack("<i", len(arrays)) + b"".join(struct.pack("<ci", a.dtype.char.encode(), len(a)) for a in arrays)
-    return zstandard.compress(head + b"".join(a.tobytes() for a in arrays), 1)
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.compress(head + b"".join(planes), 3)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -175,19 +178,20 @@ def unpack(data: bytes) -> list[np.ndarray]:
         shapes.append((np.dtype(kind.decode()), size))
         at += struct.calcsize("<ci")
     for kind, size in shapes:
-        out.append(np.frombuffer(data, kind, size, at))
+        planes = np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += kind.itemsize * size
     return out
 
 
-def key_bytes(hashes: np.ndarray) -> np.ndarray:
-    """48 bits of each hash, as bytes."""
-    return np.ascontiguousarray((hashes >> U(64 - _KEY_BITS)).view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+def key_bytes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits of each hash, as bytes."""
+    return np.ascontiguousarray((hashes >> U(64 - bits)).view(np.uint8).reshape(-1, 8)[:, : bits // 8]).reshape(-1)
 
 
-def keys_of(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
+def keys_of(data: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros((len(data) // (bits // 8), 8), np.uint8)
+    out[:, : bits // 8] = data.reshape(-1, bits // 8)
     return out.reshape(-1).view(np.uint64)
 
 
@@ -240,17 +244,16 @@ def questions(docs: DataFrame, shards: int, spread: np.ndarray, settings: Settin
             hashes = np.r_[block.words, START]
             each = np.arange(shards + 1)
             a = np.searchsorted(q.word_shards, each)
-            rows = [[key_bytes(block.words[q.word_order[a[s] : a[s + 1]]]), narrow(seen[a[s] : a[s + 1]])] for s in range(shards)]
+            rows = [[key_bytes(block.words[q.word_order[a[s] : a[s + 1]]], _WORD_BITS), narrow(seen[a[s] : a[s + 1]])] for s in range(shards)]
             for level in q.levels:
                 there = level.token_grams >= 0
                 grams = np.bincount(level.token_grams[there], train[there], len(level.gram_words)).astype(np.int64)
                 per_pair = np.bincount(level.gram_pairs, minlength=len(level.pair_contexts))
                 b, c = np.searchsorted(level.pair_shards, each), np.searchsorted(level.pair_shards[level.gram_pairs], each)
                 for s in range(shards):
-                    some, number = np.unique(level.gram_words[c[s] : c[s + 1]], return_inverse=True)
                     rows[s] += [
-                        key_bytes(level.hashes[level.pair_contexts[b[s] : b[s + 1]]]), narrow(per_pair[b[s] : b[s + 1]]), key_bytes(hashes[some]), narrow(number),
-                        narrow(grams[c[s] : c[s + 1]])]
+                        key_bytes(level.hashes[level.pair_contexts[b[s] : b[s + 1]]], _CONTEXT_BITS), narrow(per_pair[b[s] : b[s + 1]]),
+                        key_bytes(hashes[level.gram_words[c[s] : c[s + 1]]], _NEXT_BITS), narrow(grams[c[s] : c[s + 1]])]
             rows = [pack(row) for row in rows]
             yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([_block_id(k)] * shards, pa.int64()), pa.array(rows, pa.binary())], names=["shard", "block", "asked"])
 
@@ -259,9 +262,9 @@ def questions(docs: DataFrame, shards: int, spread: np.ndarray, settings: Settin
 
 def _summed(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words and counts of the n-grams that training documents have, over all blocks, each once."""
-    context = np.concatenate([np.repeat(keys_of(v), each) for v, each, _, _, _ in parts])
-    word = np.concatenate([keys_of(some)[number] for _, _, some, number, _ in parts])
-    count = np.concatenate([n for _, _, _, _, n in parts])
+    context = np.concatenate([np.repeat(keys_of(v, _CONTEXT_BITS), each) for v, each, _, _ in parts])
+    word = np.concatenate([keys_of(w, _NEXT_BITS) for _, _, w, _ in parts])
+    count = np.concatenate([n for _, _, _, n in parts])
     order = np.flatnonzero(count > 0)
     order = order[np.lexsort([word[order], context[order]])]
     context, word, count = context[order], word[order], count[order].astype(np.int64)
@@ -279,20 +282,20 @@ def answers(asked: DataFrame, settings: Settings) -> DataFrame:
 
     def settle(rows: list[tuple[int, bytes]], shard: int) -> Iterator[pa.RecordBatch]:
         parts = [unpack(data) for _, data in rows]
-        word, inverse = np.unique(keys_of(np.concatenate([p[0] for p in parts])), return_inverse=True)
+        word, inverse = np.unique(keys_of(np.concatenate([p[0] for p in parts]), _WORD_BITS), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
         told, at = [], 0
         for p in parts:
             told.append([narrow(counts[inverse[at : at + len(p[1])]])])
             at += len(p[1])
         for level in range(settings.order - 1):
-            # contexts, n-grams of each, distinct words, each n-gram's word among these, its count in training
-            mine = [p[2 + 5 * level : 7 + 5 * level] for p in parts]
+            # contexts, n-grams of each, each n-gram's last word, its count in training
+            mine = [p[2 + 4 * level : 6 + 4 * level] for p in parts]
             with tempfile.TemporaryDirectory() as folder:
-                trie = Trie.build(folder, *_summed(mine), settings.discount, 1 << _KEY_BITS)
-                for out, (v, each, some, number, _) in zip(told, mine, strict=True):
-                    context, seen, kinds = trie.context(keys_of(v))
-                    codes = trie.probability_codes(np.repeat(context, each), keys_of(some)[number])
+                trie = Trie.build(folder, *_summed(mine), settings.discount, 1 << _CONTEXT_BITS)
+                for out, (v, each, w, _) in zip(told, mine, strict=True):
+                    context, seen, kinds = trie.context(keys_of(v, _CONTEXT_BITS))
+                    codes = trie.probability_codes(np.repeat(context, each), keys_of(w, _NEXT_BITS))
                     out += [narrow(seen), narrow(kinds), codes]
         for (block, _), out in zip(rows, told, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack(out)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
