@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.session import checkpoint_dir
+from tidewire.session import store  # noqa: F401  the operators import it from here
 
 #: Bytes of text that one vectorised step takes at once; its arrays need some forty times as much.
 CHUNK_BYTES = 2 << 20
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation. The folder goes when the session ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo ``n``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
