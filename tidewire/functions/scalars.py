@@ -62,11 +62,8 @@ def normalize_mac_lenient(col: Column) -> Column:
 def ipv4_number(col: Column) -> Column:
     """Dotted quad as BIGINT; null when it is not an IPv4 address."""
     ok = col.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    parts = F.split(F.when(ok, col), r"\.")
-    total = F.lit(0).cast("bigint")
-    for i in range(4):
-        total = total * 256 + F.element_at(parts, i + 1).cast("bigint")
-    return total
+    # one expression over the parts: written out per part, the check and the split would run once for each
+    return F.aggregate(F.split(F.when(ok, col), r"\."), F.lit(0).cast("bigint"), lambda total, part: total * 256 + part.cast("bigint"))
 
 
 def cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -83,7 +80,7 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
 def in_pool(ip: Column, cidr: str) -> Column:
     """Whether an address lies in a CIDR block; false for anything that is not IPv4."""
     lo, hi = cidr_bounds(cidr)
-    return F.coalesce(ipv4_number(ip).between(lo, hi), F.lit(False))
+    return F.coalesce(F.exists(F.array(ipv4_number(ip)), lambda n: n.between(lo, hi)), F.lit(False))
 
 
 def multicast_mac_number(ip_number: Column) -> Column:

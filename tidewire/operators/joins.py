@@ -152,9 +152,9 @@ def range_filter_join(facts: DataFrame, ranges: DataFrame, value: str, lo: str,
 
 def in_any_cidr(df: DataFrame, ip: str, bounds: list[tuple[int, int]]) -> DataFrame:
     """Rows whose address falls in one of a few configured blocks."""
-    number = ipv4_number(F.col(ip))
-    cond = reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in bounds])
-    return df.filter(F.coalesce(cond, F.lit(False)))
+    # the address is parsed once a row, not once a bound: a filter repeats any expression that it names twice
+    inside = F.exists(F.array(ipv4_number(F.col(ip))), lambda n: reduce(lambda a, b: a | b, [n.between(lo, hi) for lo, hi in bounds]))
+    return df.filter(F.coalesce(inside, F.lit(False)))
 
 
 def restore_preserved(preserved: DataFrame, parents: DataFrame, key: str) -> DataFrame:
