@@ -28,6 +28,13 @@ def as_file(d, order):
     return checkpointed(scan(d, ["path"], order, number="line_no").select("path", "line_no", "value"))
 
 
+def spread(d, *keys):
+    """Rows that each take long, over several tasks a core, rows of the same keys in one: a table of millions of short rows may be one small
+    file, which one task reads."""
+    spark = d.sparkSession
+    return d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def as_large_file(d, order):
     """The same where a leading value has few lines and a file many: lines are numbered within their leading value and moved up by the
     lines of the values before it, so no file is sorted whole."""
@@ -227,7 +234,7 @@ def s15f(t):
     text = F.concat_ws("\n", F.lit("wlc#show wireless multicast group summary"), fmt("  %d   239.1.1.1   5", k % 9), fmt("wlc#show wireless multicast group 230.230.0.%d vlan %d", k % 250, k % 90), fmt("Group : 230.230.0.%d", k % 250),
                        fmt("Vlan : %d", k % 90), fmt("MGID : %d", k % 4000), F.lit("Client List"), F.when(k % 2 == 0, "  aabb.cc00.0001   joined").otherwise("  aabb.cc00.0002   joined"), F.lit("wlc#show wireless client mac-address x detail"),
                        fmt("AP Name : ap%d", c("c_nationkey")), fmt("RSSI : -%d", k % 90), F.when(k % 3 == 0, "Multicast : Enabled").otherwise("Multicast : Disabled"), F.when(k % 3 == 0, "IGMP version 3").otherwise("igmp"))
-    d = T.snapshot_extract_job(t.customer.select("c_custkey", text.alias("text")), receiver_mac="aa:bb:cc:00:00:01")
+    d = T.snapshot_extract_job(spread(t.customer.select("c_custkey", "c_nationkey")).select("c_custkey", text.alias("text")), receiver_mac="aa:bb:cc:00:00:01")
     return d.select("c_custkey", "group_ip", "mgid", "group_vlan", "receiver_group_member", "receiver_group_status", "receiver_ap", "receiver_rssi", "multicast_enabled", "igmp_version")
 
 
