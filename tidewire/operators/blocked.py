@@ -44,11 +44,15 @@ class Order:
 
 def heavy_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
     """The keys with more rows than one task should sort, written once; None if there are none. At most rows / ``HEAVY_KEY_ROWS`` keys."""
+    return None if is_small(df) else counted_heavy_keys(df, by)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner's estimate is so low that keys need not be counted."""
     try:
-        small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
     except ValueError:  # an estimate of thousands of digits: joins multiply it
-        small = False
-    return None if small else counted_heavy_keys(df, by)
+        return False
 
 
 def counted_heavy_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
@@ -57,6 +61,16 @@ def counted_heavy_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
     return found if found.limit(1).count() else None
 
 
+def counted_load(df: DataFrame, by: list[str]) -> tuple[DataFrame | None, int, int]:
+    """The keys with more rows than one task should sort, as ``counted_heavy_keys`` has them; rows and number of all other keys."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    large = F.when(F.col("_n") > HEAVY_KEY_ROWS, F.struct(*by)).alias("_key")
+    found = checkpointed(counts.select(large, "_n").groupBy("_key").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys")))
+    heavy = found.filter(F.col("_key").isNotNull()).select("_key.*")
+    others = found.filter(F.col("_key").isNull()).first()
+    return heavy if heavy.limit(1).count() else None, others["_rows"] if others else 0, others["_keys"] if others else 0
+
+
 def split_heavy(df: DataFrame, by: list[str], known: DataFrame | None = ...) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of heavy ones (None if there are none). The list of heavy keys is short by its definition, so it is broadcast.
 

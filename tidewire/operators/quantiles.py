@@ -22,11 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.blocked import heavy_keys, join_back, split_heavy
+from tidewire.operators.blocked import counted_load, is_small, join_back, split_heavy
 
 STEPS_PER_OCTAVE = 4096
 SUB_STEPS = 65_536
 _TOP = 30_000_000
+#: Values, of all columns together, that a task of a counted input sorts; so its memory doesn't grow with the input.
+TASK_VALUES = 200_000
+#: Groups of fewer rows on average are not counted before the shuffle: hardly a value would be repeated.
+FEW_ROWS = 4
 
 
 def value_bucket(value: Column) -> Column:
@@ -65,12 +69,18 @@ def _long(df: DataFrame, by: list[str], sources: list[str]) -> DataFrame:
     return df.select(*by, F.explode(pairs).alias("_p")).select(*by, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v")).filter(F.col("_v").isNotNull())
 
 
-def _ordinary(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float, str]], sources: list[str]) -> DataFrame:
-    """Percentiles of groups that a task can sort: running counts over the distinct values."""
+def _ordinary(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float, str]], sources: list[str], tasks: int = 0, early: bool = False) -> DataFrame:
+    """Percentiles of groups that a task can sort: running counts over the distinct values.
+
+    ``tasks``: into how many partitions whole groups are dealt (0: Spark's choice), ``early``: before their values are counted.
+    """
     keys = [*by, "_m"]
+    df = df.repartition(tasks, *by) if tasks and early else df
     counted = _long(df, by, sources).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*keys)
-    placed = counted.withColumn("_n", F.sum("_c").over(whole)).withColumn("_cum", F.sum("_c").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.repartition(tasks, *by) if tasks and not early else counted
+    along = Window.partitionBy(*keys).orderBy("_v")  # one order for both sums, so rows are sorted once
+    total = F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = counted.select(*keys, "_v", "_c", total.alias("_n"), F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"))
     outs = []
     for out, (src, q, mode) in specs.items():
         mine = F.col("_m") == sources.index(src)
@@ -92,8 +102,12 @@ def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float,
         one = percentiles(df.select(F.lit(1).alias("_all"), *sources), ["_all"], specs, heavy)
         return one.drop("_all")
     df = df.select(*by, *[c for c in sources if c not in by])
-    rows, large = split_heavy(df, by, heavy_keys(df, by) if heavy is ... else heavy)
-    done = _ordinary(rows, by, specs, sources)
+    tasks, early = 0, False
+    if heavy is ...:
+        heavy, n, groups = (None, 0, 0) if is_small(df) else counted_load(df, by)
+        tasks, early = -(-n * len(sources) // TASK_VALUES), n < FEW_ROWS * groups
+    rows, large = split_heavy(df, by, heavy)
+    done = _ordinary(rows, by, specs, sources, tasks, early)
     return done if large is None else done.unionByName(_refined(large, by, specs, sources))
 
 
