@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 import os
+from functools import cached_property
 
 import numpy as np
 
 W = np.uint64
 
 
-def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each 64-bit word."""
-    at, rest = np.zeros(len(word), np.uint64), k.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        part = (word >> at) & W((1 << width) - 1)
-        ones = np.bitwise_count(part).astype(np.uint64)
-        skip = ones <= rest
-        rest = np.where(skip, rest - ones, rest)
-        at = np.where(skip, at + W(width), at)
-    return at.astype(np.int64)
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and each value's number among them."""
+    order = np.argsort(values)
+    values = values[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    number = np.empty(len(values), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return values[fresh], number
 
 
 class EliasFano:
     """A non-decreasing sequence of n integers below ``universe`` in about 2 + log2(universe / n) bits each.
 
-    ``low``: the low bits, side by side; ``high``: the high parts in unary, a one for each value and a zero for each step; ``ones``: how
-    many ones come before each word of ``high``.
+    ``low``: the low bits, side by side; ``high``: the high parts in unary, a one for each value and a zero for each step. Where many
+    values are asked for, the unary part is unpacked first: ``high_parts`` and ``starts``.
     """
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.bits, self.low, self.high = n, bits, low, high
+
+    def _places(self, bit: int) -> np.ndarray:
+        found = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == bit)
+        found -= np.arange(len(found))
+        return found.astype(np.int32) if len(self.high) < 1 << 25 else found
+
+    @cached_property
+    def high_parts(self) -> np.ndarray:
+        """The high part of each value: zeros before its one."""
+        return self._places(1)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """How many values have a high part below h, for each h: ones before the zero that begins it."""
+        return np.r_[np.int32(0), self._places(0)]
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -48,9 +63,7 @@ class EliasFano:
         unary = np.zeros((size + 63) // 64 * 64, np.uint8)
         unary[(values >> W(bits)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(unary, bitorder="little").view(np.uint64)
-        ones = np.zeros(len(high) + 1, np.int64)
-        np.cumsum(np.bitwise_count(high), out=ones[1:])
-        return cls(n, bits, low, high, ones)
+        return cls(n, bits, low, high)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -63,16 +76,7 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        place = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
-        return ((place - i).astype(np.uint64) << W(self.bits)) | self.lows(i)
-
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many values have a high part below h."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        word = np.searchsorted(zeros, h - 1, side="right") - 1
-        place = word * 64 + _select_in_word(~self.high[np.minimum(word, len(self.high) - 1)], h - 1 - zeros[word])
-        return np.where(h > 0, place - (h - 1), 0)
+        return (self.high_parts[i].astype(np.uint64) << W(self.bits)) | self.lows(i)
 
     def find(self, targets: np.ndarray, first: np.ndarray | int = 0, stop: np.ndarray | None = None) -> np.ndarray:
         """Position of each target in [first, stop), or -1: a successor search among the values that share its high part."""
@@ -80,33 +84,35 @@ class EliasFano:
             return np.full(len(targets), -1)
         targets = targets.astype(np.uint64)
         h = (targets >> W(self.bits)).astype(np.int64)
-        last = int(self.get(np.array([self.n - 1]))[0] >> W(self.bits))
-        inside = h <= last
-        h = np.minimum(h, last)
-        lo = np.maximum(self._before(h), first)
-        end = self._before(h + 1)
-        end = end if stop is None else np.minimum(end, stop)
+        steps = len(self.starts) - 2
+        inside = h <= steps
+        h = np.minimum(h, steps)
+        lo, end = self.starts[h].astype(np.int64), self.starts[h + 1].astype(np.int64)
+        lo, end = np.maximum(lo, first), end if stop is None else np.minimum(end, stop)
         hi, want = end.copy(), targets & W((1 << self.bits) - 1)
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            middle = (lo + hi) >> 1
-            less = self.lows(np.minimum(middle, self.n - 1)) < want
-            lo, hi = np.where(open_ & less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
-        hit = inside & (lo < end) & (self.lows(np.minimum(lo, self.n - 1)) == want)
-        return np.where(hit, lo, -1)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = self.lows(middle) < want[open_]
+            lo[open_[less]] = middle[less] + 1
+            hi[open_[~less]] = middle[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        hit = np.flatnonzero(inside & (lo < end))
+        hit = hit[self.lows(lo[hit]) == want[hit]]
+        out = np.full(len(targets), -1)
+        out[hit] = lo[hit]
+        return out
 
     def save(self, folder: str, name: str) -> None:
         np.savez(os.path.join(folder, f"{name}.shape.npz"), n=self.n, bits=self.bits)
-        for part in ("low", "high", "ones"):
+        for part in ("low", "high"):
             np.save(os.path.join(folder, f"{name}.{part}.npy"), getattr(self, part))
 
     @classmethod
     def open(cls, folder: str, name: str) -> EliasFano:
         with np.load(os.path.join(folder, f"{name}.shape.npz")) as shape:
             n, bits = int(shape["n"]), int(shape["bits"])
-        return cls(n, bits, *[np.load(os.path.join(folder, f"{name}.{part}.npy"), mmap_mode="r") for part in ("low", "high", "ones")])
+        return cls(n, bits, *[np.load(os.path.join(folder, f"{name}.{part}.npy"), mmap_mode="r") for part in ("low", "high")])
 
 
 #: A probability p is kept as one byte, round(-log2(p) * STEPS) + 1; zero means none.
@@ -117,8 +123,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log2(p) * STEPS) + 1, 1, 255).astype(np.uint8)
 
 
+_SHARES = np.where(np.arange(256) > 0, np.exp2((1.0 - np.arange(256, dtype=np.uint8)) / STEPS), 0.0)
+
+
 def dequantise(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, np.exp2((1.0 - code) / STEPS), 0.0)
+    return _SHARES[code]
 
 
 class Trie:
@@ -139,16 +148,17 @@ class Trie:
     @classmethod
     def build(cls, folder: str, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float, universe: int) -> Trie:
         """From n-grams (context key, word key, count above 0), each once, in any order, keys below ``universe``."""
-        context, i = np.unique(contexts, return_inverse=True)
-        word, j = np.unique(words, return_inverse=True)
-        order = np.lexsort([j, i])
-        i, j, counts = i[order], j[order], counts[order]
+        (context, i), (word, j) = numbered(contexts), numbered(words)
+        at = i.astype(np.int64) * max(len(word), 1) + j
+        if (at[1:] < at[:-1]).any():
+            order = np.argsort(at)
+            i, at, counts = i[order], at[order], counts[order]
         kinds = np.bincount(i, minlength=len(context))
         seen = np.bincount(i, counts, len(context)).astype(np.int64)
         codes = quantise((counts - discount) / seen[i]) if len(i) else np.zeros(0, np.uint8)
         parts = {
             "contexts": (context, universe), "pointers": (np.concatenate([[0], np.cumsum(kinds)]), len(i) + 1), "words": (word, universe),
-            "successors": (i * max(len(word), 1) + j, max(1, len(context) * len(word)))}
+            "successors": (at, max(1, len(context) * len(word)))}
         for name, (values, bound) in parts.items():
             EliasFano.of(values, bound).save(folder, name)
         for name, values in {"codes": codes, "seen": seen, "kinds": kinds}.items():
@@ -162,13 +172,18 @@ class Trie:
             return at, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         return at, np.where(at >= 0, self.seen[at], 0), np.where(at >= 0, self.kinds[at], 0)
 
-    def probability_codes(self, context: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Codes of words after contexts given by number, by a search among the context's successors; 0 if there is none."""
+    def probability_codes(self, context: np.ndarray, each: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Codes of words, ``each`` of them after a context given by number, by a search among the context's successors; 0 if there is none."""
         out = np.zeros(len(words), np.uint8)
-        word = self.words.find(words)
-        ok = np.flatnonzero((context >= 0) & (word >= 0))
-        if len(ok):
-            first, stop = self.pointers.get(context[ok]).astype(np.int64), self.pointers.get(context[ok] + 1).astype(np.int64)
-            at = self.successors.find(context[ok] * self.words.n + word[ok], first, stop)
-            out[ok] = np.where(at >= 0, self.codes[np.maximum(at, 0)], 0)
+        if not self.contexts.n:
+            return out
+        distinct, number = numbered(words)
+        number = self.words.find(distinct)[number]
+        known = np.maximum(context, 0)
+        first, stop = self.pointers.get(known).astype(np.int64), self.pointers.get(known + 1).astype(np.int64)
+        pair = np.repeat(np.arange(len(context), dtype=np.int32), each)
+        ok = np.flatnonzero((context[pair] >= 0) & (number >= 0))
+        pair = pair[ok]
+        at = self.successors.find(context[pair] * self.words.n + number[ok], first[pair], stop[pair])
+        out[ok] = np.where(at >= 0, self.codes[np.maximum(at, 0)], 0)
         return out

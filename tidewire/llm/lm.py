@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import chunks, remainder, store
-from tidewire.llm.eliasfano import Trie, dequantise
+from tidewire.llm.eliasfano import Trie, dequantise, numbered
 from tidewire.llm.hashing import U, mix, text_bytes, word_hashes, word_spans
 
 #: Names of the end token and of the context before the first word.
@@ -61,12 +61,11 @@ def blocks(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[Bl
     held: list[tuple] = []
 
     def settle() -> Block:
+        ids, train = [i for ids, _, _, _ in held for i in ids], np.concatenate([t for _, t, _, _ in held])
+        edges = np.r_[0, np.cumsum(np.concatenate([np.diff(e) for _, _, _, e in held]))]
         hashes = np.concatenate([h for _, _, h, _ in held])
-        words, tokens = np.unique(hashes, return_inverse=True)
-        counts = np.concatenate([np.diff(e) for _, _, _, e in held])
-        out = Block([i for ids, _, _, _ in held for i in ids], np.concatenate([t for _, t, _, _ in held]), words, tokens, np.r_[0, np.cumsum(counts)])
         held.clear()
-        return out
+        return Block(ids, train, *numbered(hashes), edges)
 
     for batch in batches:
         for part in chunks(batch):
@@ -122,38 +121,62 @@ def context_hashes(hashes: np.ndarray, edges: np.ndarray, order: int) -> Iterato
 
 def ask(block: Block, shards: int, spread: np.ndarray) -> Question:
     """``spread``: level by level, into how many shards the successors of a context go, by the top 16 bits of its hash; frequent ones have several."""
+    # A block's arrays are as narrow as their numbers allow: they are most of a task's memory.
     hashes = np.r_[block.words, START]
     n = len(hashes)
-    home = (mix(block.words) % U(shards)).astype(np.int64)
+    home = (mix(block.words) % U(shards)).astype(np.int32)
     word_order = np.argsort(home, kind="stable")
     salt = mix(hashes + U(1))
-    place = np.arange(len(block.tokens)) - np.repeat(block.edges[:-1], np.diff(block.edges))
-    context = np.empty(len(block.tokens), np.int64)
+    place = (np.arange(len(block.tokens)) - np.repeat(block.edges[:-1], np.diff(block.edges))).astype(np.int32)
+    context = np.empty(len(block.tokens), np.int32)
     context[1:] = block.tokens[:-1]
     context[block.edges[:-1]] = n - 1
     known, levels = hashes, []
     for k, ways_of in enumerate(spread):
         has = np.flatnonzero(place >= k)
-        keys, grams = np.unique(context[has] * n + block.tokens[has], return_inverse=True)
-        v, w = keys // n, keys % n
+        keys = context[has].astype(np.int64)
+        keys *= n
+        keys += block.tokens[has]
+        keys, grams = numbered(keys)
+        v = (keys // n).astype(np.int32)
+        w = (keys - v * np.int64(n)).astype(np.int32)
+        del keys
         m = len(known)
-        at = (mix(known) % U(shards)).astype(np.int64)
-        ways = ways_of[(known >> U(48)).astype(np.int64)]
-        shard = (at[v] + (salt[w] % ways[v].astype(np.uint64)).astype(np.int64)) % shards
+        at = (mix(known) % U(shards)).astype(np.int32)
+        ways = ways_of.astype(np.int32)[(known >> U(48)).astype(np.uint16)]
+        shard = at[v]
+        split = np.flatnonzero(ways[v] > 1)
+        shard[split] = (shard[split] + (salt[w[split]] % ways[v[split]].astype(np.uint64)).astype(np.int32)) % shards
+        # N-grams ascend by context, so by shard alone is by shard and context. Small numbers are sorted by radix.
+        order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")
+        placed = shard[order].astype(np.int64)
+        placed *= m
+        placed += v[order]
+        fresh = np.ones(len(placed), bool)
+        fresh[1:] = placed[1:] != placed[:-1]
+        pairs = placed[fresh]
         # A context with several shards asks all of them how often they have seen it.
-        wide = np.flatnonzero((ways > 1) & (np.bincount(v, minlength=m) > 0))
-        extra_v = np.repeat(wide, ways[wide])
-        turn = np.arange(len(extra_v)) - np.repeat(np.cumsum(ways[wide]) - ways[wide], ways[wide])
-        pairs = np.unique(np.r_[shard * m + v, (at[extra_v] + turn) % shards * m + extra_v])
-        order = np.argsort(shard * m + v, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        token_grams = np.full(len(block.tokens), -1)
+        wide = np.flatnonzero(ways > 1)
+        if len(wide):
+            wide = wide[np.bincount(v, minlength=m)[wide] > 0]
+            extra_v = np.repeat(wide, ways[wide])
+            turn = np.arange(len(extra_v)) - np.repeat(np.cumsum(ways[wide]) - ways[wide], ways[wide])
+            pairs = np.sort(np.r_[pairs, (at[extra_v].astype(np.int64) + turn) % shards * m + extra_v])
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+        gram_pairs = np.searchsorted(pairs, placed).astype(np.int32) if len(wide) else np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+        del placed, fresh, shard
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        token_grams = np.full(len(block.tokens), -1, np.int32)
         token_grams[has] = back[grams]
-        levels.append(Level(known, pairs // m, pairs % m, np.searchsorted(pairs, (shard * m + v)[order]), w[order], token_grams))
-        # The n-gram that ends at a token is the next token's context one level up.
-        known = joined(known[v], hashes[w])
-        context[has[has + 1 < len(context)] + 1] = grams[has + 1 < len(context)]
+        del back
+        levels.append(Level(known, (pairs // m).astype(np.int32), (pairs % m).astype(np.int32), gram_pairs, w[order], token_grams))
+        del order, pairs
+        if k + 1 < len(spread):
+            # The n-gram that ends at a token is the next token's context one level up.
+            known = joined(known[v], hashes[w])
+            on = has + 1 < len(context)
+            context[has[on] + 1] = grams[on]
     return Question(word_order, home[word_order], levels)
 
 
@@ -239,15 +262,14 @@ def questions(docs: DataFrame, shards: int, spread: np.ndarray, settings: Settin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, block in enumerate(blocks(batches, settings)):
             q = ask(block, shards, spread)
-            train = np.repeat(block.train, np.diff(block.edges)).astype(float)
-            seen = np.bincount(block.tokens, train, len(block.words)).astype(np.int64)[q.word_order]
+            train = np.repeat(block.train, np.diff(block.edges)).astype(bool)
+            seen = np.bincount(block.tokens[train], minlength=len(block.words))[q.word_order]
             hashes = np.r_[block.words, START]
             each = np.arange(shards + 1)
             a = np.searchsorted(q.word_shards, each)
             rows = [[key_bytes(block.words[q.word_order[a[s] : a[s + 1]]], _WORD_BITS), narrow(seen[a[s] : a[s + 1]])] for s in range(shards)]
             for level in q.levels:
-                there = level.token_grams >= 0
-                grams = np.bincount(level.token_grams[there], train[there], len(level.gram_words)).astype(np.int64)
+                grams = np.bincount(level.token_grams[train & (level.token_grams >= 0)], minlength=len(level.gram_words))
                 per_pair = np.bincount(level.gram_pairs, minlength=len(level.pair_contexts))
                 b, c = np.searchsorted(level.pair_shards, each), np.searchsorted(level.pair_shards[level.gram_pairs], each)
                 for s in range(shards):
@@ -260,21 +282,36 @@ def questions(docs: DataFrame, shards: int, spread: np.ndarray, settings: Settin
     return docs.mapInArrow(run, "shard int, block long, asked binary")
 
 
+def _by_context(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by context, then word. Both don't fit in 64 bits: the few runs that only the words' last bits tell apart are sorted once more."""
+    cut = U(_CONTEXT_BITS + _NEXT_BITS - 64)
+    key = context << U(64 - _CONTEXT_BITS) | word >> cut
+    order = np.argsort(key)
+    key = key[order]
+    run = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    mixed = np.zeros(len(key) and run[-1] + 1, bool)
+    mixed[run[1:][(run[1:] == run[:-1]) & (word[order[1:]] != word[order[:-1]])]] = True
+    again = np.flatnonzero(mixed[run])
+    order[again] = order[again][np.lexsort([word[order[again]], run[again]])]
+    return order
+
+
 def _summed(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words and counts of the n-grams that training documents have, over all blocks, each once."""
     context = np.concatenate([np.repeat(keys_of(v, _CONTEXT_BITS), each) for v, each, _, _ in parts])
     word = np.concatenate([keys_of(w, _NEXT_BITS) for _, _, w, _ in parts])
     count = np.concatenate([n for _, _, _, n in parts])
-    order = np.flatnonzero(count > 0)
-    order = order[np.lexsort([word[order], context[order]])]
-    context, word, count = context[order], word[order], count[order].astype(np.int64)
+    some = np.flatnonzero(count > 0)
+    context, word, count = context[some], word[some], count[some].astype(np.int64)
+    order = _by_context(context, word)
+    context, word, count = context[order], word[order], count[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
     first = np.flatnonzero(fresh)
     return context[first], word[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def answers(asked: DataFrame, settings: Settings) -> DataFrame:
+def answers(asked: DataFrame, shards: int, settings: Settings) -> DataFrame:
     """(block, shard, told, tokens, kinds): each shard's answers; in the row with a null block its training tokens and their kinds.
 
     A shard holds what all blocks ask of it: about the corpus divided by the number of shards. Each level has a trie of its own, in turn.
@@ -282,7 +319,7 @@ def answers(asked: DataFrame, settings: Settings) -> DataFrame:
 
     def settle(rows: list[tuple[int, bytes]], shard: int) -> Iterator[pa.RecordBatch]:
         parts = [unpack(data) for _, data in rows]
-        word, inverse = np.unique(keys_of(np.concatenate([p[0] for p in parts]), _WORD_BITS), return_inverse=True)
+        word, inverse = numbered(keys_of(np.concatenate([p[0] for p in parts]), _WORD_BITS))
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
         told, at = [], 0
         for p in parts:
@@ -295,7 +332,7 @@ def answers(asked: DataFrame, settings: Settings) -> DataFrame:
                 trie = Trie.build(folder, *_summed(mine), settings.discount, 1 << _CONTEXT_BITS)
                 for out, (v, each, w, _) in zip(told, mine, strict=True):
                     context, seen, kinds = trie.context(keys_of(v, _CONTEXT_BITS))
-                    codes = trie.probability_codes(np.repeat(context, each), keys_of(w, _NEXT_BITS))
+                    codes = trie.probability_codes(context, each, keys_of(w, _NEXT_BITS))
                     out += [narrow(seen), narrow(kinds), codes]
         for (block, _), out in zip(rows, told, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack(out)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
@@ -316,20 +353,21 @@ def answers(asked: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield from settle(held, shard)
 
-    dealt = asked.repartition(_shards(asked), "shard").sortWithinPartitions("shard", "block")
+    dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "block")
     return dealt.mapInArrow(run, "block long, shard int, told binary, tokens long, kinds long")
 
 
 def payloads(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(block, doc_ids, content): the tokens of each block, to meet the answers."""
+    """(block, shard, doc_ids, content): the tokens of each block, to meet the answers. They come before these, so their shard is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, block in enumerate(blocks(batches, settings)):
             content = pack([block.words, block.tokens.astype(np.uint32), block.edges.astype(np.int64), block.train.astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_block_id(k)]), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([content], pa.binary())], names=["block", "doc_ids", "content"])
+                [pa.array([_block_id(k)]), pa.array([-1], pa.int32()), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([content], pa.binary())],
+                names=["block", "shard", "doc_ids", "content"])
 
-    return docs.mapInArrow(run, "block long, doc_ids array<long>, content binary")
+    return docs.mapInArrow(run, "block long, shard int, doc_ids array<long>, content binary")
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -346,44 +384,58 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), settings.folds) != 0).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     spread = context_spread(rows, shards, settings.order)
     again = "the documents had other partitions when they were read again; store() them first"
-    told = store(answers(questions(rows, shards, spread, settings), settings), "lm-answers")
+    told = store(answers(questions(rows, shards, spread, settings), shards, settings), "lm-answers")
     total, kinds = told.filter("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     bottom = total + settings.additive * (kinds + 1)
-    replies = told.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "told"))).alias("told"))  # one row a shard
+
+    def scored(ids: list, content: bytes, sent: list[bytes]) -> pa.RecordBatch:
+        words, tokens, edges, train = unpack(content)
+        block = Block(ids, train, words, tokens.astype(np.int32), edges)
+        q = ask(block, shards, spread)
+        parts = [unpack(data) for data in sent]
+        if len({len(p) for p in parts}) > 1 or sum(len(p[0]) for p in parts) != len(words):
+            raise ValueError(again)
+        known = np.zeros(len(words), np.int64)
+        known[q.word_order] = np.concatenate([p[0] for p in parts])
+        single = (known + settings.additive) / bottom
+        p = single[block.tokens]
+        for k, level in enumerate(q.levels):
+            seen, kinds_of, codes = (np.concatenate([x[1 + 3 * k + i] for x in parts]) for i in range(3))
+            if (len(seen), len(codes)) != (len(level.pair_contexts), len(level.gram_words)):
+                raise ValueError(again)
+            context_seen = np.bincount(level.pair_contexts, seen, len(level.hashes))
+            context_kinds = np.bincount(level.pair_contexts, kinds_of, len(level.hashes))
+            whole = np.maximum(context_seen, 1)
+            rest = np.where(context_seen > 0, settings.discount * context_kinds / whole, 1.0)
+            v = level.pair_contexts[level.gram_pairs]
+            own = dequantise(codes) * seen[level.gram_pairs] / whole[v]
+            there = level.token_grams >= 0
+            at = level.token_grams[there]
+            p[there] = own[at] + rest[v[at]] * p[there]
+        score = np.add.reduceat(np.log10(p), edges[:-1])
+        base = np.add.reduceat(np.log10(single)[block.tokens], edges[:-1])
+        n_known = np.add.reduceat((known > 0).astype(np.int64)[block.tokens], edges[:-1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(train == 0), pa.array(np.diff(edges)), pa.array(n_known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(score)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # block, ids and content of a block, then its answers in order of the shards
+
+        def settle() -> pa.RecordBatch:
+            if len(held) != 3 + shards or held[1] is None:
+                raise ValueError(again)
+            return scored(held[1], held[2], held[3:])
+
         for batch in batches:
-            for ids, content, sent in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words, tokens, edges, train = unpack(content.as_py())
-                block = Block(ids, train, words, tokens.astype(np.int64), edges)
-                q = ask(block, shards, spread)
-                parts = [unpack(s["told"].as_py()) for s in sent.values]
-                if len({len(p) for p in parts}) > 1 or sum(len(p[0]) for p in parts) != len(words):
-                    raise ValueError(again)
-                counts = np.concatenate([p[0] for p in parts])
-                known = np.zeros(len(words), np.int64)
-                known[q.word_order] = counts
-                single = (known + settings.additive) / bottom
-                p = single[block.tokens]
-                for k, level in enumerate(q.levels):
-                    seen, kinds_of, codes = (np.concatenate([x[1 + 3 * k + i] for x in parts]) for i in range(3))
-                    if (len(seen), len(codes)) != (len(level.pair_contexts), len(level.gram_words)):
-                        raise ValueError(again)
-                    context_seen = np.bincount(level.pair_contexts, seen, len(level.hashes))
-                    context_kinds = np.bincount(level.pair_contexts, kinds_of, len(level.hashes))
-                    v = level.pair_contexts[level.gram_pairs]
-                    whole = np.maximum(context_seen[v], 1)
-                    own = dequantise(codes) * seen[level.gram_pairs] / whole
-                    rest = np.where(context_seen[v] > 0, settings.discount * context_kinds[v] / whole, 1.0)
-                    there = level.token_grams >= 0
-                    at = level.token_grams[there]
-                    p[there] = own[at] + rest[at] * p[there]
-                score = np.add.reduceat(np.log10(p), edges[:-1])
-                base = np.add.reduceat(np.log10(single)[block.tokens], edges[:-1])
-                n_known = np.add.reduceat((known > 0).astype(np.int64)[block.tokens], edges[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(train == 0), pa.array(np.diff(edges)), pa.array(n_known), pa.array(np.full(len(ids), total)), pa.array(base), pa.array(score)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    joined = payloads(rows, settings).join(replies, "block").select("doc_ids", "content", F.col("told"))
-    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                if held and held[0] != block:
+                    yield settle()
+                    held.clear()
+                held += [batch.column(3)[i].as_py()] if held else [block, batch.column(2)[i].as_py(), batch.column(3)[i].as_py()]
+        if held:
+            yield settle()
+
+    replies = told.filter("block is not null").select("block", "shard", F.lit(None).cast("array<long>").alias("doc_ids"), F.col("told").alias("content"))
+    met = payloads(rows, settings).unionByName(replies).repartition(shards, "block").sortWithinPartitions("block", "shard")
+    return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
