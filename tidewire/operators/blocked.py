@@ -61,14 +61,15 @@ def counted_heavy_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
     return found if found.limit(1).count() else None
 
 
-def counted_load(df: DataFrame, by: list[str]) -> tuple[DataFrame | None, int, int]:
-    """The keys with more rows than one task should sort, as ``counted_heavy_keys`` has them; rows and number of all other keys."""
+def counted_load(df: DataFrame, by: list[str]) -> tuple[DataFrame | None, int, int, int]:
+    """The keys with more rows than one task should sort, as ``counted_heavy_keys`` has them; rows and number of all other keys, and the most rows one has."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     large = F.when(F.col("_n") > HEAVY_KEY_ROWS, F.struct(*by)).alias("_key")
-    found = checkpointed(counts.select(large, "_n").groupBy("_key").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys")))
+    found = checkpointed(counts.select(large, "_n").groupBy("_key").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"), F.max("_n").alias("_most")))
     heavy = found.filter(F.col("_key").isNotNull()).select("_key.*")
     others = found.filter(F.col("_key").isNull()).first()
-    return heavy if heavy.limit(1).count() else None, others["_rows"] if others else 0, others["_keys"] if others else 0
+    load = (others["_rows"], others["_keys"], others["_most"]) if others else (0, 0, 0)
+    return heavy if heavy.limit(1).count() else None, *load
 
 
 def split_heavy(df: DataFrame, by: list[str], known: DataFrame | None = ...) -> tuple[DataFrame, DataFrame | None]:

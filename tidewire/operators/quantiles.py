@@ -29,7 +29,7 @@ SUB_STEPS = 65_536
 _TOP = 30_000_000
 #: Values, of all columns together, that a task of a counted input sorts; so its memory doesn't grow with the input.
 TASK_VALUES = 200_000
-#: Groups of fewer rows on average are not counted before the shuffle: hardly a value would be repeated.
+#: Groups of fewer rows on average, none of them large, are not counted before the shuffle: hardly a value would be repeated.
 FEW_ROWS = 4
 
 
@@ -104,8 +104,8 @@ def percentiles(df: DataFrame, by: list[str], specs: dict[str, tuple[str, float,
     df = df.select(*by, *[c for c in sources if c not in by])
     tasks, early = 0, False
     if heavy is ...:
-        heavy, n, groups = (None, 0, 0) if is_small(df) else counted_load(df, by)
-        tasks, early = -(-n * len(sources) // TASK_VALUES), n < FEW_ROWS * groups
+        heavy, n, groups, most = (None, 0, 0, 0) if is_small(df) else counted_load(df, by)
+        tasks, early = -(-n * len(sources) // TASK_VALUES), n < FEW_ROWS * groups and most * len(sources) <= TASK_VALUES
     rows, large = split_heavy(df, by, heavy)
     done = _ordinary(rows, by, specs, sources, tasks, early)
     return done if large is None else done.unionByName(_refined(large, by, specs, sources))
