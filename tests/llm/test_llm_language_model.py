@@ -57,6 +57,49 @@ def test_ngrams_that_differ_in_the_last_bits_alone_are_summed_apart():
     assert [((a, b), n) for a, b, n in zip(context.tolist(), word.tolist(), count.tolist(), strict=True)] == sorted((k, n) for k, n in brute.items() if n)
 
 
+class Rows:
+    """Stands for a data frame: keeps the function that its tasks run."""
+
+    def repartition(self, *_):
+        return self
+
+    def sortWithinPartitions(self, *_):  # noqa: N802
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_a_shard_searches_its_trie_once_for_all_blocks(monkeypatch):
+    """Before, each block's n-grams were searched apart, so common ones as often as there are blocks."""
+    block, settings = a_block(20_000), lm.Settings(order=3)
+    monkeypatch.setattr(lm, "blocks", lambda *_: iter([block]))
+    monkeypatch.setattr(lm, "_block_id", lambda k: k)
+    (asked,) = lm.questions(Rows(), 1, np.ones((2, 1 << 16), np.int64), settings)([])
+    sought, find = [], eliasfano.EliasFano.find
+    monkeypatch.setattr(eliasfano.EliasFano, "find", lambda x, targets, *bounds: (sought.append(len(targets)), find(x, targets, *bounds))[1])
+
+    def told(copies):
+        sought.clear()
+        rows = [pa.RecordBatch.from_arrays([asked.column(0), pa.array([k]), asked.column(2)], names=asked.schema.names) for k in range(copies)]
+        out = pa.Table.from_batches(lm.answers(Rows(), 1, settings)(iter(rows))).to_pylist()
+        return sum(sought), [lm.unpack(r["told"]) for r in out[:-1]], (out[-1]["tokens"], out[-1]["kinds"])
+
+    (one, first, sums), (five, each, five_sums) = told(1), told(5)
+    assert five == one > 20_000 and len(each) == 5 and five_sums == (5 * sums[0], sums[1])
+    for words, *levels in each:
+        assert (words == 5 * first[0][0].astype(int)).all()
+        assert all((levels[k].astype(int) == (1 if k % 3 else 5) * first[0][1 + k].astype(int)).all() for k in (0, 1, 3, 4))
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 1 << 50, 1 << 63])
+def test_values_are_numbered_in_ascending_order(bound):
+    for n in (0, 1, 2, 3000):
+        for values in (np.random.default_rng(n).integers(0, bound, n).astype(np.uint64) // np.uint64(7) * np.uint64(7), np.arange(n) // 3):
+            found, number = eliasfano.numbered(values, bound)
+            assert (found == np.unique(values)).all() and found.dtype == values.dtype and (found[number] == values).all()
+
+
 def test_a_block_whose_answers_are_gone_stops_the_job(spark, monkeypatch):
     """Before, the documents of such a block were left out of the result."""
     whole = lm.store

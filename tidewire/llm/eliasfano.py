@@ -10,10 +10,22 @@ import numpy as np
 W = np.uint64
 
 
-def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, ascending, and each value's number among them."""
-    order = np.argsort(values)
-    values = values[order]
+def numbered(values: np.ndarray, bound: int = 1 << 64) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and each value's number among them. Values are below ``bound``."""
+    place = len(values).bit_length()
+    if (bound - 1).bit_length() + place <= 64:
+        # A value and its place in one number: a plain sort takes a fifth of the time of an argsort.
+        keys = values.astype(np.uint64)
+        keys <<= W(place)
+        keys |= np.arange(len(values), dtype=np.uint64)
+        keys.sort()
+        order = (keys & W((1 << place) - 1)).astype(np.int32)
+        keys >>= W(place)
+        values = keys.view(values.dtype) if values.itemsize == 8 else keys.astype(values.dtype)
+        del keys
+    else:
+        order = np.argsort(values)
+        values = values[order]
     fresh = np.ones(len(values), bool)
     fresh[1:] = values[1:] != values[:-1]
     number = np.empty(len(values), np.int32)
@@ -21,11 +33,16 @@ def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[fresh], number
 
 
+def mapped(folder: str, name: str) -> np.ndarray:
+    """A saved array, mapped into memory."""
+    return np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r").view(np.ndarray)
+
+
 class EliasFano:
     """A non-decreasing sequence of n integers below ``universe`` in about 2 + log2(universe / n) bits each.
 
     ``low``: the low bits, side by side; ``high``: the high parts in unary, a one for each value and a zero for each step. Where many
-    values are asked for, the unary part is unpacked first: ``high_parts`` and ``starts``.
+    values are asked for, both parts are unpacked first: ``high_parts``, ``starts`` and ``low_parts``.
     """
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
@@ -46,6 +63,12 @@ class EliasFano:
         """How many values have a high part below h, for each h: ones before the zero that begins it."""
         return np.r_[np.int32(0), self._places(0)]
 
+    @cached_property
+    def low_parts(self) -> np.ndarray:
+        """The low bits of each value."""
+        found = self.lows(np.arange(self.n))
+        return found.astype(np.uint32) if self.bits <= 32 else found
+
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
@@ -56,9 +79,11 @@ class EliasFano:
             at = np.arange(n) * bits
             word, shift = at >> 6, (at & 63).astype(np.uint64)
             part = values & W((1 << bits) - 1)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift + W(bits) > W(64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (W(64) - shift[over]))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            if n:
+                low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero(shift + W(bits) > W(64))  # at most one value a word
+            low[word[over] + 1] |= part[over] >> (W(64) - shift[over])
         size = n + (universe >> bits) + 2
         unary = np.zeros((size + 63) // 64 * 64, np.uint8)
         unary[(values >> W(bits)).astype(np.int64) + np.arange(n)] = 1
@@ -89,16 +114,20 @@ class EliasFano:
         h = np.minimum(h, steps)
         lo, end = self.starts[h].astype(np.int64), self.starts[h + 1].astype(np.int64)
         lo, end = np.maximum(lo, first), end if stop is None else np.minimum(end, stop)
-        hi, want = end.copy(), targets & W((1 << self.bits) - 1)
-        open_ = np.flatnonzero(lo < hi)
+        want = (targets & W((1 << self.bits) - 1)).astype(self.low_parts.dtype)
+        open_ = np.flatnonzero(lo < end)
+        low, high, sought = lo[open_], end[open_], want[open_]
         while len(open_):
-            middle = (lo[open_] + hi[open_]) >> 1
-            less = self.lows(middle) < want[open_]
-            lo[open_[less]] = middle[less] + 1
-            hi[open_[~less]] = middle[~less]
-            open_ = open_[lo[open_] < hi[open_]]
+            middle = (low + high) >> 1
+            less = self.low_parts[middle] < sought
+            low = np.where(less, middle + 1, low)
+            high = np.where(less, high, middle)
+            more = low < high
+            found = ~more
+            lo[open_[found]] = low[found]
+            open_, low, high, sought = open_[more], low[more], high[more], sought[more]
         hit = np.flatnonzero(inside & (lo < end))
-        hit = hit[self.lows(lo[hit]) == want[hit]]
+        hit = hit[self.low_parts[lo[hit]] == want[hit]]
         out = np.full(len(targets), -1)
         out[hit] = lo[hit]
         return out
@@ -112,7 +141,7 @@ class EliasFano:
     def open(cls, folder: str, name: str) -> EliasFano:
         with np.load(os.path.join(folder, f"{name}.shape.npz")) as shape:
             n, bits = int(shape["n"]), int(shape["bits"])
-        return cls(n, bits, *[np.load(os.path.join(folder, f"{name}.{part}.npy"), mmap_mode="r") for part in ("low", "high")])
+        return cls(n, bits, *[mapped(folder, f"{name}.{part}") for part in ("low", "high")])
 
 
 #: A probability p is kept as one byte, round(-log2(p) * STEPS) + 1; zero means none.
@@ -143,12 +172,12 @@ class Trie:
     def __init__(self, folder: str):
         for part in self.PARTS:
             setattr(self, part, EliasFano.open(folder, part))
-        self.codes, self.seen, self.kinds = (np.load(os.path.join(folder, f"{x}.npy"), mmap_mode="r") for x in ("codes", "seen", "kinds"))
+        self.codes, self.seen, self.kinds = (mapped(folder, x) for x in ("codes", "seen", "kinds"))
 
     @classmethod
     def build(cls, folder: str, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float, universe: int) -> Trie:
         """From n-grams (context key, word key, count above 0), each once, in any order, keys below ``universe``."""
-        (context, i), (word, j) = numbered(contexts), numbered(words)
+        (context, i), (word, j) = numbered(contexts, universe), numbered(words, universe)
         at = i.astype(np.int64) * max(len(word), 1) + j
         if (at[1:] < at[:-1]).any():
             order = np.argsort(at)
@@ -172,13 +201,15 @@ class Trie:
             return at, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         return at, np.where(at >= 0, self.seen[at], 0), np.where(at >= 0, self.kinds[at], 0)
 
-    def probability_codes(self, context: np.ndarray, each: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Codes of words, ``each`` of them after a context given by number, by a search among the context's successors; 0 if there is none."""
-        out = np.zeros(len(words), np.uint8)
+    def probability_codes(self, context: np.ndarray, each: np.ndarray, words: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Codes of n-grams, ``each`` of them after a context given by number, by a search among the context's successors; 0 if there is none.
+
+        ``words`` are distinct keys, ``last`` is the number of each n-gram's last word among them.
+        """
+        out = np.zeros(len(last), np.uint8)
         if not self.contexts.n:
             return out
-        distinct, number = numbered(words)
-        number = self.words.find(distinct)[number]
+        number = self.words.find(words)[last]
         known = np.maximum(context, 0)
         first, stop = self.pointers.get(known).astype(np.int64), self.pointers.get(known + 1).astype(np.int64)
         pair = np.repeat(np.arange(len(context), dtype=np.int32), each)

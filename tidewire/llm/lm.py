@@ -65,7 +65,10 @@ def blocks(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[Bl
         edges = np.r_[0, np.cumsum(np.concatenate([np.diff(e) for _, _, _, e in held]))]
         hashes = np.concatenate([h for _, _, h, _ in held])
         held.clear()
-        return Block(ids, train, *numbered(hashes), edges)
+        # Words recur: a hash table first, and only the distinct ones are sorted.
+        coded = pa.array(hashes).dictionary_encode()
+        words, number = numbered(coded.dictionary.to_numpy())
+        return Block(ids, train, words, number[coded.indices.to_numpy()], edges)
 
     for batch in batches:
         for part in chunks(batch):
@@ -124,6 +127,7 @@ def ask(block: Block, shards: int, spread: np.ndarray) -> Question:
     # A block's arrays are as narrow as their numbers allow: they are most of a task's memory.
     hashes = np.r_[block.words, START]
     n = len(hashes)
+    word_bits = n.bit_length()
     home = (mix(block.words) % U(shards)).astype(np.int32)
     word_order = np.argsort(home, kind="stable")
     salt = mix(hashes + U(1))
@@ -134,19 +138,21 @@ def ask(block: Block, shards: int, spread: np.ndarray) -> Question:
     known, levels = hashes, []
     for k, ways_of in enumerate(spread):
         has = np.flatnonzero(place >= k)
+        m = len(known)
         keys = context[has].astype(np.int64)
-        keys *= n
-        keys += block.tokens[has]
-        keys, grams = numbered(keys)
-        v = (keys // n).astype(np.int32)
-        w = (keys - v * np.int64(n)).astype(np.int32)
+        keys <<= word_bits
+        keys |= block.tokens[has]
+        keys, grams = numbered(keys, m << word_bits)
+        v = (keys >> word_bits).astype(np.int32)
+        w = (keys & ((1 << word_bits) - 1)).astype(np.int32)
         del keys
-        m = len(known)
         at = (mix(known) % U(shards)).astype(np.int32)
         ways = ways_of.astype(np.int32)[(known >> U(48)).astype(np.uint16)]
+        wide = np.flatnonzero(ways > 1)
         shard = at[v]
-        split = np.flatnonzero(ways[v] > 1)
-        shard[split] = (shard[split] + (salt[w[split]] % ways[v[split]].astype(np.uint64)).astype(np.int32)) % shards
+        if len(wide):
+            split = np.flatnonzero(ways[v] > 1)
+            shard[split] = (shard[split] + (salt[w[split]] % ways[v[split]].astype(np.uint64)).astype(np.int32)) % shards
         # N-grams ascend by context, so by shard alone is by shard and context. Small numbers are sorted by radix.
         order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")
         placed = shard[order].astype(np.int64)
@@ -155,9 +161,8 @@ def ask(block: Block, shards: int, spread: np.ndarray) -> Question:
         fresh = np.ones(len(placed), bool)
         fresh[1:] = placed[1:] != placed[:-1]
         pairs = placed[fresh]
-        # A context with several shards asks all of them how often they have seen it.
-        wide = np.flatnonzero(ways > 1)
         if len(wide):
+            # A context with several shards asks all of them how often they have seen it.
             wide = wide[np.bincount(v, minlength=m)[wide] > 0]
             extra_v = np.repeat(wide, ways[wide])
             turn = np.arange(len(extra_v)) - np.repeat(np.cumsum(ways[wide]) - ways[wide], ways[wide])
@@ -282,33 +287,51 @@ def questions(docs: DataFrame, shards: int, spread: np.ndarray, settings: Settin
     return docs.mapInArrow(run, "shard int, block long, asked binary")
 
 
-def _by_context(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Order by context, then word. Both don't fit in 64 bits: the few runs that only the words' last bits tell apart are sorted once more."""
-    cut = U(_CONTEXT_BITS + _NEXT_BITS - 64)
-    key = context << U(64 - _CONTEXT_BITS) | word >> cut
-    order = np.argsort(key)
-    key = key[order]
-    run = np.cumsum(np.r_[0, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    mixed = np.zeros(len(key) and run[-1] + 1, bool)
-    mixed[run[1:][(run[1:] == run[:-1]) & (word[order[1:]] != word[order[:-1]])]] = True
-    again = np.flatnonzero(mixed[run])
-    order[again] = order[again][np.lexsort([word[order[again]], run[again]])]
-    return order
+@dataclass
+class Asked:
+    """What all blocks ask of a shard's n-grams of one length, each once, ascending by context and word, with their counts in training.
+
+    ``gram_contexts`` and ``gram_words`` are numbers among ``contexts`` and ``words``. ``pairs`` and ``grams`` are the numbers of the contexts
+    and n-grams as the blocks ask for them, one block after the other.
+    """
+
+    contexts: np.ndarray
+    words: np.ndarray
+    gram_contexts: np.ndarray
+    gram_words: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    grams: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[list[np.ndarray]]) -> Asked:
+        """Of each block: contexts, n-grams of each, each n-gram's last word, its count in training."""
+        contexts, pairs = numbered(keys_of(np.concatenate([v for v, _, _, _ in parts]), _CONTEXT_BITS), 1 << _CONTEXT_BITS)
+        words, last = numbered(keys_of(np.concatenate([w for _, _, w, _ in parts]), _NEXT_BITS), 1 << _NEXT_BITS)
+        word_bits = len(words).bit_length()
+        keys = np.repeat(pairs, np.concatenate([each for _, each, _, _ in parts])).astype(np.int64)
+        keys <<= word_bits
+        keys |= last
+        keys, grams = numbered(keys, max(1, len(contexts)) << word_bits)
+        counts = np.bincount(grams, np.concatenate([n for _, _, _, n in parts]), len(keys)).astype(np.int64)
+        return cls(contexts, words, (keys >> word_bits).astype(np.int32), (keys & ((1 << word_bits) - 1)).astype(np.int32), counts, pairs, grams)
+
+    def trained(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, words and counts of the n-grams that training documents have."""
+        some = np.flatnonzero(self.counts > 0)
+        return self.contexts[self.gram_contexts[some]], self.words[self.gram_words[some]], self.counts[some]
+
+    def answered(self, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each pair's context was seen, its kinds of successors, and each n-gram's code, as the blocks ask for them."""
+        context, seen, kinds = trie.context(self.contexts)
+        each = np.bincount(self.gram_contexts, minlength=len(self.contexts))
+        codes = trie.probability_codes(context, each, self.words, self.gram_words)
+        return seen[self.pairs], kinds[self.pairs], codes[self.grams]
 
 
 def _summed(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words and counts of the n-grams that training documents have, over all blocks, each once."""
-    context = np.concatenate([np.repeat(keys_of(v, _CONTEXT_BITS), each) for v, each, _, _ in parts])
-    word = np.concatenate([keys_of(w, _NEXT_BITS) for _, _, w, _ in parts])
-    count = np.concatenate([n for _, _, _, n in parts])
-    some = np.flatnonzero(count > 0)
-    context, word, count = context[some], word[some], count[some].astype(np.int64)
-    order = _by_context(context, word)
-    context, word, count = context[order], word[order], count[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    first = np.flatnonzero(fresh)
-    return context[first], word[first], np.add.reduceat(count, first) if len(first) else count
+    return Asked.of(parts).trained()
 
 
 def answers(asked: DataFrame, shards: int, settings: Settings) -> DataFrame:
@@ -319,21 +342,22 @@ def answers(asked: DataFrame, shards: int, settings: Settings) -> DataFrame:
 
     def settle(rows: list[tuple[int, bytes]], shard: int) -> Iterator[pa.RecordBatch]:
         parts = [unpack(data) for _, data in rows]
-        word, inverse = numbered(keys_of(np.concatenate([p[0] for p in parts]), _WORD_BITS))
+        word, inverse = numbered(keys_of(np.concatenate([p[0] for p in parts]), _WORD_BITS), 1 << _WORD_BITS)
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
         told, at = [], 0
         for p in parts:
             told.append([narrow(counts[inverse[at : at + len(p[1])]])])
             at += len(p[1])
         for level in range(settings.order - 1):
-            # contexts, n-grams of each, each n-gram's last word, its count in training
             mine = [p[2 + 4 * level : 6 + 4 * level] for p in parts]
+            asked = Asked.of(mine)
             with tempfile.TemporaryDirectory() as folder:
-                trie = Trie.build(folder, *_summed(mine), settings.discount, 1 << _CONTEXT_BITS)
-                for out, (v, each, w, _) in zip(told, mine, strict=True):
-                    context, seen, kinds = trie.context(keys_of(v, _CONTEXT_BITS))
-                    codes = trie.probability_codes(context, each, keys_of(w, _NEXT_BITS))
-                    out += [narrow(seen), narrow(kinds), codes]
+                trie = Trie.build(folder, *asked.trained(), settings.discount, 1 << _CONTEXT_BITS)
+                seen, kinds, codes = asked.answered(trie)
+            v, w = 0, 0
+            for out, (_, each, _, n) in zip(told, mine, strict=True):
+                out += [narrow(seen[v : v + len(each)]), narrow(kinds[v : v + len(each)]), codes[w : w + len(n)]]
+                v, w = v + len(each), w + len(n)
         for (block, _), out in zip(rows, told, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([pack(out)]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
         yield pa.RecordBatch.from_arrays(
@@ -409,9 +433,10 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             rest = np.where(context_seen > 0, settings.discount * context_kinds / whole, 1.0)
             v = level.pair_contexts[level.gram_pairs]
             own = dequantise(codes) * seen[level.gram_pairs] / whole[v]
-            there = level.token_grams >= 0
+            rest = rest[v]
+            there = np.flatnonzero(level.token_grams >= 0)
             at = level.token_grams[there]
-            p[there] = own[at] + rest[v[at]] * p[there]
+            p[there] = own[at] + rest[at] * p[there]
         score = np.add.reduceat(np.log10(p), edges[:-1])
         base = np.add.reduceat(np.log10(single)[block.tokens], edges[:-1])
         n_known = np.add.reduceat((known > 0).astype(np.int64)[block.tokens], edges[:-1])
