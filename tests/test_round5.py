@@ -9,6 +9,7 @@ from tablerows import rows
 from test_round3 import dump_tables
 from tidewire.catalog import source_queries as Q
 from tidewire.operators import blocked
+from tidewire.operators.aggregates import neighbor_stats
 from tidewire.session import store, written
 from tidewire.sources import textjobs as T
 
@@ -58,7 +59,7 @@ def wordy(spark):
     return text.unionByName(noise).select(F.lit("d").alias("path"), "line_no", "value")
 
 
-@pytest.mark.parametrize("part", ["snapshots", "stats"])
+@pytest.mark.parametrize("part", ["snapshots", "neighbors", "stats"])
 @pytest.mark.parametrize("heavy", [40, 4_000_000])
 def test_text_without_part_in_a_job_is_not_shuffled(spark, monkeypatch, wordy, part, heavy):
     monkeypatch.setattr(blocked, "HEAVY_KEY_ROWS", heavy)
@@ -107,3 +108,10 @@ def test_lines_of_one_large_value_are_numbered_alike(spark, monkeypatch):
     monkeypatch.setattr(Q, "HEAVY_KEY_ROWS", 4_000_000)
     monkeypatch.setattr(Q, "FILE_LINES", 100)
     assert rows(Q.dump_lines(t)) == both and len(both) == len(whole) + 70
+
+
+def test_channels_of_a_radio_are_counted_in_one_shuffle(spark):
+    d = spark.createDataFrame([("a", -60, 36), ("a", -70, 36), ("a", -50, 40), ("b", -80, None)], "ap string, rssi int, ch int")
+    out = neighbor_stats(d, ["ap"], "rssi", "ch", [-65])
+    assert rows(out, "ap", "neighbor_count", "unique_channels", "channel_list") == [("a", 3, 2, "36,40"), ("b", 1, 0, "")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
