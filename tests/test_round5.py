@@ -59,7 +59,7 @@ def wordy(spark):
     return text.unionByName(noise).select(F.lit("d").alias("path"), "line_no", "value")
 
 
-@pytest.mark.parametrize("part", ["snapshots", "neighbors", "stats"])
+@pytest.mark.parametrize("part", ["snapshots", "neighbors", "latencies", "stats"])
 @pytest.mark.parametrize("heavy", [40, 4_000_000])
 def test_text_without_part_in_a_job_is_not_shuffled(spark, monkeypatch, wordy, part, heavy):
     monkeypatch.setattr(blocked, "HEAVY_KEY_ROWS", heavy)
