@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tablerows import rows
 from test_round3 import dump_tables
 from tidewire.catalog import source_queries as Q
-from tidewire.operators import blocked
+from tidewire.operators import blocked, windows
+from tidewire.operators import graph as G
 from tidewire.operators.aggregates import neighbor_stats
+from tidewire.operators.windows import uniquify
 from tidewire.session import store, written
 from tidewire.sources import textjobs as T
 
@@ -115,3 +117,54 @@ def test_channels_of_a_radio_are_counted_in_one_shuffle(spark):
     out = neighbor_stats(d, ["ap"], "rssi", "ch", [-65])
     assert rows(out, "ap", "neighbor_count", "unique_channels", "channel_list") == [("a", 3, 2, "36,40"), ("b", 1, 0, "")]
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_ids_that_cannot_clash_are_not_looked_up(spark):
+    d = spark.createDataFrame([("x", 1), ("x", 2), ("y-1", 3), ("y-02", 4), (None, 5), (None, 6)], "b string, o int")
+    out = uniquify(d, "b", blocked.Order("o"))
+    assert rows(out, "o", "unique_id") == [(1, "x"), (2, "x-2"), (3, "y-1"), (4, "y-02"), (5, None), (6, None)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_ids_clash_with_any_number(spark, monkeypatch, few):
+    monkeypatch.setattr(windows, "FEW_RANGES", few, raising=False)
+    d = spark.createDataFrame([("x", i) for i in range(1, 13)] + [("x-2", 20), ("x-2", 21), ("x-12", 22), ("x-1", 23), ("x-2\n", 24)], "b string, o int")
+    got = {r["o"]: r["unique_id"] for r in uniquify(d, "b", blocked.Order("o")).collect()}
+    assert len(set(got.values())) == 17 and {o for o, v in got.items() if len(v) > 12} == {2, 12}
+    assert (got[1], got[3], got[20], got[21], got[22], got[23], got[24]) == ("x", "x-3", "x-2", "x-2-2", "x-12", "x-1", "x-2\n")
+
+
+def topology(spark, n):
+    nodes = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", "s2")], "id string, site_id string").select("id", F.col("id").alias("label"), F.lit("").alias("ip"), F.lit("").alias("family"), F.lit("").alias("role"), "site_id")
+    text = ["id", "uuid", "ip", "hostname", "family", "role", "reachability", "management_state", "collection_status", "location"]
+    devices = spark.range(0).select(*[F.col("id").cast("string").alias(x) for x in text])
+    sites = spark.createDataFrame([("s1", "S1"), ("s2", "S2")], "id string, name string")
+    ends = F.when(F.col("id") % 1000 == 0, "a").otherwise("b"), F.when(F.col("id") % 1000 == 1, "x").when(F.col("id") % 1000 == 2, " ").otherwise("c")
+    links = spark.range(0, n, 1, 4).select(F.lit("").alias("id"), ends[0].alias("source"), ends[1].alias("target"), *[F.lit("").alias(x) for x in ("start_port", "end_port", "speed")], F.lit("10 Gbps").alias("start_speed"),
+                                           F.lit("1 Gbps").alias("end_speed"), F.lit("up").alias("status"), F.col("id").alias("o"))
+    return nodes, links, devices, sites
+
+
+def test_ends_of_links_are_told_apart_before_they_are_shuffled(spark):
+    nodes = G.build_nodes(*topology(spark, 4_000))
+    assert "LeftAnti" not in nodes._jdf.queryExecution().optimizedPlan().toString()  # the planner moves it below the distinct ends
+    assert rows(nodes, "id", "family", "site_id") == [("a", "network_device", "S1"), ("b", "network_device", "S2"), ("c", "network_device", "S2"), ("x", "link-only", "unknown")]
+
+
+def test_links_of_a_subgraph_are_shuffled_once(spark):
+    """And what they were shuffled for is gone when the subgraph is asked for."""
+    parts, got = topology(spark, 40_000), {}
+    nodes = G.build_nodes(*parts)
+
+    def run():
+        edges = G.build_edges(parts[1], nodes, blocked.Order("o"))
+        got["exchanges"] = edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        got["made"] = G.visible_subgraph(nodes, edges, site="S1")
+        time.sleep(2)
+
+    assert shuffled(spark, run) < 20_000 and got["exchanges"] == 1
+    vis, shown = got["made"]
+    assert rows(vis, "id") == [("a",), ("c",)] and rows(vis.select("site_id")) == [("S1",), ("S2",)]
+    ids = rows(shown, "id", "site_id", "mainstat", "confidence")
+    assert len(ids) == 40 and ids[0] == ("a|c", "inter-site", "10 Gbps", "high") and ("a|c-40", "inter-site", "10 Gbps", "high") in ids

@@ -59,7 +59,7 @@ def is_small(df: DataFrame) -> bool:
 
 def counted_heavy_keys(df: DataFrame, by: list[str]) -> DataFrame | None:
     """The same, counted whatever the size."""
-    found = checkpointed(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY_KEY_ROWS).drop("_n"))
+    found = written(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HEAVY_KEY_ROWS).drop("_n"), "heavy-keys")
     return found if found.limit(1).count() else None
 
 
@@ -67,7 +67,7 @@ def counted_load(df: DataFrame, by: list[str]) -> tuple[DataFrame | None, int, i
     """The keys with more rows than one task should sort, as ``counted_heavy_keys`` has them; rows and number of all other keys, and the most rows one has."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     large = F.when(F.col("_n") > HEAVY_KEY_ROWS, F.struct(*by)).alias("_key")
-    found = checkpointed(counts.select(large, "_n").groupBy("_key").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"), F.max("_n").alias("_most")))
+    found = written(counts.select(large, "_n").groupBy("_key").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_keys"), F.max("_n").alias("_most")), "heavy-keys")
     heavy = found.filter(F.col("_key").isNotNull()).select("_key.*")
     others = found.filter(F.col("_key").isNull()).first()
     load = (others["_rows"], others["_keys"], others["_most"]) if others else (0, 0, 0)

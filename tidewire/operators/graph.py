@@ -13,7 +13,7 @@ from tidewire.functions.scalars import confidence_arcs, format_speed, layer_for,
 from tidewire.operators.blocked import Order, scan
 from tidewire.operators.joins import multi_key_lookup
 from tidewire.operators.windows import uniquify
-from tidewire.session import checkpointed
+from tidewire.session import checkpointed, written
 
 c = F.col
 
@@ -57,8 +57,10 @@ def build_nodes(nodes: DataFrame, links: DataFrame, devices: DataFrame, sites: D
         F.when(found, state_confidence([c("_reach"), c("_managed"), c("_collected")], ACTIVE_DEVICE, DOWN_DEVICE)).otherwise("medium").alias("confidence"),
         F.when(found, F.lower(F.coalesce(blank(c("_reach")), blank(c("_managed")), F.lit("discovered")))).otherwise("discovered").alias("mainstat"),
         F.coalesce(c("_site"), blank(c("_location")), F.lit("unknown")).alias("site_id"))
-    ends = links.select(F.explode(F.array("source", "target")).alias("id")).filter(blank(c("id")).isNotNull()).distinct()
-    extra = ends.join(shaped.select("id"), "id", "left_anti").select(
+    # one count of all ids, as an anti-join would shuffle the ends of every link
+    ends = links.select(F.explode(F.array("source", "target")).alias("id"), F.lit(False).alias("_known")).filter(blank(c("id")).isNotNull())
+    ids = ends.unionByName(shaped.select("id", F.lit(True).alias("_known"))).groupBy("id").agg(F.bool_or("_known").alias("_known"))
+    extra = ids.filter(~c("_known")).select(
         "id", c("id").alias("title"), F.lit("link-only").alias("family"), F.lit("unknown").alias("role"), F.lit("medium").alias("confidence"), F.lit("discovered").alias("mainstat"), F.lit("unknown").alias("site_id"))
     out = shaped.unionByName(extra).withColumn("environment", F.lit(environment))
     color = F.coalesce(F.create_map(*[F.lit(x) for pair in CONFIDENCE_COLORS.items() for x in pair])[c("confidence")], F.lit(CONFIDENCE_COLORS["low"]))
@@ -70,16 +72,18 @@ def build_edges(links: DataFrame, nodes: DataFrame, order: Order, lineage: str =
     """Edges between named ends, with site, environment, speed, label and a unique id."""
     blank = nullif_trim
     # both ends look nodes up, so the few columns they need are written once
-    nodes = checkpointed(nodes.select("id", "site_id", "environment"))
+    nodes = written(nodes.select("id", "site_id", "environment"), "edge-ends")
     l = links.filter(blank(c("source")).isNotNull() & blank(c("target")).isNotNull())
     port = lambda x: F.coalesce(blank(c(x)), F.lit(""))
     made = F.trim(F.regexp_replace(F.concat_ws("|", "source", "target", port("start_port"), port("end_port")), r"^\|+|\|+$", ""))
-    l = l.withColumn("_base", F.coalesce(blank(c("id")), made))
+    # ids are numbered over few columns, as all links are sorted for it
+    needed = dict.fromkeys(["source", "target", "start_port", "end_port", "status", order.col, *[x.removeprefix("-") for x in order.ties]])
+    l = l.select(F.coalesce(blank(c("id")), made).alias("_base"), link_speed_gbps(c("start_speed"), c("end_speed"), c("speed")).alias("_gbps"), *needed)
     l = uniquify(l, "_base", order, out="edge_id")
     side = lambda p: nodes.select(c("id").alias(p), c("site_id").alias(f"_{p}_site"), c("environment").alias(f"_{p}_env"))
     d = l.join(side("source"), "source", "left").join(side("target"), "target", "left")
     or_unknown = lambda x: F.coalesce(c(x), F.lit("unknown"))
-    speed = link_speed_gbps(c("start_speed"), c("end_speed"), c("speed"))
+    speed = c("_gbps")
     conf = state_confidence([c("status")], ACTIVE_LINK, DOWN_LINK)
     return d.select(
         c("edge_id").alias("id"), "source", "target", F.when(or_unknown("_source_site") == or_unknown("_target_site"), or_unknown("_source_site")).otherwise("inter-site").alias("site_id"),
@@ -115,7 +119,8 @@ def topology_filter(nodes: DataFrame, edges: DataFrame, site: str = "__all", env
 
 def visible_subgraph(nodes: DataFrame, edges: DataFrame, **spec: str) -> tuple[DataFrame, DataFrame]:
     """Nodes at either end of a filtered edge, and the filtered edges between them."""
-    nodes, kept = checkpointed(nodes), checkpointed(topology_filter(nodes, edges, **spec))
+    nodes = written(nodes, "nodes")
+    kept = written(topology_filter(nodes, edges, **spec), "visible-edges")
     ends = kept.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     vis = nodes.join(ends, "id", "left_semi")
     ids = vis.select("id")

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.blocked import Order, join_back, scan
+from tidewire.operators.blocked import FEW_RANGES, Order, join_back, scan
+from tidewire.session import checkpointed
 
 
 def order_key(df: DataFrame, order: list[tuple[str, str]]) -> Column:
@@ -170,8 +171,10 @@ def uniquify(df: DataFrame, base: str, order: Order, out: str = "unique_id") ->
     d = scan(df, [base], order, number="_i")
     made = F.when(F.col("_i") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("_i").cast("string")))
     d = d.withColumn(out, made)
-    bases = df.select(F.col(base).alias(out)).distinct().withColumn("_clash", F.lit(True))
-    d = join_back(d, bases, [out])
+    # only an id that ends like a suffixed one can equal one; mostly there is none, and rows need not be shuffled to look for it
+    bases = checkpointed(df.select(F.col(base).alias(out)).filter(F.col(out).rlike(r"(?s)-([2-9]|[1-9][0-9]+)\z")).distinct().withColumn("_clash", F.lit(True)))
+    n = bases.limit(FEW_RANGES + 1).count()
+    d = join_back(d, F.broadcast(bases) if n <= FEW_RANGES else bases, [out]) if n else d.withColumn("_clash", F.lit(False))
     clash = (F.col("_i") > 1) & F.coalesce(F.col("_clash"), F.lit(False))
     hashed = F.concat(F.col(base), F.lit("-"), F.substring(F.sha2(F.col(out), 256), 1, 12))
     return d.withColumn(out, F.when(clash, hashed).otherwise(F.col(out))).drop("_i", "_clash")
